@@ -41,3 +41,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; each worker opens it there, as it is installed on every node."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import chat, exact_dedup, sharding
-from cantata.llm.common import read
+from cantata.llm import chat, exact_dedup, packing, sharding, token_counts
+from cantata.llm.common import read, tokenizer_file
 
 SHARD_BYTES = 1 << 20
+WINDOW = 2048
 
 
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.withColumn("mask", mask).select("conv_id", "speaker", F.col("part").cast("long").alias("part"), "offset", F.col("n_turns").cast("long").alias("n_turns"), "rendered", "mask")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > WINDOW)
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -25,7 +31,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op4_extendible_sharding, op6_exact_dedup)}
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), WINDOW, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op8_sum_of_squares_packing)}
 
 ORACLES = {
     "op2_chat_rotation": r"""
