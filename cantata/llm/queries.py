@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import chat, exact_dedup, packing, sharding, token_counts
-from cantata.llm.common import read, tokenizer_file
+from cantata.llm import chat, exact_dedup, langid, packing, sharding, token_counts, toxicity
+from cantata.llm.common import read, tokenizer_file, trained_on
 
 SHARD_BYTES = 1 << 20
 WINDOW = 2048
@@ -35,7 +35,19 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), WINDOW, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op8_sum_of_squares_packing)}
+def op9_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit_on_training_part(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit_on_training_part(docs))
+    return found.select("doc_id", (~trained_on()).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
 
 ORACLES = {
     "op2_chat_rotation": r"""
