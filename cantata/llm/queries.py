@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import chat, exact_dedup, langid, packing, sharding, token_counts, toxicity
+from cantata.llm import chat, exact_dedup, langid, packing, sharding, simhash, token_counts, toxicity
 from cantata.llm.common import read, tokenizer_file, trained_on
 
 SHARD_BYTES = 1 << 20
@@ -31,6 +31,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), WINDOW, end_id=1)
 
@@ -47,7 +52,7 @@ def op10_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "lang_pred", "score", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
+QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op7_simhash_pigeonhole, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
 
 ORACLES = {
     "op2_chat_rotation": r"""
