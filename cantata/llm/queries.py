@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import chat, exact_dedup, langid, packing, sharding, simhash, token_counts, toxicity
+from cantata.llm import chat, exact_dedup, imatch, langid, packing, sharding, simhash, token_counts, toxicity
 from cantata.llm.common import read, tokenizer_file, trained_on
 
 SHARD_BYTES = 1 << 20
@@ -27,6 +27,10 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "lang_pred", "score", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op6_exact_dedup, op7_simhash_pigeonhole, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
+QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op5_imatch, op6_exact_dedup, op7_simhash_pigeonhole, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
 
 ORACLES = {
     "op2_chat_rotation": r"""
