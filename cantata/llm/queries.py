@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import chat, exact_dedup, imatch, langid, packing, sharding, simhash, token_counts, toxicity
+from cantata.llm import chat, exact_dedup, imatch, langid, packing, sentencepiece_codec, sharding, simhash, token_counts, toxicity
 from cantata.llm.common import read, tokenizer_file, trained_on
 
 SHARD_BYTES = 1 << 20
 WINDOW = 2048
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_codec.load(tokenizer_file("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_codec.decode_documents(encoded, model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
+
+
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
     mask = F.concat_ws(";", F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))))
@@ -56,7 +63,7 @@ def op10_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "lang_pred", "score", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op5_imatch, op6_exact_dedup, op7_simhash_pigeonhole, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_rotation, op3_token_counts, op4_extendible_sharding, op5_imatch, op6_exact_dedup, op7_simhash_pigeonhole, op8_sum_of_squares_packing, op9_pu_toxicity, op10_bloom_language_id)}
 
 ORACLES = {
     "op2_chat_rotation": r"""
