@@ -20,8 +20,8 @@ from cantata.llm.pretokens import pretokenizer, small_slices
 
 SALTS = 64
 HOT_DOCS = 64
-BLOCK_ROWS = 4096
-_SCHEMA = "pretoken string NOT NULL, salt int NOT NULL, doc_ids array<long>, amounts array<long>"
+BLOCK_ROWS = 10_000
+_SCHEMA = "pretoken string NOT NULL, salt int NOT NULL, doc_ids array<long>, amounts array<int>"
 
 
 class _Codes(dict):
@@ -66,7 +66,7 @@ def _block(ids: list, texts_of, pt) -> pa.RecordBatch:
             pa.array(["", "", *codes.words], pa.string()),
             pa.array(np.concatenate([[-1, spread], salt]).astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64()).take(pa.array(doc))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([size, base, amounts]).astype(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([size, base, amounts]).astype(np.int32))),
         ],
         names=["pretoken", "salt", "doc_ids", "amounts"],
     )
@@ -103,6 +103,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     counts = distinct.filter("n > 0").select("pretoken", "salt", pieces("pretoken").alias("pieces"))
     entries = placed.join(counts.hint("shuffle_hash"), ["pretoken", "salt"], "left").select("salt", F.when(F.col("pretoken") == "", 1).otherwise(F.col("pieces")).alias("pieces"), F.inline(F.arrays_zip("doc_ids", "amounts")))
     return entries.groupBy(F.col("doc_ids").alias("doc_id")).agg(
-        F.sum(F.when(F.col("salt") < 0, F.col("amounts")).otherwise(F.lit(0))).alias("n_bytes"),
-        F.sum(F.when(F.col("salt") >= 0, F.col("amounts") * F.col("pieces")).otherwise(F.lit(0))).alias("n_tokens"),
+        F.sum(F.when(F.col("salt") < 0, F.col("amounts").cast("long")).otherwise(F.lit(0))).alias("n_bytes"),
+        F.sum(F.when(F.col("salt") >= 0, F.col("amounts").cast("long") * F.col("pieces")).otherwise(F.lit(0))).alias("n_tokens"),
     )
