@@ -160,15 +160,52 @@ def links(fps: DataFrame, max_bits: int = 4, partitions: int = 3) -> DataFrame:
     return probes.alias("p").join(index.alias("i").hint("shuffle_hash"), same & fits).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, partitions: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text) to doc_id and the distinct hashes of its shingles."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for ids, texts in small_slices(batch):
+                sets = []
+                for text in texts:
+                    words = text.encode("utf-8").lower().split()
+                    parts = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+                    sets.append(np.fromiter({xxhash.xxh64_intdigest(p, 42) for p in parts}, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def similar_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of linked fingerprints (u, v), those whose texts of smallest id share at least this part of their shingles."""
+    pairs = checkpointed(pairs)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "least"), "fp")
+    sets = shingle_sets(docs.join(ends.select(F.col("least").alias("doc_id")), "doc_id", "left_semi"), shingle)
+    sets = ends.join(sets, F.col("least") == F.col("doc_id")).select("fp", "shingles").dropDuplicates(["fp"])
+    of = lambda side: sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    shared = pairs.join(of("u"), "u").join(of("v"), "v")
+    return shared.filter(both >= least * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 4, max_bits: int = 4, partitions: int = 3, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None
+) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest id of its connected fingerprints).
 
+    With min_similarity, a link also needs texts that share at least that part of their distinct shingles.
+
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
     is no component's smallest unless all its ids are null. An empty table gives an empty result.
     """
     rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(classes.select("fp"), max_bits, partitions))
+    pairs = links(classes.select("fp"), max_bits, partitions)
+    if min_similarity is not None:
+        pairs = similar_links(pairs, classes, id_and_text(docs, id_col, text_col), shingle, min_similarity)
+    roots = components(pairs)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = checkpointed(rooted.join(named, "root").select("fp", "n", "component_id"))

@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; run() writes that as Parquet in the cluster's
-shared folder and the next stage reads it from there.
+shared folder and the next stage reads it from there. Rows that share an id are one document: a stage keeps or drops
+them together. A document with a null text is dropped by the first stage, as one without a letter.
 """
 
 from __future__ import annotations
@@ -9,27 +10,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantata.llm import exact_dedup
-from cantata.llm.common import shared_path
+from cantata.llm import exact_dedup, langid, packing, simhash, toxicity
+from cantata.llm.common import read, shared_path, tokenizer_file
 
+#: Toxicity scores from here on are rejected.
+TOXIC_FROM = 0.3
+#: The pipeline's near duplicates: shingles of five words, fingerprints within seven bits, four fifths of the shingles.
+SHINGLE, NEAR_BITS, GROUPS, SIMILAR = 5, 7, 4, 0.8
 
-def _without(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """The rows of docs whose id the verdict (doc_id, keep) keeps."""
-    kept = verdict.filter(keep).select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the ids that are rejected."""
+    gone = rejected.select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter, and those of which no language's filter has a quarter of the n-grams."""
+    found = langid.identify(docs, langid.fit_on_training_part(docs))
+    return _without(docs, found.filter("lang_pred = 'und' OR coverage < 0.25"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_on_training_part(docs, read(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.score(docs, model).filter(F.col("score") >= TOXIC_FROM))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_duplicates(docs), "kept")
+    return _without(docs, exact_dedup.exact_duplicates(docs).filter("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    found = simhash.near_duplicates(docs, SHINGLE, NEAR_BITS, GROUPS, min_similarity=SIMILAR)
+    return _without(docs, found.filter("NOT doc_id <=> component_id"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 2048, end_id=1)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
 
+#: Learned models and tokenisation are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
