@@ -38,12 +38,12 @@ def album_page(t):
 
 
 @query("""
-SELECT nation, sum(n) AS n, max(source) AS last_source FROM (
+SELECT nation, CAST(sum(n) AS BIGINT) AS n, max(source) AS last_source FROM (
   SELECT c_nationkey AS nation, count(*) AS n, 'customer' AS source FROM customer GROUP BY 1
   UNION ALL SELECT s_nationkey, count(*), 'supplier' FROM supplier GROUP BY 1) GROUP BY 1""")
 def artist_page_merged(t):
     parts = t.customer.select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("source")).unionByName(t.supplier.select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("source")))
-    return parts.groupBy("nation").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"), F.max("source").alias("last_source"))
+    return parts.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("last_source"))
 
 
 @query("""
@@ -235,7 +235,7 @@ def latest_order(t):
 
 
 @query("""
-SELECT p_partkey, CAST(len(list_distinct(list_filter(list_transform(string_split_regex(p_name, '(?i)\\s*[,;&]\\s*|\\s+(?:x|feat\\.?|ft\\.?|featuring|with)\\s+'), x -> lower(trim(x))), x -> x <> ''))) AS INTEGER) AS n,
+SELECT p_partkey, CAST(len(list_distinct(list_filter(list_transform(string_split_regex(p_name, '(?i)\\s*[,;&]\\s*|\\s+(?:x|feat\\.?|ft\\.?|featuring|with)\\s+'), lambda x: lower(trim(x))), lambda x: x <> ''))) AS INTEGER) AS n,
        contains(' ' || lower(p_name) || ' ', ' part ') AS has_word FROM part""".replace("\\\\", "\\"))
 def credit_split(t):
     return t.part.select("p_partkey", F.size(fn.credits(F.col("p_name"))).alias("n"), fn.contains_words(F.lower("p_name"), F.lit("part")).alias("has_word"))

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from cantata.plans import catalogue
+
+_PARTS = [catalogue.registry]
+
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
