@@ -23,12 +23,13 @@ RATES = (1 / 2, 1 / 8, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 1 / 1024)
 DRAWS = 7
 SUBSETS = DRAWS * len(RATES)
 BROADCAST_ROWS = 2_000_000
+EMPTY = 42  # xxhash64 of an empty array: its seed
 GROUP_ROWS, MAX_GROUPS = 256, 1 << 16
 _SEPARATORS = r"[\s\p{Punct}]+"
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text in lower case."""
+    """The distinct terms of a text in lower case; one at least, so explode_outer gives no row more than explode (which would split twice)."""
     return F.array_distinct(F.split(F.lower(text), _SEPARATORS))
 
 
@@ -48,7 +49,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, text) to the terms in the band, with their membership: term, member."""
     n = docs.count()
     least, most = max(2, -int(-low * n // 1)), max(2.0, high * n)
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.filter((F.col("term") != "") & F.col("df").between(least, most))
     return checkpointed(band.select("term", _membership(F.col("term")).alias("member")))
 
@@ -70,13 +71,17 @@ def fingerprint(texts: DataFrame, words: DataFrame) -> DataFrame:
     """
     keys = [c for c in texts.columns if c != "text"]
     split = texts.select(*keys, terms(F.col("text")).alias("all"))
-    rows = split.select(*keys, F.xxhash64(F.sort_array("all")).alias("whole"), F.posexplode("all").alias("at", "term"))
+    # the hash has a projection of its own: beside the explode it would be taken once for each term
+    split = split.select(*keys, "all", F.xxhash64(F.sort_array("all")).alias("whole"))
+    rows = split.select(*keys, "whole", F.posexplode_outer("all").alias("at", "term"))
     joined = rows.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "term", "left").filter("member IS NOT NULL OR at = 0")
-    mine = [F.collect_list(F.when(F.getbit("member", F.lit(j)) == 1, F.col("term"))).alias(f"s{j}") for j in range(SUBSETS)]
-    kept = joined.groupBy(*keys, "whole").agg(F.count("member").alias("kept"), *mine)
-    hashes = [F.when(F.size(f"s{j}") > 0, F.xxhash64(F.sort_array(f"s{j}"))).otherwise(F.lit(0).cast("long")) for j in range(SUBSETS)]
+    own = F.sort_array(F.collect_list(F.when(F.col("member").isNotNull(), F.struct("term", "member"))))
+    kept = joined.groupBy(*keys, "whole").agg(own.alias("kept"))
+    subset = lambda j: F.filter("kept", lambda t: F.getbit(t["member"], j) == 1)
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.xxhash64(subset(j)))
+    hashes = F.transform(hashes, lambda h: F.when(h == EMPTY, F.lit(0).cast("long")).otherwise(h))
     fallback = F.array_repeat(F.col("whole"), SUBSETS)
-    return kept.select(*keys, F.when(F.col("kept") > 0, F.array(*hashes)).otherwise(fallback).alias("fp"))
+    return kept.select(*keys, F.when(F.size("kept") > 0, hashes).otherwise(fallback).alias("fp"))
 
 
 def as_text(fp: Column) -> Column:
