@@ -25,7 +25,8 @@ def sessions(events: DataFrame, key: str, at: str, order: list[Column], gap_seco
     """
     w = Window.partitionBy(key).orderBy(*order)
     latest = F.max(at).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = latest.isNull() | (F.unix_micros(F.col(at)) - F.unix_micros(latest) > gap_seconds * 1_000_000)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    begins = latest.isNull() | (micros(F.col(at)) - micros(latest) > gap_seconds * 1_000_000)
     return events.withColumn("__begins", begins.cast("long")).withColumn("session", F.sum("__begins").over(w)).drop("__begins")
 
 

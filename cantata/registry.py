@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cantata.plans import catalogue
+from cantata.plans import catalogue, listening
 
-_PARTS = [catalogue.registry]
+_PARTS = [catalogue.registry, listening.registry]
 
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.queries.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.oracles.items()}
