@@ -61,8 +61,8 @@ def stabbing(points: DataFrame, intervals: DataFrame, by: str, at: str, start: s
 
 def nearest_within(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, left_id: str, right_id: str, tolerance: int) -> DataFrame:
     """Each right row with its nearest left row within the tolerance; a contested left row goes to the closest."""
-    reach = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    b = right.withColumn("__b", F.floor(F.col(right_at) / (tolerance + 1)) + reach)
+    home = F.floor(F.col(right_at) / (tolerance + 1))
+    b = right.withColumn("__b", F.explode(F.array(home - 1, home, home + 1)))
     near = left.withColumn("__b", F.floor(F.col(left_at) / (tolerance + 1))).join(b, [by, "__b"])
     near = near.withColumn("distance", F.abs(F.col(left_at) - F.col(right_at))).filter(F.col("distance") <= tolerance)
     mine = F.row_number().over(Window.partitionBy(by, right_id).orderBy("distance", left_at, left_id))

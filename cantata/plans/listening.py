@@ -164,9 +164,9 @@ def as_of_join(t):
 
 
 @query("""
-WITH p AS (SELECT event_id, user_id, epoch_ms(ts) AS at FROM events WHERE event_type = 'click'),
+WITH p AS (SELECT event_id, user_id, epoch_ms(ts) AS moment FROM events WHERE event_type = 'click'),
 i AS (SELECT event_id AS span_id, user_id, epoch_ms(ts) AS a, epoch_ms(ts) + 7200000 AS b FROM events WHERE event_type = 'signup')
-SELECT p.event_id, i.span_id FROM p JOIN i ON p.user_id = i.user_id AND a <= at AND at < b""")
+SELECT p.event_id, i.span_id FROM p JOIN i ON p.user_id = i.user_id AND a <= moment AND moment < b""")
 def interval_join(t):
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     points = t.events.filter("event_type = 'click'").select("event_id", "user_id", at.alias("at"))
