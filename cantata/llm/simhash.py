@@ -7,7 +7,9 @@ from the fingerprints' bits and from how many share each group's value. Every fi
 value in each group and probed with all values within the threshold; a pair is verified in the join itself and
 taken in the first group that finds it, so only links come out, each once.
 
-Equal fingerprints are one node, so copies are never paired with each other.
+Equal fingerprints are one node, so copies are never paired with each other. Nor are the members of a large group
+of near copies: first each is tied to a few heads of the buckets it is in, and the search then looks only for links
+between what those ties leave apart.
 """
 
 from __future__ import annotations
@@ -141,25 +143,49 @@ def plan(fps: DataFrame, max_bits: int, partitions: int) -> list[tuple[int, list
     return [(_mask(b), b, t) for b, t in zip(groups, thresholds, strict=True) if t >= 0]
 
 
-def links(fps: DataFrame, max_bits: int = 4, partitions: int = 3) -> DataFrame:
-    """Distinct fingerprints (fp) to all pairs u < v that differ in max_bits bits at most, each once."""
-    searched = plan(fps, max_bits, partitions)
+def ties(fps: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """Links (u, v) of fingerprints to the heads of their buckets (equal values of a group), four at most for each."""
+    at = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for g, m in enumerate(masks)])).alias("b")).select("fp", "b.*")
+    mixed = F.xxhash64("fp")
+    heads = F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)))
+    buckets = at.groupBy("g", "value").agg(heads.alias("heads")).filter(F.size("heads") > 1)
+    tied = at.join(buckets, ["g", "value"]).select(F.col("fp").alias("u"), F.explode("heads").alias("v"))
+    return tied.filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).distinct()
+
+
+def links(nodes: DataFrame, searched: list[tuple[int, list[int], int]], max_bits: int) -> DataFrame:
+    """Distinct fingerprints (fp, root) to all pairs u < v of other roots that differ in max_bits bits at most, each once."""
     index = probes = None
     for g, (mask, bits, threshold) in enumerate(searched):
         value = F.col("fp").bitwiseAND(F.lit(mask))
         changes = [_mask(list(c)) for d in range(threshold + 1) for c in combinations(bits, d)]
-        at = fps.select(F.lit(g).alias("g"), value.alias("value"), F.col("fp").alias("v"))
-        near = fps.select(F.lit(g).alias("g"), value.alias("value"), F.col("fp").alias("u"), F.explode(F.array(*map(F.lit, changes))).alias("change"))
-        near = near.select("g", F.col("value").bitwiseXOR(F.col("change")).alias("value"), "u")
+        at = nodes.select(F.lit(g).alias("g"), value.alias("value"), F.col("fp").alias("v"), F.col("root").alias("rv"))
+        near = nodes.select(F.lit(g).alias("g"), value.alias("value"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.explode(F.array(*map(F.lit, changes))).alias("change"))
+        near = near.select("g", F.col("value").bitwiseXOR(F.col("change")).alias("value"), "u", "ru")
         index, probes = (at, near) if index is None else (index.union(at), probes.union(near))
     change = F.col("u").bitwiseXOR(F.col("v"))
-    fits = (F.col("u") < F.col("v")) & (F.bit_count(change) <= max_bits)
+    fits = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.bit_count(change) <= max_bits)
     for g, (mask, _, threshold) in enumerate(searched[:-1]):
         fits &= (F.col("p.g") <= g) | (F.bit_count(change.bitwiseAND(F.lit(mask))) > threshold)
     same = (F.col("p.g") == F.col("i.g")) & (F.col("p.value") == F.col("i.value"))
     return probes.alias("p").join(index.alias("i").hint("shuffle_hash"), same & fits).select("u", "v")
 
 
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (fp, root) after the roots that edges (u, v) connect have become one."""
+    of = lambda end: nodes.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"))
+    joined = components(edges.join(of("u"), "u").join(of("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()).withColumnRenamed("root", "top")
+    return checkpointed(nodes.join(joined, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("top", "root").alias("root")))
+
+
+def connect(fps: DataFrame, max_bits: int, partitions: int, verified=lambda pairs: pairs) -> DataFrame:
+    """Distinct fingerprints (fp) to (fp, root): one root for those that links connect; verified drops unfit links."""
+    searched = plan(fps, max_bits, partitions)
+    nodes = fps.select("fp", F.col("fp").alias("root"))
+    nodes = _rooted(nodes, verified(ties(fps, [m for m, _, _ in searched], max_bits)))
+    return _rooted(nodes, verified(links(nodes, searched, max_bits)))
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text) to doc_id and the distinct hashes of its shingles."""
 
@@ -202,11 +228,10 @@ def near_duplicates(
     """
     rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    pairs = links(classes.select("fp"), max_bits, partitions)
+    verified = lambda pairs: pairs
     if min_similarity is not None:
-        pairs = similar_links(pairs, classes, id_and_text(docs, id_col, text_col), shingle, min_similarity)
-    roots = components(pairs)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+        verified = lambda pairs: similar_links(pairs, classes, id_and_text(docs, id_col, text_col), shingle, min_similarity)
+    rooted = classes.join(connect(classes.select("fp"), max_bits, partitions, verified), "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = checkpointed(rooted.join(named, "root").select("fp", "n", "component_id"))
     # a fingerprint with over a thousandth of all rows: there are fewer than 1000 of those, so they can be broadcast
