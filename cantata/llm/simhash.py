@@ -178,12 +178,17 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(nodes.join(joined, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("top", "root").alias("root")))
 
 
-def connect(fps: DataFrame, max_bits: int, partitions: int, verified=lambda pairs: pairs) -> DataFrame:
-    """Distinct fingerprints (fp) to (fp, root): one root for those that links connect; verified drops unfit links."""
+def connect(fps: DataFrame, max_bits: int, partitions: int, verified=None) -> DataFrame:
+    """Distinct fingerprints (fp) to (fp, root): one root for those that links connect.
+
+    verified drops unfit links. With it no ties are made first: heads that fail it would tie nothing.
+    """
     searched = plan(fps, max_bits, partitions)
     nodes = fps.select("fp", F.col("fp").alias("root"))
-    nodes = _rooted(nodes, verified(ties(fps, [m for m, _, _ in searched], max_bits)))
-    return _rooted(nodes, verified(links(nodes, searched, max_bits)))
+    if verified is None:
+        nodes = _rooted(nodes, ties(fps, [m for m, _, _ in searched], max_bits))
+    found = links(nodes, searched, max_bits)
+    return _rooted(nodes, verified(found) if verified else found)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -221,14 +226,15 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest id of its connected fingerprints).
 
-    With min_similarity, a link also needs texts that share at least that part of their distinct shingles.
+    With min_similarity, a link also needs texts that share at least that part of their distinct shingles; the pairs
+    that are looked at so grow with the square of a group of near copies.
 
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
     is no component's smallest unless all its ids are null. An empty table gives an empty result.
     """
     rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    verified = lambda pairs: pairs
+    verified = None
     if min_similarity is not None:
         verified = lambda pairs: similar_links(pairs, classes, id_and_text(docs, id_col, text_col), shingle, min_similarity)
     rooted = classes.join(connect(classes.select("fp"), max_bits, partitions, verified), "fp")
