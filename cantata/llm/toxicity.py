@@ -158,6 +158,8 @@ def fit(
     if not parts[0] or not names:
         return ToxicityModel({}, math.log(prior / (1 - prior)))
     weights, bias = fit_nnpu(parts[0], parts[1], len(names), prior)
+    # a text without any feature scores no more than the prior: on few examples the risk leaves the bias loose
+    bias = min(bias, math.log(prior / (1 - prior)))
     return ToxicityModel({f: float(x) for f, x in zip(names, weights, strict=True)}, bias)
 
 
