@@ -19,6 +19,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def row_key():
+    """A key of (doc_id, text) as id_and_text gives them: rows that repeat both are one document."""
+    return F.xxhash64("doc_id", "text")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is set (local tests), set one."""
     sc = spark.sparkContext

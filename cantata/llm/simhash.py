@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import checkpointed, id_and_text
+from cantata.llm import similarity
+from cantata.llm.common import checkpointed, id_and_text, row_key
 from cantata.llm.graph import components
 from cantata.llm.pretokens import small_slices
+from cantata.llm.similarity import shingle_hashes
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -34,20 +36,17 @@ ROW_COST = 10.0
 
 def fingerprint(text: str, shingle: int) -> int:
     """The SimHash of a text as a signed 64-bit number."""
-    import xxhash
+    return fingerprint_of(text, shingle_hashes(text, shingle))
 
-    words = text.encode("utf-8").lower().split()  # of bytes: only A-Z, and ASCII white space
-    if not words:
+
+def fingerprint_of(text: str, hashes: np.ndarray) -> int:
+    """The SimHash of a text with these shingles."""
+    if not text.encode("utf-8").split():
         return 0
-    joined, total = b" ".join(words), max(1, len(words) - shingle + 1)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[:total].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
-    for i in range(0, total, _CHUNK):
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK], strict=True)), dtype=np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,47 +177,12 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(nodes.join(joined, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("top", "root").alias("root")))
 
 
-def connect(fps: DataFrame, max_bits: int, partitions: int, verified=None) -> DataFrame:
-    """Distinct fingerprints (fp) to (fp, root): one root for those that links connect.
-
-    verified drops unfit links. With it no ties are made first: heads that fail it would tie nothing.
-    """
+def connect(fps: DataFrame, max_bits: int, partitions: int) -> DataFrame:
+    """Distinct fingerprints (fp) to (fp, root): one root for those that links connect."""
     searched = plan(fps, max_bits, partitions)
     nodes = fps.select("fp", F.col("fp").alias("root"))
-    if verified is None:
-        nodes = _rooted(nodes, ties(fps, [m for m, _, _ in searched], max_bits))
-    found = links(nodes, searched, max_bits)
-    return _rooted(nodes, verified(found) if verified else found)
-
-
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text) to doc_id and the distinct hashes of its shingles."""
-
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            for ids, texts in small_slices(batch):
-                sets = []
-                for text in texts:
-                    words = text.encode("utf-8").lower().split()
-                    parts = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-                    sets.append(np.fromiter({xxhash.xxh64_intdigest(p, 42) for p in parts}, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def similar_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of linked fingerprints (u, v), those whose texts of smallest id share at least this part of their shingles."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes.select("fp", "least"), "fp")
-    sets = shingle_sets(docs.join(ends.select(F.col("least").alias("doc_id")), "doc_id", "left_semi"), shingle)
-    sets = ends.join(sets, F.col("least") == F.col("doc_id")).select("fp", "shingles").dropDuplicates(["fp"])
-    of = lambda side: sets.select(F.col("fp").alias(side), F.col("shingles").alias(f"of_{side}"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    shared = pairs.join(of("u"), "u").join(of("v"), "v")
-    return shared.filter(both >= least * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
+    nodes = _rooted(nodes, ties(fps, [m for m, _, _ in searched], max_bits))
+    return _rooted(nodes, links(nodes, searched, max_bits))
 
 
 def near_duplicates(
@@ -226,24 +190,31 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest id of its connected fingerprints).
 
-    With min_similarity, a link also needs texts that share at least that part of their distinct shingles; the pairs
-    that are looked at so grow with the square of a group of near copies.
+    With min_similarity not the bits decide, but the texts: all those that share at least that part of their distinct
+    shingles are linked, whatever their fingerprints, and no others; row (see row_key) is added. In a group of texts
+    that are nearly, but not quite, that similar the pairs that are looked at grow with the square of its size.
 
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
     is no component's smallest unless all its ids are null. An empty table gives an empty result.
     """
-    rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    verified = None
-    if min_similarity is not None:
-        verified = lambda pairs: similar_links(pairs, classes, id_and_text(docs, id_col, text_col), shingle, min_similarity)
-    rooted = classes.join(connect(classes.select("fp"), max_bits, partitions, verified), "fp")
+    if min_similarity is None:
+        key, columns = "fp", ["doc_id", "fp"]
+        rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+        classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+        rooted = classes.join(connect(classes.select("fp"), max_bits, partitions), "fp")
+    else:
+        key, columns = "node", ["doc_id", "fp", "row"]
+        texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key())
+        rows = checkpointed(similarity.prefixes(texts, shingle, min_similarity, fingerprint_of))
+        classes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+        joined = similarity.connect(classes, texts, shingle, min_similarity)
+        rooted = classes.select("node", "least", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = checkpointed(rooted.join(named, "root").select("fp", "n", "component_id"))
-    # a fingerprint with over a thousandth of all rows: there are fewer than 1000 of those, so they can be broadcast
+    labels = checkpointed(rooted.join(named, "root").select(key, "n", "component_id"))
+    # a class with over a thousandth of all rows: there are fewer than 1000 of those, so they can be broadcast
     total = rows.count()
-    hot = labels.filter(F.col("n") * 1000 > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
-    marked = rows.join(F.broadcast(hot), "fp", "left")
-    done = marked.filter("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-    rest = marked.filter("is_hot IS NULL").select("doc_id", "fp").join(labels.filter(F.col("n") * 1000 <= total), "fp")
-    return done.unionByName(rest.select("doc_id", "fp", "component_id"))
+    hot = labels.filter(F.col("n") * 1000 > total).select(key, F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    marked = rows.select(*dict.fromkeys([*columns, key])).join(F.broadcast(hot), key, "left")
+    done = marked.filter("is_hot").select(*columns, F.col("hot_id").alias("component_id"))
+    rest = marked.filter("is_hot IS NULL").drop("hot_id", "is_hot").join(labels.filter(F.col("n") * 1000 <= total), key)
+    return done.unionByName(rest.select(*columns, "component_id"))

@@ -15,8 +15,8 @@ from cantata.llm.common import read, shared_path, tokenizer_file
 
 #: Toxicity scores from here on are rejected.
 TOXIC_FROM = 0.3
-#: The pipeline's near duplicates: shingles of five words, fingerprints within seven bits, four fifths of the shingles.
-SHINGLE, NEAR_BITS, GROUPS, SIMILAR = 5, 7, 4, 0.8
+#: The pipeline's near duplicates: shingles of five words, four fifths of them shared.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs, SHINGLE, NEAR_BITS, GROUPS, min_similarity=SIMILAR)
+    found = simhash.near_duplicates(docs, SHINGLE, min_similarity=SIMILAR)
     return _without(docs, found.filter("NOT doc_id <=> component_id"))
 
 

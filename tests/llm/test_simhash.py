@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cantata.llm import simhash
 from tests.differential import DATA
 
@@ -73,3 +74,75 @@ def test_similarity_is_verified(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))], "doc_id long, text string")
     found = simhash.near_duplicates(docs, 5, 12, 4, min_similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
+
+
+def shingle_set(text, shingle=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def plain_similar(rows, least=0.8):
+    """rows: (doc_id, text), to the pairs of positions that are that similar and the component ids, by looking at all pairs."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((j, i))
+                root[find(i)] = find(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        smallest[find(i)] = min(d, smallest.get(find(i), d))
+    return pairs, {d: smallest[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def edited(rng, words, edits):
+    """words with this many changed, far enough apart that each changes five shingles."""
+    out = list(words)
+    for k in rng.choice(len(words) // 6, edits, replace=False):
+        out[int(k) * 6] = f"new{rng.integers(1 << 30)}"
+    return out
+
+
+def planted():
+    """A text and copies of it at about 0.80 to 0.95, from 40 to 400 words, with a line that half the texts have."""
+    rng, rows = np.random.default_rng(11), []
+    line = "this very common line is a part of every second text here".split()
+    for base in range(60):
+        size = int(rng.choice([40, 50, 100, 200, 400]))
+        words = [f"w{rng.integers(20000)}" for _ in range(size)] + line * (base % 2)
+        rows.append(words)
+        for similarity in (0.75, 0.8, 0.85, 0.9, 0.95):
+            edits = round(size * (1 - similarity) / (1 + similarity) / 5)
+            rows.append(edited(rng, words, edits) if edits else [*words, f"end{base}", f"x{similarity}"])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_all_similar_pairs_are_found(spark):
+    rows = planted()
+    pairs, want = plain_similar(rows)
+    assert len(pairs) > 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, min_similarity=0.8).collect()}
+    assert sum(found[rows[i][0]] == found[rows[j][0]] for i, j in pairs) == len(pairs)
+    assert found == want
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(want.values())
+
+
+def test_large_groups_are_found_whole(spark):
+    rng, rows = np.random.default_rng(3), []
+    for edits in (2, 5, 7):  # of one text: well above 0.8 to each other, about 0.8, and mostly below
+        words = [f"g{edits}w{i}" for i in range(200)]
+        rows += [" ".join(edited(rng, words, edits)) for _ in range(100)]
+    rows = [(1000 - i, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, min_similarity=0.8).collect()}
+    assert found == plain_similar(rows)[1]
