@@ -146,3 +146,14 @@ def test_large_groups_are_found_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, min_similarity=0.8).collect()}
     assert found == plain_similar(rows)[1]
+
+
+def test_equal_fingerprints_are_compared(spark):
+    line = "one line that a page repeats over and over without end"
+    body = lambda n: " ".join(f"p{n}w{i}" for i in range(60))
+    near = body(3).replace("p3w30", "changed")
+    rows = [(1, f"{(line + ' ') * 400}{body(1)}"), (2, f"{(line + ' ') * 400}{body(2)}"), (3, f"{(line + ' ') * 400}{body(3)}"), (4, f"{(line + ' ') * 400}{near}"), (5, f"{(line + ' ') * 300}{near}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs, 5, 7, 4, min_similarity=0.8).collect()
+    assert len({r["fp"] for r in found}) == 1
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3} == plain_similar(rows)[1]
