@@ -19,9 +19,9 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def row_key():
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """A key of (doc_id, text) as id_and_text gives them: rows that repeat both are one document."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantata.llm.common import id_and_text
+from cantata.llm.common import id_and_text, row_key
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 SALTS = 64
@@ -31,11 +31,12 @@ def _precedence() -> Column:
     return F.expr("CAST(n_chars AS DECIMAL(38,0)) * 18446744073709551616BD - CAST(coalesce(doc_id, 9223372036854775807) AS DECIMAL(38,0))")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, with_row: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty; empty and blank texts are one group. Rows that repeat both id and text are the
     same document: each counts in group_size and they share ``kept``. An empty table gives an empty result.
+    with_row adds row (see row_key), and of texts of equal precedence (one id, or none, and one length) keeps one only.
     """
     if not 1 <= salts <= 64:
         raise ValueError("salts must be within 1 and 64")
@@ -46,10 +47,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.length("text").cast("long").alias("n_chars"),
             F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
             normalised(F.col("text")).alias("content"),
+            *([row_key().alias("row")] if with_row else []),
         )
         .withColumn("digest", F.sha2("content", 256))
         .withColumn("precedence", _precedence())
     )
+    if with_row:  # below 2^95 before, so that 31 bits more fit
+        rows = rows.withColumn("precedence", F.expr("CAST(precedence * 2147483648BD + (row & 2147483647L) AS DECIMAL(38,0))"))
+    row = ["row"] if with_row else []
     salted = rows.groupBy("digest", "salt", "content").agg(
         F.max_by("doc_id", "precedence").alias("keep_id"), F.max("precedence").alias("best"), F.count(F.lit(1)).alias("n")
     )
@@ -75,9 +80,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "best",
     )
     return (
-        rows.select("doc_id", "digest", "salt", "precedence")
+        rows.select("doc_id", "digest", "salt", "precedence", *row)
         .join(places, ["digest", "salt"])
         .select(
-            "doc_id", "keep_id", "group_size", (F.col("precedence") == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256")
+            "doc_id", "keep_id", "group_size", (F.col("precedence") == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256"), *row
         )
     )

@@ -191,30 +191,34 @@ def near_duplicates(
     """One row for each row of docs: doc_id, fp, component_id (the smallest id of its connected fingerprints).
 
     With min_similarity not the bits decide, but the texts: all those that share at least that part of their distinct
-    shingles are linked, whatever their fingerprints, and no others; row (see row_key) is added. In a group of texts
-    that are nearly, but not quite, that similar the pairs that are looked at grow with the square of its size.
+    shingles are linked, whatever their fingerprints, and no others. row (see row_key) and component_row are added, the
+    row of the component's smallest id. In a group of texts that are nearly, but not quite, that similar the pairs that
+    are looked at grow with the square of its size.
 
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
     is no component's smallest unless all its ids are null. An empty table gives an empty result.
     """
     if min_similarity is None:
-        key, columns = "fp", ["doc_id", "fp"]
+        key, columns, found = "fp", ["doc_id", "fp"], ["component_id"]
         rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
         classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
         rooted = classes.join(connect(classes.select("fp"), max_bits, partitions), "fp")
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     else:
-        key, columns = "node", ["doc_id", "fp", "row"]
+        key, columns, found = "node", ["doc_id", "fp", "row"], ["component_id", "component_row"]
         texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key())
         rows = checkpointed(similarity.prefixes(texts, shingle, min_similarity, fingerprint_of))
-        classes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+        classes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        classes = checkpointed(classes.withColumn("least", F.col("first.doc_id")))
         joined = similarity.connect(classes, texts, shingle, min_similarity)
-        rooted = classes.select("node", "least", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = checkpointed(rooted.join(named, "root").select(key, "n", "component_id"))
+        rooted = classes.select("node", "first", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = rooted.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("component_row"))
+    labels = checkpointed(rooted.join(named, "root").select(key, "n", *found))
     # a class with over a thousandth of all rows: there are fewer than 1000 of those, so they can be broadcast
     total = rows.count()
-    hot = labels.filter(F.col("n") * 1000 > total).select(key, F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    hot = labels.filter(F.col("n") * 1000 > total).select(key, *[F.col(c).alias(f"hot_{c}") for c in found], F.lit(True).alias("is_hot"))
     marked = rows.select(*dict.fromkeys([*columns, key])).join(F.broadcast(hot), key, "left")
-    done = marked.filter("is_hot").select(*columns, F.col("hot_id").alias("component_id"))
-    rest = marked.filter("is_hot IS NULL").drop("hot_id", "is_hot").join(labels.filter(F.col("n") * 1000 <= total), key)
-    return done.unionByName(rest.select(*columns, "component_id"))
+    done = marked.filter("is_hot").select(*columns, *[F.col(f"hot_{c}").alias(c) for c in found])
+    rest = marked.filter("is_hot IS NULL").select(*dict.fromkeys([*columns, key])).join(labels.filter(F.col("n") * 1000 <= total), key)
+    return done.unionByName(rest.select(*columns, *found))

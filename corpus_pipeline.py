@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; run() writes that as Parquet in the cluster's
-shared folder and the next stage reads it from there. Rows that share an id are one document: a stage keeps or drops
-them together. A document with a null text is dropped by the first stage, as one without a letter.
+shared folder and the next stage reads it from there. A stage decides on each row by its id and text (see row_key), so
+that rows that share an id alone, or have none, are not kept or dropped together. A document with a null text is dropped
+by the first stage, as one without a letter.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantata.llm import exact_dedup, langid, packing, simhash, toxicity
-from cantata.llm.common import read, shared_path, tokenizer_file
+from cantata.llm.common import read, row_key, shared_path, tokenizer_file
 
 #: Toxicity scores from here on are rejected.
 TOXIC_FROM = 0.3
@@ -19,31 +20,39 @@ TOXIC_FROM = 0.3
 SHINGLE, SIMILAR = 5, 0.8
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the ids that are rejected."""
-    gone = rejected.select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each row as __row."""
+    return docs.withColumn("__row", row_key())
+
+
+def _without(docs: DataFrame, rejected: DataFrame, and_key: tuple[str, ...] = ()) -> DataFrame:
+    """docs but for the rows whose keys (row) are rejected."""
+    gone = rejected.select(F.col("row").alias("__row"))
+    return _keyed(docs).join(gone, "__row", "left_anti").select(*docs.columns, *and_key)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those of which no language's filter has a quarter of the n-grams."""
-    found = langid.identify(docs, langid.fit_on_training_part(docs))
-    return _without(docs, found.filter("lang_pred = 'und' OR coverage < 0.25"))
+    found = langid.identify(_keyed(docs), langid.fit_on_training_part(docs), id_col="__row")
+    return _without(docs, found.filter("lang_pred = 'und' OR coverage < 0.25").withColumnRenamed("doc_id", "row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_on_training_part(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).filter(F.col("score") >= TOXIC_FROM))
+    found = toxicity.score(_keyed(docs), model, id_col="__row")
+    return _without(docs, found.filter(F.col("score") >= TOXIC_FROM).withColumnRenamed("doc_id", "row"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_duplicates(docs).filter("NOT kept"))
+    """Of each group of copies one row stays."""
+    left = _without(docs, exact_dedup.exact_duplicates(docs, with_row=True).filter("NOT kept"), ("__row",))
+    return left.dropDuplicates(["__row", "doc_id", "text"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays (of texts that share it, one)."""
     found = simhash.near_duplicates(docs, SHINGLE, min_similarity=SIMILAR)
-    return _without(docs, found.filter("NOT doc_id <=> component_id"))
+    return _without(docs, found.filter("row <> component_row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,3 +107,26 @@ def test_pipeline_stages_keep_what_they_should(spark):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 100 and "sequence_id" in rows.columns
+
+
+def test_stages_decide_on_each_row(spark):
+    """Rows without an id, or that share one, are kept or dropped by their own texts."""
+    long = lambda n: " ".join(f"{'abcdefgh'[n]}word{i}" for i in range(60))
+    texts = lambda rows: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in rows)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+
+    copies = make([(None, "a b"), (None, "ab"), (None, "a  b"), (None, "b  a"), (None, "b a "), (None, "c"), (None, "c"), (7, "d"), (7, "e"), (8, "d ")])
+    kept = texts(corpus_pipeline.drop_exact_copies(spark, copies, "").collect())
+    assert [k for k in kept if "b" not in k[1]] == [(-1, "c"), (7, "e"), (8, "d ")]
+    assert sorted(t.replace(" ", "") for _, t in kept if "b" in t) == ["ab", "ba"] and (-1, "a  b") in kept
+
+    near = make([(None, long(0)), (None, long(0) + " end"), (None, long(1)), (7, long(2)), (7, long(2) + " end"), (7, long(3)), (8, long(3) + " end"), (None, long(3) + " stop")])
+    kept = texts(corpus_pipeline.drop_near_copies(spark, near, "").collect())
+    assert (7, long(3)) in kept and (-1, long(1)) in kept
+    assert sorted(t[:1] for _, t in kept) == ["a", "b", "c", "d"]
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    no_id = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    whole = make([(None, "12 34")]).withColumn("lang", F.lit("en"))
+    kept = corpus_pipeline.keep_known_languages(spark, no_id.select("doc_id", "text", "lang").union(whole), f"{DATA}/sf0.01")
+    assert kept.filter("doc_id IS NULL").count() > 100 and kept.filter("text = '12 34'").count() == 0
