@@ -209,8 +209,8 @@ def near_duplicates(
         texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key())
         rows = checkpointed(similarity.prefixes(texts, shingle, min_similarity, fingerprint_of))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-        classes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        classes = checkpointed(classes.withColumn("least", F.col("first.doc_id")))
+        classes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "counts", "prefix")])
+        classes = checkpointed(classes)
         joined = similarity.connect(classes, texts, shingle, min_similarity)
         rooted = classes.select("node", "first", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = rooted.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("component_row"))

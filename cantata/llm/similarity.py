@@ -3,7 +3,8 @@
 Of two sets of that similarity, ordered alike, the first few shingles always have one in common (prefix filter). Any
 order will do, so that no pair is missed; shingles common in a sample of the texts come last, which keeps the groups
 small. Texts with the same set of shingles are one node. The members of a large group are first compared with a few
-heads of it, and the search then looks only for links between what those ties leave apart. Sets decide every link.
+heads of it, and the search then looks only for links between what those ties leave apart. Counts of the shingles by
+some bits of their hashes bound what two sets can share; the sets themselves decide on the pairs that this leaves.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from cantata.llm.pretokens import small_slices
 SAMPLED, COMMON = 4000, 50_000
 #: Groups of one shingle above this are tied to heads first; those above the other are searched in parts.
 TIED_FROM, PART = 8, 2000
+#: Bits of the bitmap by which rows whose sets aren't needed are passed over (most of them).
+_BITMAP = 1 << 23
 _MIX = 0x5DEECE66D1234567
 
 
@@ -46,6 +49,13 @@ def _node(distinct: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63)
 
 
+def _counts(distinct: np.ndarray) -> np.ndarray:
+    """How many shingles end in each value of some bits: two to four of them a value."""
+    slots = 1 << max(3, (len(distinct) // 2).bit_length() - 1)
+    counts = np.bincount((distinct & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return counts.astype(np.int32)
+
+
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles found most often in a sample, by hash, each with its place from the rarest (1) on."""
 
@@ -64,14 +74,14 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFrame:
-    """(row, doc_id, text) to row, doc_id, fp, node, size and prefix: the shingles of which one is always shared."""
+    """(row, doc_id, text) to row, doc_id, fp, node, size, counts and prefix: the shingles of which one is always shared."""
     shipped = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
         common, places = shipped.value
         for batch in batches:
             for rows, ids, texts in small_slices(batch, column=2):
-                fps, nodes, sizes, firsts = [], [], [], []
+                fps, nodes, sizes, counts, firsts = [], [], [], [], []
                 for text in texts:
                     h = shingle_hashes(text, shingle)
                     s = np.unique(h)
@@ -82,31 +92,50 @@ def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFr
                     fps.append(fingerprint(text, h))
                     nodes.append(_node(s))
                     sizes.append(len(s))
+                    counts.append(_counts(s))
                     firsts.append(s[order[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]].view(np.int64))
-                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "prefix"])
+                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(sizes, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "counts", "prefix"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, node long, size int, prefix array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, node long, size int, counts array<int>, prefix array<long>")
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(text) to node and its distinct shingles."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(row, text) to node and its distinct shingles, for all rows that wanted (row) has and few others."""
+    place = F.pmod("row", F.lit(_BITMAP))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(row, {_BITMAP}) % 64 AS INT))")).alias("bits"))
+    bitmap = np.zeros(_BITMAP // 64, dtype=np.int64)
+    for r in words.collect():  # 131072 at most
+        bitmap[r["word"]] = r["bits"]
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def run(batches):
         for batch in batches:
-            for (part,) in small_slices(batch, column=0):
+            at = batch.column(0).to_numpy(zero_copy_only=False) % _BITMAP
+            found = shipped.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            for _, part in small_slices(batch.filter(pa.array(found.astype(bool)))):
                 sets = [np.unique(shingle_hashes(text, shingle)) for text in part]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "node long, shingles array<long>")
+
 
-    return texts.select("text").mapInArrow(run, "node long, shingles array<long>")
+def _may_share() -> str:
+    """The most that sets of counts_u and counts_v share; the longer counts are folded, being twice as long at most."""
+    fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (a, b) -> a + b)"
+    u, v = (f"IF(size({a}) > size({b}), {fold.format(a)}, {a})" for a, b in (("counts_u", "counts_v"), ("counts_v", "counts_u")))
+    return f"aggregate(zip_with({u}, {v}, (a, b) -> least(a, b)), 0, (sum, x) -> sum + x)"
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Of pairs (u, v) of nodes, those that share at least this part of their shingles."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-    texts = docs.join(ends, docs["doc_id"].eqNullSafe(ends["least"]), "left_semi")
-    sets = shingle_sets(texts, shingle).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("counts").alias(f"counts_{side}"))
+    known = pairs.join(of("u"), "u").join(of("v"), "v")
+    needed = least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-9
+    sized = (F.col("size_u") >= least * F.col("size_v") - 1e-9) & (F.col("size_v") >= least * F.col("size_u") - 1e-9)
+    pairs = checkpointed(known.filter(sized).filter(F.expr(_may_share()) >= needed).select("u", "v"))
+    ends = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("first.row").alias("row")), "node"))
+    sets = shingle_sets(docs, ends, shingle).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
     both = F.size(F.array_intersect("of_u", "of_v"))
     fits = both + 1e-9 >= least * (F.size("of_u") + F.size("of_v") - both)
@@ -148,7 +177,7 @@ def candidates(grouped: DataFrame, tied: DataFrame, least: float) -> DataFrame:
 
 
 def connect(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """nodes (node, least, size, prefix) to (node, root), root being another: what links of similar nodes connect."""
+    """nodes (node, first, size, counts, prefix) to (node, root), root being another: what links of similar nodes connect."""
     grouped = in_groups(nodes)
     strong = similar(ties(grouped), nodes, docs, shingle, least)
     tied = components(strong)
