@@ -1,9 +1,9 @@
 """SimHash near-duplicates by a generalised pigeonhole search.
 
-The 64 bits are put into ``partitions`` groups, correlated bits together. If the groups' thresholds add up to
-max_bits - partitions + 1, two fingerprints within max_bits differ in some group by no more than its threshold.
-The thresholds need not be equal, and -1 leaves a group out: dynamic programming finds those with the least work,
-from the fingerprints' bits and from how many share each group's value. Every fingerprint is then indexed by its
+The 64 bits are put into groups, correlated bits together. If the thresholds of m groups add up to max_bits - m + 1,
+two fingerprints within max_bits differ in some group by no more than its threshold. The thresholds need not be equal,
+and -1 leaves a group out: dynamic programming finds those with the least work, from the fingerprints' bits and from
+how many share each group's value, for several m, of which the one with the least work is taken. Every fingerprint is then indexed by its
 value in each group and probed with all values within the threshold; a pair is verified in the join itself and
 taken in the first group that finds it, so only links come out, each once.
 
@@ -126,20 +126,26 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def plan(fps: DataFrame, max_bits: int, partitions: int) -> list[tuple[int, list[int], int]]:
-    """(mask, bits, threshold) of each group that is searched."""
+def plan(fps: DataFrame, max_bits: int, choices: tuple[int, ...]) -> list[tuple[int, list[int], int]]:
+    """(mask, bits, threshold) of each group that is searched: of these numbers of groups, the one with the least work."""
     n, together = _together(fps)
-    groups = group_bits(n, together, partitions)
-    p, costs = np.diag(together) / max(1, n), []
-    for bits in groups:
-        shared = fps.groupBy(F.col("fp").bitwiseAND(F.lit(_mask(bits)))).count()
-        same = float(shared.agg(F.coalesce(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.lit(0.0))).first()[0])
-        chance = n * (n - 1) / 2 * float(np.prod(p[bits] ** 2 + (1 - p[bits]) ** 2))
-        pairs = expected_pairs(2 * p[bits] * (1 - p[bits]), max(same, chance), max_bits)
-        probes = np.cumsum([comb(len(bits), d) for d in range(max_bits + 1)])
-        costs.append([float(pairs[t] + ROW_COST * n * probes[t]) for t in range(max_bits + 1)])
-    thresholds = allocate(costs, max_bits - partitions + 1)
-    return [(_mask(b), b, t) for b, t in zip(groups, thresholds, strict=True) if t >= 0]
+    grouped = {m: group_bits(n, together, m) for m in choices}
+    values = [F.struct(F.lit(m).alias("m"), F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("value")) for m, groups in grouped.items() for g, bits in enumerate(groups)]
+    shared = fps.select(F.inline(F.array(*values))).groupBy("m", "g", "value").count().groupBy("m", "g").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("same"))
+    same = {(r["m"], r["g"]): r["same"] for r in shared.collect()}  # one number a group
+    p, best = np.diag(together) / max(1, n), None
+    for m, groups in grouped.items():
+        costs = []
+        for g, bits in enumerate(groups):
+            chance = n * (n - 1) / 2 * float(np.prod(p[bits] ** 2 + (1 - p[bits]) ** 2))
+            pairs = expected_pairs(2 * p[bits] * (1 - p[bits]), max(same.get((m, g), 0.0), chance), max_bits)
+            probes = np.cumsum([comb(len(bits), d) for d in range(max_bits + 1)])
+            costs.append([float(pairs[t] + ROW_COST * n * probes[t]) for t in range(max_bits + 1)])
+        thresholds = allocate(costs, max_bits - m + 1)
+        work = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
+        if best is None or work < best[0]:
+            best = work, [(_mask(b), b, t) for b, t in zip(groups, thresholds, strict=True) if t >= 0]
+    return best[1]
 
 
 def ties(fps: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
@@ -153,7 +159,10 @@ def ties(fps: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, searched: list[tuple[int, list[int], int]], max_bits: int) -> DataFrame:
-    """Distinct fingerprints (fp, root) to all pairs u < v of other roots that differ in max_bits bits at most, each once."""
+    """Distinct fingerprints (fp, root) to all pairs u < v of other roots that differ in max_bits bits at most, each once.
+
+    The join sorts, so that a bucket of many fingerprints spills instead of filling a task's memory.
+    """
     index = probes = None
     for g, (mask, bits, threshold) in enumerate(searched):
         value = F.col("fp").bitwiseAND(F.lit(mask))
@@ -167,7 +176,7 @@ def links(nodes: DataFrame, searched: list[tuple[int, list[int], int]], max_bits
     for g, (mask, _, threshold) in enumerate(searched[:-1]):
         fits &= (F.col("p.g") <= g) | (F.bit_count(change.bitwiseAND(F.lit(mask))) > threshold)
     same = (F.col("p.g") == F.col("i.g")) & (F.col("p.value") == F.col("i.value"))
-    return probes.alias("p").join(index.alias("i").hint("shuffle_hash"), same & fits).select("u", "v")
+    return probes.alias("p").join(index.alias("i").hint("merge"), same & fits).select("u", "v")
 
 
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -177,26 +186,54 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(nodes.join(joined, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("top", "root").alias("root")))
 
 
-def connect(fps: DataFrame, max_bits: int, partitions: int) -> DataFrame:
+def connect(fps: DataFrame, max_bits: int, choices: tuple[int, ...]) -> DataFrame:
     """Distinct fingerprints (fp) to (fp, root): one root for those that links connect."""
-    searched = plan(fps, max_bits, partitions)
+    searched = plan(fps, max_bits, choices)
     nodes = fps.select("fp", F.col("fp").alias("root"))
     nodes = _rooted(nodes, ties(fps, [m for m, _, _ in searched], max_bits))
     return _rooted(nodes, links(nodes, searched, max_bits))
 
 
+def connect_similar(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, max_bits: int, choices: tuple[int, ...]) -> DataFrame:
+    """Nodes (node, first, fp, size, level, sketches, rare, common) to (node, root), root being another: what links of similar nodes connect.
+
+    The nodes of one fingerprint are compared with one of them, and fingerprints within max_bits with each other; what
+    is similar, but farther apart in bits, has a rare shingle in common (see the module similarity). In both searches
+    heads come first, and then what they leave apart.
+    """
+    fps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("of")))
+    searched = plan(fps.select("fp"), max_bits, choices)
+    ends = lambda found: found.join(fps.select(F.col("fp").alias("u"), F.col("of").alias("a")), "u").join(fps.select(F.col("fp").alias("v"), F.col("of").alias("b")), "v")
+    as_nodes = lambda found: ends(found).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    equal = nodes.select("node", "fp").join(fps, "fp").filter("node <> of").select(F.col("of").alias("u"), F.col("node").alias("v"))
+    grouped = similarity.in_groups(nodes)
+    near = as_nodes(ties(fps.select("fp"), [m for m, _, _ in searched], max_bits))
+    strong = similarity.similar(equal.union(near).union(similarity.ties(grouped, least)).distinct(), nodes, docs, shingle, least)
+    tied = components(strong)
+    rooted = fps.join(tied, F.col("of") == F.col("node"), "left").select("fp", F.coalesce("root", "of").alias("root"))
+    near = as_nodes(links(rooted, searched, max_bits))
+    found = similarity.similar(near.union(similarity.candidates(grouped, nodes, tied, least)).distinct(), nodes, docs, shingle, least)
+    return components(strong.union(found))
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 4, max_bits: int = 4, partitions: int = 3, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None
+    docs: DataFrame,
+    shingle: int = 4,
+    max_bits: int = 4,
+    partitions: tuple[int, ...] = (2, 3, 4),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_similarity: float | None = None,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, fp, component_id (the smallest id of its connected fingerprints).
 
-    With min_similarity not the bits decide, but the texts: all those that share at least that part of their distinct
-    shingles are linked, whatever their fingerprints, and no others. row (see row_key) and component_row are added, the
-    row of the component's smallest id. In a group of texts that are nearly, but not quite, that similar the pairs that
-    are looked at grow with the square of its size.
+    partitions are the numbers of bit groups to choose from. With min_similarity not the bits decide, but the texts: all
+    those that share at least that part of their distinct shingles are linked, whatever their fingerprints, and no
+    others. row (see row_key) and component_row are added, the row of the component's smallest id.
 
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
-    is no component's smallest unless all its ids are null. An empty table gives an empty result.
+    is no component's smallest unless all its ids are null. An empty table gives an empty result. Each text is a whole
+    in its task: some 40 bytes for each of its words.
     """
     if min_similarity is None:
         key, columns, found = "fp", ["doc_id", "fp"], ["component_id"]
@@ -209,10 +246,11 @@ def near_duplicates(
         texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key())
         rows = checkpointed(similarity.prefixes(texts, shingle, min_similarity, fingerprint_of))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-        classes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "counts", "prefix")])
-        classes = checkpointed(classes)
-        joined = similarity.connect(classes, texts, shingle, min_similarity)
-        rooted = classes.select("node", "first", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = ("size", "level", "sketches", "rare", "common")
+        nodes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in kept])
+        nodes = checkpointed(nodes)
+        joined = connect_similar(nodes, texts, shingle, min_similarity, max_bits, partitions)
+        rooted = nodes.select("node", "first", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = rooted.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("component_row"))
     labels = checkpointed(rooted.join(named, "root").select(key, "n", *found))
     # a class with over a thousandth of all rows: there are fewer than 1000 of those, so they can be broadcast

@@ -2,9 +2,14 @@
 
 Of two sets of that similarity, ordered alike, the first few shingles always have one in common (prefix filter). Any
 order will do, so that no pair is missed; shingles common in a sample of the texts come last, which keeps the groups
-small. Texts with the same set of shingles are one node. The members of a large group are first compared with a few
-heads of it, and the search then looks only for links between what those ties leave apart. Counts of the shingles by
-some bits of their hashes bound what two sets can share; the sets themselves decide on the pairs that this leaves.
+small. Texts with the same set of shingles are one node.
+
+A group is the nodes that show one shingle. Its head is the node that shows it first, that is, the one with the fewest
+rarer shingles: of a family of edited copies the one nearest to what they were made from. First each node is compared
+with the heads of its groups. Then links are looked for between what those ties leave apart, and only there: each node
+that isn't tied to the head of a group is compared with that group. A sketch of each set (the parities of 512 classes of
+its shingles) is a part of that join's condition: two sketches differ in no more bits than the sets do in shingles, so
+that hardly any pair comes out of the join that isn't similar. Texts decide on what is left.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantata.llm.common import checkpointed
@@ -22,11 +27,12 @@ from cantata.llm.pretokens import small_slices
 
 #: Texts that are sampled for common shingles, and shingles that are taken for common: they set the order alone.
 SAMPLED, COMMON = 4000, 50_000
-#: Groups of one shingle above this are tied to heads first; those above the other are searched in parts.
-TIED_FROM, PART = 8, 2000
-#: Bits of the bitmap by which rows whose sets aren't needed are passed over (most of them).
+#: Nodes of one group, and pairs of one node, that go to one place.
+PART = 2000
+#: Bits of the bitmap by which rows whose texts aren't needed are passed over (most of them).
 _BITMAP = 1 << 23
-_MIX = 0x5DEECE66D1234567
+#: Longs of a sketch, and shingles that it is made from at most; of larger sets it takes a part, by hash.
+_LONGS, _SKETCHED = 8, 640
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -49,11 +55,16 @@ def _node(distinct: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63)
 
 
-def _counts(distinct: np.ndarray) -> np.ndarray:
-    """How many shingles end in each value of some bits: two to four of them a value."""
-    slots = 1 << max(3, (len(distinct) // 2).bit_length() - 1)
-    counts = np.bincount((distinct & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-    return counts.astype(np.int32)
+def level(size: int) -> int:
+    """One in 2**level of a set's shingles goes into its sketch; sets of similar size are one level apart at most."""
+    return max(0, math.ceil(math.log2(size / _SKETCHED)))
+
+
+def sketch(distinct: np.ndarray, at: int) -> np.ndarray:
+    """The parities of 512 classes of those shingles that are in the part of this level, as longs."""
+    taken = distinct[(distinct >> np.uint64(64 - at)) == 0] if at else distinct
+    odd = np.bincount((taken & np.uint64(64 * _LONGS - 1)).astype(np.int64), minlength=64 * _LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,34 +85,45 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFrame:
-    """(row, doc_id, text) to row, doc_id, fp, node, size, counts and prefix: the shingles of which one is always shared."""
+    """(row, doc_id, text) to row, doc_id, fp, node, size, level, sketches, rare and common.
+
+    The last two are the shingles of which a similar text always has one, in order. sketches has two, of the set's own
+    level and the next.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
         common, places = shipped.value
         for batch in batches:
             for rows, ids, texts in small_slices(batch, column=2):
-                fps, nodes, sizes, counts, firsts = [], [], [], [], []
+                fps, nodes, sizes, levels, sketches, rare, often = [], [], [], [], [], [], []
                 for text in texts:
                     h = shingle_hashes(text, shingle)
                     s = np.unique(h)
-                    order = np.arange(len(s))
+                    shown, at = len(s) - math.ceil(least * len(s) - 1e-9) + 1, level(len(s))
+                    place = np.zeros(len(s), np.int64)
                     if len(common):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        order = np.lexsort((s, np.where(common[at] == s, places[at], 0)))
+                        found = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        place = np.where(common[found] == s, places[found], 0)
+                    first = s[place == 0][:shown].view(np.int64)
+                    last = s[place > 0][np.argsort(place[place > 0])][: shown - len(first)].view(np.int64)
                     fps.append(fingerprint(text, h))
                     nodes.append(_node(s))
                     sizes.append(len(s))
-                    counts.append(_counts(s))
-                    firsts.append(s[order[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]].view(np.int64))
-                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(sizes, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "counts", "prefix"])
+                    levels.append(at)
+                    sketches.append(np.concatenate([sketch(s, at), sketch(s, at + 1)]))
+                    rare.append(first)
+                    often.append(last)
+                longs = pa.list_(pa.int64())
+                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(x, pa.int32()) for x in (sizes, levels)] + [pa.array(x, longs) for x in (sketches, rare, often)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "level", "sketches", "rare", "common"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, node long, size int, counts array<int>, prefix array<long>")
+    schema = "row long, doc_id long, fp long, node long, size int, level int, sketches array<long>, rare array<long>, common array<long>"
+    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(row, text) to node and its distinct shingles, for all rows that wanted (row) has and few others."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, text) of all rows that wanted (row) has, and of few others."""
     place = F.pmod("row", F.lit(_BITMAP))
     words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(row, {_BITMAP}) % 64 AS INT))")).alias("bits"))
     bitmap = np.zeros(_BITMAP // 64, dtype=np.int64)
@@ -113,73 +135,100 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False) % _BITMAP
             found = shipped.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            for _, part in small_slices(batch.filter(pa.array(found.astype(bool)))):
-                sets = [np.unique(shingle_hashes(text, shingle)) for text in part]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, sets)), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield batch.filter(pa.array(found.astype(bool)))
 
-    return docs.select("row", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("row", "text").mapInArrow(run, "row long, text string")
 
 
-def _may_share() -> str:
-    """The most that sets of counts_u and counts_v share; the longer counts are folded, being twice as long at most."""
-    fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (a, b) -> a + b)"
-    u, v = (f"IF(size({a}) > size({b}), {fold.format(a)}, {a})" for a, b in (("counts_u", "counts_v"), ("counts_v", "counts_u")))
-    return f"aggregate(zip_with({u}, {v}, (a, b) -> least(a, b)), 0, (sum, x) -> sum + x)"
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of pairs (u, v) of nodes, those whose texts share at least this part of their shingles.
 
+    A node of many pairs has its text in as many places as they fill.
+    """
+    pairs = checkpointed(pairs)
+    degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends = degrees.join(nodes.select("node", F.col("first.row").alias("row")), "node")
+    ends = checkpointed(ends.select("node", "row", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    texts = checkpointed(_texts(docs, ends).join(ends, "row").dropDuplicates(["node"]))
+    for side, other in (("u", "v"), ("v", "u")):
+        parts = ends.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"))
+        pairs = pairs.join(parts, side).withColumn(f"part_{side}", F.pmod(F.xxhash64(other), f"parts_{side}").cast("int")).drop(f"parts_{side}")
+    for side in ("u", "v"):
+        of = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{side}"))
+        pairs = pairs.join(of, [side, f"part_{side}"])
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of pairs (u, v) of nodes, those that share at least this part of their shingles."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("counts").alias(f"counts_{side}"))
-    known = pairs.join(of("u"), "u").join(of("v"), "v")
-    needed = least / (1 + least) * (F.col("size_u") + F.col("size_v")) - 1e-9
-    sized = (F.col("size_u") >= least * F.col("size_v") - 1e-9) & (F.col("size_v") >= least * F.col("size_u") - 1e-9)
-    pairs = checkpointed(known.filter(sized).filter(F.expr(_may_share()) >= needed).select("u", "v"))
-    ends = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("first.row").alias("row")), "node"))
-    sets = shingle_sets(docs, ends, shingle).join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    fits = both + 1e-9 >= least * (F.size("of_u") + F.size("of_v") - both)
-    return checkpointed(pairs.join(of("u"), "u").join(of("v"), "v").filter(fits).select("u", "v"))
+    def run(batches):
+        for batch in batches:
+            for us, vs, first, second in small_slices(batch, column=2):
+                kept, known = [], {}
+                for u, v, a, b in zip(us, vs, first, second, strict=True):
+                    for key, text in ((u, a), (v, b)):
+                        if key not in known:
+                            if len(known) >= 64:
+                                known.clear()
+                            known[key] = np.unique(shingle_hashes(text, shingle))
+                    x, y = known.get(u), known[v]
+                    x = np.unique(shingle_hashes(a, shingle)) if x is None else x
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    kept.append(both + 1e-9 >= least * (len(x) + len(y) - both))
+                at = np.flatnonzero(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)[at]), pa.array(np.array(vs, np.int64)[at])], names=["u", "v"])
+
+    return checkpointed(pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+
+
+def _with_token(rows: DataFrame, keep: Column, **aggregates: Column) -> DataFrame:
+    """rows (token, is_common, ...) with these aggregates of their token's rows, where keep holds of them.
+
+    Common tokens, which may be in any part of all texts, are no more than COMMON: theirs are broadcast.
+    """
+    named = [c.alias(name) for name, c in aggregates.items()]
+    often, rare = rows.filter("is_common"), rows.filter("NOT is_common").repartition("token")
+    of_often, of_rare = (x.groupBy("token").agg(*named).filter(keep) for x in (often, rare))
+    return often.join(F.broadcast(of_often), "token").unionByName(rare.join(of_rare.hint("shuffle_hash"), "token"))
 
 
 def in_groups(nodes: DataFrame) -> DataFrame:
-    """token, node, size, at (the token's place in the prefix), n and heads of the token's group, where n > 1."""
-    tokens = nodes.select("node", "size", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    mixed = F.col("node").bitwiseXOR(F.lit(_MIX))
-    ends = [F.min("node"), F.max("node"), F.min(mixed).bitwiseXOR(F.lit(_MIX)), F.max(mixed).bitwiseXOR(F.lit(_MIX))]
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"h{i}") for i, e in enumerate(ends)]).filter("n > 1")
-    return checkpointed(tokens.join(groups.hint("shuffle_hash"), "token"))
+    """token, is_common, node, size, at (the token's place in the prefix), n and head of the token's group, where n > 1."""
+    rare = nodes.select("node", "size", F.posexplode("rare").alias("at", "token"), F.lit(False).alias("is_common"))
+    often = nodes.select("node", "size", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token"), F.lit(True).alias("is_common"))
+    tokens = rare.unionByName(often.withColumn("at", F.col("at") + F.col("before")).drop("before"))
+    return checkpointed(_with_token(tokens, F.col("n") > 1, n=F.count(F.lit(1)), head=F.min(F.struct("at", "size", "node"))))
+
+
+def _may_be_similar(size_a: Column, at_a: Column, size_b: Column, at_b: Column, least: float) -> Column:
+    """By their sizes, and by what is left of either from a shared token on."""
+    enough = F.least(size_a - at_a, size_b - at_b) >= least / (1 + least) * (size_a + size_b) - 1e-9
+    return enough & (F.least(size_a, size_b) >= least * F.greatest(size_a, size_b) - 1e-9)
 
 
-def ties(grouped: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the nodes of large groups with the heads of their groups."""
-    tied = grouped.filter(F.col("n") > TIED_FROM).select("node", F.explode(F.array("h0", "h1", "h2", "h3")).alias("head"))
-    return tied.filter("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+def ties(grouped: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes with the heads of their groups, each once."""
+    head = F.col("head")
+    tied = grouped.filter((F.col("node") != head["node"]) & _may_be_similar(F.col("size"), F.col("at"), head["size"], head["at"], least))
+    return tied.select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
 
 
-def candidates(grouped: DataFrame, tied: DataFrame, least: float) -> DataFrame:
+def _sketches_agree(least: float) -> str:
+    """SQL for i and p: their sketches of the same level differ in no more bits than similar sets can."""
+    here = lambda x: f"slice({x}.sketches, IF({x}.level = greatest(i.level, p.level), 1, {_LONGS + 1}), {_LONGS})"
+    differ = f"aggregate(zip_with({here('i')}, {here('p')}, (a, b) -> bit_count(a ^ b)), 0, (sum, x) -> sum + x)"
+    most = f"{(1 - least) / (1 + least)} * (i.size + p.size) / shiftleft(1, greatest(i.level, p.level))"
+    # of a part of the shingles, five standard errors more
+    return f"{differ} <= {most} + 1e-9 + IF(greatest(i.level, p.level) > 0, 5 * sqrt({most}), 0)"
+
+
+def candidates(grouped: DataFrame, nodes: DataFrame, tied: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) of differently rooted nodes that share a token of their prefixes and may be similar, each once.
 
-    tied has node and root of the nodes whose root is another. The smaller set needs to show a shorter prefix.
+    tied has node and root of the nodes whose root is another.
     """
-    rooted = grouped.select("token", "node", "size", "at", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    rooted = rooted.join(apart, "token").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    shown = F.col("size") - F.ceil(2 * least / (1 + least) * F.col("size") - 1e-9) + 1
-    index = rooted.filter(F.col("at") < shown).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("i")
-    probes = rooted.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("p")
+    rooted = grouped.select("token", "is_common", "node", "size", "at", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = _with_token(rooted, F.col("a") != F.col("b"), a=F.min("root"), b=F.max("root"), main=F.min_by("root", F.struct("at", "size", "node")))
+    apart = apart.drop("a", "b").join(nodes.select("node", "level", "sketches"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    index = apart.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("i")
+    probes = apart.filter("root <> main").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("p")
     i, p = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"p.{c}"))
-    ordered = (i("size") < p("size")) | ((i("size") == p("size")) & (i("node") < p("node")))
-    rest = F.least(i("size") - i("at"), p("size") - p("at"))  # the most they share from here on
-    fits = (i("root") != p("root")) & ordered & (i("size") >= least * p("size") - 1e-9) & (rest >= least / (1 + least) * (i("size") + p("size")) - 1e-9)
+    fits = (i("root") != p("root")) & _may_be_similar(i("size"), i("at"), p("size"), p("at"), least) & F.expr(_sketches_agree(least))
     same = (i("token") == p("token")) & (i("part") == p("part"))
-    return probes.join(index.hint("shuffle_hash"), same & fits).select(i("node").alias("u"), p("node").alias("v")).distinct()
-
-
-def connect(nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """nodes (node, first, size, counts, prefix) to (node, root), root being another: what links of similar nodes connect."""
-    grouped = in_groups(nodes)
-    strong = similar(ties(grouped), nodes, docs, shingle, least)
-    tied = components(strong)
-    found = similar(candidates(grouped, tied, least), nodes, docs, shingle, least)
-    return components(strong.union(found))
+    return probes.join(index, same & fits).select(F.least(i("node"), p("node")).alias("u"), F.greatest(i("node"), p("node")).alias("v")).distinct()

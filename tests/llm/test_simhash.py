@@ -49,7 +49,7 @@ def test_dense_and_sparse_fingerprints(spark):
     base = rng.integers(0, 1 << 62, 40)
     fps = {int(b) for b in base} | {int(b) ^ int(sum(1 << int(x) for x in rng.choice(62, rng.integers(1, 6), replace=False))) for b in base for _ in range(30)}
     frame = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
-    for max_bits, partitions in ((4, 3), (7, 4)):
+    for max_bits, partitions in ((4, (3,)), (7, (4,)), (4, (2, 3, 4))):
         rooted = simhash.connect(frame, max_bits, partitions).collect()
         groups = {}
         for r in rooted:
@@ -72,7 +72,7 @@ def test_similarity_is_verified(spark):
     words = [f"w{i}" for i in range(300)]
     near = words[:150] + ["changed"] + words[151:]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))], "doc_id long, text string")
-    found = simhash.near_duplicates(docs, 5, 12, 4, min_similarity=0.8).collect()
+    found = simhash.near_duplicates(docs, 5, 12, (4,), min_similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
 
 
@@ -154,6 +154,6 @@ def test_equal_fingerprints_are_compared(spark):
     near = body(3).replace("p3w30", "changed")
     rows = [(1, f"{(line + ' ') * 400}{body(1)}"), (2, f"{(line + ' ') * 400}{body(2)}"), (3, f"{(line + ' ') * 400}{body(3)}"), (4, f"{(line + ' ') * 400}{near}"), (5, f"{(line + ' ') * 300}{near}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = simhash.near_duplicates(docs, 5, 7, 4, min_similarity=0.8).collect()
+    found = simhash.near_duplicates(docs, 5, 7, (4,), min_similarity=0.8).collect()
     assert len({r["fp"] for r in found}) == 1
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3} == plain_similar(rows)[1]
