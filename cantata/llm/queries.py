@@ -14,9 +14,8 @@ WINDOW = 2048
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.load(tokenizer_file("piece_bpe_32k.model"))
-    encoded = sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), model)
-    decoded = sentencepiece_codec.decode_documents(encoded, model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
+    both = sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), model, with_decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
 
 
 def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ as its bytes' pieces where the model has those, else as the unknown piece. White
 before the text; decoding turns markers into spaces and drops that first one, joins byte pieces and reads them as
 UTF-8 (a byte that isn't gives U+FFFD).
 
-No piece goes on with a marker after another character, so a text falls apart at those places, and further between
+If no piece goes on with a marker after another character, a text falls apart at those places, and further between
 any two characters that no piece has next to each other; its best path is that of its parts. Parts recur: each
 distinct one is searched once (while the cache holds it), many side by side, a step for all of them at each byte.
 """
@@ -48,6 +48,7 @@ class PieceModel:
     byte_ids: np.ndarray  # of the 256 bytes, or -1
     longest: int
     pairs: set[tuple[str, str]]  # characters that stand next to each other in some piece
+    inner: bool = False  # does a piece have a marker after another character?
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +105,7 @@ def load(path: str, scores: list[float] | None = None) -> PieceModel:
 
 def build(pieces: list[str], scores: np.ndarray, kinds: np.ndarray) -> PieceModel:
     normal = [i for i, p in enumerate(pieces) if kinds[i] == 0 and p]
-    if any(MARKER in pieces[i].lstrip(MARKER) for i in normal):
-        raise ValueError("a piece has a marker after another character")
+    inner = any(MARKER in pieces[i].lstrip(MARKER) for i in normal)
     keys = [pieces[i].encode() for i in normal]
     base, check, value = double_array(keys)
     value = np.where(value >= 0, np.array(normal, dtype=np.int64)[value], -1) if normal else value
@@ -115,7 +115,7 @@ def build(pieces: list[str], scores: np.ndarray, kinds: np.ndarray) -> PieceMode
     unknown = np.flatnonzero(kinds == 2)
     pairs = {pair for i in normal for pair in zip(pieces[i], pieces[i][1:], strict=False)}
     surfaces = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 3 else (" \N{DOUBLE QUESTION MARK} ".encode() if k == 2 else p.encode()) for p, k in zip(pieces, kinds, strict=True)]
-    return PieceModel(surfaces, scores, kinds, base, check, value, int(unknown[0]) if len(unknown) else -1, byte_ids, max(map(len, keys), default=1), pairs)
+    return PieceModel(surfaces, scores, kinds, base, check, value, int(unknown[0]) if len(unknown) else -1, byte_ids, max(map(len, keys), default=1), pairs, inner)
 
 
 def _as_ids(model: PieceModel, steps: list[tuple[int, bytes]]) -> list[int]:
@@ -206,9 +206,12 @@ def _best_paths(model: PieceModel, raw: list[bytes]) -> list[list[tuple[int, byt
     return out
 
 
-def segments(text: str) -> list[str]:
-    """The words of a text with the markers before them."""
-    return _WORDS.findall(MARKER + text.replace(" ", MARKER)) if text else []
+def segments(model: PieceModel, text: str) -> list[str]:
+    """The words of a text with the markers before them; the whole of it if some piece goes on with a marker."""
+    if not text:
+        return []
+    marked = MARKER + text.replace(" ", MARKER)
+    return [marked] if model.inner else _WORDS.findall(marked)
 
 
 def fragments(model: PieceModel, segment: str) -> list[str]:
@@ -224,36 +227,63 @@ def encode_segments(model: PieceModel, cache: PieceCache, words: list[str]) -> l
 
 
 def encode(model: PieceModel, text: str) -> list[int]:
-    return [i for word in segments(text) for ids in viterbi(model, fragments(model, word)) for i in ids]
+    return [i for word in segments(model, text) for ids in viterbi(model, fragments(model, word)) for i in ids]
 
 
-def decode(model: PieceModel, ids) -> str:
-    text = b"".join(map(model.surfaces.__getitem__, ids)).decode("utf-8", "sentencepiece").replace(MARKER, " ")
+def _as_text(surfaces: bytes) -> str:
+    text = surfaces.decode("utf-8", "sentencepiece").replace(MARKER, " ")
     return text[1:] if text.startswith(" ") else text
 
 
-def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) for each row; a null or empty text has no ids."""
+def decode(model: PieceModel, ids) -> str:
+    return _as_text(b"".join(map(model.surfaces.__getitem__, ids)))
+
+
+class _Surfaces(dict):
+    """A word's ids, as bytes, to the bytes they decode to; emptied when full."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.of = model.surfaces
+
+    def __missing__(self, ids: bytes) -> bytes:
+        if len(self) >= 600_000:
+            self.clear()
+        self[ids] = out = b"".join([self.of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return out
+
+
+def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>), and with_decoded what the ids decode to, for each row of docs, repeated and null ids included.
+
+    A null or empty text has no ids; an empty table gives an empty result. The model's own normaliser isn't applied: texts
+    are encoded as they are, and but for that (and what it has no piece or byte for) decode to themselves. A text is a
+    whole in its task: some 30 bytes for each of its characters.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches):
         m = shipped.value
         inner = PieceCache(lambda parts: viterbi(m, parts), 300_000)
-        cache = PieceCache(lambda words: encode_segments(m, inner, words), 600_000)
+        cache, surfaces = PieceCache(lambda words: encode_segments(m, inner, words), 600_000), _Surfaces(m)
         for batch in batches:
             for doc_ids, texts in small_slices(batch):
-                parts = [segments(t) for t in texts]
+                parts = [segments(m, t) for t in texts]
                 cache.fill(parts)
-                rows = [b"".join(map(cache.__getitem__, p)) for p in parts]
+                words = [list(map(cache.__getitem__, p)) for p in parts]
+                rows = list(map(b"".join, words))
                 ends = np.cumsum([0, *map(len, rows)]) // 4
                 values = np.frombuffer(b"".join(rows), dtype="<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["doc_id", "ids"])
+                columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+                if with_decoded:
+                    columns.append(pa.array([_as_text(b"".join(map(surfaces.__getitem__, w))) for w in words], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * with_decoded)
 
 
 def decode_documents(encoded: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, ids, decoded for each row; null ids decode to an empty text."""
+    """doc_id, ids, decoded for each row of stored ids; null ids decode to an empty text."""
     shipped = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
