@@ -2,13 +2,17 @@
 
 Each block of documents gives, for each pre-token, the documents that have it and how often. Those rows move once,
 to the pre-token's place, where the pieces of each distinct pre-token are counted and joined to them; the products
-are summed by document. Plain words that are in the tokenizer's vocabulary (a table no larger than that) need no
-move: their counts are joined where they are read. A pre-token that many documents of a block have goes to one of
-``SALTS`` places by the block, so that no task has all of it.
+are summed by document. The join has a map-side part: the pieces of the plain words of the tokenizer's vocabulary are
+counted once in each worker (a table no larger than the vocabulary), joined to the frequencies where those are made, and
+move with their document's row; all other pre-tokens go through the shuffled join. A pre-token that many documents of a
+block have goes to one of several places by the block, and so do the documents' own sizes: as many places as keep
+``BLOCKS_A_PLACE`` blocks each. A text with a special token's string in it is left to the library as a whole.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,10 +22,10 @@ from pyspark.sql import functions as F
 from cantata.llm.common import id_and_text
 from cantata.llm.pretokens import pretokenizer, small_slices
 
-SALTS = 64
+BLOCKS_A_PLACE = 64
 HOT_DOCS = 64
 BLOCK_ROWS = 10_000
-_SCHEMA = "pretoken string NOT NULL, salt int NOT NULL, doc_ids array<long>, amounts array<int>"
+_SCHEMA = "pretoken string NOT NULL, salt int NOT NULL, doc_ids array<long>, amounts array<int>, sizes array<int>"
 
 
 class _Codes(dict):
@@ -41,8 +45,8 @@ class _Codes(dict):
         return self[word]
 
 
-def _block(ids: list, texts_of, pt) -> pa.RecordBatch:
-    """The rows of one block; for no pre-token (''): salt -1 has the documents' bytes, the other pieces already counted."""
+def _block(ids: list, texts_of, pt, salts: int) -> pa.RecordBatch:
+    """The rows of one block; that for no pre-token ('') has the pieces already counted, and the documents' bytes as sizes."""
     codes, keys, base, size = _Codes(pt.known), [], [], []
     for i, text in enumerate(texts_of):
         size.append(len(text.encode("utf-8")))
@@ -56,24 +60,25 @@ def _block(ids: list, texts_of, pt) -> pa.RecordBatch:
     keys, amounts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
     code, doc = keys >> 16, keys & 0xFFFF
     begins = np.searchsorted(code, np.arange(len(codes.words) + 1))
-    spread = 1 + hash(ids[0] or 0) % SALTS
+    spread = 1 + zlib.crc32(str(ids[0]).encode()) % salts
     salt = np.where(np.diff(begins) > HOT_DOCS, spread, 0)
     n = len(ids)
-    offsets = np.concatenate([[0, n], 2 * n + begins]).astype(np.int32)
-    doc = np.concatenate([np.arange(n), np.arange(n), doc])
+    offsets = np.concatenate([[0], n + begins]).astype(np.int32)
+    doc = np.concatenate([np.arange(n), doc])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(["", "", *codes.words], pa.string()),
-            pa.array(np.concatenate([[-1, spread], salt]).astype(np.int32)),
+            pa.array(["", *codes.words], pa.string()),
+            pa.array(np.concatenate([[spread], salt]).astype(np.int32)),
             pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64()).take(pa.array(doc))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([size, base, amounts]).astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([base, amounts]).astype(np.int32))),
+            pa.ListArray.from_arrays(np.concatenate([[0], np.full(len(codes.words) + 1, n)]).astype(np.int32), pa.array(np.array(size, np.int32))),
         ],
-        names=["pretoken", "salt", "doc_ids", "amounts"],
+        names=["pretoken", "salt", "doc_ids", "amounts", "sizes"],
     )
 
 
-def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, text) to pre-token frequencies: pretoken, salt, doc_ids, amounts."""
+def frequencies(docs: DataFrame, tokenizer_path: str, salts: int) -> DataFrame:
+    """(doc_id, text) to pre-token frequencies: pretoken, salt, doc_ids, amounts, sizes."""
 
     def blocks(batches):
         pt = pretokenizer(tokenizer_path)
@@ -81,7 +86,7 @@ def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for begin in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(begin, BLOCK_ROWS)
                 texts = (t for _, ts in small_slices(part) for t in ts)
-                yield _block(part.column(0).to_pylist(), texts, pt)
+                yield _block(part.column(0).to_pylist(), texts, pt, salts)
 
     return docs.mapInArrow(blocks, _SCHEMA)
 
@@ -97,12 +102,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def pieces(pretokens: pd.Series) -> pd.Series:
         return pd.Series([len(x) for x in pretokenizer(tokenizer_path).ids_of_each(pretokens.tolist())], dtype="int64")
 
-    placed = frequencies(id_and_text(docs, id_col, text_col), tokenizer_path).repartition("pretoken", "salt")
+    texts = id_and_text(docs, id_col, text_col)
+    salts = max(BLOCKS_A_PLACE, -(-texts.count() // (BLOCK_ROWS * BLOCKS_A_PLACE)))
+    placed = frequencies(texts, tokenizer_path, salts).repartition("pretoken", "salt")
     # both sides of the join read the one exchange: nothing may filter or prune just one of them
-    distinct = placed.groupBy("pretoken", "salt").agg(F.max(F.size("doc_ids") + F.size("amounts")).alias("n"))
+    distinct = placed.groupBy("pretoken", "salt").agg(F.max(F.size("doc_ids") + F.size("amounts") + F.size("sizes")).alias("n"))
     counts = distinct.filter("n > 0").select("pretoken", "salt", pieces("pretoken").alias("pieces"))
-    entries = placed.join(counts.hint("shuffle_hash"), ["pretoken", "salt"], "left").select("salt", F.when(F.col("pretoken") == "", 1).otherwise(F.col("pieces")).alias("pieces"), F.inline(F.arrays_zip("doc_ids", "amounts")))
+    # sizes, where there are none, are filled up with nulls
+    each = F.inline(F.arrays_zip("doc_ids", "amounts", "sizes"))
+    entries = placed.join(counts.hint("shuffle_hash"), ["pretoken", "salt"], "left").select(F.when(F.col("pretoken") == "", 1).otherwise(F.col("pieces")).alias("pieces"), each)
     return entries.groupBy(F.col("doc_ids").alias("doc_id")).agg(
-        F.sum(F.when(F.col("salt") < 0, F.col("amounts").cast("long")).otherwise(F.lit(0))).alias("n_bytes"),
-        F.sum(F.when(F.col("salt") >= 0, F.col("amounts").cast("long") * F.col("pieces")).otherwise(F.lit(0))).alias("n_tokens"),
+        F.sum(F.coalesce(F.col("sizes").cast("long"), F.lit(0))).alias("n_bytes"), F.sum(F.col("amounts").cast("long") * F.col("pieces")).alias("n_tokens")
     )
