@@ -8,7 +8,7 @@ documents share a part, so the share of agreeing hashes is a graded likeness. Le
 document say nothing and don't count.
 
 The lexicon holds fewer than (terms of a mean document) / ``LOW`` terms, since each is in a LOW part of the documents
-or more; if it is within ``BROADCAST_ROWS``, as for any usual corpus, it is broadcast, else joined by shuffle.
+or more; if it is within ``BROADCAST_BYTES``, as for any usual corpus, it is broadcast, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantata.llm.common import checkpointed, id_and_text
+from cantata.llm.common import checkpointed, id_and_text, row_key
 
 LOW, HIGH = 0.0005, 0.1
 RATES = (1 / 2, 1 / 8, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 1 / 1024)
 DRAWS = 7
 SUBSETS = DRAWS * len(RATES)
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 EMPTY = 42  # xxhash64 of an empty array: its seed
-GROUP_ROWS, MAX_GROUPS = 256, 1 << 16
+#: Documents of a range of ids: GROUP_ROWS while there are MIN_GROUPS ranges or fewer, then up to GROUP_LIMIT.
+GROUP_ROWS, MIN_GROUPS, GROUP_LIMIT = 256, 1024, 10_000
 _SEPARATORS = r"[\s\p{Punct}]+"
 
 
@@ -74,7 +75,8 @@ def fingerprint(texts: DataFrame, words: DataFrame) -> DataFrame:
     # the hash has a projection of its own: beside the explode it would be taken once for each term
     split = split.select(*keys, "all", F.xxhash64(F.sort_array("all")).alias("whole"))
     rows = split.select(*keys, "whole", F.posexplode_outer("all").alias("at", "term"))
-    joined = rows.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "term", "left").filter("member IS NOT NULL OR at = 0")
+    size = words.agg(F.coalesce(F.sum(F.octet_length("term") + F.lit(48)), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(words) if size <= BROADCAST_BYTES else words, "term", "left").filter("member IS NOT NULL OR at = 0")
     own = F.sort_array(F.collect_list(F.when(F.col("member").isNotNull(), F.struct("term", "member"))))
     kept = joined.groupBy(*keys, "whole").agg(own.alias("kept"))
     subset = lambda j: F.filter("kept", lambda t: F.getbit(t["member"], j) == 1)
@@ -91,19 +93,24 @@ def as_text(fp: Column) -> Column:
 def in_neighbourhoods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (g, pos, doc_id, text, copy): within each g and by pos, each document's successor follows it.
 
-    The documents are dealt by ranges of ids, MAX_GROUPS at most; each range ends in a copy of the next one's first
-    document, the last range in one of the first. Null ids come first; rows that share an id follow by text.
+    The documents are dealt into ranges of ids, of about as many documents each whatever the ids are; each range ends in
+    a copy of the next one's first document, the last range in one of the first. Null ids come first; rows that share an
+    id follow by a hash of their texts, and may be in several ranges. Only rows that repeat both stay together.
     """
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    groups = min(MAX_GROUPS, max(1, n // GROUP_ROWS))
-    width = 1 if low is None else -(-(high - low + 1) // groups)
-    placed = docs.withColumn("g", F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(1 << 62))))
+    n = docs.count()
+    groups = max(1, min(n // GROUP_ROWS, max(MIN_GROUPS, n // GROUP_LIMIT)))
+    keyed = docs.withColumn("k", row_key())
+    ranges = keyed.select("doc_id", "k").repartitionByRange(groups, F.col("doc_id").asc_nulls_first(), F.col("k"))
+    # numbers alone, and written: where a range begins must not change
+    places = checkpointed(ranges.select(F.col("doc_id").alias("at_id"), F.col("k").alias("at_k"), F.spark_partition_id().alias("g")).distinct())
+    placed = keyed.join(places.hint("shuffle_hash"), (F.col("k") == F.col("at_k")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = placed.groupBy("g").agg(F.min("doc_id").alias("first"))  # a row for each range
-    before = firsts.select("first", F.coalesce(F.lag("g").over(Window.orderBy("g")), F.max("g").over(whole)).alias("to"))
-    copies = docs.join(F.broadcast(before), docs["doc_id"].eqNullSafe(before["first"])).select("doc_id", "text", F.col("to").alias("g"), F.lit(True).alias("copy"))
-    both = placed.select("doc_id", "text", "g", F.lit(False).alias("copy")).unionByName(copies)
-    order = Window.partitionBy("g").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    first = F.min(F.struct(F.col("at_id").isNotNull().alias("known"), "at_id", "at_k")).alias("first")
+    firsts = places.groupBy("g").agg(first)  # a row for each range
+    before = firsts.select("first.at_id", "first.at_k", F.coalesce(F.lag("g").over(Window.orderBy("g")), F.max("g").over(whole)).alias("g"))
+    copies = keyed.join(F.broadcast(before), (F.col("k") == F.col("at_k")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("doc_id", "text", "k", "g", F.lit(True).alias("copy"))
+    both = placed.select("doc_id", "text", "k", "g", F.lit(False).alias("copy")).unionByName(copies)
+    order = Window.partitionBy("g").orderBy("copy", F.col("doc_id").asc_nulls_first(), "k")
     return both.select("g", "doc_id", "text", "copy", F.row_number().over(order).alias("pos"), F.lead("text").over(order).alias("next_text"))
 
 
@@ -111,7 +118,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of the code points (rounded down) replaced by the first as many of the next
-    document's. A null text is empty. The only document is its own successor. An empty table gives an empty result.
+    document's (by ascending id; see in_neighbourhoods for null and repeated ids). A null text is empty. The only document
+    is its own successor. An empty table gives an empty result.
     """
     rows = id_and_text(docs, id_col, text_col)
     words = lexicon(rows)
