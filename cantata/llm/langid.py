@@ -38,16 +38,19 @@ def _letters() -> np.ndarray:
 
 
 def _characters(text: str) -> np.ndarray:
-    """The text's letters in lower case, all else as spaces, one space at either end."""
-    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    """The lower-case text's letters, all else as spaces."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.where(_letters()[c], c, 32).astype(np.uint64)
 
 
-def _grams(c: np.ndarray):
-    """Yield the 64-bit codes of all n-grams with a letter in them, a chunk at a time."""
-    for begin in range(0, len(c), _CHUNK):
+def _grams(text: str):
+    """Yield the 64-bit codes of all n-grams with a letter in them (one space is put at either end), a chunk at a time."""
+    text, before = f" {text.lower()} ", max(ORDERS) - 1
+    for begin in range(0, len(text), _CHUNK):
+        first = max(0, begin - before)
+        c = _characters(text[first : begin + _CHUNK])
         for n in ORDERS:
-            part = c[max(0, begin - n + 1) : begin + _CHUNK]
+            part = c[max(0, begin - n + 1) - first :]
             if len(part) < n:
                 continue
             code = part[: len(part) - n + 1].copy()
@@ -67,24 +70,24 @@ def _slots(code: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray  # 2**SLOT_BITS masks of languages
+    masks: np.ndarray  # 2**SLOT_BITS masks of languages; a row for each 64 of these
     false_positive: np.ndarray  # for each language, the chance that an absent n-gram seems to be in
 
     def scores(self, text: str | None) -> np.ndarray:
         """For each language, the share of the text's n-grams that it contains, corrected for false positives."""
-        n, kinds = 0, np.zeros(0)
+        n = 0
         hits = np.zeros(len(self.languages))
-        for code in _grams(_characters(text or "")):
+        for code in _grams(text or ""):
             a, b = _slots(code)
-            found = self.masks[a] & self.masks[b]
-            n += len(found)
-            if found.dtype == np.uint8:
-                kinds = np.bincount(found, minlength=256)
-                values = np.arange(256)
-            else:
-                values, kinds = np.unique(found, return_counts=True)
-            for i in range(len(hits)):
-                hits[i] += kinds[(values >> i) & 1 == 1].sum()
+            n += len(a)
+            for word, masks in enumerate(self.masks):
+                found = masks[a] & masks[b]
+                if found.dtype == np.uint8:
+                    kinds, values = np.bincount(found, minlength=256), np.arange(256)
+                else:
+                    values, kinds = np.unique(found, return_counts=True)
+                for i in range(64 * word, min(64 * (word + 1), len(hits))):
+                    hits[i] += kinds[(values >> values.dtype.type(i % 64)) & values.dtype.type(1) == 1].sum()
         if not n:
             return hits
         return np.clip((hits - n * self.false_positive) / (n * (1 - self.false_positive)), 0, 1)
@@ -99,25 +102,22 @@ class LanguageFilters:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 2000, grams: int = 20_000) -> LanguageFilters:
-    """Learn from docs with a language (those that the caller lets in). At most 64 languages."""
+    """Learn from docs with a language (those that the caller lets in). A language takes a bit of each mask, whatever their number."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
-    languages = sorted(sizes)
+    per_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in per_lang.select("lang").collect())  # a name for each language
     if not languages:
-        return LanguageFilters([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
-    share = F.lit(1.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / sizes[lang]))).otherwise(share)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+        return LanguageFilters([], np.zeros((0, 1 << SLOT_BITS), np.uint8), np.zeros(0))
+    # rows without an id, or with a common one, are told apart by their text
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.least(F.lit(1.0), max_docs / F.col("n")) * (1 << 20)
+    sample = labelled.join(F.broadcast(per_lang), "lang").filter(drawn).select("lang", "text")
 
     def count(batches):
         for batch in batches:
             for langs, texts in small_slices(batch):
                 for lang in set(langs):
-                    codes = [g for x, t in zip(langs, texts, strict=True) if x == lang for g in _grams(_characters(t))]
+                    codes = [g for x, t in zip(langs, texts, strict=True) if x == lang for g in _grams(t)]
                     code, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.uint64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -128,12 +128,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     top = shared.filter("share * 4 >= most").withColumn("rank", rank).filter(F.col("rank") <= grams).select("lang", "gram").toPandas()  # grams a language at most
 
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks, false_positive = np.zeros(1 << SLOT_BITS, kind), np.zeros(len(languages))
+    masks, false_positive = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), kind), np.zeros(len(languages))
     for i, lang in enumerate(languages):
-        code = top["gram"][top["lang"] == lang].to_numpy(dtype=np.int64).view(np.uint64)
+        code, bit = top["gram"][top["lang"] == lang].to_numpy(dtype=np.int64).view(np.uint64), kind(i % 64)
         for slots in _slots(code):
-            masks[slots] |= kind(1 << i)
-        false_positive[i] = ((masks >> kind(i)) & kind(1)).mean() ** len(_HASHES)
+            masks[i // 64][slots] |= kind(1) << bit
+        false_positive[i] = ((masks[i // 64] >> bit) & kind(1)).mean() ** len(_HASHES)
     return LanguageFilters(languages, masks, false_positive)
 
 
@@ -141,7 +141,9 @@ def identify(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", te
     """One row for each row of docs: doc_id, lang_pred, score, coverage (the last two within 0 and 1).
 
     A text that is null, empty or without a letter is 'und' with score 0; so is every text if there was nothing to
-    learn from. Of languages with equal counts the first by name is taken.
+    learn from. Of languages with equal counts the first by name is taken. Each row, repeated and null ids included, is
+    judged by its own text. An empty table gives an empty result. A long text is read a chunk of 2**20 characters at a
+    time, beside its lower-case copy.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
