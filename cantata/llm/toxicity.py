@@ -33,7 +33,8 @@ _CACHE_LIMIT = 200_000
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    found = _WORD.findall(text.lower()) if len(text) < 1 << 20 else (m.group() for m in _WORD.finditer(text.lower()))  # no list of a long text's words
+    return set(found)
 
 
 def features(word: str) -> set[str]:
@@ -72,7 +73,11 @@ class ToxicityModel:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias from documents given as feature numbers (repeats count). Full batches, Adam."""
+    """Weights and bias from documents given as feature numbers (repeats count). Full batches, Adam.
+
+    The bias is bounded by the prior's: a text without any feature is no likelier toxic than any text. On few examples
+    the risk alone leaves it loose.
+    """
     docs = [*positive, *unlabelled]
     column = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -92,6 +97,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
         gradient[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w[-1] = min(w[-1], b)
     return w[:-1], float(w[-1])
 
 
@@ -153,18 +159,19 @@ def fit(
                 found = [[number[f] for w in sorted(words(t or "")) for f in features(w) if f in number] for t in texts_]
                 yield pa.RecordBatch.from_arrays([pa.array(flags, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["p", "found"])
 
-    rows = sample.mapInArrow(encode, "p int, found array<int>").orderBy("p", F.xxhash64("found")).collect()  # the sample's numbers, not texts
-    parts = [[np.asarray(r["found"], dtype=np.int64) for r in rows if r["p"] == p] for p in (1, 0)]
+    rows = sample.mapInArrow(encode, "p int, found array<int>").collect()  # the sample's numbers, not texts
+    parts = [[np.asarray(f, dtype=np.int64) for f in sorted(r["found"] for r in rows if r["p"] == p)] for p in (1, 0)]
     if not parts[0] or not names:
         return ToxicityModel({}, math.log(prior / (1 - prior)))
     weights, bias = fit_nnpu(parts[0], parts[1], len(names), prior)
-    # a text without any feature scores no more than the prior: on few examples the risk leaves the bias loose
-    bias = min(bias, math.log(prior / (1 - prior)))
     return ToxicityModel({f: float(x) for f, x in zip(names, weights, strict=True)}, bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, score (0 to 1). A null text scores as an empty one: the bias alone."""
+    """One row for each row of docs: doc_id, score (0 to 1). A null text scores as an empty one: the bias alone.
+
+    Each row, repeated and null ids included, is scored by its own text. An empty table gives an empty result.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights
 
     def run(batches):
