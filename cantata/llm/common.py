@@ -25,10 +25,13 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is set (local tests), set one."""
+    """Use the cluster's shared folder; only on a local master, as in tests, a folder of this machine will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cantata-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "cantata-checkpoints"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -48,6 +51,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file; each worker opens it there, as it is installed on every node."""
     import public_tokenizers

@@ -1,13 +1,20 @@
 """Chat views, shards, I-Match and exact copies: SQL over whole tables, odd rows, and the pipeline as a whole."""
 
 import hashlib
+import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cantata.llm import chat, exact_dedup, graph, imatch, queries, sharding
+from cantata.llm.common import tokenizer_file
 from tests.differential import DATA, compare, connect
+from tests.llm.test_simhash import plain_similar
 
 FOLDER = f"{DATA}/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \t"), (4, "A b"), (5, "Ab"), (5, "Ab"), (None, "A  b"), (6, "x" * 100_000), (7, "né"), (8, "né")]
@@ -45,6 +52,28 @@ def test_shards_of_odd_rows(spark):
     assert sharding.assign_shards(odd_docs(spark).limit(0), 8).collect() == []
 
 
+def test_rows_without_an_id_are_parted(spark):
+    hot = spark.createDataFrame([(None, "x" * 100)] * 2000 + [(1, "y" * 50)] * 30 + [(2, "z" * 5000)], "doc_id long, text string")
+    rows = sharding.assign_shards(hot, 1000).collect()
+    sizes, docs = {}, {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n_bytes"]
+        docs[r["shard"]] = docs.get(r["shard"], 0) + 1
+    assert len(rows) == 2031 and all(sizes[r["shard"]] == r["shard_bytes"] and docs[r["shard"]] == r["shard_docs"] for r in rows)
+    assert [(r["doc_id"], r["shard_docs"]) for r in rows if not r["fits"]] == [(2, 1)]
+    shards = sorted(sizes)
+    assert not any(b.startswith(a) for a, b in zip(shards, shards[1:], strict=False))
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    docs = odd_docs(spark).union(odd_docs(spark).withColumn("doc_id", F.lit(None).cast("long")))
+    sharding.write_shards(docs, f"{tmp_path}/shards", 8)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    sizes = back.groupBy("shard_bits").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r["b"] <= 8 or r["n"] == 1 for r in sizes)
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "system", "Be <|im_end|> kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é" * 5), (None, None, None, "alone"), (2, 0, "system", "nobody")]
     views = {(r["conv_id"], r["speaker"]): r for r in chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))).collect()}
@@ -78,6 +107,62 @@ def test_imatch_against_a_plain_version(spark):
             assert near == pytest.approx(sum(told) / len(told) if told else 1.0)
 
 
+def chain(values, seed=42):
+    """Spark's xxhash64 of several values: each hashed with the hash before it as the seed."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v) if abs(v) > 99 else struct.pack("<i", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def plain_imatch(texts):
+    """The fingerprints of texts as hexadecimal numbers, from the definition."""
+    split = [set(re.split(r"[\s!-/:-@\[-`{-~]+", t.lower(), flags=re.ASCII)) for t in texts]
+    df = Counter(t for terms in split for t in terms)
+    least, most = max(2, -int(-imatch.LOW * len(texts) // 1)), max(2.0, imatch.HIGH * len(texts))
+    member = {}
+    for term, n in df.items():
+        if term and least <= n <= most:
+            member[term] = 0
+            for j in range(imatch.SUBSETS):
+                rate, draw = divmod(j, imatch.DRAWS)
+                drawn = chain([term, 2 * rate + draw // 4]) >> 16 * (draw % 4) & 0xFFFF
+                member[term] |= (drawn < 65536 * imatch.RATES[rate]) << j
+    out = []
+    for terms in split:
+        kept = sorted(t for t in terms if t in member)
+        whole = chain(sorted(terms))
+        hashes = []
+        for j in range(imatch.SUBSETS):
+            h = 42
+            for t in (t for t in kept if member[t] >> j & 1):
+                h = xxhash.xxh64_intdigest(struct.pack("<q", member[t]), xxhash.xxh64_intdigest(t.encode(), h))
+            hashes.append(0 if h == 42 else h)
+        out.append("".join(f"{h:016x}" for h in (hashes if kept else [whole] * imatch.SUBSETS)))
+    return out
+
+
+def test_imatch_fingerprints_from_the_terms(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["fingerprint"] for r in queries.op5_imatch(spark, FOLDER).collect()}
+    assert got == dict(zip([d for d, _ in docs], plain_imatch([t for _, t in docs]), strict=True))
+
+
+def test_imatch_of_far_and_missing_ids(spark):
+    """An outlying id, ids at both ends of a long, and rows without an id leave order and ranges as they should be."""
+    ids = [-(1 << 63), (1 << 63) - 1, 10**15, *range(3000)]
+    rows = [(i, f"text number{n % 700} of{n % 41} some{n % 13}") for n, i in enumerate(ids)] + [(None, f"none{n}") for n in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in imatch.compare_with_edits(docs).collect() if r["doc_id"] is not None}
+    known = sorted((i, t) for i, t in rows if i is not None)
+    for (i, text), (_, after) in zip(known, known[1:], strict=False):
+        half = len(text) // 2
+        assert got[i] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    placed = imatch.in_neighbourhoods(docs).groupBy("g").count().collect()
+    assert len(placed) > 5 and max(r["count"] for r in placed) < 1500
+    assert imatch.compare_with_edits(docs).count() == len(rows)
+
+
 def test_imatch_of_odd_rows(spark):
     rows = imatch.compare_with_edits(odd_docs(spark)).collect()
     assert len(rows) == len(ODD)
@@ -104,9 +189,32 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_exact_copies(spark, copies, f"{DATA}/sf0.01").collect()} == {2, 3}
 
 
-def test_pipeline_runs(spark):
-    rows = corpus_pipeline.run(spark, FOLDER)
-    assert rows.count() > 100 and "sequence_id" in rows.columns
+def test_pipeline_against_brute_force(spark):
+    """Exact and near copies by looking at all pairs; the packed tokens by the library."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    known = corpus_pipeline.keep_known_languages(spark, docs, FOLDER)
+    clean = corpus_pipeline.drop_toxic(spark, known, FOLDER)
+    rows = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    bare = lambda t: re.sub("[\x20\x09-\x0d]", "", t)
+    exact = {}
+    for d, t in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+        exact.setdefault(bare(t), (d, t))
+    unique = sorted(exact.values())
+    _, component = plain_similar(unique)
+    left = {d: t for d, t in unique if component[d] == d}
+    packed = corpus_pipeline.run(spark, FOLDER).collect()
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in left.items()}
+    assert sum(r["length"] for r in packed) == sum({r["doc_id"]: r["doc_tokens"] for r in packed}.values())
+
+
+def test_stages_take_clashing_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for c in ("row", "__row", "fp", "node", "kept", "score", "lang_pred", "component_id", "root", "token"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for stage in (corpus_pipeline.keep_known_languages, corpus_pipeline.drop_toxic, corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns and 0 < kept.count() == kept.filter("__row = 'clash' AND row = 'clash'").count()
 
 
 def test_stages_decide_on_each_row(spark):
