@@ -154,8 +154,8 @@ def ties(fps: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
     mixed = F.xxhash64("fp")
     heads = F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", mixed), F.max_by("fp", mixed)))
     buckets = at.groupBy("g", "value").agg(heads.alias("heads")).filter(F.size("heads") > 1)
-    tied = at.join(buckets, ["g", "value"]).select(F.col("fp").alias("u"), F.explode("heads").alias("v"))
-    return tied.filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).distinct()
+    near = F.filter("heads", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= max_bits))
+    return at.join(buckets, ["g", "value"]).select(F.col("fp").alias("u"), F.explode(near).alias("v")).distinct()
 
 
 def links(nodes: DataFrame, searched: list[tuple[int, list[int], int]], max_bits: int) -> DataFrame:
@@ -233,7 +233,7 @@ def near_duplicates(
 
     A null or blank text has fingerprint 0 and is linked like any other; repeated rows share a component. A null id
     is no component's smallest unless all its ids are null. An empty table gives an empty result. Each text is a whole
-    in its task: some 40 bytes for each of its words.
+    in its task: some 100 bytes for each of its words.
     """
     if min_similarity is None:
         key, columns, found = "fp", ["doc_id", "fp"], ["component_id"]

@@ -33,6 +33,7 @@ PART = 2000
 _BITMAP = 1 << 23
 #: Longs of a sketch, and shingles that it is made from at most; of larger sets it takes a part, by hash.
 _LONGS, _SKETCHED = 8, 640
+_CHUNK = 1 << 18
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -43,9 +44,13 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     joined, total = b" ".join(words), max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[:total].tolist() or [0], ends[min(shingle, len(words)) - 1 :].tolist() or [0]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), dtype=np.uint64, count=total)
+    if not words:
+        return np.array([xxhash.xxh64_intdigest(b"", 42)], dtype=np.uint64)
+    starts, ends, digest, parts = (ends - lengths)[:total], ends[min(shingle, len(words)) - 1 :], xxhash.xxh64_intdigest, []
+    for at in range(0, total, _CHUNK):
+        spans = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
+        parts.append(np.fromiter((digest(joined[a:b], 42) for a, b in spans), dtype=np.uint64, count=min(_CHUNK, total - at)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def _node(distinct: np.ndarray) -> int:
@@ -177,23 +182,25 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, l
     return checkpointed(pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
 
 
-def _with_token(rows: DataFrame, keep: Column, **aggregates: Column) -> DataFrame:
-    """rows (token, is_common, ...) with these aggregates of their token's rows, where keep holds of them.
+def _with_token(often: DataFrame, rare: DataFrame, keep: Column, **aggregates: Column) -> DataFrame:
+    """Rows (token, ...) of common and of rare tokens with these aggregates of their token's rows, where keep holds of them.
 
-    Common tokens, which may be in any part of all texts, are no more than COMMON: theirs are broadcast.
+    Common tokens, which may be in any part of all texts, are no more than COMMON: theirs are broadcast. Both sides of
+    the rare ones' join read one exchange; nothing may prune just one of them.
     """
     named = [c.alias(name) for name, c in aggregates.items()]
-    often, rare = rows.filter("is_common"), rows.filter("NOT is_common").repartition("token")
+    rare = rare.repartition("token")
     of_often, of_rare = (x.groupBy("token").agg(*named).filter(keep) for x in (often, rare))
-    return often.join(F.broadcast(of_often), "token").unionByName(rare.join(of_rare.hint("shuffle_hash"), "token"))
+    common = often.join(F.broadcast(of_often), "token").withColumn("is_common", F.lit(True))
+    return common.unionByName(rare.join(of_rare.hint("shuffle_hash"), "token").withColumn("is_common", F.lit(False)))
 
 
 def in_groups(nodes: DataFrame) -> DataFrame:
     """token, is_common, node, size, at (the token's place in the prefix), n and head of the token's group, where n > 1."""
-    rare = nodes.select("node", "size", F.posexplode("rare").alias("at", "token"), F.lit(False).alias("is_common"))
-    often = nodes.select("node", "size", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token"), F.lit(True).alias("is_common"))
-    tokens = rare.unionByName(often.withColumn("at", F.col("at") + F.col("before")).drop("before"))
-    return checkpointed(_with_token(tokens, F.col("n") > 1, n=F.count(F.lit(1)), head=F.min(F.struct("at", "size", "node"))))
+    rare = nodes.select("node", "size", F.posexplode("rare").alias("at", "token"))
+    often = nodes.select("node", "size", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token"))
+    often = often.withColumn("at", F.col("at") + F.col("before")).drop("before")
+    return checkpointed(_with_token(often, rare, F.col("n") > 1, n=F.count(F.lit(1)), head=F.min(F.struct("at", "size", "node"))))
 
 
 def _may_be_similar(size_a: Column, at_a: Column, size_b: Column, at_b: Column, least: float) -> Column:
@@ -223,9 +230,10 @@ def candidates(grouped: DataFrame, nodes: DataFrame, tied: DataFrame, least: flo
 
     tied has node and root of the nodes whose root is another.
     """
-    rooted = grouped.select("token", "is_common", "node", "size", "at", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = _with_token(rooted, F.col("a") != F.col("b"), a=F.min("root"), b=F.max("root"), main=F.min_by("root", F.struct("at", "size", "node")))
-    apart = apart.drop("a", "b").join(nodes.select("node", "level", "sketches"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    rooted = checkpointed(grouped.select("token", "is_common", "node", "size", "at", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    often, rare = rooted.filter("is_common").drop("is_common"), rooted.filter("NOT is_common").drop("is_common")
+    apart = _with_token(often, rare, F.col("a") != F.col("b"), a=F.min("root"), b=F.max("root"), main=F.min_by("root", F.struct("at", "size", "node")))
+    apart = checkpointed(apart.drop("a", "b", "is_common").join(nodes.select("node", "level", "sketches"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
     index = apart.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("i")
     probes = apart.filter("root <> main").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("p")
     i, p = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"p.{c}"))
