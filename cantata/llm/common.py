@@ -35,9 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back from there."""
+    """Write df to the shared checkpoint folder and read it back from there.
+
+    Shuffle files go when the driver's collector finds that nothing refers to them, which may be long after; it is asked
+    to look here, so that a job of many steps doesn't keep the files of all its steps.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def trained_on(id_col="doc_id"):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cantata.llm.common import checkpointed
 
+#: A round over fewer edges than would fill all tasks uses fewer.
+EDGES_A_TASK = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -36,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = checkpointed(stars)
     before = _state(stars)
     while before[0]:
-        stars = checkpointed(_small_star(_large_star(stars)))
+        tasks = -(-before[0] // EDGES_A_TASK)
+        stars = checkpointed(_small_star(_large_star(stars.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         after = _state(stars)
         if after == before:
             break
