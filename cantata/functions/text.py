@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,12 +55,20 @@ def isrc_display(c: Column) -> Column:
     return F.when(whole, F.concat_ws("-", F.substring(v, 1, 2), F.substring(v, 3, 3), F.substring(v, 6, 2), F.substring(v, 8, 5)))
 
 
-CREDIT_SEPARATORS = r"\s*[,;&]\s*|\s+(?:x|feat\.?|ft\.?|featuring|with)\s+"
+# What parts one artist of a credit line from the next. A word stands after a space, with a dot or without,
+# before a space or the end; JOINING stands between spaces.
+CREDIT_MARKS = (",", ";", "&")
+FEATURING = ("feat", "feature", "featured", "featuring", "ft")
+CREDIT_WORDS = (*FEATURING, "with")
+JOINING = "x"
 
 
 def credits(c: Column) -> Column:
     """A credit line's artists, trimmed, each once whatever its case, the first spelling kept."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "(?i)" + CREDIT_SEPARATORS), lambda p: F.trim(p)), lambda p: p != "")
+    mark = CREDIT_MARKS[0]
+    line = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s({'|'.join(CREDIT_WORDS)})\.?(?=\s|$)", mark)
+    line = F.regexp_replace(line, rf"(?i)\s{JOINING}(?=\s)", mark)
+    parts = F.filter(F.transform(F.split(line, "[" + "".join(CREDIT_MARKS) + "]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.filter(parts, lambda p, i: F.array_position(F.transform(parts, lambda q: F.lower(q)), F.lower(p)) == i + 1)
 
 
@@ -74,8 +80,10 @@ def primary_artist(album_artist: Column, artist: Column) -> Column:
 
 def simplify_title(c: Column) -> Column:
     """Lower case without bracketed or dashed version notes and punctuation."""
-    steps = ((r"\s*[\(\[][^\)\]]*[\)\]]", " "), (r"\s+-\s+.*$", " "), (r"\b(?:feat|ft|featuring)\b.*$", " "), (r"[^\p{L}\p{N}]+", " "))
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, F.lower(F.coalesce(c, F.lit("")))))
+    title = F.lower(F.coalesce(c, F.lit("")))
+    for note in (r"\s*[\(\[][^\)\]]*[\)\]]", r"\s+-\s+.*$", rf"\b({'|'.join(FEATURING)})\b.*$", r"[^\p{L}\p{N}]+"):
+        title = F.regexp_replace(title, note, " ")
+    return F.trim(title)
 
 
 def contains_words(c: Column, words: Column) -> Column:

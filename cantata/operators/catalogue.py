@@ -63,66 +63,43 @@ def keyset_page(df: DataFrame, order: list[tuple[str, bool]], size: int, cursor:
 def completeness(tracks: DataFrame, album: str, track: str, total: str, disc: str, discs: str, title: str, unavailable: str) -> DataFrame:
     """album, status (complete, incomplete, unknown), present, expected.
 
-    Slots are (disc, track). An album is unknown where its numbers contradict each other (totals or disc counts that
-    differ, two titles in a slot, a track beyond its disc's total, a missing or zero number, an unavailable track),
-    where several discs aren't told apart by a disc count, or where a total is absent. Then: a slot short means
-    incomplete, and with a disc that is absent altogether the number expected is not known.
+    A disc that has no number is the first. An album is unknown where its tracks contradict each other: two titles in a
+    place, a number that is missing or beyond its disc's total, totals of one disc or disc counts that differ, a disc
+    without any total or beyond the disc count, a numberless disc where there are several, an unavailable track. The
+    number expected is the sum of the discs' totals, if there is one disc, or all are there and their totals differ;
+    equal totals of several discs may be each disc's or the album's, so that only a track short of it tells anything.
+
+    Rows that are partitioned by album already are not shuffled.
     """
-    d = F.coalesce(F.col(disc), F.lit(0))
-    slots = tracks.groupBy(album, d.alias("d"), F.col(track).alias("t")).agg(
-        F.count_distinct(F.coalesce(lookup_text(F.col(title)), F.lit(""))).alias("titles"),
-        F.min(total).alias("lo"),
-        F.max(total).alias("hi"),
-        F.count(total).alias("told"),
-        F.count(F.lit(1)).alias("rows"),
-        F.min(discs).alias("dlo"),
-        F.max(discs).alias("dhi"),
-        F.max(F.coalesce(F.col(unavailable).cast("int"), F.lit(0))).alias("off"),
-    )
-    per_disc = slots.groupBy(album, "d").agg(
-        F.count(F.lit(1)).alias("present"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.min("dlo").alias("dlo"),
-        F.max("dhi").alias("dhi"),
-        (
-            F.max((F.col("titles") > 1).cast("int"))
-            + F.max(F.col("off"))
-            + F.max((F.coalesce(F.col("t"), F.lit(0)) < 1).cast("int"))
-            + F.max((F.col("told") < F.col("rows")).cast("int"))
-            + F.max((F.col("t") > F.col("hi")).cast("int"))
-        ).alias("faults"),
-    )
-    a = per_disc.groupBy(album).agg(
-        F.sum("present").alias("present"),
-        F.sum("hi").alias("sum_total"),
-        F.count(F.lit(1)).alias("discs_seen"),
-        F.min("d").alias("first_disc"),
-        F.max("d").alias("last_disc"),
-        F.min("dlo").alias("dlo"),
-        F.max("dhi").alias("dhi"),
-        (F.sum("faults") + F.max((F.col("lo") != F.col("hi")).cast("int")) + F.max((F.col("lo") < 1).cast("int"))).alias("faults"),
-        F.sum((F.col("present") < F.col("hi")).cast("int")).alias("short"),
-    )
-    n_discs = F.coalesce(F.col("dhi"), F.lit(0))
-    one = (F.col("discs_seen") == 1) & (n_discs <= 1)
-    contradicts = (
-        (F.col("faults") > 0)
-        | F.col("sum_total").isNull()
-        | (F.coalesce(F.col("dlo"), F.lit(0)) != n_discs)
-        | (n_discs < 0)
-        | ((n_discs > 1) & ((F.col("first_disc") < 1) | (F.col("last_disc") > n_discs)))
-    )
-    told = one | (n_discs > 1)
-    absent_disc = (n_discs > 1) & (F.col("discs_seen") < n_discs)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    wrong = (number(track) < 1) | (number(disc) < 0) | (number(total) < 0) | (number(discs) < 0) | ((number(disc) == 0) & (number(discs) > 1)) | (number(unavailable) != 0)
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c))
+    name = lookup_text(F.col(title))
+    places = tracks.groupBy(album, F.when(number(disc) == 0, 1).otherwise(F.col(disc)).alias("d"), F.col(track).alias("t")).agg(
+        F.min(name).alias("name_lo"), F.max(name).alias("name_hi"), F.max(total).alias("most"), F.min(positive(total)).alias("least"),
+        F.max(discs).alias("discs_hi"), F.min(positive(discs)).alias("discs_lo"), F.bool_or(wrong).alias("wrong"),
+    )
+    on_disc = places.groupBy(album, "d").agg(
+        F.sum((number("t") > 0).cast("long")).alias("present"), F.max("most").alias("most"), F.min("least").alias("least"), F.max("t").alias("last"),
+        F.max("discs_hi").alias("discs_hi"), F.min("discs_lo").alias("discs_lo"), F.bool_or(F.col("wrong") | (F.col("name_lo") != F.col("name_hi"))).alias("wrong"),
+    )
+    untold = (number("most") <= 0) | (F.col("least") != F.col("most")) | (F.col("last") > F.col("most"))
+    albums = on_disc.groupBy(album).agg(
+        F.sum("present").alias("present"), F.sum("most").alias("sum_of_totals"), F.min("most").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("seen"),
+        F.min("d").alias("first"), F.max("d").alias("last"), F.coalesce(F.max("discs_hi"), F.lit(0)).alias("discs"), F.min("discs_lo").alias("discs_lo"), F.bool_or(F.col("wrong") | F.coalesce(untold, F.lit(False))).alias("wrong"),
+    )
+    several = F.col("discs") > 0
+    unknown = F.col("wrong") | (F.col("first") < 1) | (several & ((F.col("discs_lo") != F.col("discs")) | (F.col("last") > F.col("discs"))))
+    single = (F.col("last") == 1) & (F.col("discs") <= 1)
+    told = single | ((F.col("discs") == F.col("seen")) & (F.col("lo") != F.col("hi")))
+    expected = F.when(told, F.col("sum_of_totals"))
     status = (
-        F.when(contradicts, "unknown")
-        .when(absent_disc | (F.col("short") > 0), "incomplete")
-        .when(told, "complete")
+        F.when(unknown, "unknown")
+        .when((F.col("discs") > F.col("seen")) | (F.col("present") < F.coalesce(expected, F.col("hi"))), "incomplete")
+        .when(F.col("present") == expected, "complete")
         .otherwise("unknown")
     )
-    expected = F.when((status == "unknown") | absent_disc | ~told, None).otherwise(F.col("sum_total"))
-    return a.select(album, status.alias("status"), F.col("present").cast("long").alias("present"), expected.cast("long").alias("expected"))
+    return albums.select(album, status.alias("status"), F.col("present").cast("long").alias("present"), F.when(~unknown, expected).cast("long").alias("expected"))
 
 
 def duplicates(df: DataFrame, key: Column, best_first: list[Column]) -> DataFrame:

@@ -22,15 +22,17 @@ def existence_flag(rows: DataFrame, key: str, other: DataFrame, other_key: str,
 def priority_lookup(requests: DataFrame, request_id: str, kinds: list[tuple[Column, DataFrame]], order: list[Column]) -> DataFrame:
     """For each request the best candidate over several kinds of key, earlier kinds first.
 
-    kinds: (key of the request, candidates with ``key``, ``candidate`` and what order needs). One equi-join on
-    (kind, key), then the first by kind and order; requests without a candidate are left out.
+    kinds: (key of the request, candidates with ``key``, ``candidate`` and what order needs). Order is of the candidates
+    alone, so only the first of each (kind, key) is joined; requests without a candidate are left out.
     """
     asked = requests.select(
         request_id,
         F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), k.cast("string").alias("key")) for i, (k, _) in enumerate(kinds)])).alias("ask"),
     ).select(request_id, "ask.*").filter("key IS NOT NULL AND key <> ''")
     found = reduce(DataFrame.unionByName, [c.withColumn("kind", F.lit(i)).withColumn("key", F.col("key").cast("string")) for i, (_, c) in enumerate(kinds)])
-    rn = F.row_number().over(Window.partitionBy(request_id).orderBy("kind", *order))
+    first = F.row_number().over(Window.partitionBy("kind", "key").orderBy(*order))
+    found = found.withColumn("__rn", first).filter("__rn = 1").drop("__rn")
+    rn = F.row_number().over(Window.partitionBy(request_id).orderBy("kind"))
     return asked.join(found, ["kind", "key"]).withColumn("__rn", rn).filter("__rn = 1").drop("__rn")
 
 
@@ -95,11 +97,18 @@ def longest_tail(paths: DataFrame, path_id: str, path: str, targets: DataFrame,
     return best.withColumn("__rn", rn).filter("__rn = 1 AND n = 1").select(path_id, target_id, "k")
 
 
+def ancestors(path: Column) -> Column:
+    """The path itself and every folder above it, as an array."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def longest_prefix(rows: DataFrame, row_id: str, path: str, roots: DataFrame, root: str) -> DataFrame:
-    """Each row with the longest root that is a prefix of its path. Roots are few (a library's sources)."""
-    found = rows.join(roots, F.col(path).startswith(F.col(root)))
-    rn = F.row_number().over(Window.partitionBy(row_id).orderBy(F.length(root).desc(), root))
-    return found.withColumn("__rn", rn).filter("__rn = 1").drop("__rn")
+    """Each row with the longest root that is its path or a folder above it; found by equality with its ancestors."""
+    each = rows.withColumn("__up", F.explode(ancestors(F.col(path))))
+    known = roots.withColumn("__up", F.regexp_replace(root, "/+$", ""))
+    rn = F.row_number().over(Window.partitionBy(row_id).orderBy(F.length("__up").desc(), root))
+    return each.join(known, "__up").withColumn("__rn", rn).filter("__rn = 1").drop("__rn", "__up")
 
 
 def scored_match(pairs: DataFrame, request: str, candidate: str, score: Column, least: int, margin: int) -> DataFrame:

@@ -122,3 +122,13 @@ def item_vectors(sequences: DataFrame, items: str, size: int = 16, window: int =
 
     model = Word2Vec(vectorSize=size, minCount=least, windowSize=window, seed=seed, inputCol=items, outputCol="__v", numPartitions=partitions, maxIter=1)
     return model.fit(sequences).getVectors()
+
+
+def blocks(asked: DataFrame, asked_id: str, rows: DataFrame, row_id: str, of_asked: int = 1000, of_rows: int = 20_000) -> DataFrame:
+    """A stated set of queries beside all rows, a block of either at a time: each block of queries meets each block of rows in one place."""
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    m, n = parts(asked, of_asked), parts(rows, of_rows)
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.withColumn("__a", deal(asked_id, m)).withColumn("__b", every(n))
+    return left.join(rows.withColumn("__b", deal(row_id, n)).withColumn("__a", every(m)), ["__a", "__b"]).drop("__a", "__b")

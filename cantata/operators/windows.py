@@ -38,28 +38,63 @@ def collapse_repeats(df: DataFrame, key: str, value: str, order: list[Column], w
     return runs.groupBy(key, "run", value).agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("weight"))
 
 
+def range_of(df: DataFrame, lead: Column, parts: int = 256) -> Column:
+    """The number of the range that a number is in, of about ``parts`` even ones; equal numbers share one."""
+    splits = df.agg(F.percentile_approx(lead, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    splits = sorted({x for x in splits if x is not None})
+    return F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= lead)) if splits else F.lit(0)
+
+
+def running_sum(df: DataFrame, group: list[str], lead: Column, order: list, amount: Column, name: str) -> DataFrame:
+    """Adds the sum of amount over the rows of the group up to this one; order begins with lead, a number.
+
+    Each range of lead is summed in a place of its own, and told the sum of the ranges before: no task has a whole group.
+    """
+    placed = df.withColumn("__r", range_of(df, lead))
+    sums = placed.groupBy(*group, "__r").agg(F.sum(amount).alias("__s"))
+    earlier = Window.partitionBy(*group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__r").alias("__q"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*group, "__r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__r") == F.col("__q")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    summed = placed.withColumn(name, F.sum(amount).over(within)).join(before, same)
+    return summed.withColumn(name, F.col(name) + F.col("__before")).drop("__r", "__q", "__before", *[f"__g{i}" for i in range(len(group))])
+
+
+def _below(counts: DataFrame, value: str, n: str, name: str) -> DataFrame:
+    """counts, one row for each value, with the sum of n over all lower values."""
+    placed = counts.withColumn("__r", range_of(counts, F.col(value)))
+    sums, total = {r["__r"]: r["s"] for r in placed.groupBy("__r").agg(F.sum(n).alias("s")).collect()}, 0  # a number for each of the ranges
+    before = [0]
+    for r in sorted(sums):
+        before += [total] * (r + 1 - len(before))
+        total += sums[r]
+        before.append(total)
+    within = F.coalesce(F.sum(n).over(Window.partitionBy("__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn(name, within + F.element_at(F.array(*[F.lit(int(b)).cast("long") for b in before]), F.col("__r") + 1)).drop("__r")
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 over all rows, ties sharing the mean of their places.
+    """Ranks from 1 over all rows of a numeric value, ties sharing the mean of their places.
 
-    Only the distinct values are put in one order, as counts; no task holds the rows.
+    Distinct values are counted, and ordered a range at a time.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, value)
+    counts = _below(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__below")
+    return df.join(counts.withColumn(name, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below"), value)
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """The chance that a positive scores above a negative, ties half; null if one class is absent."""
     counts = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (2 * below + F.col("n"))).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = _below(counts, score, "n", "__below")
+    won = counts.withColumn("won", F.col("p") * (2 * F.col("__below") + F.col("n"))).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select("p", "n", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (2 * F.col("p") * F.col("n"))).alias("auc"))
 
 
-def interleave(df: DataFrame, source: str, order: list[Column], tie: str) -> DataFrame:
-    """Round robin: adds ``turn``, a row's place in its list; order by turn and source gives the sequence."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(*order, tie)))
+def interleave(df: DataFrame, source: str, lead: Column, order: list) -> DataFrame:
+    """Round robin: adds ``turn``, a row's place in its list; order by turn and source gives the sequence. order begins with lead, a number."""
+    return running_sum(df, [source], lead, order, F.lit(1).cast("long"), "turn")
 
 
 def recency_decay(df: DataFrame, key: str, order: list[Column], last: int, rate: float) -> DataFrame:
@@ -90,19 +125,28 @@ def bucket_changes(df: DataFrame, key: str, bucket: Column, order: list[Column])
     return df.withColumn("bucket", bucket).withColumn("__b", F.lag("bucket").over(w)).filter(F.col("__b").isNull() | (F.col("__b") != F.col("bucket"))).drop("__b")
 
 
-def evict_to_budget(df: DataFrame, group: list[str], size: str, order: list[Column], budget: int) -> DataFrame:
-    """Oldest rows first until what is left fits the budget; returns the evicted ones, by group."""
-    w = Window.partitionBy(*group)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("__b", before).withColumn("__t", total).filter(F.col("__t") - F.col("__b") > budget).drop("__b", "__t")
+def strata(df: DataFrame, group: str, lead: Column, order: list, parts: int, name: str = "stratum") -> DataFrame:
+    """Adds a number from 1 to parts: each group in that many runs of order, whose sizes differ by one at most, larger ones first."""
+    counts = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_sum(df, [group], lead, order, F.lit(1).cast("long"), "__p").join(counts, F.col(group).eqNullSafe(F.col("__g")))
+    size, longer = F.floor(F.col("__n") / parts), F.col("__n") % parts
+    at, head = F.col("__p") - 1, longer * (size + 1)
+    return placed.withColumn(name, (F.when(at < head, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - head) / size)) + 1).cast("int")).drop("__g", "__n", "__p")
+
+
+def evict_to_budget(df: DataFrame, group: str, size: str, lead: Column, order: list, budget: int) -> DataFrame:
+    """Oldest rows first until what is left fits the budget; returns the evicted ones, by group. order begins with lead, a number."""
+    totals = df.groupBy(F.col(group).alias("__g")).agg(F.sum(size).alias("__t"))
+    summed = running_sum(df, [group], lead, order, F.coalesce(F.col(size), F.lit(0)), "__s").join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    return summed.filter(F.col("__t") - F.col("__s") + F.coalesce(F.col(size), F.lit(0)) > budget).drop("__g", "__t", "__s")
 
 
 def fractional_cap(df: DataFrame, group: str, member: str, order: list[Column], share: float) -> DataFrame:
     """At most a share (rounded up) of each group's rows for one member, the first ones."""
-    total = F.count(F.lit(1)).over(Window.partitionBy(group))
+    totals = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__t"))
     place = F.row_number().over(Window.partitionBy(group, member).orderBy(*order))
-    return df.withColumn("__t", total).withColumn("__p", place).filter(F.col("__p") <= F.ceil(F.col("__t") * share)).drop("__t", "__p")
+    placed = df.withColumn("__p", place).join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    return placed.filter(F.col("__p") <= F.ceil(F.col("__t") * share)).drop("__g", "__t", "__p")
 
 
 def numbered_conflicts(df: DataFrame, target: str, order: list[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantata.functions import text as fn
@@ -134,29 +135,49 @@ def division_all(t):
     return joins.has_all(t.orders.select("o_orderkey"), "o_orderkey", needed, present)
 
 
-_ASSESSED = """
-WITH tracks AS (SELECT l_orderkey AS album, l_linenumber AS track, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS total FROM lineitem),
-slots AS (SELECT album, track, min(total) AS total FROM tracks GROUP BY ALL),
-albums AS (SELECT album, count(*) AS present, max(total) AS total, bool_or(track < 1) AS bad FROM slots GROUP BY 1)
-SELECT album, CASE WHEN bad THEN 'unknown' WHEN present < total THEN 'incomplete' ELSE 'complete' END AS status, present,
-       CASE WHEN bad THEN NULL ELSE CAST(total AS BIGINT) END AS expected FROM albums"""
-
-
-@query(_ASSESSED)
+@query("""
+WITH l AS (
+  SELECT l_orderkey AS album, l_linenumber AS track, l_suppkey, CASE WHEN l_orderkey % 2 = 1 THEN 2 ELSE 1 END AS discs,
+         CASE WHEN l_orderkey % 2 = 1 THEN 1 + l_partkey % 2 WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS disc,
+         CASE WHEN l_orderkey % 11 = 0 THEN lower(l_returnflag) ELSE '' END AS title
+  FROM lineitem),
+r AS (
+  SELECT album, track, discs, title, greatest(disc, 1) AS d,
+         CASE WHEN album % 7 = 0 OR l_suppkey % 10 = 0 THEN NULL ELSE max(track) OVER (PARTITION BY album, disc) END AS total FROM l),
+clash AS (SELECT DISTINCT album FROM (SELECT album, d, track FROM r GROUP BY ALL HAVING count(DISTINCT title) > 1)),
+c AS (SELECT album, d, count(DISTINCT track) AS present, max(total) AS most, min(total) AS least, max(track) AS last_track, max(discs) AS discs FROM r GROUP BY 1, 2),
+a AS (
+  SELECT album, sum(present) AS present, sum(most) AS total, min(most) AS lo, max(most) AS hi, count(*) AS seen, max(d) AS last_disc, max(discs) AS discs,
+         bool_or(most IS NULL OR least <> most OR last_track > most) AS bad FROM c GROUP BY 1),
+e AS (
+  SELECT *, bad OR album IN (SELECT album FROM clash) AS uncertain,
+         CASE WHEN (last_disc = 1 AND discs = 1) OR (discs = seen AND lo <> hi) THEN total END AS expected FROM a)
+SELECT album, CASE WHEN uncertain THEN 'unknown' WHEN discs > seen OR present < coalesce(expected, hi) THEN 'incomplete' WHEN present = expected THEN 'complete' ELSE 'unknown' END AS status,
+       CAST(present AS BIGINT) AS present, CASE WHEN NOT uncertain THEN CAST(expected AS BIGINT) END AS expected FROM e""")
 def completeness(t):
-    sizes = t.lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("total"))
-    tracks = t.lineitem.join(sizes, "l_orderkey").select(
-        F.col("l_orderkey").alias("album"), F.col("l_linenumber").alias("track"), "total", F.lit(1).alias("disc"), F.lit(1).alias("discs"), F.lit("").alias("title"), F.lit(0).alias("unavailable")
+    two = F.col("album") % 2 == 1
+    tracks = t.lineitem.select(F.col("l_orderkey").alias("album"), F.col("l_linenumber").alias("track"), "l_partkey", "l_suppkey", "l_returnflag")
+    tracks = tracks.repartition("album").withColumn("disc", F.when(two, 1 + F.col("l_partkey") % 2).when(F.col("album") % 5 == 0, 0).otherwise(1).cast("int"))
+    most = F.max("track").over(Window.partitionBy("album", "disc"))
+    tracks = tracks.select(
+        "album",
+        "track",
+        "disc",
+        F.when(two, 2).otherwise(1).alias("discs"),
+        F.when((F.col("album") % 7 != 0) & (F.col("l_suppkey") % 10 != 0), most).alias("total"),
+        F.when(F.col("album") % 11 == 0, F.col("l_returnflag")).alias("title"),
+        F.lit(0).alias("unavailable"),
     )
     return cat.completeness(tracks, "album", "track", "total", "disc", "discs", "title", "unavailable")
 
 
 @query("""
-WITH d AS (SELECT doc_id, n_chars, sha256(lower(trim(coalesce(text, '')))) AS dup_key FROM documents)
+WITH d AS (SELECT doc_id, n_chars, sha256(lower(trim(coalesce(text, '')))) AS dup_key FROM documents WHERE trim(coalesce(text, '')) <> '')
 SELECT doc_id, dup_key, copies, rn = 1 AS keep FROM (
   SELECT doc_id, dup_key, count(*) OVER (PARTITION BY dup_key) AS copies, row_number() OVER (PARTITION BY dup_key ORDER BY n_chars DESC NULLS LAST, doc_id) AS rn FROM d) WHERE copies > 1""")
 def duplicate_groups(t):
-    d = t.documents.select("doc_id", "n_chars", F.sha2(fn.lookup_text(F.col("text")), 256).alias("k"))
+    key = F.nullif(fn.lookup_text(F.col("text")), F.lit(""))  # blank texts are no copies of each other
+    d = t.documents.select("doc_id", "n_chars", F.sha2(key, 256).alias("k"))
     return cat.duplicates(d, F.col("k"), [F.desc_nulls_last("n_chars"), F.asc("doc_id")]).select("doc_id", "dup_key", "copies", "keep")
 
 
@@ -169,9 +190,9 @@ def multi_term_search(t):
 
 @query("""
 SELECT p_partkey, rank FROM (SELECT p_partkey, p_name, CASE WHEN lower(trim(p_name)) = 'part 1' THEN 0 WHEN starts_with(lower(trim(p_name)), 'part 1') THEN 1
-  WHEN contains(lower(trim(p_name)), 'part 1') THEN 2 ELSE 3 END AS rank FROM part) WHERE rank < 3 OR p_partkey % 7 = 0""")
+  WHEN contains(lower(trim(p_name)), 'part 1') THEN 2 ELSE 3 END AS rank FROM part)""")
 def search_rank(t):
-    return t.part.select("p_partkey", cat.search_rank("Part 1", F.col("p_name")).alias("rank")).filter("rank < 3 OR p_partkey % 7 = 0")
+    return t.part.select("p_partkey", cat.search_rank("Part 1", F.col("p_name")).alias("rank"))
 
 
 @query("SELECT page_id FROM pages WHERE contains(lower(url), 'example')")
@@ -235,10 +256,11 @@ def latest_order(t):
 
 
 @query("""
-SELECT p_partkey, CAST(len(list_distinct(list_filter(list_transform(string_split_regex(p_name, '(?i)\\s*[,;&]\\s*|\\s+(?:x|feat\\.?|ft\\.?|featuring|with)\\s+'), lambda x: lower(trim(x))), lambda x: x <> ''))) AS INTEGER) AS n,
-       contains(' ' || lower(p_name) || ' ', ' part ') AS has_word FROM part""".replace("\\\\", "\\"))
+SELECT p_partkey, array_to_string([p_name, p_brand, p_type, 'Last'], '|') AS names, CAST(4 AS INTEGER) AS n, contains(' ' || lower(p_name) || ' ', ' part ') AS has_word FROM part""")
 def credit_split(t):
-    return t.part.select("p_partkey", F.size(fn.credits(F.col("p_name"))).alias("n"), fn.contains_words(F.lower("p_name"), F.lit("part")).alias("has_word"))
+    line = F.concat("p_name", F.lit(" Featured "), "p_brand", F.lit("; "), "p_type", F.lit(" & "), F.lower("p_brand"), F.lit(" x Last ft."))
+    names = fn.credits(line)
+    return t.part.select("p_partkey", F.array_join(names, "|").alias("names"), F.size(names).alias("n"), fn.contains_words(F.lower("p_name"), F.lit("part")).alias("has_word"))
 
 
 @query("""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantata.operators import joins
@@ -95,10 +94,10 @@ def local_peaks(t):
 
 
 @query("""
-SELECT event_type, event_id, turn FROM (
-  SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS turn FROM events) WHERE turn <= 200""")
+SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events""")
 def interleave(t):
-    return wn.interleave(t.events, "event_type", [F.asc("ts")], "event_id").filter("turn <= 200").select("event_type", "event_id", "turn")
+    rows = t.events.select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return wn.interleave(rows, "event_type", F.col("at"), ["at", "event_id"]).select("event_type", "event_id", "turn")
 
 
 @query("""
@@ -228,7 +227,7 @@ def upsert_totals(t):
 WITH d AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(n_chars) OVER (PARTITION BY source) AS t FROM documents)
 SELECT doc_id, n_chars FROM d WHERE t - coalesce(b, 0) > 50000""")
 def lru_evict(t):
-    return wn.evict_to_budget(t.documents.select("doc_id", "source", "n_chars"), ["source"], "n_chars", [F.asc("doc_id")], 50000).select("doc_id", "n_chars")
+    return wn.evict_to_budget(t.documents.select("doc_id", "source", "n_chars"), "source", "n_chars", F.col("doc_id"), ["doc_id"], 50000).select("doc_id", "n_chars")
 
 
 @query("""
@@ -267,5 +266,4 @@ def status_counts(t):
 @query("""
 SELECT o_orderpriority, CAST(ntile(8) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS INTEGER) AS stratum, o_orderkey FROM orders""")
 def strata(t):
-    place = F.ntile(8).over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return t.orders.select("o_orderpriority", place.alias("stratum"), "o_orderkey")
+    return wn.strata(t.orders.select("o_orderpriority", "o_orderkey"), "o_orderpriority", F.col("o_orderkey"), ["o_orderkey"], 8).select("o_orderpriority", "stratum", "o_orderkey")

@@ -64,15 +64,18 @@ def counted_plays(ticks: DataFrame, key: str = "user_id", track: str = "track",
     )
 
 
-def merge_into(path: str, keys: list[str], sums: list[str], latest: list[str] | tuple = ()):
+def merge_into(path: str, keys: list[str], sums: list[str], latest: list[str] | tuple = (), at: str | None = None):
     """For foreachBatch: adds each batch of deltas to the totals stored under path.
 
+    Of a batch's values of the columns ``latest`` the one of the greatest time ``at`` counts (of equal times, or without
+    one, the greatest value).
+
     Each version is a folder named by its batch, written whole and then read back as the next one's start; a batch
     that is tried again writes the same version from the same start, so nothing is added twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        delta = batch.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.last(c, ignorenulls=True).alias(c) for c in latest])
+        delta = batch.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(at) if at else F.lit(0), F.col(c)))).alias(c) for c in latest])
         if batch_id:
             delta = upsert_totals(batch.sparkSession.read.parquet(f"{path}/v={batch_id - 1}"), delta, keys, sums, list(latest))
         delta.write.mode("overwrite").parquet(f"{path}/v={batch_id}")

@@ -2,14 +2,17 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cantata import registry
 from cantata.functions import text as fn
 from cantata.operators import catalogue, joins, listening, maintenance, ranking, windows
 from cantata.sources import files
 from cantata.streaming import listening as streams
+from tests.differential import DATA
 
 
 def values(df, *columns):
@@ -20,28 +23,76 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def album(positions, total, disc=1, discs=1, title=None, off=0):
+    return [(title or f"t{p}", p, total, disc, discs, off) for p in positions]
+
+
 ALBUMS = {
-    "complete": ([(1, 3, 1, 1), (2, 3, 1, 1), (3, 3, 1, 1)], "complete", 3, 3),
-    "gap": ([(1, 3, 1, 1), (3, 3, 1, 1)], "incomplete", 2, 3),
-    "one-track": ([(1, 12, 1, 1)], "incomplete", 1, 12),
-    "duplicate": ([(1, 2, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1)], "complete", 2, 2),
-    "multi": ([(1, 2, 1, 2), (2, 2, 1, 2), (1, 3, 2, 2)], "incomplete", 3, 5),
-    "disc-gap": ([(1, 2, 1, 2), (2, 2, 1, 2)], "incomplete", 2, None),
-    "ambiguous": ([(1, 2, 1, 0), (1, 2, 2, 0)], "incomplete", 2, None),
-    "conflicting-total": ([(1, 3, 1, 1), (2, 4, 1, 1)], "unknown", 2, None),
-    "missing-total": ([(1, None, 1, 1)], "unknown", 1, None),
-    "missing-number": ([(0, 3, 1, 1), (1, 3, 1, 1)], "unknown", 2, None),
-    "out-of-range": ([(1, 3, 1, 1), (4, 3, 1, 1)], "unknown", 2, None),
+    "complete": (album([1, 2, 3], 3), "complete", 3, 3),
+    "gap": (album([1, 3], 3), "incomplete", 2, 3),
+    "one-track-album": (album([1], 12), "incomplete", 1, 12),
+    "duplicate-incomplete": (album([1, 1, 2], 3), "incomplete", 2, 3),
+    "duplicate-complete": (album([1, 1, 2], 2), "complete", 2, 2),
+    "multi-incomplete": (album([1, 2], 2, 1, 2) + album([1], 3, 2, 2), "incomplete", 3, 5),
+    "multi-complete": (album([1, 2], 2, 1, 2) + album([1, 2, 3], 3, 2, 2), "complete", 5, 5),
+    "disc-gap": (album([1, 2], 2, 1, 2), "incomplete", 2, None),
+    "ambiguous-but-missing": (album([1], 10, 1, 2) + album([1], 10, 2, 2), "incomplete", 2, None),
+    "ambiguous": (album([1], 2, 1, 2) + album([1], 2, 2, 2), "unknown", 2, None),
+    "equal-discs": (album([1, 2], 2, 1, 2) + album([1, 2], 2, 2, 2), "unknown", 4, None),
+    "conflicting-total": (album([1], 3) + album([2], 4), "unknown", 2, None),
+    "missing-total": (album([1], None), "unknown", 1, None),
+    "total-on-one-track": (album([1], None) + album([2], 2), "complete", 2, 2),
+    "missing-number": (album([0, 1], 3), "unknown", 1, None),
+    "out-of-range": (album([1, 4], 3), "unknown", 2, None),
+    "offline": (album([1, 2, 3], 3, off=1), "unknown", 3, None),
+    "conflicting-discs": (album([1], 2, 1, 1) + album([2], 2, 1, 2), "unknown", 2, None),
+    "invalid-total": (album([1], -1), "unknown", 1, None),
+    "invalid-disc-total": (album([1], 1, 1, -1), "unknown", 1, None),
+    "missing-disc-number": (album([1], 1, 0, 2), "unknown", 1, None),
+    "no-disc-number": (album([1], 2, 0, 1) + album([2], 2, 1, 1), "complete", 2, 2),
+    "conflicting-position": (album([1], 2, title="a") + album([1, 2], 2), "unknown", 2, None),
 }
 
 
 def test_completeness_labels(spark):
-    rows = [(name, f"t{track}", *slot) for name, (slots, *_) in ALBUMS.items() for slot in slots for track in [slot[0]]]
-    tracks = spark.createDataFrame([(a, title, t, total, d, n, 0) for a, title, t, total, d, n in rows], "album string, title string, track int, total int, disc int, discs int, off int")
-    got = {r["album"]: (r["status"], r["present"], r["expected"]) for r in catalogue.completeness(tracks, "album", "track", "total", "disc", "discs", "title", "off").collect()}
-    assert {k: v for k, v in got.items() if k != "ambiguous"} == {k: tuple(v[1:]) for k, v in ALBUMS.items() if k != "ambiguous"}
-    offline = tracks.filter("album = 'complete'").withColumn("off", F.lit(1))
-    assert catalogue.completeness(offline, "album", "track", "total", "disc", "discs", "title", "off").first()["status"] == "unknown"
+    rows = [(name, *slot) for name, (slots, *_) in ALBUMS.items() for slot in slots]
+    of = lambda rows: catalogue.completeness(spark.createDataFrame(rows, "album string, title string, track int, total int, disc int, discs int, off int"), "album", "track", "total", "disc", "discs", "title", "off")
+    assert {r["album"]: (r["status"], r["present"], r["expected"]) for r in of(rows).collect()} == {k: v[1:] for k, v in ALBUMS.items()}
+    filled = of([*rows, ("gap", "t2", 2, 3, 1, 1, 0)]).filter("status = 'incomplete'").collect()
+    assert "gap" not in {r["album"] for r in filled}
+
+
+def test_artist_credits(spark):
+    for line, names in (
+        ("One, Two; one & Three feat. TWO", ["One", "Two", "Three"]), ("One x Two", ["One", "Two"]), ("Malcolm X", ["Malcolm X"]), ("X", ["X"]), ("  ", []),
+        ("One featured Two", ["One", "Two"]), ("One feature Two", ["One", "Two"]), ("Florence and the Machine", ["Florence and the Machine"]), ("AC/DC", ["AC/DC"]),
+        ("One ft.", ["One"]), ("One with Two", ["One", "Two"]), ("Swift & Ftera", ["Swift", "Ftera"]),
+    ):
+        assert one(spark, fn.credits(F.lit(line))) == names
+    assert one(spark, fn.simplify_title(F.lit("A Song (Live) featured Two"))) == "a song"
+
+
+def test_playlist_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Track,Track Name,Artist Name(s),Track URI\n7,"Song ""A""",Ann,spotify:track:x1\n8,,Bob,\n9,,,y2\n')
+    rows = files.read_playlist_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert [(r["title"], r["artist"], r["album"], r["id"]) for r in rows] == [('Song "A"', "Ann", None, "x1"), (None, None, None, "y2")]
+
+
+def test_ranks_and_running_sums_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[int(g)] if g < 2 else None, float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 900), rng.integers(0, 300, 900), strict=True))]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r["id"]: (r["s"], r["stratum"]) for r in windows.strata(windows.running_sum(df, ["g"], F.col("v"), ["v", "id"], F.col("id"), "s"), "g", F.col("v"), ["v", "id"], 7).collect()}
+    for g in ("a", "b", None):
+        mine, total = sorted((v, i) for i, x, v in rows if x == g), 0
+        sizes = [len(part) for part in np.array_split(np.arange(len(mine)), 7)]
+        place = np.repeat(np.arange(1, 8), sizes)
+        for at, (_, i) in enumerate(mine):
+            total += i
+            assert got[i] == (total, place[at])
+    ranks = {r["id"]: r["rank"] for r in windows.average_rank(df, "v").collect()}
+    values = np.array([v for _, _, v in rows])
+    assert all(ranks[i] == (values < v).sum() + ((values == v).sum() + 1) / 2 for i, _, v in rows)
 
 
 def test_scalar_functions(spark):
@@ -122,7 +173,7 @@ def test_playlists_cue_and_lyrics(spark, tmp_path):
     lrc = spark.createDataFrame([("l", "[offset:100]\n[00:01.50][00:09.00]again\n[00:05.00]mid")], "path string, value string")
     assert [(r["time_ms"], r["end_ms"], r["text"]) for r in files.lyric_lines(lrc).orderBy("time_ms").collect()] == [(1400, 4900, "again"), (4900, 8900, "mid"), (8900, None, "again")]
     (tmp_path / "list.csv").write_text('Track Name,Artist Name(s)\n"One ""1""",Ann\n,Bob\n')
-    assert [tuple(r) for r in files.read_playlist_csv(spark, str(tmp_path / "list.csv")).collect()] == [('One "1"', "Ann", None, None), (None, "Bob", None, None)]
+    assert [tuple(r) for r in files.read_playlist_csv(spark, str(tmp_path / "list.csv")).collect()] == [('One "1"', "Ann", None, None, None)]  # a row without title and id is none
     (tmp_path / "music").mkdir()
     (tmp_path / "music" / "a.FLAC").write_bytes(b"abc")
     (tmp_path / "music" / "b.txt").write_bytes(b"abc")
