@@ -26,6 +26,8 @@ BROADCAST_BYTES = 64 << 20
 EMPTY = 42  # xxhash64 of an empty array: its seed
 #: Documents of a range of ids: GROUP_ROWS while there are MIN_GROUPS ranges or fewer, then up to GROUP_LIMIT.
 GROUP_ROWS, MIN_GROUPS, GROUP_LIMIT = 256, 1024, 10_000
+#: A range is looked up in two steps: first among this many.
+BLOCKS = 256
 _SEPARATORS = r"[\s\p{Punct}]+"
 
 
@@ -99,18 +101,24 @@ def in_neighbourhoods(docs: DataFrame) -> DataFrame:
     """
     n = docs.count()
     groups = max(1, min(n // GROUP_ROWS, max(MIN_GROUPS, n // GROUP_LIMIT)))
-    keyed = docs.withColumn("k", row_key())
-    ranges = keyed.select("doc_id", "k").repartitionByRange(groups, F.col("doc_id").asc_nulls_first(), F.col("k"))
-    # numbers alone, and written: where a range begins must not change
-    places = checkpointed(ranges.select(F.col("doc_id").alias("at_id"), F.col("k").alias("at_k"), F.spark_partition_id().alias("g")).distinct())
-    placed = keyed.join(places.hint("shuffle_hash"), (F.col("k") == F.col("at_k")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.min(F.struct(F.col("at_id").isNotNull().alias("known"), "at_id", "at_k")).alias("first")
-    firsts = places.groupBy("g").agg(first)  # a row for each range
-    before = firsts.select("first.at_id", "first.at_k", F.coalesce(F.lag("g").over(Window.orderBy("g")), F.max("g").over(whole)).alias("g"))
-    copies = keyed.join(F.broadcast(before), (F.col("k") == F.col("at_k")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("doc_id", "text", "k", "g", F.lit(True).alias("copy"))
-    both = placed.select("doc_id", "text", "k", "g", F.lit(False).alias("copy")).unionByName(copies)
-    order = Window.partitionBy("g").orderBy("copy", F.col("doc_id").asc_nulls_first(), "k")
+    me = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("k"))
+    keyed = docs.withColumn("k", row_key()).withColumn("me", me)
+    ranges = keyed.select("me").repartitionByRange(groups, "me")
+    # where a range begins is written: it must not change
+    firsts = checkpointed(ranges.groupBy(F.spark_partition_id().alias("g")).agg(F.min("me").alias("first")))
+    ranked = firsts.select("first", (F.row_number().over(Window.orderBy("first")) - 1).alias("at"))  # a row for each range
+    found = firsts.count()
+    per = max(1, -(-found // BLOCKS))
+    leads = [r["first"] for r in ranked.filter(F.col("at") % per == 0).orderBy("at").collect()]  # BLOCKS at most
+    literals = F.array(*[F.struct(F.lit(x["known"]).alias("known"), F.lit(x["id"]).cast("long").alias("id"), F.lit(x["k"]).cast("long").alias("k")) for x in leads])
+    blocks = ranked.groupBy(F.floor(F.col("at") / per).cast("int").alias("block")).agg(F.sort_array(F.collect_list("first")).alias("bounds"))
+    upto = lambda bounds: F.size(F.filter(bounds, lambda x: x <= F.col("me"))) - 1
+    placed = keyed.withColumn("block", upto(literals) if leads else F.lit(0)).join(F.broadcast(blocks), "block").withColumn("inside", upto(F.col("bounds")))
+    placed = placed.select("doc_id", "text", "me", (F.col("block") * per + F.col("inside")).alias("g"), (F.col("me") == F.element_at("bounds", F.col("inside") + 1)).alias("is_first"))
+    to = lambda g, copy: F.struct(g.alias("g"), F.lit(copy).alias("copy"))
+    before = F.pmod(F.col("g") - 1, F.lit(max(1, found)))
+    both = placed.select("doc_id", "text", "me", F.inline(F.when(F.col("is_first"), F.array(to(F.col("g"), False), to(before, True))).otherwise(F.array(to(F.col("g"), False)))))
+    order = Window.partitionBy("g").orderBy("copy", "me")
     return both.select("g", "doc_id", "text", "copy", F.row_number().over(order).alias("pos"), F.lead("text").over(order).alias("next_text"))
 
 
