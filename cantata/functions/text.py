@@ -170,6 +170,12 @@ def djb2(c: Column) -> Column:
     return F.lower(F.hex(F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: (h * 33 + x).bitwiseAND(F.lit(0xFFFFFFFF)))))
 
 
+def fnv1a(c: Column) -> Column:
+    """The 32-bit FNV-1a hash over a text's code units (of ASCII text), a number."""
+    codes = F.transform(F.split(c, ""), lambda ch: F.ascii(ch).cast("long"))
+    return F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, x: (h.bitwiseXOR(x) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def human_bytes(n: Column) -> Column:
     units = ["B", "KB", "MB", "GB", "TB"]
     out = F.format_string("%d B", n.cast("long"))
