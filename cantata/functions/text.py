@@ -189,3 +189,72 @@ def guess_script(c: Column) -> Column:
     counts = [F.regexp_count(c, F.lit(p)) for p in (r"[\p{IsLatin}]", r"[\p{IsCyrillic}]", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")]
     most = F.greatest(*counts)
     return F.when(most == 0, "none").when(counts[0] == most, "latin").when(counts[1] == most, "cyrillic").otherwise("cjk")
+
+
+def kbps(n: Column) -> Column:
+    """A bit rate in thousands, told from one in bits by its size; below 16 it is none."""
+    rate = F.when(n >= 10000, F.floor(n / 1000 + 0.5)).otherwise(n)
+    return F.when((n > 0) & (rate >= 16), rate).cast("int")
+
+
+def average_kbps(size: Column, seconds: Column) -> Column:
+    """The bit rate that a file's size and length come to."""
+    return F.when((size > 0) & (seconds > 0), kbps(F.floor(size * 8 / seconds / 1000 + 0.5)))
+
+
+def quality_label(depth: Column, rate: Column, bit_rate: Column, format_: Column, stored: Column) -> Column:
+    """'FLAC 900kbps' where the bit rate is known, else '24-bit/96kHz', else what is stored."""
+    khz = F.when(rate % 1000 == 0, F.format_string("%d", (rate / 1000).cast("int"))).otherwise(F.format_string("%.1f", rate / 1000))
+    lossy = F.concat(F.coalesce(F.concat(F.upper(optional_text(format_)), F.lit(" ")), F.lit("")), bit_rate.cast("string"), F.lit("kbps"))
+    exact = F.concat(depth.cast("string"), F.lit("-bit/"), khz, F.lit("kHz"))
+    return F.when(bit_rate > 0, lossy).when((depth > 0) & (rate > 0), exact).otherwise(optional_text(stored))
+
+
+# Quality labels that stand for a wish and not for what a file is.
+PLACEHOLDER_LABELS = ("best", "lossless", "hi-res", "hi-res-max", "high", "cd")
+
+
+def is_placeholder_label(c: Column) -> Column:
+    return F.coalesce(F.lower(optional_text(c)).isin(*PLACEHOLDER_LABELS), F.lit(False))
+
+
+# Words that tell a message's level, the first that occurs counts.
+LEVEL_WORDS = (
+    ("ERROR", ("error", "failed")), ("WARN", ("warning", "warn")), ("INFO", ("success", "match found")), ("DEBUG", ("searching", "trying", "found")),
+)
+
+
+def log_tag(c: Column) -> Column:
+    """What stands in brackets at the beginning; null if nothing does."""
+    return F.nullif(F.regexp_extract(c, r"^\[([^\]]+)\]", 1), F.lit(""))
+
+
+def log_level(c: Column) -> Column:
+    """ERROR, WARN, INFO or DEBUG, by the words after the tag."""
+    text, level = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\[[^\]]+\]", "")), F.lit("INFO")
+    for name, words in reversed(LEVEL_WORDS):
+        level = F.when(text.rlike("|".join(words)), name).otherwise(level)
+    return level
+
+
+def window_offsets(seconds: Column, window: float) -> Column:
+    """Where to sample a piece: at 30 and 60 per cent, short ones once in the middle, ones of unknown length at 30 and 90 seconds."""
+    end = seconds - window
+    two = F.array(F.least(seconds * 0.3, end), F.least(seconds * 0.6, end))
+    return F.when(F.coalesce(seconds, F.lit(0)) <= 0, F.array(F.lit(30.0), F.lit(90.0))).when(seconds < 2 * window + 6, F.array(F.greatest(F.lit(0.0), end / 2))).otherwise(two)
+
+
+def catalogue_id(c: Column, scheme: str, host: str, shape: str = "[A-Za-z0-9]{22}") -> Column:
+    """The id in a bare id, a URI (scheme:...:id) or a page (https://host/track/id); null in anything else."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    bare = F.regexp_extract(text, f"^({shape})$", 1)
+    uri = F.regexp_extract(text, rf"^{scheme}:(?:.*:)?\s*({shape})$", 1)
+    page = F.regexp_extract(text, rf"^[A-Za-z]+://[^/?#]*{host.replace('.', '[.]')}[^/?#]*/track/({shape})(?:[/?#].*)?$", 1)
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (bare, uri, page)])
+
+
+def shown_progress(status: Column, progress: Column, new_status: Column, new_progress: Column) -> Column:
+    """Progress in hundredths; what has ended, or is being finished, doesn't go back."""
+    ended = status.isin("completed", "failed", "skipped") | ((status == "finalizing") & (new_status != "finalizing"))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), new_progress))
+    return F.when(ended, progress).when(new_status == "finalizing", 1.0).when(new_status == "preparing", 0.0).otherwise(F.coalesce(F.round(clamped, 2), progress))

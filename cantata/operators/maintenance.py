@@ -69,3 +69,71 @@ def unprotected(listed: DataFrame, seen: DataFrame, path: str, unreadable: DataF
     """Listed paths that a scan has not seen and that lie below no unreadable folder: those may be deleted."""
     missing = listed.join(seen.select(path), path, "left_anti")
     return missing.join(unreadable.select(F.col(prefix).alias("__p")), F.col(path).startswith(F.col("__p")), "left_anti")
+
+
+def confirmed_gone(listed: DataFrame, row_id: str, path: str, now: DataFrame, existing: DataFrame, high_water: int) -> DataFrame:
+    """Ids of listed rows up to the high-water mark whose file isn't there and whose row still has the same path.
+
+    listed is what the check began with, now the table as it is: rows that came or moved since are left alone.
+    """
+    missing = listed.filter(F.col(row_id) <= high_water).join(existing.select(path), path, "left_anti")
+    return missing.select(row_id, path).join(now.select(row_id, path), [row_id, path], "left_semi").select(row_id)
+
+
+def relink(table: DataFrame, row_id: str, path: str, moves: DataFrame, new_id: Column) -> DataFrame:
+    """The table after files moved (moves: old_path, new_path): a moved row takes its new path and the id that goes with it.
+
+    Rows that claimed a new path, or its id, and didn't move are stale and go. Moves of paths that no row has do nothing.
+    """
+    found = moves.join(table.select(F.col(path).alias("old_path")), "old_path", "left_semi").withColumn("__id", new_id)
+    moved = table.join(found.select(F.col("old_path").alias(path), "new_path", "__id"), path)
+    stayed = table.join(found.select(F.col("old_path").alias(path)), path, "left_anti")
+    stayed = stayed.join(found.select(F.col("new_path").alias(path)), path, "left_anti").join(found.select(F.col("__id").alias(row_id)), row_id, "left_anti")
+    other = [c for c in table.columns if c not in (row_id, path)]
+    return stayed.select(*table.columns).unionByName(moved.select(F.col("__id").alias(row_id), F.col("new_path").alias(path), *other))
+
+
+def merge_by_any_key(table: DataFrame, updates: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """Upsert in which an update replaces every row that shares any of its keys; of updates that share one, the last in order stays.
+
+    keys: columns of either table; null and blank ones tell nothing. An anti-join for each key.
+    """
+    marked = updates
+    for i, key in enumerate(keys):
+        marked = marked.withColumn(f"__k{i}", F.nullif(F.trim(key.cast("string")), F.lit("")))
+    marked = last_wins(marked, [f"__k{i}" for i in range(len(keys))], order)
+    kept = table
+    for i, key in enumerate(keys):
+        used = marked.select(F.col(f"__k{i}").alias("__key")).filter("__key IS NOT NULL")
+        kept = kept.withColumn("__key", F.nullif(F.trim(key.cast("string")), F.lit(""))).join(used, "__key", "left_anti").drop("__key")
+    return kept.select(*table.columns).unionByName(marked.select(*table.columns))
+
+
+def raise_versions(table: DataFrame, row_id: str, version: str, scans: DataFrame, least: int = 0) -> DataFrame:
+    """A version only rises: to that of the scan (row_id, scanned), and only for rows of at least a version already."""
+    seen = scans.groupBy(row_id).agg(F.max("scanned").alias("__scanned"))
+    own = F.coalesce(F.col(version), F.lit(0))
+    told = table.join(seen, row_id, "left")
+    return told.withColumn(version, F.when(own >= least, F.greatest(own, F.coalesce("__scanned", F.lit(0)))).otherwise(own)).select(*table.columns)
+
+
+def put_state(state: DataFrame, **values) -> DataFrame:
+    """A table of one row with some of its columns set; an empty one gets its row."""
+    names = [c for c in state.columns]
+    one = state.sparkSession.range(1).select(F.lit(1).alias("__one"))
+    row = one.join(state.withColumn("__one", F.lit(1)), "__one", "left")
+    return row.select(*[(F.lit(values[c]).cast(state.schema[c].dataType) if c in values else F.col(c)).alias(c) for c in names]).limit(1)
+
+
+def publish_versioned(staged: DataFrame, folder: str, version: int) -> str:
+    """Writes a restored table beside what is there and gives its path: readers go over to it only when it is whole."""
+    path = f"{folder}/version={version}"
+    staged.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def first_rows_of(table: DataFrame, key: str, wanted: DataFrame, order: list[str]) -> DataFrame:
+    """For each wanted value its first row, aggregated before it is shuffled: an IN list of any length."""
+    rows = table.join(wanted.select(key).distinct(), key, "left_semi")
+    others = [c for c in table.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__row")).select(key, "__row.*")
