@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cantata.operators.joins import ancestors
+
 
 def replace_source(table: DataFrame, stage: DataFrame, source_col: str, source: str, owned_elsewhere: DataFrame, key: str) -> DataFrame:
     """The table with one source's rows replaced by the staged ones that aren't owned elsewhere."""
@@ -66,9 +68,14 @@ def changes_since(feed: DataFrame, key: str, seq: str, since: int) -> DataFrame:
 
 
 def unprotected(listed: DataFrame, seen: DataFrame, path: str, unreadable: DataFrame, prefix: str) -> DataFrame:
-    """Listed paths that a scan has not seen and that lie below no unreadable folder: those may be deleted."""
+    """Listed paths that a scan has not seen and that lie below no unreadable folder: those may be deleted.
+
+    Folders are found by equality with a path's ancestors, however many there are.
+    """
     missing = listed.join(seen.select(path), path, "left_anti")
-    return missing.join(unreadable.select(F.col(prefix).alias("__p")), F.col(path).startswith(F.col("__p")), "left_anti")
+    folders = unreadable.select(F.regexp_replace(prefix, "/+$", "").alias("__up"))
+    closed = missing.select(path, F.explode(ancestors(F.col(path))).alias("__up")).join(folders, "__up", "left_semi").select(path)
+    return missing.join(closed, path, "left_anti")
 
 
 def confirmed_gone(listed: DataFrame, row_id: str, path: str, now: DataFrame, existing: DataFrame, high_water: int) -> DataFrame:

@@ -72,27 +72,41 @@ def greedy_diverse(scored: DataFrame, group: str, item: str, member: str, score:
 def logistic_with_prior(rows: DataFrame, group: str, features: list[str], label: str, weight: str, mean: float = 1.0, strength: float = 4.0, steps: int = 25) -> DataFrame:
     """For each group, logistic weights drawn towards `mean` (Newton steps): group, feature, coefficient.
 
-    The data of a group is first summed by distinct feature values, so a group's size is that of its value grid.
+    Rows are summed by their values once. Each step sums gradients and curvatures of all groups at once, before anything is
+    shuffled, and solves a small system for each group; a group's rows are never together. Checkpoints cut the steps' lineage.
     """
-    grid = rows.groupBy(group, *features, label).agg(F.sum(weight).alias("__w"))
-
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x, y, w = df[features].to_numpy(float), df[label].to_numpy(float), df["__w"].to_numpy(float)
-        b = np.full(len(features), mean)
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            gradient = x.T @ (w * (p - y)) + strength * (b - mean)
-            hessian = (x * (w * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(features))
-            step = np.linalg.solve(hessian, gradient)
-            b = b - step
-            if np.abs(step).max() < 1e-9:
-                break
-        return pd.DataFrame({group: df[group].iloc[0], "feature": features, "coefficient": b})
-
+    import numpy as np
+
+    k = len(features)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    summed = rows.groupBy(F.col(group).alias("__group"), *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("__y"))
+    grid = summed.agg(F.sum(F.col(weight).cast("double")).alias("__w")).checkpoint()
+    x = [F.col(f"__x{i}") for i in range(k)]
+    exponent = sum((F.col("__b")[i] * x[i] for i in range(k)), F.lit(0.0))
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), exponent))))
+    sums = [F.sum(F.col("__w") * (chance - F.col("__y")) * x[i]).alias(f"__g{i}") for i in range(k)]
+    sums += [F.sum(F.col("__w") * chance * (1 - chance) * x[i] * x[j]).alias(f"__h{i}_{j}") for i, j in upper]
     kind = rows.schema[group].dataType.simpleString()
-    return grid.groupBy(group).applyInPandas(fit, f"`{group}` {kind}, feature string, coefficient double")
+
+    def solve(parts):
+        for df in parts:
+            b = np.array(df["__b"].tolist(), float).reshape(len(df), k)
+            gradient = df[[f"__g{i}" for i in range(k)]].to_numpy(float) + strength * (b - mean)
+            curve = np.zeros((len(df), k, k))
+            for i, j in upper:
+                curve[:, i, j] = curve[:, j, i] = df[f"__h{i}_{j}"].to_numpy(float)
+            step = np.linalg.solve(curve + strength * np.eye(k), gradient[:, :, None])[:, :, 0]
+            yield pd.DataFrame({"__key": df["__key"], "__b": list(b - step), "__step": np.abs(step).max(axis=1)})
+
+    found = grid.select(F.col("__group").alias("__key")).distinct().withColumn("__b", F.array(*[F.lit(float(mean))] * k))
+    for _ in range(steps):
+        system = grid.join(found, F.col("__group").eqNullSafe(F.col("__key"))).groupBy("__key", "__b").agg(*sums)
+        solved = system.mapInPandas(solve, f"__key {kind}, __b array<double>, __step double").checkpoint()
+        found, moved = solved.select("__key", "__b"), solved.agg(F.max("__step")).first()[0]
+        if moved is None or moved < 1e-9:
+            break
+    named = F.explode(F.arrays_zip(F.array(*map(F.lit, features)).alias("f"), F.col("__b").alias("b"))).alias("p")
+    return found.select(F.col("__key").alias(group), named).select(group, F.col("p.f").alias("feature"), F.col("p.b").alias("coefficient"))
 
 
 def thompson(counts: DataFrame, arm: str, wins: str, losses: str, seed: int) -> DataFrame:

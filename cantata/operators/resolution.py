@@ -102,8 +102,8 @@ def direct_children(entries: DataFrame, url: str, base: str, seq: str) -> DataFr
     decoded = F.transform(rest, lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p))
     listed = entries.filter(inside).withColumn("__parts", decoded).filter(F.size("__parts") == len(above) + 1)
     for i, part in enumerate(above):
-        listed = listed.filter(F.col("__parts")[i] == part)
-    name = F.col("__parts")[len(above)]
+        listed = listed.filter(F.get("__parts", F.lit(i)) == part)
+    name = F.get("__parts", F.lit(len(above)))
     fit = listed.withColumn("name", name).filter((F.col("name") != "") & ~F.col("name").rlike(r"[/\\\x00]") & ~F.col("name").isin(".", ".."))
     kept = [c for c in entries.columns if c != "name"]
     last = fit.groupBy("name", F.col(url).endswith("/").alias("folder")).agg(F.max_by(F.struct(*kept), seq).alias("__row"))

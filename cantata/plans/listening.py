@@ -60,11 +60,11 @@ def collapse_repeats(t):
 
 
 @query("""
-SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS INTEGER) AS back
+SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS INTEGER) AS back, round(pow(0.75, back), 9) AS weight
 FROM events QUALIFY back < 12""")
 def recent_dozen(t):
     recent = wn.recency_decay(t.events, "user_id", [F.desc("ts"), F.desc("event_id")], 12, 0.75)
-    return recent.select("event_id", "user_id", "back")
+    return recent.select("event_id", "user_id", "back", F.round("weight", 9).alias("weight"))
 
 
 @query("""

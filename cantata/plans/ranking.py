@@ -81,10 +81,10 @@ def lookup_keys(t):
 @query("""
 SELECT o_orderkey, year(o_orderdate) AS year, CAST(year(o_orderdate) // 10 * 10 AS INTEGER) AS decade,
        CAST(o_orderkey // 60 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock,
-       CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 28 AS INTEGER) AS cycle_day FROM orders""")
+       CAST((date_diff('day', DATE '2024-01-01', CAST(o_orderdate AS DATE)) % 28 + 28) % 28 AS INTEGER) AS cycle_day FROM orders""")
 def dates_and_clocks(t):
     year = fn.release_year(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    cycle = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) % 28
+    cycle = F.pmod(F.datediff(F.to_date("o_orderdate"), F.lit("2024-01-01").cast("date")), F.lit(28))
     return t.orders.select("o_orderkey", F.year("o_orderdate").cast("long").alias("year"), fn.decade(year).alias("decade"), fn.clock(F.col("o_orderkey")).alias("clock"), cycle.alias("cycle_day"))
 
 
@@ -125,10 +125,25 @@ def greedy_diverse(t):
     return rk.greedy_diverse(scored, "o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice", 50, 4)
 
 
-@query()
+def _newton_sql(steps: int = 10) -> str:
+    """Newton steps for two weights drawn towards 1 by 4, written out one after another."""
+    grid = "g AS (SELECT l_returnflag AS k, round(l_discount * 10) AS a, round(l_tax * 10) AS b, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y, count(*) AS w FROM lineitem GROUP BY ALL)"
+    parts = [grid, "b0 AS (SELECT DISTINCT k, CAST(1 AS DOUBLE) AS p, CAST(1 AS DOUBLE) AS q FROM g)"]
+    for i in range(steps):
+        parts.append(f"c{i} AS MATERIALIZED (SELECT g.*, p, q, 1 / (1 + exp(-(p * a + q * b))) AS c FROM g JOIN b{i} USING (k))")
+        parts.append(
+            f"s{i} AS MATERIALIZED (SELECT k, p, q, sum(w * (c - y) * a) + 4 * (p - 1) AS u, sum(w * (c - y) * b) + 4 * (q - 1) AS v, sum(w * c * (1 - c) * a * a) + 4 AS h, "
+            f"sum(w * c * (1 - c) * a * b) AS m, sum(w * c * (1 - c) * b * b) + 4 AS n FROM c{i} GROUP BY k, p, q)"
+        )
+        parts.append(f"b{i + 1} AS MATERIALIZED (SELECT k, p - (n * u - m * v) / (h * n - m * m) AS p, q - (h * v - m * u) / (h * n - m * m) AS q FROM s{i})")
+    last = f"b{steps}"
+    return f"WITH {', '.join(parts)} SELECT k AS l_returnflag, 'a' AS feature, round(p, 6) AS coefficient FROM {last} UNION ALL SELECT k, 'b', round(q, 6) FROM {last}"
+
+
+@query(_newton_sql())
 def prior_logistic(t):
     rows = t.lineitem.select("l_returnflag", F.round(F.col("l_discount") * 10).alias("a"), F.round(F.col("l_tax") * 10).alias("b"), (F.col("l_linestatus") == "F").cast("int").alias("y"), F.lit(1.0).alias("w"))
-    return rk.logistic_with_prior(rows, "l_returnflag", ["a", "b"], "y", "w")
+    return rk.logistic_with_prior(rows, "l_returnflag", ["a", "b"], "y", "w").withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query()
