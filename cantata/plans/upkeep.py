@@ -26,8 +26,8 @@ FROM customer WHERE c_custkey % 10 <> 1""")
 def relink(t):
     n = F.col("c_custkey")
     table = t.customer.select("c_custkey", F.concat(F.lit("p"), n.cast("string")).alias("path"), "c_nationkey")
-    moves = t.customer.filter("c_custkey % 10 = 0").select(F.concat(F.lit("p"), n.cast("string")).alias("old_path"), F.concat(F.lit("p"), (n + 1).cast("string")).alias("new_path"))
-    moves = moves.union(t.spark.sql("SELECT 'nowhere' AS old_path, 'p5' AS new_path"))
+    old = F.concat(F.when(n % 10 == 0, "p").otherwise("no"), n.cast("string"))  # what no row has moves nothing
+    moves = t.customer.filter("c_custkey % 5 = 0").select(old.alias("old_path"), F.concat(F.lit("p"), F.when(n % 10 == 0, n + 1).otherwise(n).cast("string")).alias("new_path"))
     return keep.relink(table, "c_custkey", "path", moves, F.substring("new_path", 2, 20).cast("long"))
 
 
