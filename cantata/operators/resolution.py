@@ -38,9 +38,9 @@ def physical_matches(rows: DataFrame, row_id: str, path: str, wanted: DataFrame,
 
 def best_scored(pairs: DataFrame, request: list[str], candidate: str, score: Column, least: int) -> DataFrame:
     """Each request's best candidate of at least the score (ties: the lowest), aggregated before it is shuffled."""
-    ranked = pairs.withColumn("score", score).filter(F.col("score") >= least)
-    best = ranked.groupBy(*request).agg(F.max_by(F.struct(candidate, "score"), F.struct("score", -F.col(candidate))).alias("__best"))
-    return best.select(*request, "__best.*")
+    order = F.struct(score.alias("score"), (-F.col(candidate)).alias("__last"))  # scored once: filtered after, not before
+    best = pairs.groupBy(*request).agg(F.max(order).alias("__best")).filter(F.col("__best.score") >= least)
+    return best.select(*request, (-F.col("__best.__last")).alias(candidate), F.col("__best.score").alias("score"))
 
 
 def surest(pairs: DataFrame, request: list[str], candidate: str, score: Column, exact: Column, least: int = 85, clear: int = 10, gap: int = 8) -> DataFrame:
