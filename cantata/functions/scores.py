@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cantata.functions.text import credits, isrc, lookup_text, simplify_title, token_overlap
+from cantata.functions.text import credits, isrc, loose_text, lookup_text, simplify_title, token_overlap
 
 # The versions of a title that a plain title isn't matched with lightly, and what each costs.
 VERSION_MARKS = ("live", "karaoke", "instrumental", "acoustic", "radio edit", "sped up", "slowed")
 VERSION_COST = 18
 
-# Letters that no decomposition takes apart, and those written as a space.
+# Letters that no decomposition takes apart.
 FOLDED_LETTERS = {"đ": "dj", "ß": "ss", "æ": "ae", "œ": "oe"}
-SPACED_MARKS = r"/\_-|.&+"
 
 
 def words_only(c: Column) -> Column:
@@ -21,14 +20,6 @@ def words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def loose_text(c: Column) -> Column:
-    """Lower case; marks that join words become spaces, others go."""
-    import re
-
-    spaced = F.regexp_replace(lookup_text(c), rf"[{re.escape(SPACED_MARKS)}\s]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]", ""), " +", " "))
-
-
 def loose_name(c: Column) -> Column:
     """loose_text without accents and with the letters of FOLDED_LETTERS spelled out.
 

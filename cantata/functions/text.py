@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,12 +80,23 @@ def primary_artist(album_artist: Column, artist: Column) -> Column:
     return F.try_element_at(credits(F.when(various, artist).otherwise(album_artist)), F.lit(1))
 
 
+# Marks that a title's words are parted by, and the notes that say no more than which edition it is: brackets
+# that begin so, whole brackets, and what a dash may be followed by, with a year before it or without.
+SPACED_MARKS = r"/\_-|.&+"
+EDITION_NOTES, WHOLE_NOTES, DASHED_NOTE = ("feat", "ft", "featuring", "with", "remaster", "deluxe", "bonus", "live", "acoustic"), ("radio edit", "single version"), "remaster"
+
+
+def loose_text(c: Column) -> Column:
+    """Lower case; marks that join words become spaces, others go."""
+    spaced = F.regexp_replace(lookup_text(c), rf"[{re.escape(SPACED_MARKS)}\s]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]", ""), " +", " "))
+
+
 def simplify_title(c: Column) -> Column:
-    """Lower case without bracketed or dashed version notes and punctuation."""
-    title = F.lower(F.coalesce(c, F.lit("")))
-    for note in (r"\s*[\(\[][^\)\]]*[\)\]]", r"\s+-\s+.*$", rf"\b({'|'.join(FEATURING)})\b.*$", r"[^\p{L}\p{N}]+"):
-        title = F.regexp_replace(title, note, " ")
-    return F.trim(title)
+    """loose_text without notes on the edition; a title that is all marks stays as it is, without the notes."""
+    title = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s*-\s*(?:\d{{4}}\s*)?{DASHED_NOTE}.*$", "")
+    title = F.trim(F.regexp_replace(title, rf"(?i)\s*\((?:(?:{'|'.join(EDITION_NOTES)}).*?|{'|'.join(WHOLE_NOTES)})\)", ""))
+    return F.coalesce(blank_to_null(loose_text(title)), title)
 
 
 def contains_words(c: Column, words: Column) -> Column:

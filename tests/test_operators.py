@@ -69,7 +69,8 @@ def test_artist_credits(spark):
         ("One ft.", ["One"]), ("One with Two", ["One", "Two"]), ("Swift & Ftera", ["Swift", "Ftera"]),
     ):
         assert one(spark, fn.credits(F.lit(line))) == names
-    assert one(spark, fn.simplify_title(F.lit("A Song (Live) featured Two"))) == "a song"
+    for raw, plain in [("A Song (Live at X) featured Two", "a song featured two"), ("Up - 2011 Remastered", "up"), ("Up (2011) [Live]", "up 2011 live"), ("+ (feat. B)", "+"), ("", "")]:
+        assert one(spark, fn.simplify_title(F.lit(raw))) == plain
 
 
 def test_playlist_headers(spark, tmp_path):
