@@ -19,30 +19,40 @@ def file_location(path: Column, names: dict[str, str] | None = None) -> Column:
     track within a file (#track07) isn't part of the name.
     """
     stored = F.trim(F.regexp_replace(F.coalesce(path, F.lit("")), r"#track\d+$", ""))
-    scheme = F.lower(F.regexp_extract(stored, r"^(network|content|file)://", 1))
-    plain = F.when(scheme == "file", _decoded(F.regexp_replace(stored, "^file://(?:localhost)?", ""))).otherwise(F.replace(stored, F.lit("\\"), F.lit("/")))
-    plain = F.when(scheme.isin("network", "content"), stored).otherwise(plain)
-    host = F.lower(F.regexp_extract(stored, r"^\w+://(?:[^/@]*@)?([^/:?#]*)", 1))
-    drive = F.upper(F.regexp_extract(plain, "^([A-Za-z]:)(?:/|$)", 1))
-    kind = (
-        F.when(scheme.isin("network", "content"), scheme).when(plain.startswith("//"), "share").when(plain.startswith("/"), "path").when(drive != "", "drive").otherwise("volume")
-    )
-    remote = kind.isin("network", "content")
-    body = F.when(remote, F.regexp_replace(F.regexp_replace(stored, r"^\w+://[^/]*", ""), "[?#].*$", "")).when(kind == "drive", F.substr(plain, F.lit(3))).otherwise(plain)
-    parts = F.filter(F.split(body, "/"), lambda x: x != "")
-    parts = F.when(remote, F.transform(parts, _decoded)).otherwise(parts)
-    volume = F.get(parts, F.lit(0))
-    root = F.when(remote, F.concat(kind, F.lit("://"), host)).when(kind == "share", "//").when(kind == "path", "/").when(kind == "drive", drive).otherwise(F.concat(F.lit("volume:"), volume))
+    scheme = lambda p: F.lower(F.regexp_extract(p, r"^(network|content|file)://", 1))
+    plain = lambda p: F.when(scheme(p).isin("network", "content"), p).when(scheme(p) == "file", _decoded(F.regexp_replace(p, "^file://(?:localhost)?", ""))).otherwise(F.replace(p, F.lit("\\"), F.lit("/")))
+    return _let(_let(stored, plain), lambda p: _let(_parts(p), lambda at: _location(at, names or {})))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _parts(p: Column) -> Column:
+    """kind, root (of a host or drive), and the parts of a path with slashes."""
+    remote, drive = p.rlike("^(?:network|content)://"), F.upper(F.regexp_extract(p, "^([A-Za-z]:)(?:/|$)", 1))
+    kind = F.when(remote, F.regexp_extract(p, r"^(\w+):", 1)).when(p.startswith("//"), "share").when(p.startswith("/"), "path").when(drive != "", "drive").otherwise("volume")
+    host = F.lower(F.regexp_extract(p, r"^\w+://(?:[^/@]*@)?([^/:?#]*)", 1))
+    body = F.when(remote, F.regexp_replace(F.regexp_replace(p, r"^\w+://[^/]*", ""), "[?#].*$", "")).when(drive != "", F.substr(p, F.lit(3))).otherwise(p)
+    parts = F.transform(F.filter(F.split(body, "/"), lambda x: x != ""), lambda x: F.when(remote, _decoded(x)).otherwise(x))
+    return F.struct(kind.alias("kind"), F.when(remote, host).otherwise(drive).alias("base"), parts.alias("parts"))
+
+
+def _location(at: Column, names: dict[str, str]) -> Column:
+    kind, base, parts = at["kind"], at["base"], at["parts"]
+    volume, remote = F.get(parts, F.lit(0)), kind.isin("network", "content")
+    root = F.when(remote, F.concat(kind, F.lit("://"), base)).when(kind == "share", "//").when(kind == "path", "/").when(kind == "drive", base).otherwise(F.concat(F.lit("volume:"), volume))
     told = F.lit(None).cast("string")
-    if names:
-        told = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), host)
+    for host, name in names.items():
+        told = F.when(base == host.lower(), name).otherwise(told)
     label = (
-        F.when(kind == "network", F.coalesce(told, host)).when(kind == "content", host).when(kind == "share", "\\\\").when(kind == "path", "/")
-        .when(kind == "drive", F.concat(drive, F.lit("\\"))).otherwise(volume)
+        F.when(kind == "network", F.coalesce(told, base)).when(kind == "content", base).when(kind == "share", "\\\\").when(kind == "path", "/")
+        .when(kind == "drive", F.concat(base, F.lit("\\"))).otherwise(volume)
     )
     first = F.when(kind == "volume", 2).otherwise(1)
     folders = F.when(kind == "content", F.array().cast("array<string>")).otherwise(F.slice(parts, first, F.greatest(F.size(parts) - first, F.lit(0))))
-    found = (F.size(parts) >= first) & (~remote | (host != ""))
+    found = (F.size(parts) >= first) & (~remote | (base != ""))
     return F.when(found, F.struct(root.alias("root"), label.alias("label"), folders.alias("folders"), F.element_at(parts, -1).alias("file")))
 
 

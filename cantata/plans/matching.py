@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cantata.functions import matching as m
 from cantata.functions import places
-from cantata.operators import learning, signals
+from cantata.operators import learning, mixes, signals
 from cantata.operators.ordering import page
 from cantata.plans.common import Registry
 
@@ -207,3 +208,13 @@ def vector_store(t):
     new = t.embeddings.filter("vec_id % 4 < 2").select(*row(F.lit(2), F.when(F.col("vec_id") % 4 == 0, F.col("embedding"))))
     found = signals.get_vectors(signals.put_vectors(old, new, "vec_id"), t.embeddings.filter("label >= 2"), "vec_id", "vector", 2)
     return found.join(t.embeddings.select("vec_id", F.col("label").alias("size")), "vec_id").select("vec_id", "size")
+
+
+@query()
+def library_mixes(t):
+    """Orders as songs of eight libraries, customers as artists, priorities and states as genres."""
+    k = F.col("o_orderkey")
+    genres = F.when(k % 11 == 0, F.array().cast("array<string>")).when(k % 3 == 0, F.array("o_orderpriority", "o_orderstatus")).otherwise(F.array("o_orderpriority"))
+    columns = [(F.col("o_custkey") % 8).alias("who"), k.alias("song"), (F.col("o_custkey") % 97).cast("string").alias("artist"), genres.alias("families")]
+    heard = [F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("added"), (k % 5 * (k % 2)).cast("double").alias("plays"), (k % 7).cast("double").alias("past")]
+    return mixes.library_mixes(t.orders.select(*columns, *heard), datetime.date(1998, 1, 1))
