@@ -68,12 +68,21 @@ def event_time(c: Column, zone: Column) -> Column:
     otherwise the clock as written. Days that don't exist are no dates.
     """
     shape = r"^(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    text = F.trim(c)
-    group = lambda i: F.regexp_extract(text, shape, i)
-    number = lambda i: F.coalesce(group(i).try_cast("int"), F.lit(0))
-    wall = F.when((number(4) < 24) & (number(5) < 60), F.try_make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), F.lit(0).cast("decimal(16,6)")))
-    offset = F.regexp_replace(group(6), "Z|:", "")
-    minutes = F.coalesce(F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int"), F.lit(0)) * F.when(offset.startswith("-"), -1).otherwise(1)
-    universal = wall - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    there = F.when((group(6) != "") & F.trim(zone).isin(*ZONES), F.convert_timezone(F.lit("UTC"), F.trim(zone), universal)).otherwise(wall)
-    return F.when(text.rlike(shape) & wall.isNotNull(), F.struct(there.alias("at"), (group(4) != "").alias("has_time")))
+    groups = [F.regexp_extract(F.trim(c), shape, i + 1).alias(name) for i, name in enumerate(("year", "month", "day", "hour", "minute", "offset"))]
+    return _let(_let(F.struct(*groups), _clock), lambda t: F.when(t["wall"].isNotNull(), F.struct(_there(t, F.trim(zone)).alias("at"), t["has_time"].alias("has_time"))))
+
+
+def _clock(parts: Column) -> Column:
+    """wall, the clock as written (null for no date), has_time, and the minutes it is before universal time (null: not told)."""
+    number = lambda name: F.coalesce(parts[name].try_cast("int"), F.lit(0))
+    exists = (parts["year"] != "") & (number("hour") < 24) & (number("minute") < 60)
+    wall = F.when(exists, F.try_make_timestamp_ntz(*map(number, ("year", "month", "day", "hour", "minute")), F.lit(0).cast("decimal(16,6)")))
+    digits = F.regexp_replace(parts["offset"], "[Z:]", "")
+    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+    ahead = F.when(parts["offset"] == "", None).when(digits == "", 0).otherwise(F.when(digits.startswith("-"), -minutes).otherwise(minutes))
+    return F.struct(wall.alias("wall"), (parts["hour"] != "").alias("has_time"), ahead.alias("ahead"))
+
+
+def _there(t: Column, zone: Column) -> Column:
+    universal = t["wall"] - F.make_dt_interval(F.lit(0), F.lit(0), t["ahead"])
+    return F.when(t["ahead"].isNotNull() & zone.isin(*ZONES), F.convert_timezone(F.lit("UTC"), zone, universal)).otherwise(t["wall"])

@@ -111,8 +111,10 @@ def learn_preferences(outcomes: DataFrame, who: str, at: str, item: str, feature
     through a batch at a time with one model in memory. An outcome without a time, weight, reward or feature is only judged.
     Rows without a listener are one listener's.
     """
-    placed = _arriving(outcomes, who, at, item, features, reward, weight).withColumn("__who", F.coalesce(F.concat(F.lit("="), F.col(who).cast("string")), F.lit("")))
-    sorted_ = placed.repartition("__who").sortWithinPartitions("__who", "__seconds", item)
+    name = F.coalesce(F.concat(F.lit("="), F.col(who).cast("string")), F.lit(""))
+    parts = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as told: few bytes may still be much work
+    placed = _arriving(outcomes.repartition(parts, name), who, at, item, features, reward, weight)  # features are made where they are used, not moved
+    sorted_ = placed.withColumn("__who", name).sortWithinPartitions("__who", "__seconds", item)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, model = None, None
