@@ -7,6 +7,8 @@ import zoneinfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cantata.functions.text import trimmed
+
 # Zone names that are places in a machine's own setup and not in the world.
 ZONES = sorted(zoneinfo.available_timezones() - {"Factory", "localtime"})
 
@@ -18,7 +20,7 @@ def file_location(path: Column, names: dict[str, str] | None = None) -> Column:
     absolute paths, drives, and a path that begins at a volume. ``names``: what to call a network host. A number of a
     track within a file (#track07) isn't part of the name.
     """
-    stored = F.trim(F.regexp_replace(F.coalesce(path, F.lit("")), r"#track\d+$", ""))
+    stored = trimmed(F.regexp_replace(F.coalesce(path, F.lit("")), r"#track\d+$", ""))
     scheme = lambda p: F.lower(F.regexp_extract(p, r"^(network|content|file)://", 1))
     plain = lambda p: F.when(scheme(p).isin("network", "content"), p).when(scheme(p) == "file", _decoded(F.regexp_replace(p, "^file://(?:localhost)?", ""))).otherwise(F.replace(p, F.lit("\\"), F.lit("/")))
     return _let(_let(stored, plain), lambda p: _let(_parts(p), lambda at: _location(at, names or {})))
@@ -68,8 +70,8 @@ def event_time(c: Column, zone: Column) -> Column:
     otherwise the clock as written. Days that don't exist are no dates.
     """
     shape = r"^(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    groups = [F.regexp_extract(F.trim(c), shape, i + 1).alias(name) for i, name in enumerate(("year", "month", "day", "hour", "minute", "offset"))]
-    return _let(_let(F.struct(*groups), _clock), lambda t: F.when(t["wall"].isNotNull(), F.struct(_there(t, F.trim(zone)).alias("at"), t["has_time"].alias("has_time"))))
+    groups = [F.regexp_extract(trimmed(c), shape, i + 1).alias(name) for i, name in enumerate(("year", "month", "day", "hour", "minute", "offset"))]
+    return _let(_let(F.struct(*groups), _clock), lambda t: F.when(t["wall"].isNotNull(), F.struct(_there(t, trimmed(zone)).alias("at"), t["has_time"].alias("has_time"))))
 
 
 def _clock(parts: Column) -> Column:

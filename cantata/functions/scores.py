@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cantata.functions.text import credits, isrc, loose_text, lookup_text, simplify_title, token_overlap
+from cantata.functions.text import credits, isrc, loose_text, lookup_text, simplify_title, token_overlap, trimmed
 
 # The versions of a title that a plain title isn't matched with lightly, and what each costs.
 VERSION_MARKS = ("live", "karaoke", "instrumental", "acoustic", "radio edit", "sped up", "slowed")
@@ -17,7 +17,7 @@ FOLDED_LETTERS = {"đ": "dj", "ß": "ss", "æ": "ae", "œ": "oe"}
 
 def words_only(c: Column) -> Column:
     """Lower case, letters and digits of any script, a space between runs."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return trimmed(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def loose_name(c: Column) -> Column:
@@ -52,7 +52,7 @@ def _points(same: Column, points: int, else_if: Column, half: int) -> Column:
 
 def enrichment_score(asked: dict[str, Column], found: dict[str, Column]) -> Column:
     """Of isrc, title, artist: 100 for the code, 30 or 15 for the title, 20 or 10 for the artist, equal or one in the other."""
-    code = lambda d: F.upper(F.trim(F.coalesce(d["isrc"], F.lit(""))))
+    code = lambda d: F.upper(trimmed(F.coalesce(d["isrc"], F.lit(""))))
     score = F.when((code(asked) != "") & (code(asked) == code(found)), 100).otherwise(0)
     for field, whole, part in (("title", 30, 15), ("artist", 20, 10)):
         a, b = words_only(asked[field]), words_only(found[field])
@@ -116,15 +116,15 @@ def replacement_score(asked: dict[str, Column], found: dict[str, Column]) -> Col
 
 def catalogue_key(isrc_: Column, public_id: Column, provider: Column, provider_id: Column, name: Column, artists: Column) -> Column:
     """What tells recordings apart: the code, else a public id, else a provider's own, else name and artists."""
-    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    blank = lambda c: F.nullif(trimmed(F.coalesce(c, F.lit(""))), F.lit(""))
     own = F.when(blank(provider).isNotNull() & blank(provider_id).isNotNull(), F.concat_ws(":", blank(provider), blank(provider_id)))
-    named = F.concat(F.trim(F.coalesce(name, F.lit(""))), F.lit("|"), F.trim(F.coalesce(artists, F.lit(""))))
+    named = F.concat(trimmed(F.coalesce(name, F.lit(""))), F.lit("|"), trimmed(F.coalesce(artists, F.lit(""))))
     return F.coalesce(F.concat(F.lit("isrc:"), F.upper(blank(isrc_))), F.concat(F.lit("id:"), blank(public_id)), own, named)
 
 
 def path_aliases(path: Column) -> Column:
     """The ways to write one file's path, in lower case: as it is, without file://, decoded, with / for every slash."""
-    raw = F.trim(F.coalesce(path, F.lit("")))
+    raw = trimmed(F.coalesce(path, F.lit("")))
     bare = F.regexp_replace(raw, "(?i)^file://", "")
     valid = ~bare.rlike("%(?![0-9A-Fa-f]{2})") & F.contains(bare, F.lit("%"))
     decoded = F.when(valid, F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)

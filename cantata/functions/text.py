@@ -17,13 +17,22 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*map(blank_to_null, columns))
 
 
+#: All characters that count as white space at the ends of a text.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column | str) -> Column:
+    """Without white space of any kind at its ends; F.trim takes spaces only."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def lookup_text(c: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.lower(trimmed(F.coalesce(c, F.lit(""))))
 
 
 def optional_text(c: Column) -> Column:
     """Blank and the word null become NULL; the rest is trimmed."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when((t == "") | (F.lower(t) == "null"), None).otherwise(t)
 
 
@@ -48,7 +57,7 @@ def isrc(c: Column) -> Column:
 
 
 def isrc_is_wrong(c: Column) -> Column:
-    return (F.trim(F.coalesce(c, F.lit(""))) != "") & (F.length(isrc(c)) != 12)
+    return (trimmed(F.coalesce(c, F.lit(""))) != "") & (F.length(isrc(c)) != 12)
 
 
 def isrc_display(c: Column) -> Column:
@@ -70,7 +79,7 @@ def credits(c: Column) -> Column:
     mark = CREDIT_MARKS[0]
     line = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s({'|'.join(CREDIT_WORDS)})\.?(?=\s|$)", mark)
     line = F.regexp_replace(line, rf"(?i)\s{JOINING}(?=\s)", mark)
-    parts = F.filter(F.transform(F.split(line, "[" + "".join(CREDIT_MARKS) + "]"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(line, "[" + "".join(CREDIT_MARKS) + "]"), lambda p: trimmed(p)), lambda p: p != "")
     return F.filter(parts, lambda p, i: F.array_position(F.transform(parts, lambda q: F.lower(q)), F.lower(p)) == i + 1)
 
 
@@ -89,13 +98,13 @@ EDITION_NOTES, WHOLE_NOTES, DASHED_NOTE = ("feat", "ft", "featuring", "with", "r
 def loose_text(c: Column) -> Column:
     """Lower case; marks that join words become spaces, others go."""
     spaced = F.regexp_replace(lookup_text(c), rf"[{re.escape(SPACED_MARKS)}\s]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]", ""), " +", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N} ]", ""), " +", " "))
 
 
 def simplify_title(c: Column) -> Column:
     """loose_text without notes on the edition; a title that is all marks stays as it is, without the notes."""
     title = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s*-\s*(?:\d{{4}}\s*)?{DASHED_NOTE}.*$", "")
-    title = F.trim(F.regexp_replace(title, rf"(?i)\s*\((?:(?:{'|'.join(EDITION_NOTES)}).*?|{'|'.join(WHOLE_NOTES)})\)", ""))
+    title = trimmed(F.regexp_replace(title, rf"(?i)\s*\((?:(?:{'|'.join(EDITION_NOTES)}).*?|{'|'.join(WHOLE_NOTES)})\)", ""))
     return F.coalesce(blank_to_null(loose_text(title)), title)
 
 
@@ -149,7 +158,7 @@ def file_extension(path: Column) -> Column:
 def safe_file_name(c: Column, limit: int = 120) -> Column:
     """No reserved characters, no runs of spaces, no dots or spaces at the end, `limit` characters, never empty."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\s+", " ")
-    t = F.regexp_replace(F.substring(F.trim(t), 1, limit), r"[. ]+$", "")
+    t = F.regexp_replace(F.substring(trimmed(t), 1, limit), r"[. ]+$", "")
     return F.when(t == "", "_").otherwise(t)
 
 
@@ -160,13 +169,13 @@ def fill_template(template: str, fields: dict[str, Column]) -> Column:
         before, _, rest = rest.partition("{")
         name, _, rest = rest.partition("}")
         value = fields[name].cast("string")
-        out += [F.lit(before), F.when(blank_to_null(F.trim(value)).isNull(), "").otherwise(safe_file_name(value))]
+        out += [F.lit(before), F.when(blank_to_null(trimmed(value)).isNull(), "").otherwise(safe_file_name(value))]
     return F.concat(*out, F.lit(rest))
 
 
 def url_identity(url: Column) -> Column:
     """Scheme, query, fragment, www. and a slash at the end don't tell pages apart."""
-    t = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")
+    t = F.regexp_replace(F.lower(trimmed(url)), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")
     return F.regexp_replace(F.regexp_replace(t, r"[?#].*$", ""), r"/+$", "")
 
 
@@ -259,7 +268,7 @@ def window_offsets(seconds: Column, window: float) -> Column:
 
 def catalogue_id(c: Column, scheme: str, host: str, shape: str = "[A-Za-z0-9]{22}") -> Column:
     """The id in a bare id, a URI (scheme:...:id) or a page (https://host/track/id); null in anything else."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = trimmed(F.coalesce(c, F.lit("")))
     bare = F.regexp_extract(text, f"^({shape})$", 1)
     uri = F.regexp_extract(text, rf"^{scheme}:(?:.*:)?\s*({shape})$", 1)
     page = F.regexp_extract(text, rf"^[A-Za-z]+://[^/?#]*{host.replace('.', '[.]')}[^/?#]*/track/({shape})(?:[/?#].*)?$", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantata.functions.text import lookup_text
+from cantata.functions.text import lookup_text, trimmed
 
 
 def search_groups(rows: DataFrame, keys: list[str], found: Column) -> DataFrame:
@@ -33,7 +33,7 @@ def counts_having(parents: DataFrame, key: str, children: DataFrame, foreign: st
 def totals_by_name(rows: DataFrame, names: list[str], amount: str, tie: str) -> DataFrame:
     """Sums by names whatever their case; the spelling of the greatest amount (then the lowest tie) is shown. The first name isn't blank."""
     lead = F.struct(F.col(amount), -F.col(tie))
-    shown = [F.max_by(F.trim(F.col(n)), lead).alias(n) for n in names]
+    shown = [F.max_by(trimmed(F.col(n)), lead).alias(n) for n in names]
     keyed = rows.filter(lookup_text(F.col(names[0])) != "")
     grouped = keyed.groupBy(*[lookup_text(F.col(n)).alias(f"__k{i}") for i, n in enumerate(names)])
     return grouped.agg(*shown, F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n")).drop(*[f"__k{i}" for i in range(len(names))])
@@ -54,7 +54,7 @@ def by_folder(files: DataFrame, source: str, path: str) -> DataFrame:
 def leading_tag(tags: DataFrame, item: str, name: str, votes: str, place: str) -> DataFrame:
     """Each item's tag of most votes, the first of equals. Of names equal but for case only the first counts."""
     first = tags.filter(lookup_text(F.col(name)) != "").groupBy(item, lookup_text(F.col(name)).alias("__name"))
-    once = first.agg(F.min_by(F.struct(F.trim(F.col(name)).alias("tag"), votes, place), place).alias("t")).select(item, "t.*")
+    once = first.agg(F.min_by(F.struct(trimmed(F.col(name)).alias("tag"), votes, place), place).alias("t")).select(item, "t.*")
     return once.groupBy(item).agg(F.max_by("tag", F.struct(F.col(votes), -F.col(place))).alias("tag"))
 
 
@@ -87,7 +87,7 @@ def recent_groups(rows: DataFrame, key: Column, member: str, at: str) -> DataFra
 
 def album_groups(rows: DataFrame, album: str, added: str, cover: str, order: list[str]) -> DataFrame:
     """Albums of more than one track: tracks, when the newest came, and the first cover that isn't blank."""
-    place = F.when(F.trim(F.col(cover)) != "", F.struct(*order))
+    place = F.when(trimmed(F.col(cover)) != "", F.struct(*order))
     return rows.groupBy(album).agg(F.count(F.lit(1)).alias("tracks"), F.max(added).alias("newest"), F.min_by(cover, place).alias("cover")).filter("tracks > 1")
 
 

@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantata.operators.checkpoints import checkpointed
 from cantata.functions.text import lookup_text
 
 
@@ -103,10 +104,16 @@ def completeness(tracks: DataFrame, album: str, track: str, total: str, disc: st
 
 
 def duplicates(df: DataFrame, key: Column, best_first: list[Column]) -> DataFrame:
-    """Rows whose key others share, with ``copies`` and ``keep`` (the first in quality order); blank keys don't count."""
-    keyed = df.withColumn("dup_key", key).filter("dup_key IS NOT NULL AND dup_key <> ''")
-    w = Window.partitionBy("dup_key")
-    return keyed.withColumn("copies", F.count(F.lit(1)).over(w)).filter("copies > 1").withColumn("keep", F.row_number().over(w.orderBy(*best_first)) == 1)
+    """Rows whose key others share, with ``copies`` and ``keep`` (the first in quality order); blank keys don't count.
+
+    Rows are counted, and the one to keep is found, in each task before anything moves; a row a key comes back to the rows.
+    """
+    keyed = checkpointed(df.withColumn("dup_key", key).filter("dup_key IS NOT NULL AND dup_key <> ''").withColumn("__id", F.monotonically_increasing_id()))
+    counted = keyed.groupBy("dup_key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    place = F.row_number().over(Window.partitionBy("dup_key").orderBy(*best_first, "__id"))
+    kept = keyed.withColumn("__place", place).filter("__place = 1").select("__id", F.lit(True).alias("keep"))
+    told = keyed.join(counted, "dup_key").join(kept, "__id", "left")
+    return told.select(*df.columns, "dup_key", "copies", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 def has_terms(query: str, *fields: Column) -> Column:

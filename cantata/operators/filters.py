@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantata.functions.text import trimmed
+
 # The names that a format goes by, in tags and as endings of files.
 FORMAT_NAMES = {
     "flac": ["flac"], "mp3": ["mp3"], "m4a": ["m4a", "mp4"], "aac": ["aac", "mp4a"], "alac": ["alac"], "opus": ["opus"], "ogg": ["ogg", "vorbis"],
@@ -19,7 +21,7 @@ def has_format(wanted: str, format_: Column, path: Column) -> Column:
     """Is the format tag one of the wanted format's names, or does the path end in one? A name not known stands for itself."""
     wanted = wanted.strip().lower()
     names = FORMAT_NAMES.get(wanted, [wanted])
-    tagged = F.lower(F.replace(F.trim(F.coalesce(format_, F.lit(""))), F.lit("-"), F.lit("_"))).isin(names)
+    tagged = F.lower(F.replace(trimmed(F.coalesce(format_, F.lit(""))), F.lit("-"), F.lit("_"))).isin(names)
     file = F.lower(F.coalesce(path, F.lit("")))
     return reduce(lambda a, b: a | b, [file.endswith(f".{n}") for n in names], tagged)
 
@@ -46,7 +48,7 @@ def not_like(c: Column, pattern: str) -> Column:
 
 def released_within(release: Column, today: str, days: int) -> Column:
     """Released in the days up to today; only dates that name the day count."""
-    day = F.when(F.trim(release).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(F.trim(release), 1, 10), "yyyy-MM-dd"))
+    day = F.when(trimmed(release).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(trimmed(release), 1, 10), "yyyy-MM-dd"))
     end = F.to_date(F.lit(today))
     return F.coalesce((day > F.date_sub(end, days)) & (day <= end), F.lit(False))
 

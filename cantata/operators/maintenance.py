@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cantata.functions.text import trimmed
 from cantata.operators.joins import ancestors
 
 
@@ -100,20 +101,23 @@ def relink(table: DataFrame, row_id: str, path: str, moves: DataFrame, new_id: C
     return stayed.select(*table.columns).unionByName(moved.select(F.col("__id").alias(row_id), F.col("new_path").alias(path), *other))
 
 
-def merge_by_any_key(table: DataFrame, updates: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """Upsert in which an update replaces every row that shares any of its keys; of updates that share one, the last in order stays.
+def merge_by_any_key(table: DataFrame, updates: DataFrame, keys: list[Column], at: str, fallback: Column | None = None) -> DataFrame:
+    """Upsert in which an update replaces every row that shares any of its keys, rows of the table and earlier updates alike.
 
-    keys: columns of either table; null and blank ones tell nothing. An anti-join for each key.
+    keys: columns of either table; null and blank ones tell nothing. fallback is one more key of a row, by which an update finds
+    others only if it has none of the keys. at, unique, orders the updates: one that a later one replaces has still replaced what it found.
+    A key is reduced to its last update before anything is joined.
     """
-    marked = updates
-    for i, key in enumerate(keys):
-        marked = marked.withColumn(f"__k{i}", F.nullif(F.trim(key.cast("string")), F.lit("")))
-    marked = last_wins(marked, [f"__k{i}" for i in range(len(keys))], order)
-    kept = table
-    for i, key in enumerate(keys):
-        used = marked.select(F.col(f"__k{i}").alias("__key")).filter("__key IS NOT NULL")
-        kept = kept.withColumn("__key", F.nullif(F.trim(key.cast("string")), F.lit(""))).join(used, "__key", "left_anti").drop("__key")
-    return kept.select(*table.columns).unionByName(marked.select(*table.columns))
+    told = lambda df: df.select("*", *[F.nullif(trimmed(key.cast("string")), F.lit("")).alias(f"__k{i}") for i, key in enumerate([*keys, *[fallback] * (fallback is not None)])])
+    new, kept = told(updates), told(table)
+    nothing = F.coalesce(*[F.col(f"__k{i}") for i in range(len(keys))]).isNull()
+    last = new
+    for i in range(len(keys) + (fallback is not None)):
+        finds = new.filter(nothing) if i == len(keys) else new
+        used = finds.filter(F.col(f"__k{i}").isNotNull()).groupBy(f"__k{i}").agg(F.max(at).alias(f"__last{i}"))
+        kept = kept.join(used, f"__k{i}", "left_anti")
+        last = last.join(used, f"__k{i}", "left").filter(F.col(f"__last{i}").isNull() | (F.col(at) >= F.col(f"__last{i}")))
+    return kept.select(*table.columns).unionByName(last.select(*table.columns))
 
 
 def raise_versions(table: DataFrame, row_id: str, version: str, scans: DataFrame, least: int = 0) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cantata.functions.text import fnv1a
+from cantata.functions.text import fnv1a, trimmed
 from cantata.operators.windows import running_sum
 
 # How strongly each pitch class belongs to a major and a minor key, from the tonic on.
@@ -162,19 +165,33 @@ def hashed_feature(name: Column, dimensions: int = 4096) -> Column:
 def first_feedback(picks: DataFrame, feedback: DataFrame, who: str, item: str, at: str, keep: int = 200) -> DataFrame:
     """Each pick with its first feedback (``label_at`` and the rest): that after it, and before the item is picked again.
 
-    A pick is forgotten once ``keep`` later ones have been made. One union, ordered within a listener; no pairs are made.
+    Of the picks that still wait for theirs, the oldest is forgotten when there are more than ``keep``; a pick made again waits
+    anew. Each listener's rows pass a task in order (of at one time picks come first, then by item), which holds the waiting
+    picks of one listener and nothing else.
     """
     rest = [c for c in feedback.columns if c not in (who, item, at)]
     a = picks.select(who, item, at, F.lit(0).alias("__kind"), *[F.lit(None).cast(feedback.schema[c].dataType).alias(c) for c in rest])
     both = a.unionByName(feedback.select(who, item, at, F.lit(1).alias("__kind"), *rest))
-    by_listener = Window.partitionBy(who).orderBy(at, "__kind", item).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__made", F.sum((F.col("__kind") == 0).cast("long")).over(by_listener))
-    by_item = Window.partitionBy(who, item).orderBy(at, "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.when(F.col("__kind") == 0, F.struct(F.col(at).alias("picked_at"), F.col("__made").alias("number")))
-    both = both.withColumn("__pick", F.last(pick, ignorenulls=True).over(by_item))
-    labels = both.filter((F.col("__kind") == 1) & F.col("__pick").isNotNull() & (F.col("__made") - F.col("__pick.number") < keep))
-    first = labels.groupBy(who, item, "__pick").agg(F.min_by(F.struct(F.col(at).alias("label_at"), *rest), F.struct(at, *rest)).alias("__label"))
-    return first.select(who, item, "__pick.picked_at", "__label.*")
+    kinds = {f.name: f.dataType for f in both.schema}
+    schema = T.StructType([T.StructField(n, kinds[c]) for n, c in ((who, who), (item, item), ("picked_at", at), ("label_at", at), *zip(rest, rest, strict=True))])
+
+    def run(batches):
+        shape, waiting, listener = to_arrow_schema(schema), {}, ()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if listener != (row[who],):
+                    waiting, listener = {}, (row[who],)
+                picked = waiting.pop(row[item], None)
+                if row["__kind"] == 0:
+                    waiting[row[item]] = (row[at],)
+                    if len(waiting) > keep:
+                        del waiting[next(iter(waiting))]
+                elif picked:
+                    out.append({who: row[who], item: row[item], "picked_at": picked[0], "label_at": row[at], **{c: row[c] for c in rest}})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return both.repartition(who).sortWithinPartitions(who, at, "__kind", item).mapInArrow(run, schema)
 
 
 def scrobbles(plays: DataFrame, instance: str, title: str, artist: str, seconds: str, duration: str, started: str) -> DataFrame:
@@ -182,7 +199,7 @@ def scrobbles(plays: DataFrame, instance: str, title: str, artist: str, seconds:
 
     Only of titles with an artist that last more than 30 seconds. An aggregate, so it also runs on a stream.
     """
-    named = plays.filter((F.trim(title) != "") & (F.trim(artist) != "") & (F.col(duration) > 30))
+    named = plays.filter((trimmed(title) != "") & (trimmed(artist) != "") & (F.col(duration) > 30))
     heard = named.groupBy(instance, title, artist, duration).agg(F.sum(seconds).alias("heard"), F.min(started).alias("started"))
     return heard.filter(F.col("heard") >= F.least(F.col(duration) / 2, F.lit(240)))
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantata.operators.checkpoints import checkpointed
+
 
 def vocabulary(tokens: DataFrame, token: str, least: int, size: int) -> DataFrame:
     """The most frequent tokens with at least `least` rows, ties by token."""
@@ -80,7 +82,7 @@ def logistic_with_prior(rows: DataFrame, group: str, features: list[str], label:
     k = len(features)
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     summed = rows.groupBy(F.col(group).alias("__group"), *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("__y"))
-    grid = summed.agg(F.sum(F.col(weight).cast("double")).alias("__w")).checkpoint()
+    grid = checkpointed(summed.agg(F.sum(F.col(weight).cast("double")).alias("__w")))
     x = [F.col(f"__x{i}") for i in range(k)]
     exponent = sum((F.col("__b")[i] * x[i] for i in range(k)), F.lit(0.0))
     chance = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), exponent))))
@@ -101,7 +103,7 @@ def logistic_with_prior(rows: DataFrame, group: str, features: list[str], label:
     found = grid.select(F.col("__group").alias("__key")).distinct().withColumn("__b", F.array(*[F.lit(float(mean))] * k))
     for _ in range(steps):
         system = grid.join(found, F.col("__group").eqNullSafe(F.col("__key"))).groupBy("__key", "__b").agg(*sums)
-        solved = system.mapInPandas(solve, f"__key {kind}, __b array<double>, __step double").checkpoint()
+        solved = checkpointed(system.mapInPandas(solve, f"__key {kind}, __b array<double>, __step double"))
         found, moved = solved.select("__key", "__b"), solved.agg(F.max("__step")).first()[0]
         if moved is None or moved < 1e-9:
             break

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantata.functions.scores import artist_variants, path_aliases, title_variants
+from cantata.functions.text import trimmed
 
 
 def known_by(known: DataFrame, key: Column, target: str) -> DataFrame:
@@ -46,13 +47,14 @@ def best_scored(pairs: DataFrame, request: list[str], candidate: str, score: Col
 def surest(pairs: DataFrame, request: list[str], candidate: str, score: Column, exact: Column, least: int = 85, clear: int = 10, gap: int = 8) -> DataFrame:
     """Each request's best candidate, unless it is below the least score, or below that and ``clear`` with another within ``gap``.
 
-    An exact one is taken whatever its score. Only the best two of a request are kept while aggregating.
+    An exact one is taken whatever its score. The pairs are scored once; each task hands on the best two of a request.
     """
     ranked = pairs.withColumn("score", score).withColumn("__exact", F.coalesce(exact, F.lit(False)))
-    order = F.struct("score", -F.col(candidate))
-    best = ranked.groupBy(*request).agg(F.max_by(F.struct(candidate, "score", "__exact"), order).alias("__best"), F.max(order).alias("__top"))
-    lower = ranked.join(best, request).filter(order < F.col("__top")).groupBy(*request).agg(F.max("score").alias("__next"))
-    told = best.join(lower, request, "left").select(*request, "__best.*", "__next")
+    place = F.row_number().over(Window.partitionBy(*request).orderBy(F.desc("score"), candidate))
+    two = ranked.select(*request, candidate, "score", "__exact").withColumn("__place", place).filter("__place <= 2")
+    first = F.col("__place") == 1
+    best = two.groupBy(*request).agg(F.max(F.when(first, F.struct(candidate, "score", "__exact"))).alias("__best"), F.max(F.when(~first, F.col("score"))).alias("__next"))
+    told = best.select(*request, "__best.*", "__next")
     unsure = (F.col("score") < least + clear) & F.coalesce(F.col("score") - F.col("__next") <= gap, F.lit(False))
     return told.filter(F.col("__exact") | ((F.col("score") >= least) & ~unsure)).select(*request, candidate, "score")
 
@@ -63,7 +65,7 @@ def recognised(asked: DataFrame, request: str, title: str, artist: str, known: D
     Attempts go through the artist's forms within each of the title's.
     """
     forms = asked.select(request, F.posexplode(title_variants(F.col(title))).alias("__i", "__title"), artist).select(request, "__i", "__title", F.posexplode(artist_variants(F.col(artist))).alias("__j", "__artist"))
-    songs = known_by(known, F.concat_ws("|", F.lower(F.trim(known_title)), F.lower(F.trim(known_artist))), target)
+    songs = known_by(known, F.concat_ws("|", F.lower(trimmed(known_title)), F.lower(trimmed(known_artist))), target)
     hit = forms.withColumn("__key", F.concat_ws("|", "__title", "__artist")).join(songs, "__key")
     first = hit.groupBy(request).agg(F.min(F.struct("__i", "__j", "__target")).alias("__hit"))
     return first.select(request, F.col("__hit.__target").alias(target), (F.col("__hit.__i") * 1000 + F.col("__hit.__j")).alias("attempt"))
@@ -82,7 +84,7 @@ def current_cache(songs: DataFrame, cache: DataFrame, stamp: list[str]) -> DataF
 
 def album_hints(songs: DataFrame, song: str, album: str, artist: str, hints: DataFrame, hint_album: str, hint_artist: str) -> DataFrame:
     """Ids of songs of a hinted album whose artist contains the hinted one (a blank one fits all)."""
-    key = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    key = lambda c: F.lower(trimmed(F.coalesce(F.col(c), F.lit(""))))
     named = hints.select(key(hint_album).alias("__album"), key(hint_artist).alias("__hint")).filter("__album <> ''").distinct()
     near = songs.withColumn("__album", key(album)).join(named, "__album")
     return near.filter((F.col("__hint") == "") | F.contains(key(artist), F.col("__hint"))).select(song).distinct()

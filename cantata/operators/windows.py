@@ -147,9 +147,3 @@ def fractional_cap(df: DataFrame, group: str, member: str, order: list[Column],
     place = F.row_number().over(Window.partitionBy(group, member).orderBy(*order))
     placed = df.withColumn("__p", place).join(totals, F.col(group).eqNullSafe(F.col("__g")))
     return placed.filter(F.col("__p") <= F.ceil(F.col("__t") * share)).drop("__g", "__t", "__p")
-
-
-def numbered_conflicts(df: DataFrame, target: str, order: list[Column]) -> DataFrame:
-    """Adds ``name``: the second of equal targets (whatever their case) gets ' (2)', and so on."""
-    n = F.row_number().over(Window.partitionBy(F.lower(target)).orderBy(*order))
-    return df.withColumn("__n", n).withColumn("name", F.when(F.col("__n") == 1, F.col(target)).otherwise(F.concat(F.col(target), F.lit(" ("), F.col("__n").cast("string"), F.lit(")")))).drop("__n")

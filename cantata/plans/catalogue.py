@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cantata.functions import text as fn
 from cantata.operators import catalogue as cat
 from cantata.operators import joins
-from cantata.operators.windows import first_per_key, fractional_cap, numbered_conflicts
+from cantata.operators.names import numbered_conflicts
+from cantata.operators.windows import first_per_key, fractional_cap
 from cantata.plans.common import Registry
 
 registry = Registry()
@@ -232,11 +233,38 @@ def template_expand(t):
     return t.supplier.select("s_suppkey", fn.fill_template("{artist}/{album} - {number}.flac", fields).alias("path"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN rn = 1 THEN p_brand ELSE p_brand || ' (' || rn || ')' END AS name FROM (
-  SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS rn FROM part)""")
+# a file each for the parts: of every brand many, some with a number in the name already, some in capitals; a few names are taken
+_FILE = "CASE WHEN p_partkey % 7 = 0 THEN p_brand || ' (' || (p_partkey % 5 + 2) || ').flac' WHEN p_partkey % 11 = 0 THEN upper(p_brand) || '.FLAC' WHEN p_partkey % 13 = 0 THEN p_brand ELSE p_brand || '.flac' END"
+
+
+@query(f"""
+WITH RECURSIVE wanted AS (
+  SELECT p_partkey, lower(p_brand) AS family, {_FILE} AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part),
+split AS (
+  SELECT *, CASE WHEN contains(file, '.') THEN regexp_extract(file, '^(.*)[.][^.]*$', 1) ELSE file END AS stem, CASE WHEN contains(file, '.') THEN regexp_extract(file, '[.][^.]*$') ELSE '' END AS ending FROM wanted),
+there AS (SELECT DISTINCT lower('Brand#' || s_suppkey % 25) AS family, lower('Brand#' || s_suppkey % 25 || ' (' || (s_suppkey % 9 + 1) || ').flac') AS path FROM supplier),
+steps AS (
+  SELECT family, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS name, coalesce((SELECT list(path) FROM there t WHERE t.family = f.family), []) AS taken
+  FROM (SELECT DISTINCT family FROM wanted) f
+  UNION ALL
+  SELECT family, nth, p_partkey, name, list_append(taken, lower(name)) FROM (
+    SELECT w.family, w.nth, w.p_partkey, s.taken,
+           list_filter(list_transform(range(1, len(s.taken) + 3), lambda n: CASE WHEN n = 1 THEN w.file ELSE w.stem || ' (' || n || ')' || w.ending END), lambda f: NOT list_contains(s.taken, lower(f)))[1] AS name
+    FROM steps s JOIN split w ON w.family = s.family AND w.nth = s.nth + 1))
+SELECT p_partkey, name FROM steps WHERE nth > 0""")
 def conflict_names(t):
-    return numbered_conflicts(t.part.select("p_partkey", "p_brand"), "p_brand", [F.asc("p_partkey")]).select("p_partkey", "name")
+    rows = t.part.select("p_partkey", F.expr(_FILE).alias("file"), F.lit("").alias("folder"))
+    there = t.supplier.select(F.expr("'Brand#' || s_suppkey % 25 || ' (' || (s_suppkey % 9 + 1) || ').flac'").alias("path"))
+    return numbered_conflicts(rows, "folder", "file", "p_partkey", there).select("p_partkey", "name")
+
+
+@query("""
+SELECT p_partkey, lower(p_name) || '|' || lower(p_brand) AS key, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS shown, lower(p_type) IN ('promo', 'standard') AS listed FROM part""")
+def padded_keys(t):
+    around = lambda c: F.concat(F.lit("\t\u00a0 "), c, F.lit("\n\u3000"))
+    blank = F.when(F.col("p_partkey") % 2 == 0, around(F.col("p_type"))).when(F.col("p_partkey") % 3 == 0, "\t\n").otherwise("\u2003NULL\ufeff")
+    key = fn.match_key(around(F.col("p_name")), around(F.upper("p_brand")))
+    return t.part.select("p_partkey", key.alias("key"), fn.optional_text(blank).alias("shown"), fn.lookup_text(around(F.col("p_type"))).isin("promo", "standard").alias("listed"))
 
 
 @query("""

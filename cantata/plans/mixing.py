@@ -155,13 +155,16 @@ def hashed_feature(t):
 
 @query(f"""
 WITH e AS (SELECT user_id, {K} % 10 AS item, event_id, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS kind FROM events),
-m AS (SELECT *, sum(1 - kind) OVER (PARTITION BY user_id ORDER BY event_id) AS made FROM e),
-l AS (SELECT f.user_id, f.item, max(p.event_id) AS picked_at, f.event_id AS label_at, f.made - arg_max(p.made, p.event_id) AS apart FROM m f JOIN m p ON p.user_id = f.user_id AND p.item = f.item AND p.kind = 0 AND p.event_id < f.event_id WHERE f.kind = 1 GROUP BY f.user_id, f.item, f.event_id, f.made)
-SELECT user_id, item, picked_at, min(label_at) AS label_at, arg_min(label_at % 2, label_at) AS reward FROM (SELECT * FROM l WHERE apart < 15) GROUP BY ALL""")
+n AS (SELECT *, coalesce(lead(event_id) OVER w, 1000000000) AS ends, lead(kind) OVER w AS how FROM e WINDOW w AS (PARTITION BY user_id, item ORDER BY event_id)),
+p AS (SELECT * FROM n WHERE kind = 0),
+crowds AS (
+  SELECT a.event_id, s.event_id AS at, count(*) AS waiting FROM p a JOIN p s ON s.user_id = a.user_id AND s.event_id > a.event_id AND s.event_id < a.ends
+  JOIN p q ON q.user_id = a.user_id AND q.event_id > a.event_id AND q.event_id <= s.event_id AND q.ends > s.event_id GROUP BY ALL)
+SELECT user_id, item, event_id AS picked_at, ends AS label_at, ends % 2 AS reward FROM p WHERE how = 1 AND event_id NOT IN (SELECT event_id FROM crowds WHERE waiting >= 4)""")
 def first_feedback(t):
     e = t.events.select("user_id", (F.get_json_object("props", "$.k").cast("int") % 10).alias("item"), F.col("event_id").alias("at"), F.col("event_type").isin("purchase", "error").alias("said"))
     picks, said = e.filter("NOT said").drop("said"), e.filter("said").select("user_id", "item", "at", (F.col("at") % 2).alias("reward"))
-    return mx.first_feedback(picks, said, "user_id", "item", "at", 15)
+    return mx.first_feedback(picks, said, "user_id", "item", "at", 4)
 
 
 @query(f"""

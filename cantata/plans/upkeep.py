@@ -32,15 +32,29 @@ def relink(t):
 
 
 @query("""
-WITH u AS (SELECT s_suppkey + 100000 AS id, s_suppkey * 3 AS code, 'n' || s_nationkey AS name FROM supplier),
-a AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY code ORDER BY id DESC) = 1), l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY name ORDER BY id DESC) = 1),
-o AS (SELECT c_custkey AS id, c_custkey AS code, 'n' || (c_nationkey + 5) AS name FROM customer)
-SELECT * FROM o WHERE code NOT IN (SELECT code FROM l) AND name NOT IN (SELECT name FROM l) UNION ALL SELECT * FROM l""")
+WITH u AS (SELECT s_suppkey + 100000 AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey // 2 * 3 END AS code, 'n' || (s_nationkey + s_suppkey // 50) AS name, s_nationkey * 7 AS also FROM supplier),
+o AS (SELECT c_custkey AS id, c_custkey AS code, 'n' || (c_custkey % 40) AS name, c_custkey + 5 AS also FROM customer),
+e AS (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM u)
+SELECT id, code, name, also FROM e WHERE NOT EXISTS (
+  SELECT 1 FROM u WHERE (e.new = 0 OR u.id > e.id) AND (u.code = e.code OR u.also = e.also OR (u.code IS NULL AND u.also IS NULL AND u.name = e.name)))""")
 def merge_by_any_key(t):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
     name = lambda n: F.concat(F.lit("n"), n.cast("string")).alias("name")
-    old = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("code"), name(F.col("c_nationkey") + 5))
-    new = t.supplier.select((F.col("s_suppkey") + 100000).alias("id"), (F.col("s_suppkey") * 3).alias("code"), name(F.col("s_nationkey")))
-    return keep.merge_by_any_key(old, new, [F.col("code"), F.col("name")], [F.desc("id")])
+    old = t.customer.select(c.alias("id"), c.alias("code"), name(c % 40), (c + 5).alias("also"))
+    new = t.supplier.select((s + 100000).alias("id"), F.when(s % 4 > 0, F.floor(s / 2) * 3).alias("code"), name(F.col("s_nationkey") + F.floor(s / 50)), (F.col("s_nationkey") * 7).cast("long").alias("also"))
+    return keep.merge_by_any_key(old, new, [F.col("code"), F.col("also")], "id", F.col("name"))
+
+
+@query("""
+WITH u AS (SELECT s_suppkey + 100000 AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey // 2 * 3 END AS code, 'n' || s_nationkey AS name FROM supplier),
+e AS (SELECT c_custkey AS id, c_custkey AS code, 'n' || (c_custkey % 40) AS name, 0 AS new FROM customer UNION ALL SELECT *, 1 FROM u)
+SELECT id, code, name FROM e WHERE NOT EXISTS (SELECT 1 FROM u WHERE (e.new = 0 OR u.id > e.id) AND (u.code = e.code OR (u.code IS NULL AND u.name = e.name)))""")
+def merge_by_name_where_no_code(t):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("n"), n.cast("string")).alias("name")
+    old = t.customer.select(c.alias("id"), c.alias("code"), name(c % 40))
+    new = t.supplier.select((s + 100000).alias("id"), F.when(s % 3 > 0, F.floor(s / 2) * 3).alias("code"), name(F.col("s_nationkey")))
+    return keep.merge_by_any_key(old, new, [F.col("code")], "id", F.col("name"))
 
 
 @query("""

@@ -149,7 +149,12 @@ def test_feedback_goes_to_the_last_pick_once(spark):
     said = spark.createDataFrame([("u", "a", 3, 1.0), ("u", "a", 4, 0.0), ("u", "a", 7, 0.5), ("u", "b", 8, 1.0), ("u", "z", 9, 1.0)], "who string, item string, at int, reward double")
     labels = lambda keep: values(mixing.first_feedback(picks, said, "who", "item", "at", keep), "item", "picked_at", "label_at", "reward")
     assert labels(200) == [("a", 1, 3, 1.0), ("a", 5, 7, 0.5), ("b", 2, 8, 1.0)]
-    assert labels(2) == [("a", 1, 3, 1.0), ("a", 5, 7, 0.5)]  # two picks have been made since b
+    assert labels(2) == [("a", 1, 3, 1.0), ("a", 5, 7, 0.5)]  # b, a and c would wait
+    rows = [("u", "a", 1), ("u", "b", 3), ("u", "c", 5), ("u", "d", 7), (None, "a", 1)]
+    picks = spark.createDataFrame(rows, "who string, item string, at int")
+    said = spark.createDataFrame([("u", "b", 4, 1.0), ("u", "c", 6, 1.0), ("u", "d", 8, 1.0), ("u", "a", 9, 1.0), (None, "a", 2, 0.0)], "who string, item string, at int, reward double")
+    assert labels(2) == [("a", 1, 2, 0.0), ("a", 1, 9, 1.0), ("b", 3, 4, 1.0), ("c", 5, 6, 1.0), ("d", 7, 8, 1.0)]  # what is labelled at once takes no room
+    assert mixing.first_feedback(picks.limit(0), said.limit(0), "who", "item", "at").count() == 0
 
 
 def test_scrobbles(spark):
@@ -206,8 +211,15 @@ def test_moves_and_merges(spark):
     got = maintenance.relink(table, "id", "path", moves, F.ascii("new_path") - 96)
     assert values(got, "id", "path", "t") == [(2, "b", "x"), (3, "c", "z")]
     updates = spark.createDataFrame([(10, "b", None), (11, "n", "z"), (12, "n", "")], "id int, path string, t string")
-    merged = maintenance.merge_by_any_key(table, updates, [F.col("path"), F.col("t")], [F.desc("id")])
-    assert values(merged, "id") == [(1,), (10,), (12,), (3,)]  # 12 replaces 11, so z stays with 3
+    merged = maintenance.merge_by_any_key(table, updates, [F.col("path"), F.col("t")], "id")
+    assert values(merged, "id") == [(1,), (10,), (12,)]  # 11 replaces 3 before 12 replaces it
+    old = spark.createDataFrame([(10, "c1", "p"), (11, None, "x")], "id int, code string, name string")
+    new = spark.createDataFrame([(20, "c1", "x"), (21, "c2", "x"), (22, "\t", "y"), (23, None, "p")], "id int, code string, name string")
+    both = lambda **more: values(maintenance.merge_by_any_key(old, new, [F.col("code")], "id", **more), "id")
+    assert both() == [(11,), (20,), (21,), (22,), (23,)]
+    assert both(fallback=F.col("name")) == [(11,), (20,), (21,), (22,), (23,)]  # names of rows with a code find nothing
+    assert values(maintenance.merge_by_any_key(old, new.filter("id = 23"), [F.col("code")], "id", F.col("name")), "id") == [(11,), (23,)]
+    assert values(maintenance.merge_by_any_key(old, new.filter("id < 22"), [F.col("code"), F.col("name")], "id"), "id") == [(21,)]  # 20 goes, what it replaced too
 
 
 def test_what_is_unreadable_is_kept(spark):
