@@ -132,14 +132,6 @@ def power_weights(counts: DataFrame, key: str, n: str, exponent: float = 0.75) -
     return weighted.join(F.broadcast(total)).select(key, n, "weight", (F.col("weight") / F.col("__t")).alias("share"))
 
 
-def item_vectors(sequences: DataFrame, items: str, size: int = 16, window: int = 3, least: int = 2, seed: int = 42, partitions: int = 8) -> DataFrame:
-    """Skip-gram vectors of items from sequences of them: word, vector."""
-    from pyspark.ml.feature import Word2Vec
-
-    model = Word2Vec(vectorSize=size, minCount=least, windowSize=window, seed=seed, inputCol=items, outputCol="__v", numPartitions=partitions, maxIter=1)
-    return model.fit(sequences).getVectors()
-
-
 def blocks(asked: DataFrame, asked_id: str, rows: DataFrame, row_id: str, of_asked: int = 1000, of_rows: int = 20_000) -> DataFrame:
     """A stated set of queries beside all rows, a block of either at a time: each block of queries meets each block of rows in one place."""
     parts = lambda df, size: max(1, -(-df.count() // size))

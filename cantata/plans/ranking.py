@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantata.functions import text as fn
+from cantata.operators import item_vectors
 from cantata.operators import ranking as rk
 from cantata.plans.common import Registry
 
@@ -154,5 +155,32 @@ def thompson(t):
 
 @query()
 def item2vec(t):
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return rk.item_vectors(t.events.groupBy("user_id", F.to_date("ts")).agg(F.transform(order, lambda e: e["event_type"]).alias("items")), "items")
+    """Songs are props.k, their artists tens of them; a listener's day is a session, an error a skip."""
+    song = F.get_json_object("props", "$.k").cast("int")
+    strength = F.when(F.col("event_type") == "error", -1.0).when(F.col("event_type") == "purchase", 1.5).otherwise(F.col("value") / 100)
+    plays = t.events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", song.alias("song"), F.floor(song / 10).alias("artist"), strength.alias("strength")).filter("song IS NOT NULL")
+    placed = item_vectors.checkpointed(item_vectors.positions(plays, ["user_id", "day"], [F.col("ts"), F.col("event_id")], "song", F.col("strength")))
+    pairs = item_vectors.checkpointed(item_vectors.token_pairs(placed, ["user_id", "day"], "song", "artist"))
+    tokens = placed.filter("weight > 0").select(F.explode(F.array(F.concat(F.lit("i:"), F.col("song")), F.concat(F.lit("a:"), F.col("artist")))).alias("token"))
+    return item_vectors.item_vectors(pairs, rk.vocabulary(tokens, "token", item_vectors.LEAST_COUNT, item_vectors.VOCABULARY))
+
+
+@query("""
+WITH e AS (
+  SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS song,
+         CASE event_type WHEN 'error' THEN -1.0 WHEN 'purchase' THEN 1.5 ELSE value / 100 END AS w FROM events),
+r AS (SELECT *, CASE WHEN song IS DISTINCT FROM lag(song) OVER o OR row_number() OVER o = 1 THEN 1 ELSE 0 END AS new FROM e WHERE w <> 0 AND song IS NOT NULL WINDOW o AS (PARTITION BY user_id, day ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS nth FROM r),
+p AS (SELECT user_id, day, nth, song, max(w) AS w FROM runs GROUP BY ALL),
+n AS (SELECT *, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, day ORDER BY nth) AS n FROM p),
+k AS (SELECT * FROM n WHERE w > 0), s AS (SELECT * FROM n WHERE w < 0),
+near AS (SELECT a.song AS x, b.song AS y, sqrt(a.w * b.w) * (4 - (b.n - a.n)) / 3 AS rate FROM k a JOIN k b ON a.user_id = b.user_id AND a.day = b.day AND b.n - a.n BETWEEN 1 AND 3),
+apart AS (SELECT s.song AS x, k.song AS y, 0.5 * -s.w * sqrt(k.w) * (4 - CASE WHEN k.n <= s.n THEN s.n - k.n + 1 ELSE k.n - s.n END) / 3 AS rate FROM s JOIN k ON s.user_id = k.user_id AND s.day = k.day AND k.n BETWEEN s.n - 2 AND s.n + 3),
+every AS (SELECT x, y, rate, 1 AS label FROM near UNION ALL SELECT y, x, rate, 1 FROM near UNION ALL SELECT x, y, rate, 0 FROM apart UNION ALL SELECT y, x, rate, 0 FROM apart)
+SELECT 'i:' || x AS center, 'i:' || y AS context, CAST(label AS DOUBLE) AS label, count(*) AS n, CAST(round(sum(rate) * 1000) AS BIGINT) AS rates FROM every WHERE x <> y GROUP BY ALL""")
+def item_pairs(t):
+    song = F.get_json_object("props", "$.k").cast("int")
+    strength = F.when(F.col("event_type") == "error", -1.0).when(F.col("event_type") == "purchase", 1.5).otherwise(F.col("value") / 100)
+    plays = t.events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", song.alias("song"), strength.alias("strength")).filter("song IS NOT NULL")
+    placed = item_vectors.positions(plays, ["user_id", "day"], [F.col("ts"), F.col("event_id")], "song", F.col("strength"))
+    return item_vectors.token_pairs(placed, ["user_id", "day"], "song").groupBy("center", "context", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate") * 1000).cast("long").alias("rates"))
