@@ -36,6 +36,7 @@ def preference_features(track: dict[str, Column], before: dict[str, Column], hou
         return F.when(F.coalesce(when, F.lit(False)), F.array(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))).otherwise(F.array().cast("array<string>"))
 
     both, moved = known & (last_artist != ""), (F.size(genres) > 0) & (last_genre != "")
+    # fixed values: the tokens, whose hashes are the features
     tokens = F.concat(
         one(known, "artist:", artist),
         one(known & (album != ""), "album:", artist, "|", album),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,10 +28,14 @@ def _after(c: str, *endings: str):
     return [F.concat(c, F.lit(e)) for e in endings]
 
 
-@query("SELECT p_partkey, p_name AS plain FROM part")
+# names with notes, for DuckDB to work the rule out
+_NOTED = "upper(p_name || CASE p_partkey % 8 WHEN 0 THEN ' (Deluxe Edition) 2' WHEN 1 THEN ' - Remastered 2009' WHEN 2 THEN ' feat. X' WHEN 3 THEN '!  ' WHEN 4 THEN ' [Explicit] (Live)' WHEN 5 THEN ' (Live)' WHEN 6 THEN '(deluxe)x' ELSE ' ft. Y (clean)' END)"
+_NOTES = "|".join(re.escape(n).replace("\\ ", " ") for n in m.NAME_NOTES)
+
+
+@query(rf"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_NOTED}), '(?s)({_NOTES}).*$', ''), '\s', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM part")
 def plain_names(t):
-    noted = _pick("p_partkey", *_after("p_name", " (Deluxe Edition) 2", " - Remastered 2009", " feat. X", "!  "))
-    return t.part.select("p_partkey", m.plain_ascii(F.upper(noted)).alias("plain"))
+    return t.part.select("p_partkey", m.plain_ascii(F.expr(_NOTED)).alias("plain"))
 
 
 @query("SELECT p_partkey, p_partkey % 4 <> 2 AS alike FROM part")
@@ -47,9 +52,15 @@ def titles_match(t):
     return t.part.select("p_partkey", m.titles_match(asked, found).alias("alike"), m.track_titles_match(asked, found).alias("same_recording"))
 
 
-@query("SELECT p_partkey, 'name:' || p_name || ' y|' || lower(p_brand) AS key FROM part")
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' (x)  y' WHEN 1 THEN '[a] ' || p_name || ')' WHEN 2 THEN p_name || ' (b [c) d] (e' ELSE p_name || '  (f)(g) [h]i' END"
+_LINE = "CASE p_partkey % 5 WHEN 0 THEN p_brand || ' feat. Z; Q' WHEN 1 THEN p_brand || ' x Y ft Z' WHEN 2 THEN p_brand || ' and W' WHEN 3 THEN ' ' || p_brand || ' & V, U' ELSE ', ' || p_brand END"
+
+
+@query(rf"""
+SELECT p_partkey, 'name:' || trim(regexp_replace(regexp_replace(lower({_TITLE}), '\s*[(\[].*?[)\]]', '', 'g'), '\s+', ' ', 'g')) || '|' ||
+       lower(trim(regexp_extract({_LINE}, '^(.*?)(?:,|;|&| feat\.? | ft\.? | x |$)', 1))) AS key FROM part""")
 def suggestion_keys(t):
-    return t.part.select("p_partkey", m.suggestion_key(F.concat(F.upper("p_name"), F.lit(" (x)  y")), F.concat("p_brand", F.lit(" feat. Z; Q"))).alias("key"))
+    return t.part.select("p_partkey", m.suggestion_key(F.expr(_TITLE), F.expr(_LINE)).alias("key"))
 
 
 FAMILIES = {"rock": ["rock", "hard rock", "punk"], "pop": ["pop", "synth pop", "pop rock"], "rnb": ["rnb", "soul"], "small": ["small"]}
