@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +137,9 @@ def fit(docs: DataFrame) -> Bisection:
 
 
 def _coded(counted: list[Counter], codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    found = [[codes[w] for w in c if w in codes] for c in counted]
-    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    return np.fromiter((x for xs in found for x in xs), dtype=np.int64, count=len(doc)), doc
+    of, lengths = np.fromiter(map(codes.get, chain.from_iterable(counted), repeat(-1)), np.int64), [len(c) for c in counted]
+    doc = np.repeat(np.arange(len(counted)), lengths)
+    return of[of >= 0], doc[of >= 0]
 
 
 @dataclass
@@ -167,12 +168,12 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             for ids, slice_ in small_slices(batch, chars=4_000_000):
                 counted = [Counter(terms(t)) for t in slice_]
                 cluster, score = model.place(*_coded(counted, codes), len(counted))
-                yield emit(ids, counted, cluster, score)
+                yield emit(ids, slice_, counted, cluster, score)
 
     def sizes(batches):
-        def emit(_, counted, cluster, score):
+        def emit(_, __, counted, cluster, score):
             n = np.array([sum(c.values()) for c in counted], dtype=np.int64)
-            amount = np.array([sum(len(w) + 8 for w in c) for c in counted], dtype=np.int64)
+            amount = np.array([8 * len(c) + len("".join(c)) for c in counted], dtype=np.int64)
             by = lambda x: pa.array(np.bincount(cluster, weights=x, minlength=len(present)).astype(np.int64))
             present = np.arange(cluster.max(initial=-1) + 1)
             return pa.RecordBatch.from_arrays([pa.array(present), by(n > 0), by(n), by(amount)], names=["cluster", "documents", "words", "bytes"])
@@ -187,10 +188,11 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     def forward(batches):
         import xxhash
 
-        def emit(ids, counted, cluster, score):
+        def emit(ids, texts_, counted, cluster, score):
             here = [i for i, c in enumerate(counted) if c]
+            own = [xxhash.xxh64_intdigest(texts_[i].encode(), (ids[i] or 0) & 0xFFFFFFFF) for i in here]
             rows = [
-                [f"{cluster[i]}.{xxhash.xxh64_intdigest(repr((ids[i], *counted[i].items())).encode(), 1) % parts[cluster[i]]}" for i in here],
+                [f"{c}.{h % parts[c]}" for c, h in zip(cluster[here].tolist(), own, strict=True)],
                 [ids[i] for i in here],
                 [float(score[i]) for i in here],
                 [list(counted[i]) for i in here],
