@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -34,18 +35,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "cantata-checkpoints"))
 
 
+#: Tells Spark to remove a query's shuffle files when it ends, not when the driver's collector finds that nobody refers to them.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Checkpoint files made since the last scratch began, innermost last.
+_made: list[list[str]] = [[]]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back from there.
-
-    Shuffle files go when the driver's collector finds that nothing refers to them, which may be long after; it is asked
-    to look here, so that a job of many steps doesn't keep the files of all its steps.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession._jvm.System.gc()
+    """Write df to the shared checkpoint folder and read it back from there; the shuffle files behind it go at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        out = df.select("*").checkpoint()  # a query of its own, which is planned with the setting
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made[-1].append(file.get())
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is checkpointed inside is removed at its end, by when its results must have been written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
 def trained_on(id_col="doc_id"):
     """Rows that may be learned from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 != 2

@@ -195,7 +195,7 @@ def connect(fps: DataFrame, max_bits: int, choices: tuple[int, ...]) -> DataFram
 
 
 def connect_similar(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, max_bits: int, choices: tuple[int, ...]) -> DataFrame:
-    """Nodes (node, first, fp, size, level, sketches, rare, common) to (node, root), root being another: what links of similar nodes connect.
+    """Nodes (node, first, fp, size, odd, counts, rare, common) to (node, root), root being another: what links of similar nodes connect.
 
     The nodes of one fingerprint are compared with one of them, and fingerprints within max_bits with each other; what
     is similar, but farther apart in bits, has a rare shingle in common (see the module similarity). In both searches
@@ -246,7 +246,7 @@ def near_duplicates(
         texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key())
         rows = checkpointed(similarity.prefixes(texts, shingle, min_similarity, fingerprint_of))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-        kept = ("size", "level", "sketches", "rare", "common")
+        kept = ("size", "odd", "counts", "rare", "common")
         nodes = rows.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in kept])
         nodes = checkpointed(nodes)
         joined = connect_similar(nodes, texts, shingle, min_similarity, max_bits, partitions)

@@ -7,9 +7,10 @@ small. Texts with the same set of shingles are one node.
 A group is the nodes that show one shingle. Its head is the node that shows it first, that is, the one with the fewest
 rarer shingles: of a family of edited copies the one nearest to what they were made from. First each node is compared
 with the heads of its groups. Then links are looked for between what those ties leave apart, and only there: each node
-that isn't tied to the head of a group is compared with that group. A sketch of each set (the parities of 512 classes of
-its shingles) is a part of that join's condition: two sketches differ in no more bits than the sets do in shingles, so
-that hardly any pair comes out of the join that isn't similar. Texts decide on what is left.
+that isn't tied to the head of a group is compared with that group. A sketch of each set is a part of that join's condition:
+how many of its shingles are in each of 512 classes, of smaller sets only whether that is odd. What two sketches differ by is
+never more than what the sets differ by, so that no similar pair is lost and hardly any other comes out of the join. Texts
+decide on what is left.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SAMPLED, COMMON = 4000, 50_000
 PART = 2000
 #: Bits of the bitmap by which rows whose texts aren't needed are passed over (most of them).
 _BITMAP = 1 << 23
-#: Longs of a sketch, and shingles that it is made from at most; of larger sets it takes a part, by hash.
-_LONGS, _SKETCHED = 8, 640
+#: Classes of a sketch; sets of up to _ODD shingles have its parities, those of _COUNTED and more its counts: similar ones share a kind.
+_CLASSES, _COUNTED, _ODD = 512, 640, 800
 _CHUNK = 1 << 18
 
 
@@ -60,16 +61,11 @@ def _node(distinct: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63)
 
 
-def level(size: int) -> int:
-    """One in 2**level of a set's shingles goes into its sketch; sets of similar size are one level apart at most."""
-    return max(0, math.ceil(math.log2(size / _SKETCHED)))
-
-
-def sketch(distinct: np.ndarray, at: int) -> np.ndarray:
-    """The parities of 512 classes of those shingles that are in the part of this level, as longs."""
-    taken = distinct[(distinct >> np.uint64(64 - at)) == 0] if at else distinct
-    odd = np.bincount((taken & np.uint64(64 * _LONGS - 1)).astype(np.int64), minlength=64 * _LONGS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(distinct: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """The parities of the classes as longs, and the counts (32767 at most, which brings no two nearer than they are)."""
+    counts = np.bincount((distinct & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES)
+    odd = np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64) if len(distinct) <= _ODD else None
+    return odd, np.minimum(counts, 32767).astype(np.int16) if len(distinct) >= _COUNTED else None
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +86,9 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFrame:
-    """(row, doc_id, text) to row, doc_id, fp, node, size, level, sketches, rare and common.
+    """(row, doc_id, text) to row, doc_id, fp, node, size, odd, counts, rare and common.
 
-    The last two are the shingles of which a similar text always has one, in order. sketches has two, of the set's own
-    level and the next.
+    The last two are the shingles of which a similar text always has one, in order; those before are the sketch.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
@@ -101,11 +96,12 @@ def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFr
         common, places = shipped.value
         for batch in batches:
             for rows, ids, texts in small_slices(batch, column=2):
-                fps, nodes, sizes, levels, sketches, rare, often = [], [], [], [], [], [], []
+                fps, nodes, sizes, odds, counts, rare, often = [], [], [], [], [], [], []
                 for text in texts:
                     h = shingle_hashes(text, shingle)
                     s = np.unique(h)
-                    shown, at = len(s) - math.ceil(least * len(s) - 1e-9) + 1, level(len(s))
+                    shown = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+                    odd, count = sketch(s)
                     place = np.zeros(len(s), np.int64)
                     if len(common):
                         found = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -115,15 +111,16 @@ def prefixes(docs: DataFrame, shingle: int, least: float, fingerprint) -> DataFr
                     fps.append(fingerprint(text, h))
                     nodes.append(_node(s))
                     sizes.append(len(s))
-                    levels.append(at)
-                    sketches.append(np.concatenate([sketch(s, at), sketch(s, at + 1)]))
+                    odds.append(odd)
+                    counts.append(count)
                     rare.append(first)
                     often.append(last)
                 longs = pa.list_(pa.int64())
-                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(x, pa.int32()) for x in (sizes, levels)] + [pa.array(x, longs) for x in (sketches, rare, often)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "level", "sketches", "rare", "common"])
+                columns = [pa.array(x, pa.int64()) for x in (rows, ids, fps, nodes)] + [pa.array(sizes, pa.int32())]
+                columns += [pa.array(odds, longs), pa.array(counts, pa.list_(pa.int16()))] + [pa.array(x, longs) for x in (rare, often)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "fp", "node", "size", "odd", "counts", "rare", "common"])
 
-    schema = "row long, doc_id long, fp long, node long, size int, level int, sketches array<long>, rare array<long>, common array<long>"
+    schema = "row long, doc_id long, fp long, node long, size int, odd array<long>, counts array<short>, rare array<long>, common array<long>"
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -217,12 +214,10 @@ def ties(grouped: DataFrame, least: float) -> DataFrame:
 
 
 def _sketches_agree(least: float) -> str:
-    """SQL for i and p: their sketches of the same level differ in no more bits than similar sets can."""
-    here = lambda x: f"slice({x}.sketches, IF({x}.level = greatest(i.level, p.level), 1, {_LONGS + 1}), {_LONGS})"
-    differ = f"aggregate(zip_with({here('i')}, {here('p')}, (a, b) -> bit_count(a ^ b)), 0, (sum, x) -> sum + x)"
-    most = f"{(1 - least) / (1 + least)} * (i.size + p.size) / shiftleft(1, greatest(i.level, p.level))"
-    # of a part of the shingles, five standard errors more
-    return f"{differ} <= {most} + 1e-9 + IF(greatest(i.level, p.level) > 0, 5 * sqrt({most}), 0)"
+    """SQL for i and p: their sketches differ by no more than similar sets can."""
+    odd = "aggregate(zip_with(i.odd, p.odd, (a, b) -> bit_count(a ^ b)), 0, (sum, x) -> sum + x)"
+    counts = "aggregate(zip_with(i.counts, p.counts, (a, b) -> abs(a - b)), 0, (sum, x) -> sum + x)"
+    return f"IF(greatest(i.size, p.size) <= {_ODD}, {odd}, {counts}) <= {(1 - least) / (1 + least)} * (i.size + p.size) + 1e-9"
 
 
 def candidates(grouped: DataFrame, nodes: DataFrame, tied: DataFrame, least: float) -> DataFrame:
@@ -233,7 +228,7 @@ def candidates(grouped: DataFrame, nodes: DataFrame, tied: DataFrame, least: flo
     rooted = checkpointed(grouped.select("token", "is_common", "node", "size", "at", "n").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")))
     often, rare = rooted.filter("is_common").drop("is_common"), rooted.filter("NOT is_common").drop("is_common")
     apart = _with_token(often, rare, F.col("a") != F.col("b"), a=F.min("root"), b=F.max("root"), main=F.min_by("root", F.struct("at", "size", "node")))
-    apart = checkpointed(apart.drop("a", "b", "is_common").join(nodes.select("node", "level", "sketches"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
+    apart = checkpointed(apart.drop("a", "b", "is_common").join(nodes.select("node", "odd", "counts"), "node").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
     index = apart.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("i")
     probes = apart.filter("root <> main").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("p")
     i, p = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"p.{c}"))
