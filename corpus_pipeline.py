@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantata.llm import exact_dedup, langid, packing, simhash, toxicity
-from cantata.llm.common import read, remove, row_key, shared_path, tokenizer_file
+from cantata.llm.common import read, remove, row_key, scratch, shared_path, tokenizer_file
 
 #: Toxicity scores from here on are rejected.
 TOXIC_FROM = 0.3
@@ -83,11 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage has written is removed once the next one has; the last one's table stays."""
+    """The last stage's rows. What a stage has written, and what it has checkpointed, is removed; the last one's table stays."""
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
