@@ -14,10 +14,14 @@ What is broadcast: bitmaps of fixed size (they may let more through than need be
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +31,10 @@ LEAST, CONTAINED, TOP = 10, 50, 2000
 ROUND_KEYS = 4 << 20
 #: Keys of a block of the hash, bits a key at each level, and slots of a piece of counts.
 BLOCK_KEYS, GAMMA, PIECE = 8192, 2, 1 << 16
-#: Log2 of bits of a bitmap; entries of a part of the sparse counts; distinct words that a task holds before it hands them on.
-BITMAP, PART_ENTRIES, HELD = 26, 2_000_000, 1_000_000
-#: Phrases of a step of numpy work, and parts of the tree's first sum.
-STEP, BRANCHES = 1 << 21, 16
+#: Log2 of bits of a bitmap; entries of a part of the sparse counts; words and keys of phrases that a task holds.
+BITMAP, PART_ENTRIES, HELD, DONE = 26, 2_000_000, 400_000, 4_000_000
+#: Words of a step of numpy work, parts of the tree's first sum, and phrases that move in one row.
+STEP, BRANCHES, ROW_PHRASES = 1 << 20, 16, 512
 UNKNOWN = "und"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,9 +120,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 def _bitmap(rows: DataFrame, bits: int = BITMAP) -> np.ndarray:
     """A bitmap of keys (longs, taken as unsigned) by their top bits; of fixed size, made from 2**(bits - 6) words at most."""
     bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) % 64 AS INT))")
-    got = rows.groupBy(F.expr(f"shiftrightunsigned(key, {70 - bits})").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    got = rows.groupBy(F.expr(f"shiftrightunsigned(key, {70 - bits})").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -188,33 +192,61 @@ def _safe(sparse: DataFrame, parts_log2: int, least: int) -> DataFrame:
     return sparse.groupBy("part").applyInArrow(total, "key long")
 
 
-def _distinct(texts: DataFrame, frequent, safe) -> DataFrame:
-    """lang, phrase of the pairs and triples that may have enough occurrences; a triple only if its pairs may."""
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in known, which is sorted?"""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    return known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _rows_of(block: np.ndarray, phrases: pa.Array) -> pa.RecordBatch:
+    """Rows of up to ROW_PHRASES phrases of one block each, joined by newlines; block is sorted."""
+    begins = np.flatnonzero(np.diff(block, prepend=-1))
+    inside = np.arange(len(block)) - np.repeat(begins, np.diff(begins, append=len(block)))
+    starts = np.flatnonzero(inside % ROW_PHRASES == 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(block)), pa.int32()), phrases)
+    return pa.RecordBatch.from_arrays([pa.array(block[starts]), pc.binary_join(lists, b"\n")], names=["block", "phrases"])
+
+
+def _distinct(texts: DataFrame, frequent, safe, blocks_log2: int) -> DataFrame:
+    """lang, phrase of the pairs and triples that may have enough occurrences; a triple only if its pairs may.
+
+    A task hands its phrases on in rows of some hundreds, sorted (which compresses) and by block of keys; a block's rows are
+    read one after another by a task that holds the block's phrases.
+    """
 
     def run(batches):
-        known, done = {}, set()
+        known, done = {}, np.zeros(0, np.uint64)
         for step in _coded(batches):
             if step is None:
-                known, done = {}, set()
+                known, done = {}, np.zeros(0, np.uint64)
                 continue
             held, codes = step
             two, pair, three, triple = _phrases(held, codes, known, frequent.value)
             fine = _in(safe.value, pair)
             good = fine[three] & fine[three + 1] & _in(safe.value, triple)
-            rows = ([], [])
+            words = pa.array([w for _, w in held], pa.binary())
+            leading = pa.array([lang.encode() + b"\0" + w for lang, w in held], pa.binary())
+            blocks, phrases = [], []
             for first, keys, size in ((two[fine], pair[fine], 2), (two[three[good]], triple[good], 3)):
                 keys, at = np.unique(keys, return_index=True)
-                for k, i in zip(keys.tolist(), first[at].tolist(), strict=True):
-                    if k not in done:
-                        done.add(k)
-                        words = [held[c] for c in codes[i : i + size]]
-                        rows[0].append(words[0][0])
-                        rows[1].append(b" ".join(w for _, w in words))
-            if len(done) > HELD:
-                done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+                new = ~_among(keys, done)
+                own = first[at[new]]
+                blocks.append(keys[new] >> np.uint64(64 - blocks_log2) if blocks_log2 else np.zeros(len(own), np.uint64))
+                phrases.append(pc.binary_join_element_wise(leading.take(pa.array(codes[own])), *[words.take(pa.array(codes[own + k])) for k in range(1, size)], b" "))
+                done = np.union1d(done if len(done) < DONE else done[:0], keys)
+            found = pa.table({"block": np.concatenate(blocks).astype(np.int64), "phrase": pa.chunked_array(phrases, pa.binary())}).sort_by([("block", "ascending"), ("phrase", "ascending")])
+            yield _rows_of(found["block"].to_numpy(), found["phrase"].combine_chunks())
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            before = len(seen)
+            new = [p for cell in batch.column("phrases") for p in cell.as_py().split(b"\n") if not (p in seen or seen.add(p))]
+            if len(seen) > before:
+                parts = [p.split(b"\0", 1) for p in new]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], pa.binary()).cast(pa.string()) for i in (0, 1)], names=["lang", "phrase"])
 
-    return texts.mapInArrow(run, "lang string, phrase string").distinct()
+    return texts.mapInArrow(run, "block long, phrases binary").groupBy("block").applyInArrow(once, "lang string, phrase string")
 
 
 @dataclass
@@ -310,7 +342,7 @@ def perfect_hash(keys: DataFrame, n: int) -> PerfectHash:
     """(key, check) of n keys, ROUND_KEYS at most: blocks are built in tasks, the driver lays them end to end."""
     blocks = max(1, n // BLOCK_KEYS)
     block = F.expr(f"shiftrightunsigned(shiftrightunsigned(key, 40) * {blocks}L, 24)")
-    rows = sorted(_built(keys.withColumn("block", block), blocks).collect(), key=lambda r: r["block"])
+    rows = _built(keys.withColumn("block", block), blocks).toArrow().sort_by("block").to_pylist()
     depth = max([1, *(len(r["sizes"]) for r in rows)])
     at, size, begins = np.zeros((blocks, depth), np.int64), np.zeros((blocks, depth), np.int64), np.zeros(blocks, np.int64)
     bits = slots = 0
@@ -434,8 +466,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     frequent = ship(_bitmap(singles.select(F.element_at("keys", 1).alias("key"))))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts_log2 = min(20, max(4, (2 * total // PART_ENTRIES).bit_length()))
-    safe = ship(_bitmap(_safe(_sparse(texts, frequent, parts_log2, least), parts_log2, least)))
-    phrases = checkpointed(_with_keys(_distinct(texts, frequent, safe)))
+    slots = checkpointed(_safe(_sparse(texts, frequent, parts_log2, least), parts_log2, least))
+    safe = ship(_bitmap(slots))
+    phrases = checkpointed(_with_keys(_distinct(texts, frequent, safe, (slots.count() // BLOCK_KEYS).bit_length())))
     keyed = phrases.unionByName(singles)
 
     own = keyed.select(F.element_at("keys", 1).alias("key"), F.element_at("checks", 1).alias("check"))

@@ -39,6 +39,7 @@ TOP = 10
 BLOCK_CHARS = 4 << 20
 #: Bytes of visits that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
+_NO_ID = -(1 << 63)  # stands for a null id, before all others
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -204,7 +205,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return place(batches, emit)
 
     def invert(table: pa.Table) -> pa.Table:
-        by_place = pc.sort_indices(table, sort_keys=[("score", "ascending"), ("doc_id", "ascending")])
+        by_place = pc.sort_indices(table, sort_keys=[("score", "ascending"), ("doc_id", "ascending")], null_placement="at_start")
         table = table.take(by_place).combine_chunks()
         lengths = pc.list_value_length(table["terms"]).to_numpy()
         words, tf = pc.list_flatten(table["terms"]).combine_chunks().dictionary_encode(), pc.list_flatten(table["tfs"]).to_numpy().astype(np.int64)
@@ -220,7 +221,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return pa.table(
             {
                 "shard": table["shard"].slice(0, 1),
-                "ids": longs(table["doc_id"].to_numpy(), pa.int64()),
+                "ids": pa.ListArray.from_arrays([0, len(table)], table["doc_id"].combine_chunks()),
                 "terms": longs(words.dictionary, pa.string()),
                 "bounds": longs(bounds.astype(np.int32), pa.int32()),
                 "ends": longs(ends.astype(np.int32), pa.int32()),
@@ -280,7 +281,7 @@ def _visited(table: DataFrame, visits: DataFrame, wanted: list[dict[int, int]],
         for batch in batches:
             ids_of, terms_of, ends_of, places_of, impacts_of, asked_of = batch.columns
             for i in range(batch.num_rows):
-                ids, ends = ids_of[i].values.to_numpy(), ends_of[i].values.to_numpy()
+                ids, ends = pc.fill_null(ids_of[i].values, _NO_ID).to_numpy(), ends_of[i].values.to_numpy()
                 places, impacts = np.frombuffer(places_of[i].as_buffer(), "<u4"), np.frombuffer(impacts_of[i].as_buffer(), "<u4")
                 at = pc.fill_null(pc.index_in(vocabulary, value_set=terms_of[i].values), -1).to_numpy()
                 out = ([], [], [])
@@ -296,7 +297,7 @@ def _visited(table: DataFrame, visits: DataFrame, wanted: list[dict[int, int]],
                     some = some[np.lexsort((ids[some], -total[some]))][:top]
                     for column, values in zip(out, ([q] * len(some), ids[some], total[some]), strict=True):
                         column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["q", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([None if x == _NO_ID else x for x in out[1]], pa.int64()), pa.array(out[2], pa.int64())], names=["q", "doc_id", "score"])
 
     by_shard = checkpointed(visits.groupBy("shard").agg(F.collect_list("q").alias("asked")))
     size = by_shard.agg(F.coalesce(F.sum(F.size("asked") * 4 + 64), F.lit(0))).first()[0]
