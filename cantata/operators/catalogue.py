@@ -132,10 +132,11 @@ def search_rank(query: str, name: Column) -> Column:
 
 
 def trigram_index(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    """(gram, id) of every distinct run of three characters in lower case."""
-    t = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
-    return docs.filter(F.length(t) >= 3).select(doc_id, F.explode(F.array_distinct(grams)).alias("gram"))
+    """(gram, id) of every distinct run of three characters in lower case; search_index keeps one on disk."""
+    letters = F.split(F.lower(text), "")
+    pairs = F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
+    grams = F.zip_with(pairs, F.slice(letters, 3, 1 << 30), lambda a, b: F.concat(a, b))
+    return docs.select(doc_id, F.explode(F.array_distinct(F.filter(grams, lambda g: F.length(g) == 3))).alias("gram"))
 
 
 def trigram_search(index: DataFrame, docs: DataFrame, doc_id: str, text: Column, phrase: str) -> DataFrame:

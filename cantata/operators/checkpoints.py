@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read from there; only on a local master will a folder of this machine do."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; only on a local master will one of this machine do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "cantata-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

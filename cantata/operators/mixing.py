@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cantata.functions.text import fnv1a, trimmed
+from cantata.operators.checkpoints import checkpointed
+from cantata.operators.ranking import logistic_with_prior
 from cantata.operators.windows import running_sum
 
 # How strongly each pitch class belongs to a major and a minor key, from the tonic on.
@@ -156,6 +158,44 @@ def temporal_holdout(outcomes: DataFrame, lead: Column, order: list, least: int
     return placed.withColumn("tested", (F.col("__n") >= least) & (F.col("__at") > F.col("__n") - tested)).drop("__n", "__at")
 
 
+def grouped_auc(df: DataFrame, group: str, score: str, label: Column) -> DataFrame:
+    """group and ``auc``: the chance that a row with the label scores above one without, ties half; null if either is absent.
+
+    Rows are counted by score first; along a group go its distinct scores.
+    """
+    counts = df.groupBy(group, F.col(score).alias("__s")).agg(F.sum(label.cast("long")).alias("__p"), F.sum((~label).cast("long")).alias("__n"))
+    below = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("__w", F.col("__p") * (2 * below + F.col("__n"))).groupBy(group).agg(F.sum("__w").alias("__w"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    return sums.select(group, F.when((F.col("__p") > 0) & (F.col("__n") > 0), F.col("__w") / (2 * F.col("__p") * F.col("__n"))).alias("auc"))
+
+
+def champions(outcomes: DataFrame, who: str, at: str, item: str, features: list[str], kept: Column, weight: str, least: int = 40) -> tuple[DataFrame, DataFrame]:
+    """For each listener, may weights that were learned replace the starting ones (all 1)? The decision, and the weights of those that win.
+
+    The latest quarter of the outcomes, ten at least, is tested with weights learned from the rest. Learned ones win if they
+    rank it at least as well; then they are learned anew from all. Decision: who, outcomes, tested, starting and learned (the
+    two AUCs, null where either kind is absent or there are fewer outcomes than least), wins. Weights: who, feature,
+    coefficient. at is a number and, with item, a total order.
+    """
+    counts = outcomes.groupBy(F.col(who).alias("__who")).agg(F.count(F.lit(1)).alias("__n"))
+    same = F.col(who).eqNullSafe(F.col("__who"))
+    tested = F.greatest(F.lit(10), F.floor(F.col("__n") / 4))
+    marked = running_sum(outcomes.withColumn("__kept", kept), [who], F.col(at), [F.col(at), F.col(item)], F.lit(1).cast("long"), "__at").join(counts, same).drop("__who")
+    marked = checkpointed(marked.withColumn("__tested", F.col("__at") > F.col("__n") - tested).filter(F.col("__n") >= least))
+    fitted = lambda rows: logistic_with_prior(rows.withColumn("__label", F.col("__kept").cast("int")), who, features, "__label", weight)
+    earlier = checkpointed(fitted(marked.filter("NOT __tested")))
+    wide = earlier.groupBy(F.col(who).alias("__who")).agg(*[F.max(F.when(F.col("feature") == f, F.col("coefficient"))).alias(f"__c{i}") for i, f in enumerate(features)])
+    latest = marked.filter("__tested").join(wide, same)
+    scored = latest.select(who, "__kept", sum((F.col(f).cast("double") for f in features), F.lit(0.0)).alias("__start"), sum((F.col(f) * F.col(f"__c{i}") for i, f in enumerate(features)), F.lit(0.0)).alias("__learned"))
+    starting, learned = (grouped_auc(scored, who, c, F.col("__kept")).toDF(f"__{n}", n) for c, n in (("__start", "starting"), ("__learned", "learned")))
+    told = counts.join(starting, F.col("__who").eqNullSafe(F.col("__starting")), "left").join(learned, F.col("__who").eqNullSafe(F.col("__learned")), "left")
+    enough = F.col("__n") >= least
+    wins = F.coalesce(F.col("learned") >= F.col("starting"), F.lit(False))
+    decision = checkpointed(told.select(F.col("__who").alias(who), F.col("__n").alias("outcomes"), F.when(enough, tested).alias("tested"), "starting", "learned", wins.alias("wins")))
+    winners = decision.filter("wins").select(F.col(who).alias("__who"))
+    return decision, fitted(marked.join(winners, same, "left_semi"))
+
+
 def hashed_feature(name: Column, dimensions: int = 4096) -> Column:
     """index and sign of a feature: the lowest bits of its hash, and its highest one."""
     h = fnv1a(name)

@@ -178,3 +178,11 @@ def scrobbles(t):
 @query("SELECT o_custkey, count(*) AS members, count(*) FILTER (o_orderstatus = 'F') AS good FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') = 0")
 def settled_groups(t):
     return mx.settled_groups(t.orders, "o_custkey", F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
+
+
+@query()
+def champion_weights(t):
+    """Each listener's decision, with its AUCs: what was bought or looked at is kept, by value and k."""
+    kept = F.col("event_type").isin("purchase", "view")
+    rows = t.events.select((F.col("user_id") % 40).alias("who"), "event_id", (F.col("value") / 100).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("y"), kept.alias("kept"), F.lit(1.0).alias("w"))
+    return mx.champions(rows, "who", "event_id", "event_id", ["x", "y"], F.col("kept"), "w")[0]

@@ -1,12 +1,17 @@
-"""Queries over frames: the embeddings stand for spectra, each label for a track, by vec_id."""
+"""Queries over frames (the embeddings stand for spectra, each label for a track, by vec_id), over feeds and kept indexes."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cantata.operators import landmarks
+from cantata.functions import dates
+from cantata.operators import feed, landmarks, search_index, spacing
+from cantata.operators.checkpoints import checkpoint_folder
 from cantata.plans.common import Registry
+from cantata.sources import markup
 
 registry = Registry()
 query = registry.query
@@ -62,3 +67,116 @@ def landmark_votes(t):
     found = landmarks.checkpointed(landmark_peaks(t))
     thin = found.filter("pos >= 5 AND (pos * 7 + bin) % 5 <> 0").select(F.col("label").alias("q"), (F.col("pos") - 5).alias("pos"), "bin")
     return landmarks.votes(landmarks.pairs(thin, "q", "pos", "bin", ahead=8), landmarks.pairs(found, "label", "pos", "bin", ahead=8), "q", "label", "pos")
+
+
+# an event of a user at a time is a frame; its value is how strong it is
+_FRAMES = "f AS (SELECT user_id % 40 AS who, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) - 1 AS pos, value / 100 AS value, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS loud FROM events)"
+
+
+def event_frames(t):
+    place = F.row_number().over(Window.partitionBy("who").orderBy("ts", "event_id")) - 1
+    loud = F.get_json_object("props", "$.k").cast("double") / 100
+    return t.events.withColumn("who", F.col("user_id") % 40).select("who", place.cast("long").alias("pos"), (F.col("value") / 100).alias("value"), loud.alias("loud"))
+
+
+_ONSETS = f"""
+{_FRAMES},
+o AS (SELECT * FROM (SELECT *, max(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, avg(value) OVER (w ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS mean FROM f WINDOW w AS (PARTITION BY who ORDER BY pos))
+  WHERE value >= 0.002 AND value >= top AND value >= 1.5 * mean)"""
+
+
+@query(f"WITH RECURSIVE {_ONSETS}, k AS (SELECT who, min(pos) AS pos FROM o GROUP BY 1 UNION ALL SELECT k.who, (SELECT min(o.pos) FROM o WHERE o.who = k.who AND o.pos >= k.pos + 4) AS pos FROM k WHERE k.pos IS NOT NULL) SELECT who, pos FROM k WHERE pos IS NOT NULL")
+def spaced_onsets(t):
+    return spacing.spaced(spacing.onset_peaks(event_frames(t), "who", "pos", "value").select("who", "pos"), "who", "pos")
+
+
+# every row is a candidate: long chains, nine places apart
+@query(f"WITH RECURSIVE {_FRAMES}, o AS (SELECT who, pos FROM f WHERE value > 0.3), k AS (SELECT who, min(pos) AS pos FROM o GROUP BY 1 UNION ALL SELECT k.who, (SELECT min(o.pos) FROM o WHERE o.who = k.who AND o.pos >= k.pos + 9) AS pos FROM k WHERE k.pos IS NOT NULL) SELECT who, pos FROM k WHERE pos IS NOT NULL")
+def spaced_rows(t):
+    return spacing.spaced(event_frames(t).filter("value > 0.3").select("who", "pos"), "who", "pos", 9)
+
+
+@query(f"""
+WITH {_FRAMES},
+g AS (SELECT who, greatest(0.002, list_sort(list(loud))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] * 0.1) AS gate FROM f GROUP BY 1),
+m AS (SELECT *, max(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, greatest(0.15, 2.4 * avg(value) OVER (w ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING)) AS threshold FROM f WINDOW w AS (PARTITION BY who ORDER BY pos))
+SELECT who, pos, CAST(round(threshold * 1000) AS BIGINT) AS thousandths FROM m JOIN g USING (who) WHERE loud >= gate AND value > threshold * 0.7 AND value >= top AND pos >= 2""")
+def loud_hits(t):
+    found = spacing.hits(event_frames(t), "who", "pos", "value", "loud", 0.7)
+    return found.select("who", "pos", F.round(F.col("threshold") * 1000).cast("long").alias("thousandths"))
+
+
+# items are a user's values of k; an error removes one; three cursors: of nothing, from before the horizon (3000), and after it
+_FEED = "c AS (SELECT user_id || ':' || CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS item, event_id AS seq, event_type = 'error' AS gone, CAST(round(value) AS BIGINT) AS amount FROM events)"
+_CURSORS = (0, 100, 3500)
+
+
+@query(f"""
+WITH {_FEED}, last AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY item ORDER BY seq DESC) = 1),
+""" + ", ".join(f"d{i} AS (SELECT {since} AS since, item, seq, gone AS removed, amount, {since < 3000} AS reset FROM last WHERE {'NOT gone' if since < 3000 else f'seq > {since}'} AND (SELECT max(seq) FROM c) > {since})" for i, since in enumerate(_CURSORS)) + " UNION ALL ".join(f" SELECT * FROM d{i}" for i in range(len(_CURSORS))))
+def feed_deltas(t):
+    item = F.concat_ws(":", "user_id", F.get_json_object("props", "$.k").cast("int") % 20)
+    rows = t.events.select(item.alias("item"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("gone"), F.round("value").cast("long").alias("amount"))
+    early = feed.compacted(rows.filter("seq < 2000"), "item", "seq", F.col("gone"), 1000)  # compacted once before, with a horizon of its own
+    whole = feed.compacted(early.drop("removed").unionByName(rows.filter("seq >= 2000")), "item", "seq", F.col("gone"), 3000)
+    told = [feed.delta(whole, "seq", since, 3000).select(F.lit(since).alias("since"), "item", "seq", "removed", "amount", "reset") for since in _CURSORS]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+# of the documents every tenth has been changed since the index was written, every eleventh is gone
+@query("""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'zebra ' || reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 1)
+SELECT 'ing the' AS phrase, doc_id FROM now WHERE contains(lower(text), 'ing the') UNION ALL SELECT 'zebra e', doc_id FROM now WHERE contains(lower(text), 'zebra e')
+UNION ALL SELECT 'on', doc_id FROM now WHERE contains(lower(text), 'on')""")
+def kept_index(t):
+    docs = t.documents.select("doc_id", "text")
+    path = f"{checkpoint_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    search_index.write_index(docs, "doc_id", F.col("text"), path)
+    changed = F.concat(F.lit("zebra "), F.reverse("text"))
+    now = docs.filter("doc_id % 11 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 0, changed).otherwise(F.col("text")))
+    search_index.add_delta(now.filter("doc_id % 10 = 0"), "doc_id", F.col("text"), docs.filter("doc_id % 11 = 1"), path, 1)
+    found = [search_index.search(now, "doc_id", F.col("text"), path, p).select(F.lit(p.lower()).alias("phrase"), "doc_id") for p in ("Ing the", "zebra e", "on")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+# a date as tags write it, in eight ways
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN '' ELSE strftime(CASE WHEN o_orderkey % 8 IN (0, 1, 4) THEN o_orderdate WHEN o_orderkey % 8 = 2 THEN date_trunc('month', o_orderdate) ELSE date_trunc('year', o_orderdate) END, '%d/%m %y, %Y (%b, %B) 100%%') || ' %q' END AS shown
+FROM orders""")
+def tag_dates(t):
+    k, day = F.col("o_orderkey") % 8, lambda f: F.date_format("o_orderdate", f)
+    tag = (
+        F.when(k == 0, day("yyyy-MM-dd")).when(k == 1, F.concat(F.lit(" "), day("yyyy/MM/dd"))).when(k == 2, day("yyyy.MM")).when(k == 3, day("yyyy")).when(k == 4, F.concat(day("yyyy-MM-dd"), F.lit("T23:59:59.5-07:00")))
+        .when(k == 5, F.concat(F.lit("released "), day("yyyy"), F.lit(", 2001"))).when(k == 6, F.concat(day("yyyy-MM"), F.lit("/31"))).otherwise("unknown")
+    )
+    return t.orders.select("o_orderkey", dates.date_text(tag, "%d/%m %y, %Y (%b, %B) 100%% %q").alias("shown"))
+
+
+@query("""
+SELECT p_partkey, 0 AS line, p_size * 1000 + 500 AS time_ms, (p_size + 2) * 1000 AS end_ms, 'v1' AS voice, p_name AS line_text, 2 AS words FROM part
+UNION ALL SELECT p_partkey, 1, (p_size + 60) * 1000, (p_size + 60) * 1000 + 250, 'v2', p_brand, 0 FROM part
+UNION ALL SELECT p_partkey, 2, 3600000, 3602000, 'v1', lower(p_type), 2 FROM part""")
+def timed_lines(t):
+    word = F.split("p_name", " ")
+    span = lambda begin, end, text, more="": F.concat(F.lit("<span "), F.lit(more), F.lit('begin="'), begin, F.lit('" end="'), end, F.lit('">'), text, F.lit("</span>"))
+    s, two = F.col("p_size").cast("string"), (F.col("p_size") + 2).cast("string")
+    xml = F.concat(
+        F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttm="http://www.w3.org/ns/ttml#metadata"><head/><body><div ttm:agent="v1"><p>'),
+        span(F.concat(s, F.lit(".5s")), F.concat(s, F.lit(".9")), word[0]), span(F.concat(s, F.lit(".9s")), two, F.concat_ws(" ", F.slice(word, 2, 99))),
+        F.lit('</p><p ttm:agent="v2" dur="250ms" begin="00:01:'), F.lpad(s, 2, "0"), F.lit('"> '), F.col("p_brand"), F.lit(" </p><p>"),
+        span(F.lit("1h"), F.lit("01:00:01.5"), F.lower("p_type")), F.lit('<span ttm:role="x-bg">'), span(F.lit("60:01"), F.lit("3602s"), F.lit("(ooh)")), F.lit("</span></p></div></body></tt>"),
+    )
+    return markup.ttml_lines(t.part.select("p_partkey", xml.alias("xml")), "xml").select("p_partkey", "line", "time_ms", "end_ms", "voice", "line_text", F.size("words").alias("words"))
+
+
+@query("""
+SELECT s_suppkey, '/dav/' || s_suppkey || '/' AS href, CAST(s_suppkey AS VARCHAR) AS name, true AS folder, NULL AS size FROM supplier
+UNION ALL SELECT s_suppkey, 'https://h/dav/' || s_suppkey || '/' || replace(s_name, '#', '%23') || '%20x.flac', s_name || ' x.flac', false, s_nationkey * 100 FROM supplier""")
+def listed_entries(t):
+    k, name = F.col("s_suppkey").cast("string"), F.replace("s_name", F.lit("#"), F.lit("%23"))
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><D:multistatus xmlns:D="DAV:"><D:response><D:href>/dav/'), k, F.lit("/</D:href><D:propstat><D:prop><D:resourcetype><D:collection/></D:resourcetype></D:prop><D:status>HTTP/1.1 200 OK</D:status></D:propstat></D:response>"),
+        F.lit("<D:response><D:href>https://h/dav/"), k, F.lit("/"), name, F.lit("%20x.flac</D:href><D:propstat><D:prop><D:getcontentlength>7</D:getcontentlength></D:prop><D:status>HTTP/1.1 404 Not Found</D:status></D:propstat><D:propstat><D:prop><D:getcontentlength>"),
+        (F.col("s_nationkey") * 100).cast("string"), F.lit("</D:getcontentlength><D:resourcetype/></D:prop><D:status>HTTP/1.1 200 OK</D:status></D:propstat></D:response></D:multistatus>"),
+    )
+    return markup.webdav_entries(t.supplier.select("s_suppkey", xml.alias("xml")), "xml").select("s_suppkey", "href", "name", "folder", "size")
