@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantata.functions import dates
-from cantata.operators import feed, landmarks, search_index, spacing
+from cantata.operators import feed, landmarks, search_index, spacing, spectra
 from cantata.operators.checkpoints import checkpoint_folder
 from cantata.plans.common import Registry
 from cantata.sources import markup
@@ -180,3 +180,16 @@ def listed_entries(t):
         (F.col("s_nationkey") * 100).cast("string"), F.lit("</D:getcontentlength><D:resourcetype/></D:prop><D:status>HTTP/1.1 200 OK</D:status></D:propstat></D:response></D:multistatus>"),
     )
     return markup.webdav_entries(t.supplier.select("s_suppkey", xml.alias("xml")), "xml").select("s_suppkey", "href", "name", "folder", "size")
+
+
+@query()
+def spectral_tracks(t):
+    """Each vector is a frame of 64 samples, each label a track."""
+    framed = spectra.frame_features(t.embeddings.select("label", "vec_id", "embedding"), ["label", "vec_id"], "embedding", 8000.0)
+    return spectra.track_features(framed, "label")
+
+
+@query()
+def beat_grids(t):
+    """Listeners' events as frames, 25 a second: values are onsets, k is how loud it is."""
+    return spectra.beat_grids(event_frames(t), "who", "pos", "value", "loud", 25.0)
