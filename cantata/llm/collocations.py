@@ -32,9 +32,9 @@ ROUND_KEYS = 4 << 20
 #: Keys of a block of the hash, bits a key at each level, and slots of a piece of counts.
 BLOCK_KEYS, GAMMA, PIECE = 8192, 2, 1 << 16
 #: Log2 of bits of a bitmap; entries of a part of the sparse counts; words and keys of phrases that a task holds.
-BITMAP, PART_ENTRIES, HELD, DONE = 26, 2_000_000, 400_000, 4_000_000
+BITMAP, PART_ENTRIES, HELD, DONE = 26, 2_000_000, 250_000, 4_000_000
 #: Words of a step of numpy work, parts of the tree's first sum, and phrases that move in one row.
-STEP, BRANCHES, ROW_PHRASES = 1 << 20, 16, 512
+STEP, BRANCHES, ROW_PHRASES = 1 << 19, 16, 512
 UNKNOWN = "und"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -210,7 +210,7 @@ def _rows_of(block: np.ndarray, phrases: pa.Array) -> pa.RecordBatch:
 def _distinct(texts: DataFrame, frequent, safe, blocks_log2: int) -> DataFrame:
     """lang, phrase of the pairs and triples that may have enough occurrences; a triple only if its pairs may.
 
-    A task hands its phrases on in rows of some hundreds, sorted (which compresses) and by block of keys; a block's rows are
+    A task hands its phrases on in rows of some hundreds, by block of keys and by word; a block's rows are
     read one after another by a task that holds the block's phrases.
     """
 
@@ -226,16 +226,19 @@ def _distinct(texts: DataFrame, frequent, safe, blocks_log2: int) -> DataFrame:
             good = fine[three] & fine[three + 1] & _in(safe.value, triple)
             words = pa.array([w for _, w in held], pa.binary())
             leading = pa.array([lang.encode() + b"\0" + w for lang, w in held], pa.binary())
-            blocks, phrases = [], []
+            blocks, places, phrases = [], [], []
             for first, keys, size in ((two[fine], pair[fine], 2), (two[three[good]], triple[good], 3)):
                 keys, at = np.unique(keys, return_index=True)
                 new = ~_among(keys, done)
                 own = first[at[new]]
                 blocks.append(keys[new] >> np.uint64(64 - blocks_log2) if blocks_log2 else np.zeros(len(own), np.uint64))
+                places.append(own)
                 phrases.append(pc.binary_join_element_wise(leading.take(pa.array(codes[own])), *[words.take(pa.array(codes[own + k])) for k in range(1, size)], b" "))
                 done = np.union1d(done if len(done) < DONE else done[:0], keys)
-            found = pa.table({"block": np.concatenate(blocks).astype(np.int64), "phrase": pa.chunked_array(phrases, pa.binary())}).sort_by([("block", "ascending"), ("phrase", "ascending")])
-            yield _rows_of(found["block"].to_numpy(), found["phrase"].combine_chunks())
+            block, place = np.concatenate(blocks).astype(np.int64), np.concatenate(places)
+            order = np.lexsort((codes[place + 1], codes[place], block))  # like words side by side, which compresses
+            yield _rows_of(block[order], pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in phrases]).take(pa.array(order)))
+            pa.default_memory_pool().release_unused()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
