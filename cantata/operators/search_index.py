@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Partitions of the index, and documents of one posting list; a gram of more has several lists.
-BUCKETS, LIST = 64, 4096
+from cantata.operators.parts import spread
+
+#: Partitions of the index, and documents of one posting list and letters of their texts; a gram of more has several lists.
+BUCKETS, LIST, LETTERS = 64, 4096, 4_000_000
 
 
 def grams_of(phrase: str) -> list[str]:
@@ -20,17 +25,56 @@ def bucket_of(gram: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(gram.encode()) % buckets
 
 
+def _lists(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """The posting lists of some documents: characters as places in their alphabet, grams as numbers, with the document as the last digit."""
+    order = np.argsort(ids, kind="stable")
+    ids, texts = ids[order], [texts[i] for i in order]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    letters, place = np.flatnonzero(used), np.cumsum(used) - 1
+    n, size = len(texts), max(1, len(letters))
+    if n > 1 and size**3 * n >= 1 << 63:  # many scripts at once
+        for half in (slice(0, n // 2), slice(n // 2, n)):
+            yield from _lists(ids[half], texts[half])
+        return
+    doc = np.repeat(np.arange(n), [len(t) for t in texts])
+    c = place[codes]
+    inside = doc[2:] == doc[:-2]
+    grams = (c[:-2] * size + c[1:-1]) * size + c[2:]
+    keys = np.sort(grams[inside] * n + doc[2:][inside])
+    keys = keys[np.diff(keys, prepend=-1) != 0]
+    gram, at = np.divmod(keys, n)
+    begins = np.flatnonzero(np.diff(gram, prepend=-1) != 0)
+    first = gram[begins]
+    spelled = letters[np.stack([first // size**2, first // size % size, first % size], axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), pa.array(ids[at], pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string()), lists], ["gram", "ids"])
+
+
 def _postings(docs: DataFrame, doc_id: str, text: Column, version: int, buckets: int) -> DataFrame:
-    """gram, part, ids, version and bucket; a document has each of its grams once."""
-    # the letters, and the letters from the second and the third on, side by side: each text is gone through once
-    letters = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "")
-    pairs = F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
-    grams = F.zip_with(pairs, F.slice(letters, 3, 1 << 30), lambda a, b: F.concat(a, b))
-    each = docs.select(F.col(doc_id).cast("long").alias("id"), F.explode(F.array_distinct(F.filter(grams, lambda g: F.length(g) == 3))).alias("gram"))
-    many = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LIST).select("gram", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
-    parts = each.join(many, "gram", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    lists = parts.groupBy("gram", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return lists.select("gram", "ids", F.lit(version).alias("version"), (F.crc32("gram") % buckets).cast("int").alias("bucket"))
+    """gram, ids, version and bucket; a document has each of its grams once.
+
+    A task makes lists of LIST documents, or LETTERS of text, at a time: they are what is moved, not a row for each document's
+    gram, and texts are gone through once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, letters = [], [], 0
+        for batch in batches:
+            for i, low in zip(batch["id"].to_pylist(), batch["low"].to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(low)
+                letters += len(low)
+                if len(ids) >= LIST or letters >= LETTERS:
+                    yield from _lists(np.array(ids, np.int64), texts)
+                    ids, texts, letters = [], [], 0
+        if ids:
+            yield from _lists(np.array(ids, np.int64), texts)
+
+    low = F.lower(F.coalesce(text.cast("string"), F.lit(""))).alias("low")
+    rows = spread(docs).select(F.col(doc_id).cast("long").alias("id"), low).filter("id IS NOT NULL")
+    return rows.mapInArrow(run, "gram string, ids array<long>").select("gram", "ids", F.lit(version).alias("version"), (F.crc32("gram") % buckets).cast("int").alias("bucket"))
 
 
 def write_index(docs: DataFrame, doc_id: str, text: Column, path: str, buckets: int = BUCKETS) -> None:

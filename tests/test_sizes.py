@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantata.operators import ranking as rk
+from cantata.operators import search_index
 
 
 def test_nearest_is_the_cosine_of_all_pairs_however_dealt(spark):
@@ -29,3 +30,17 @@ def test_cosines_near_a_half_are_added_in_order():
     exact = np.array([[rk._in_order(x[None], y[None])[0] / np.sqrt(rk._in_order(x[None], x[None])[0] * rk._in_order(y[None], y[None])[0]) for y in b] for x in a])
     for scale in (10_000, 10**11):  # of the larger scale every one is near a half
         assert (rk.rounded_cosines(a, b, scale) == rk._rounded(exact * scale)).all()
+
+
+def test_posting_lists_are_made_in_tasks_and_have_every_gram(spark, tmp_path, monkeypatch):
+    texts = ["Abcabc", "", "ab", None, "xyz" * 50, "İstanbul abc", "a\U0001f600b\U0001f600", "漢字かな", "\x00\x00\x00"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lower = {r.id: r.low for r in docs.selectExpr("id", "lower(coalesce(text, '')) AS low").collect()}
+    want = sorted({(low[k : k + 3], i) for i, low in lower.items() for k in range(len(low) - 2)})
+    lists = search_index._postings(docs, "id", F.col("text"), 0, 64)
+    assert sorted((r.gram, i) for r in lists.collect() for i in r.ids) == want
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # no row for each gram of each document
+    monkeypatch.setattr(search_index, "LETTERS", 10)
+    pieces = [b.to_pylist() for i, t in lower.items() for b in search_index._lists(np.array([i, i + 100]), [t, t])]
+    assert sorted({(r["gram"], i) for b in pieces for r in b for i in r["ids"] if i < 100}) == want
