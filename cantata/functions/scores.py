@@ -77,12 +77,21 @@ def close_in_time(a: Column, b: Column, seconds: int = 10) -> Column:
     return ~known | (F.abs(a - b) <= seconds)
 
 
-def lyrics_score(asked: dict[str, Column], found: dict[str, Column]) -> Column:
-    """Of title, artist, duration: 50 and 60, half where one contains the other, and 20 for known durations within ten seconds."""
+def lyrics_plain(side: dict[str, Column]) -> dict[str, Column]:
+    """The side's title and artist as lyrics_score compares them: made once a song or request, not once a pair."""
+    first = F.coalesce(F.lower(F.try_element_at(credits(side["artist"]), F.lit(1))), F.lit(""))
+    return {"title": simplify_title(side["title"]), "artist": first}
+
+
+def lyrics_score(asked: dict[str, Column], found: dict[str, Column], plain: bool = False) -> Column:
+    """Of title, artist, duration: 50 and 60, half where one contains the other, and 20 for known durations within ten seconds.
+
+    plain: titles and artists are as lyrics_plain makes them already.
+    """
     score = F.lit(0)
-    plain = {"title": simplify_title, "artist": lambda c: F.coalesce(F.lower(F.try_element_at(credits(c), F.lit(1))), F.lit(""))}
+    x, y = (asked, found) if plain else (lyrics_plain(asked), lyrics_plain(found))
     for field, points in (("title", 50), ("artist", 60)):
-        a, b = plain[field](asked[field]), plain[field](found[field])
+        a, b = x[field], y[field]
         score += _points(a == b, points, F.contains(a, b) | F.contains(b, a), points // 2)
     known = (F.coalesce(asked["duration"], F.lit(0)) > 0) & (F.coalesce(found["duration"], F.lit(0)) > 0)
     return score + F.when(known & close_in_time(asked["duration"], found["duration"]), 20).otherwise(0)

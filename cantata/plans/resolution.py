@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantata.functions import scores as sc
+from cantata.operators import parts
 from cantata.operators import resolution as rs
 from cantata.plans.common import Registry
 
@@ -43,20 +44,27 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 WORDS = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-def _pairs(t):
-    lines = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    pairs = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+def _asked(t):
     title = F.get(F.array(F.lit("Red Ring"), F.lit("Small Widget!"), F.lit("ring")), (F.col("o_orderkey") % 3).cast("int"))
-    tag = lambda c: F.concat(F.lit("T"), (F.col(c) % 5).cast("string"))
-    return pairs.select(
-        "o_orderkey", "p_partkey", tag("o_orderkey").alias("a_isrc"), tag("p_size").alias("b_isrc"), title.alias("a_title"),
-        F.concat("p_name", F.when(F.col("p_size") % 7 == 0, " (live)").otherwise("")).alias("b_title"),
-        F.concat(F.lit("BRAND "), (F.col("o_custkey") % 25).cast("string")).alias("a_artist"), F.col("p_brand").alias("b_artist"),
-        (20 + F.col("o_orderkey") % 10).alias("a_duration"), (20 + F.col("p_size") % 30).cast("long").alias("b_duration"),
-        (F.col("o_orderkey") % 7).alias("a_track"), (F.col("p_partkey") % 7).cast("long").alias("b_track"),
+    return t.orders.select(
+        "o_orderkey", F.concat(F.lit("T"), (F.col("o_orderkey") % 5).cast("string")).alias("a_isrc"), title.alias("a_title"),
+        F.concat(F.lit("BRAND "), (F.col("o_custkey") % 25).cast("string")).alias("a_artist"), (20 + F.col("o_orderkey") % 10).alias("a_duration"), (F.col("o_orderkey") % 7).alias("a_track"),
+    )
+
+
+def _found(t):
+    return t.part.select(
+        "p_partkey", F.concat(F.lit("T"), (F.col("p_size") % 5).cast("string")).alias("b_isrc"), F.concat("p_name", F.when(F.col("p_size") % 7 == 0, " (live)").otherwise("")).alias("b_title"),
+        F.col("p_brand").alias("b_artist"), (20 + F.col("p_size") % 30).cast("long").alias("b_duration"), (F.col("p_partkey") % 7).cast("long").alias("b_track"),
     )
 
 
+def _pairs(t, asked=None, found=None):
+    lines = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    asked, found = _asked(t) if asked is None else asked, _found(t) if found is None else found
+    return lines.join(asked, F.col("l_orderkey") == F.col("o_orderkey")).join(found, F.col("l_partkey") == F.col("p_partkey")).drop("l_orderkey", "l_partkey")
+
+
 def _sides(**more):
     both = [{f: F.col(f"{s}_{f}") for f in ("isrc", "title", "artist", "duration", "track")} for s in ("a", "b")]
     return [side | more for side in both]
@@ -86,7 +94,9 @@ def share_match(t):
     _best_sql(f"CASE WHEN at_ = replace(bt, ' live', '') THEN 50 WHEN {EITHER.format('at_', "replace(bt, ' live', '')")} THEN 25 ELSE 0 END + CASE WHEN lower(a_artist) = lower(b_artist) THEN 60 WHEN {EITHER.format('lower(a_artist)', 'lower(b_artist)')} THEN 30 ELSE 0 END + CASE WHEN abs(a_duration - b_duration) <= 10 THEN 20 ELSE 0 END", 60)
 )
 def lyrics_match(t):
-    return rs.best_scored(_pairs(t), ["o_orderkey"], "p_partkey", sc.lyrics_score(*_sides()), 60)
+    a, b = _sides()
+    asked, found = (parts.spread(df).withColumns({f"{s}_{f}": c for f, c in sc.lyrics_plain(side).items()}) for df, s, side in ((_asked(t), "a", a), (_found(t), "b", b)))
+    return rs.best_scored(_pairs(t, asked, found), ["o_orderkey"], "p_partkey", sc.lyrics_score(a, b, plain=True), 60)
 
 
 TOKENS = "list_distinct(string_split({0}, ' '))"

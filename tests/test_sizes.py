@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cantata import registry
+from cantata.functions import scores as sc
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
 
@@ -44,3 +46,15 @@ def test_posting_lists_are_made_in_tasks_and_have_every_gram(spark, tmp_path, mo
     monkeypatch.setattr(search_index, "LETTERS", 10)
     pieces = [b.to_pylist() for i, t in lower.items() for b in search_index._lists(np.array([i, i + 100]), [t, t])]
     assert sorted({(r["gram"], i) for b in pieces for r in b for i in r["ids"] if i < 100}) == want
+
+
+def test_lyrics_are_scored_by_texts_made_before_they_meet(spark):
+    rows = [("Song (Live)", "A feat. B", 200, "song", "a", 205), (" - ", None, None, "x", "B", 1), ("Ring", "Brand", 0, "ring two", "BRAND", 9), (None, "", 50, "", None, 70)]
+    df = spark.createDataFrame(rows, "a_title string, a_artist string, a_duration int, b_title string, b_artist string, b_duration int")
+    a, b = ({f: F.col(f"{s}_{f}") for f in ("title", "artist", "duration")} for s in ("a", "b"))
+    want = df.select(sc.lyrics_score(a, b)).collect()
+    made = df.withColumns({f"{s}_{f}": c for s, side in (("a", a), ("b", b)) for f, c in sc.lyrics_plain(side).items()})
+    assert made.select(sc.lyrics_score(a, b, plain=True)).collect() == want
+    plan = registry.QUERIES["lyrics_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "regexp_replace" not in top  # no pair's text is worked out anew
