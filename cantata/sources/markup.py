@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantata.operators.parts import spread
+
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_text"}
 _SPAN = "struct<_text: string, _begin: string, _end: string, _dur: string, _role: string"
 _LINE = f"array<{_SPAN}, _agent: string, span: array<{_SPAN}, span: array<{_SPAN}>>>>>>"
@@ -30,7 +32,7 @@ def ttml_lines(df: DataFrame, text: str) -> DataFrame:
     its part's. Words of a background voice are told apart, and aren't part of the line's text. Text that isn't XML has no lines.
     """
     parsed = F.from_xml(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\sttm:", " "), _TIMED, _XML)
-    parts = df.withColumn("__div", F.explode(parsed["body"]["div"])).select(*df.columns, F.col("__div._agent").alias("__agent"), F.posexplode("__div.p").alias("__at", "p"))
+    parts = spread(df).withColumn("__div", F.explode(parsed["body"]["div"])).select(*df.columns, F.col("__div._agent").alias("__agent"), F.posexplode("__div.p").alias("__at", "p"))
     ends = lambda x: F.coalesce(time_millis(x["_end"]), time_millis(x["_begin"]) + time_millis(x["_dur"]))
     word = lambda s, back: F.struct(time_millis(s["_begin"]).alias("time_ms"), ends(s).alias("end_ms"), F.coalesce(s["_text"], F.lit("")).alias("text"), back.alias("background"))
     none = F.array().cast("array<struct<time_ms: bigint, end_ms: bigint, text: string, background: boolean>>")
@@ -54,7 +56,7 @@ def webdav_entries(df: DataFrame, text: str) -> DataFrame:
     """
     # prefixes differ from server to server, and so do the case of the elements' names not
     parsed = F.from_xml(F.coalesce(text, F.lit("")), _LISTING, _XML)
-    each = df.withColumn("r", F.explode(parsed["response"]))
+    each = spread(df).withColumn("r", F.explode(parsed["response"]))
     good = F.get(F.filter("r.propstat", lambda s: F.coalesce(F.contains(s["status"], F.lit(" 200")), F.lit(True))), F.lit(0))
     path = F.regexp_replace(F.trim("r.href"), r"^[a-z][a-z0-9+.-]*://[^/]*|[?#].*$", "")
     last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)

@@ -10,6 +10,7 @@ from cantata import registry
 from cantata.functions import scores as sc
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
+from cantata.sources import markup
 
 
 def test_nearest_is_the_cosine_of_all_pairs_however_dealt(spark):
@@ -58,3 +59,11 @@ def test_lyrics_are_scored_by_texts_made_before_they_meet(spark):
     plan = registry.QUERIES["lyrics_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     top = plan[: plan.index("Join")]
     assert "regexp_replace" not in top  # no pair's text is worked out anew
+
+
+def test_xml_is_read_on_all_cores(spark):
+    one = spark.createDataFrame([(i, f"<tt><body><div><p begin='{i}s'>x</p></div></body></tt>") for i in range(50)], "id long, xml string").coalesce(1)
+    lines = markup.ttml_lines(one, "xml")
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r.id, r.time_ms) for r in lines.collect()) == [(i, i * 1000) for i in range(50)]
+    assert markup.webdav_entries(one, "xml").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
