@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cantata.functions.text import lookup_text
-from cantata.operators.mixing import hashed_feature
+from cantata.operators.mixing import hashed_features
 
 # The learner's step, pull towards zero, start of the squares and bounds; what a day leaves, of 90 at most.
 STEP, PULL, START, BOUND, STRONGEST = 0.18, 0.001, 0.01, 8.0, 4.0
@@ -24,10 +25,15 @@ def preference_features(track: dict[str, Column], before: dict[str, Column], hou
     A track has up to three genres, parted by comma, semicolon or slash; hour: of the day, told in quarters of it.
     """
     text = lambda c: F.substring(lookup_text(c), 1, 160)
-    title, artist, album = (text(track[f]) for f in ("title", "artist", "album"))
-    last_artist, last_genre = text(before["artist"]), text(before["genre"])
     genres = F.slice(F.filter(F.transform(F.split(F.coalesce(track["genre"], F.lit("")), "[,;/]"), text), lambda g: g != ""), 1, 3)
-    genres = F.array_distinct(genres)
+    texts = [text(track[f]).alias(f) for f in ("title", "artist", "album")] + [text(before[f]).alias(f"last_{f}") for f in ("artist", "genre")]
+    once = F.array(F.struct(*texts, F.array_distinct(genres).alias("genres"), hour.alias("hour"), track["seconds"].alias("seconds")))
+    # a token is made of texts that are worked out once, and hashed once
+    return hashed_features(F.flatten(F.transform(once, _tokens)), dimensions)
+
+
+def _tokens(of: Column) -> Column:
+    title, artist, album, last_artist, last_genre, genres, hour, seconds = (of[f] for f in ("title", "artist", "album", "last_artist", "last_genre", "genres", "hour", "seconds"))
     quarter = F.concat(F.lit("time:"), F.floor(hour / 6).cast("string"))
     each = lambda prefix: F.transform(genres, lambda g: F.concat(prefix, g))
     known = artist != ""
@@ -37,7 +43,7 @@ def preference_features(track: dict[str, Column], before: dict[str, Column], hou
 
     both, moved = known & (last_artist != ""), (F.size(genres) > 0) & (last_genre != "")
     # fixed values: the tokens, whose hashes are the features
-    tokens = F.concat(
+    return F.concat(
         one(known, "artist:", artist),
         one(known & (album != ""), "album:", artist, "|", album),
         one(title != "", "song:", artist, "|", title),
@@ -48,9 +54,8 @@ def preference_features(track: dict[str, Column], before: dict[str, Column], hou
         F.when(last_genre != "", each(F.concat(F.lit("transition:"), last_genre, F.lit("|")))).otherwise(F.array().cast("array<string>")),
         one(both, "flow:", F.when(artist == last_artist, "same-artist").otherwise("new-artist")),
         one(moved, "flow:", F.when(F.array_contains(genres, last_genre), "same-genre").otherwise("new-genre")),
-        one(track["seconds"] > 0, "duration:", F.least(F.lit(5), F.floor(track["seconds"] / 90)).cast("string")),
+        one(seconds > 0, "duration:", F.least(F.lit(5), F.floor(seconds / 90)).cast("string")),
     )
-    return F.transform(tokens, lambda t: hashed_feature(t, dimensions))
 
 
 class Preferences:
@@ -66,25 +71,33 @@ class Preferences:
 
     def meet(self, index: np.ndarray, sign: np.ndarray, reward: float, weight: float, at: float) -> float:
         """The chance of a reward as known before, then learns from it: a weight of 0 or none, or no feature, teaches nothing."""
-        places, of = np.unique(index, return_inverse=True)
-        value = np.bincount(of, weights=sign, minlength=len(places))
-        value = value / (np.sqrt(value @ value) or 1.0)
-        chance = self._chance(places, value)
-        if len(places) and np.isfinite(reward) and np.isfinite(weight) and weight > 0 and np.isfinite(at):
-            self._learn(places, value, min(max(reward, 0.0), 1.0), min(weight, STRONGEST), at)
+        summed: dict[int, float] = {}
+        for i, s in zip(index.tolist(), sign.tolist(), strict=True):
+            summed[i] = summed.get(i, 0.0) + s
+        known = sorted(summed)
+        places, value = np.array(known, np.int64), np.array([summed[i] for i in known], float)
+        value = value / (math.sqrt(value @ value) or 1.0)
+        held = self.weights[places]
+        chance = self._chance(held, value)
+        if known and math.isfinite(reward) and math.isfinite(weight) and weight > 0 and math.isfinite(at):
+            self._learn(places, value, min(max(reward, 0.0), 1.0), min(weight, STRONGEST), at, held, chance)
         return chance
 
-    def _chance(self, places: np.ndarray, value: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[places] @ value, -20, 20))))
+    @staticmethod
+    def _chance(held: np.ndarray, value: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-min(max(float(held @ value), -20.0), 20.0))))
 
-    def _learn(self, places: np.ndarray, value: np.ndarray, target: float, strength: float, at: float) -> None:
+    def _learn(self, places: np.ndarray, value: np.ndarray, target: float, strength: float, at: float, held: np.ndarray, chance: float) -> None:
         days = 0 if self.updated is None else int((at - self.updated) // DAY)
         if days > 0:
             self.weights *= DAILY ** min(MOST_DAYS, days)
             self.squares *= DAILY ** min(MOST_DAYS, days)
-        slope = (self._chance(places, value) - target) * strength * value + PULL * self.weights[places]
-        self.squares[places] += slope * slope
-        self.weights[places] = np.clip(self.weights[places] - STEP * slope / np.sqrt(self.squares[places] + START), -BOUND, BOUND)
+            held = self.weights[places]
+            chance = self._chance(held, value)
+        slope = (chance - target) * strength * value + PULL * held
+        squares = self.squares[places] + slope * slope
+        self.squares[places] = squares
+        self.weights[places] = np.minimum(np.maximum(held - STEP * slope / np.sqrt(squares + START), -BOUND), BOUND)
         self.seen, self.updated = self.seen + 1, at if self.updated is None else max(at, self.updated)
 
 
@@ -95,9 +108,9 @@ def _arriving(outcomes: DataFrame, who: str, at: str, item: str, features: Colum
     unknown = F.lit(float("nan"))
     number = lambda c: F.coalesce(c.cast("double"), unknown)
     none = F.array().cast("array<int>")
-    arrays = F.coalesce(F.transform(features, lambda f: f["index"]), none), F.coalesce(F.transform(features, lambda f: f["sign"]), none)
+    arrays = F.coalesce(F.col("__features.index"), none), F.coalesce(F.col("__features.sign"), none)  # of a column, so that features are made once
     columns = [*arrays, number(reward), number(weight), number(F.unix_micros(F.col(at).cast("timestamp")) / 1e6)]
-    return outcomes.select(who, item, *[c.alias(n) for c, n in zip(columns, _ARRIVING, strict=True)])
+    return outcomes.withColumn("__features", features).select(who, item, *[c.alias(n) for c, n in zip(columns, _ARRIVING, strict=True)])
 
 
 def _schema(outcomes: DataFrame, who: str, item: str) -> str:

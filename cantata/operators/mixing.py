@@ -198,10 +198,18 @@ def champions(outcomes: DataFrame, who: str, at: str, item: str, features: list[
 
 def hashed_feature(name: Column, dimensions: int = 4096) -> Column:
     """index and sign of a feature: the lowest bits of its hash, and its highest one."""
-    h = fnv1a(name)
+    return _feature_of(fnv1a(name), dimensions)
+
+
+def _feature_of(h: Column, dimensions: int) -> Column:
     return F.struct((h % dimensions).cast("int").alias("index"), F.when(h >= 1 << 31, -1).otherwise(1).alias("sign"))
 
 
+def hashed_features(names: Column, dimensions: int = 4096) -> Column:
+    """hashed_feature of each of an array's names; every name is hashed once."""
+    return F.transform(F.transform(names, fnv1a), lambda h: _feature_of(h, dimensions))
+
+
 def first_feedback(picks: DataFrame, feedback: DataFrame, who: str, item: str, at: str, keep: int = 200) -> DataFrame:
     """Each pick with its first feedback (``label_at`` and the rest): that after it, and before the item is picked again.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cantata import registry
 from cantata.functions import scores as sc
+from cantata.operators import mixing
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
 from cantata.sources import markup
@@ -67,3 +68,11 @@ def test_xml_is_read_on_all_cores(spark):
     assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted((r.id, r.time_ms) for r in lines.collect()) == [(i, i * 1000) for i in range(50)]
     assert markup.webdav_entries(one, "xml").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_features_of_outcomes_are_made_once(spark):
+    names = spark.createDataFrame([(["a", "foobar", ""],)], "names array<string>")
+    both = names.select(mixing.hashed_features(F.col("names")).alias("all"), F.array(*[mixing.hashed_feature(F.col("names")[i]) for i in range(3)]).alias("each")).first()
+    assert both["all"] == both["each"]
+    plan = registry.QUERIES["preferences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
