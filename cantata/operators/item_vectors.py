@@ -9,8 +9,6 @@ task has more than two blocks of them, the driver none.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +25,12 @@ BLOCK, PART, STEP = 50_000, 500_000, 256
 PASSES, SLOTS = (5, 40), 40_000
 
 
-def positions(plays: DataFrame, session: list[str], order: list[Column], item: str, strength: Column) -> DataFrame:
-    """Plays to session, item, weight and __at: strengths of zero go, repeats of an item in a row are one, the strongest."""
+def positions(plays: DataFrame, session: list[str], order: list[Column], item: str, strength: Column, parts: int | None = None) -> DataFrame:
+    """Plays to session, item, weight and __at: strengths of zero go, repeats of an item in a row are one, the strongest.
+
+    In so many parts by session, if told; token_pairs then moves nothing.
+    """
+    plays = plays.repartition(parts, *session) if parts else plays
     w = Window.partitionBy(*session).orderBy(*order)
     told = plays.withColumn("weight", strength.cast("double")).filter("weight <> 0").withColumn("__new", (~F.col(item).eqNullSafe(F.lag(item).over(w)) | (F.row_number().over(w) == 1)).cast("long"))
     runs = told.withColumn("__at", F.sum("__new").over(w))
@@ -39,31 +41,33 @@ def token_pairs(placed: DataFrame, session: list[str], item: str, also: str | No
     """center, context, label and rate of all pairs of tokens within reach in a session.
 
     An item (and what else it has, as its artist) is pulled towards those around it and pushed from what was skipped among them:
-    weights below zero are skips, at half their strength; they take no place.
+    weights below zero are skips, at half their strength; they take no place. All is told by windows of a session, and a row's pairs
+    are made at once, so that placed is gone through once.
     """
-    played = (F.col("weight") > 0).cast("long")
-    w = Window.partitionBy(*session).orderBy("__at")
-    counted = placed.withColumn("__n", F.sum(played).over(w))
+    played = F.col("weight") > 0
     tokens = F.array_compact(F.array(F.concat(F.lit("i:"), F.col(item).cast("string")), *([F.concat(F.lit("a:"), F.nullif(F.col(also).cast("string"), F.lit("")))] if also else [])))
-    rows = counted.select(*session, "__n", "weight", tokens.alias("tokens"))
-    kept, skips = rows.filter("weight > 0"), rows.filter("weight < 0").withColumn("tokens", F.slice("tokens", 1, 1))
-    around = Window.partitionBy(*session).orderBy("__n")
-    seen = [F.lead(F.struct("tokens", "weight", F.lit(k).alias("apart")), k).over(around) for k in range(1, reach + 1)]
-    near = kept.withColumn("near", F.array_compact(F.array(*seen)))
+    w = Window.partitionBy(*session).orderBy("__at")
+    counted = placed.select(*session, "__at", "weight", tokens.alias("tokens"), played.alias("__played"), F.sum(played.cast("long")).over(w).alias("__n"))
+    # a play knows those around it; a skip stands between the plays counted before it and the next ones, which the last play knows, or the first one
+    each = F.struct("__n", "tokens", "weight")
+    alike = Window.partitionBy(*session, "__played").orderBy("__at")
+    beside = [F.lag(each, -k).over(alike) for k in range(1 - reach, 0)] + [each] + [F.lag(each, -k).over(alike) for k in range(1, reach + 1)]
+    around = counted.withColumn("__around", F.when(F.col("__played"), F.array_compact(F.array(*beside))))
+    last = F.last("__around", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.first(F.when(F.col("__n") == 1, F.col("__around")), ignorenulls=True).over(Window.partitionBy(*session))
+    met = around.withColumn("__first", first).withColumn("__around", F.coalesce(last, "__first")).filter("weight <> 0")
+
     fade = lambda apart: (reach + 1 - apart) / reach
-    both = lambda a, b, rate, label: F.explode(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("center"), y.alias("context"), rate.alias("rate"), F.lit(label).alias("label"))))))
-    beside = near.select("tokens", "weight", F.explode("near").alias("n"))
-    rate = F.sqrt(F.col("weight") * F.col("n.weight")) * fade(F.col("n.apart"))
-    forth = beside.select(both(F.col("tokens"), F.col("n.tokens"), rate, 1.0).alias("p")).select("p.*")
-    back = beside.select(both(F.col("n.tokens"), F.col("tokens"), rate, 1.0).alias("p")).select("p.*")
-    own = kept.filter(F.size("tokens") > 1).select(both(F.col("tokens"), F.col("tokens"), F.col("weight"), 1.0).alias("p")).select("p.*")
-    # a skip stands between the plays counted before it and the next ones
-    reached = skips.withColumn("__to", F.explode(F.sequence(F.col("__n") - reach + 1, F.col("__n") + reach))).alias("s")
-    same = reduce(lambda x, c: x & F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")), session, F.col("s.__to") == F.col("k.__n"))
-    apart = F.when(F.col("k.__n") <= F.col("s.__n"), F.col("s.__n") - F.col("k.__n") + 1).otherwise(F.col("k.__n") - F.col("s.__n"))
-    met = reached.join(kept.alias("k"), same).select(F.col("s.tokens").alias("skipped"), F.col("k.tokens").alias("tokens"), (0.5 * -F.col("s.weight") * F.sqrt("k.weight") * fade(apart)).alias("r"))
-    away = [met.select(both(F.col(x), F.col(y), F.col("r"), 0.0).alias("p")).select("p.*") for x, y in (("skipped", "tokens"), ("tokens", "skipped"))]
-    return reduce(DataFrame.unionByName, [forth, back, own, *away]).filter("center <> context AND rate > 0")
+    both = lambda a, b, rate, label: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("center"), y.alias("context"), rate.alias("rate"), F.lit(label).alias("label")))))
+    each_way = lambda a, b, rate, label: F.concat(both(a, b, rate, label), both(b, a, rate, label))
+    own, n, weight = F.col("tokens"), F.col("__n"), F.col("weight")
+    ahead = F.filter("__around", lambda x: (x["__n"] > n) & (x["__n"] <= n + reach))
+    near = F.transform(ahead, lambda x: each_way(own, x["tokens"], F.sqrt(weight * x["weight"]) * fade(x["__n"] - n), 1.0))
+    within = F.filter("__around", lambda x: x["__n"].between(n - reach + 1, n + reach))
+    apart = lambda x: F.when(x["__n"] <= n, n - x["__n"] + 1).otherwise(x["__n"] - n)
+    away = F.transform(within, lambda x: each_way(F.slice(own, 1, 1), x["tokens"], 0.5 * -weight * F.sqrt(x["weight"]) * fade(apart(x)), 0.0))
+    pairs = F.when(weight > 0, F.concat(F.flatten(near), both(own, own, weight, 1.0))).otherwise(F.flatten(away))
+    return met.select(F.explode(pairs).alias("p")).select("p.*").filter("center <> context AND rate > 0")
 
 
 def train(center, context, label, rate, inputs, outputs, negatives_of, rng, negatives: int = NEGATIVES, step: int = STEP) -> None:
@@ -71,6 +75,8 @@ def train(center, context, label, rate, inputs, outputs, negatives_of, rng, nega
 
     Within a step all gradients are taken where it began and then added up. negatives_of: the running sums of the rows' weights as negatives.
     """
+    size = inputs.shape[1]
+    dims = np.arange(size)
     for begin in range(0, len(center), step):
         part = slice(begin, begin + step)
         c, t, y, a = center[part], context[part], label[part], rate[part]
@@ -80,8 +86,9 @@ def train(center, context, label, rate, inputs, outputs, negatives_of, rng, nega
         used = np.concatenate([np.ones((len(c), 1), bool), (drawn != t[:, None]) & (y[:, None] > 0)], axis=1)
         x, o = inputs[c], outputs[targets]
         pull = (wanted - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", x, o)))) * a[:, None] * used
-        np.add.at(outputs, targets, pull[:, :, None] * x[:, None, :])
-        np.add.at(inputs, c, np.einsum("nk,nkd->nd", pull, o))
+        # in one dimension, which numpy adds up several times as fast, in the same order
+        np.add.at(outputs.reshape(-1), (targets[:, :, None] * size + dims).reshape(-1), (pull[:, :, None] * x[:, None, :]).reshape(-1))
+        np.add.at(inputs.reshape(-1), (c[:, None] * size + dims).reshape(-1), np.einsum("nk,nkd->nd", pull, o).reshape(-1))
 
 
 _MOVED = "side int, block int, token string, n long, vector array<double>, times long"
@@ -94,12 +101,13 @@ def _cell(seed: int, epoch: int, epochs: int, passes: int, size: int, rate: floa
         sides = [vectors.filter(pc.equal(vectors["side"], k)).sort_by("token") for k in (0, 1)]
         if not len(pairs) or not all(map(len, sides)):
             return vectors.slice(0, 0).select(["side", "block", "token", "n", "vector"]).append_column("times", pa.array([], pa.int64()))
-        pairs = pairs.sort_by([(c, "ascending") for c in ("center", "context", "label", "rate")])
         held = [np.array(s["vector"].combine_chunks().flatten()).reshape(len(s), size).copy() for s in sides]
         rows = [pc.index_in(pairs[c], value_set=s["token"].combine_chunks()) for c, s in zip(("center", "context"), sides, strict=True)]
         known = np.logical_and(*[np.array(r.is_valid()) for r in rows])
         at = [np.array(r.fill_null(0))[known].astype(np.int64) for r in rows]
         label, own = np.array(pairs["label"])[known], np.array(pairs["rate"])[known]
+        order = np.lexsort((own, label, at[1], at[0]))  # rows of tokens are in the tokens' order
+        at, label, own = [a[order] for a in at], label[order], own[order]
         chances = np.cumsum(np.array(sides[1]["n"]).astype(float) ** 0.75)
         part, block = pairs["part"][0].as_py(), [s["block"][0].as_py() for s in sides]
         for i in range(passes):
