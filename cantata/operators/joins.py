@@ -72,12 +72,17 @@ def nearest_within(left: DataFrame, right: DataFrame, by: str, left_at: str, rig
     return near.withColumn("__m", mine).filter("__m = 1").withColumn("__t", theirs).filter("__t = 1").drop("__m", "__t", "__b")
 
 
-def has_all(groups: DataFrame, key: str, needed: DataFrame, present: DataFrame) -> DataFrame:
-    """Relational division: keys all of whose needed (key, item) rows are among the present."""
+def has_all(groups: DataFrame, key: str, needed: DataFrame, present: DataFrame, parts: int | None = None) -> DataFrame:
+    """Relational division: keys all of whose needed (key, item) rows are among the present, in so many parts by key, if told.
+
+    Both are one table of marks, so that they move once, by key; a null is among nothing.
+    """
     item = [c for c in needed.columns if c != key]
-    found = present.select(key, *item).distinct().withColumn("__x", F.lit(1))
-    counted = needed.distinct().join(found, [key, *item], "left").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("__x").alias("x"))
-    return groups.join(counted.filter("n = x").select(key), key, "left_semi")
+    whole = reduce(lambda x, c: x & F.col(c).isNotNull(), item, F.lit(True))
+    marked = needed.select(key, *item, F.lit(True).alias("__needed"), F.lit(False).alias("__found")).unionByName(present.select(key, *item, F.lit(False).alias("__needed"), whole.alias("__found")))
+    marked = marked.repartition(parts, key) if parts else marked
+    each = marked.groupBy(key, *item).agg(F.bool_or("__needed").alias("__needed"), F.bool_or("__found").alias("__found")).filter("__needed")
+    return groups.join(each.groupBy(key).agg(F.bool_and("__found").alias("__all")).filter("__all").select(key), key, "left_semi")
 
 
 def longest_tail(paths: DataFrame, path_id: str, path: str, targets: DataFrame, target_id: str, target: str, longest: int = 3) -> DataFrame:

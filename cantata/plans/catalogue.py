@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantata.functions import text as fn
 from cantata.operators import catalogue as cat
-from cantata.operators import joins
+from cantata.operators import joins, parts
 from cantata.operators.names import numbered_conflicts
 from cantata.operators.windows import first_per_key, fractional_cap
 from cantata.plans.common import Registry
@@ -132,8 +132,9 @@ SELECT o_orderkey FROM orders WHERE o_orderkey IN (
 def division_all(t):
     needed = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     small = t.part.filter("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
-    present = needed.join(small, "l_partkey", "left_semi").select("o_orderkey", "l_partkey")
-    return joins.has_all(t.orders.select("o_orderkey"), "o_orderkey", needed, present)
+    n = parts.parts_for(t.lineitem)
+    present = needed.repartition(n, "l_partkey").join(small, "l_partkey", "left_semi").select("o_orderkey", "l_partkey")
+    return joins.has_all(t.orders.select("o_orderkey"), "o_orderkey", needed, present, n)
 
 
 @query("""
@@ -158,7 +159,7 @@ SELECT album, CASE WHEN uncertain THEN 'unknown' WHEN discs > seen OR present <
 def completeness(t):
     two = F.col("album") % 2 == 1
     tracks = t.lineitem.select(F.col("l_orderkey").alias("album"), F.col("l_linenumber").alias("track"), "l_partkey", "l_suppkey", "l_returnflag")
-    tracks = tracks.repartition("album").withColumn("disc", F.when(two, 1 + F.col("l_partkey") % 2).when(F.col("album") % 5 == 0, 0).otherwise(1).cast("int"))
+    tracks = tracks.repartition(parts.parts_for(t.lineitem), "album").withColumn("disc", F.when(two, 1 + F.col("l_partkey") % 2).when(F.col("album") % 5 == 0, 0).otherwise(1).cast("int"))
     most = F.max("track").over(Window.partitionBy("album", "disc"))
     tracks = tracks.select(
         "album",

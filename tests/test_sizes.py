@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cantata import registry
 from cantata.functions import scores as sc
-from cantata.operators import mixing
+from cantata.operators import joins, mixing, parts
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
 from cantata.sources import markup
@@ -76,3 +76,24 @@ def test_features_of_outcomes_are_made_once(spark):
     assert both["all"] == both["each"]
     plan = registry.QUERIES["preferences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_division_moves_both_sides_once_in_parts_of_their_rows(spark):
+    needed = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1), (3, None), (4, 9), (None, 1)], "g int, i int")
+    present = spark.createDataFrame([(1, 1), (1, 2), (1, 7), (2, 1), (3, None), (5, 5), (None, 1)], "g int, i int")
+    groups = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (None,)], "g int")
+    for n in (None, 3):
+        assert sorted(r.g for r in joins.has_all(groups, "g", needed, present, n).collect()) == [1, 2]
+    plan = joins.has_all(groups, "g", needed, present, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "hashpartitioning(g" in plan
+
+
+def test_albums_come_in_parts_of_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(parts, "parts_for", lambda df, rows=0: 37)
+    for name in ("completeness", "item_pairs", "division_all"):
+        assert ", 37)" in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_follow_the_rows(spark):
+    told = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts.parts_for(spark.range(10)) == told and parts.parts_for(spark.range(1000), 10) == 100
