@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cantata import registry
 from cantata.functions import scores as sc
-from cantata.operators import joins, mixing, parts
+from cantata.operators import item_vectors, joins, mixing, parts
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
 from cantata.sources import markup
@@ -97,3 +97,27 @@ def test_albums_come_in_parts_of_their_rows(spark, monkeypatch):
 def test_parts_follow_the_rows(spark):
     told = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts.parts_for(spark.range(10)) == told and parts.parts_for(spark.range(1000), 10) == 100
+
+
+def test_steps_add_up_in_the_order_of_the_pairs():
+    rng = np.random.default_rng(1)
+    c, t, y, r = rng.integers(0, 9, 600), rng.integers(0, 7, 600), (rng.random(600) > 0.2).astype(float), rng.random(600)
+    start, chances = rng.random((9, 4)), np.cumsum(rng.random(7))
+    inputs, outputs, x, o = start.copy(), np.zeros((7, 4)), start.copy(), np.zeros((7, 4))
+    item_vectors.train(c, t, y, r, inputs, outputs, chances, np.random.default_rng(2), 2, 100)
+    again = np.random.default_rng(2)
+    for k in range(0, 600, 100):
+        s = slice(k, k + 100)
+        drawn = np.searchsorted(chances, again.random((100, 2)) * chances[-1], side="right").clip(max=6)
+        to = np.concatenate([t[s, None], drawn], axis=1)
+        used = np.concatenate([np.ones((100, 1), bool), (drawn != t[s, None]) & (y[s, None] > 0)], axis=1)
+        a, b = x[c[s]], o[to]
+        pull = (np.concatenate([y[s, None], np.zeros((100, 2))], axis=1) - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", a, b)))) * r[s, None] * used
+        np.add.at(o, to, pull[:, :, None] * a[:, None, :])
+        np.add.at(x, c[s], np.einsum("nk,nkd->nd", pull, b))
+    assert (inputs == x).all() and (outputs == o).all()
+
+
+def test_pairs_of_a_session_are_made_without_a_join(spark):
+    plan = registry.QUERIES["item_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
