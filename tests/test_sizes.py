@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cantata import registry
 from cantata.functions import scores as sc
-from cantata.operators import item_vectors, joins, mixing, parts
+from cantata.operators import item_vectors, joins, mixes, mixing, parts
 from cantata.operators import ranking as rk
 from cantata.operators import search_index
 from cantata.sources import markup
@@ -121,3 +121,10 @@ def test_steps_add_up_in_the_order_of_the_pairs():
 def test_pairs_of_a_session_are_made_without_a_join(spark):
     plan = registry.QUERIES["item_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+def test_songs_of_a_mix_are_made_once(spark):
+    pool = spark.range(60).selectExpr("0 AS who", "id AS song", "CAST(id % 7 AS STRING) AS artist", "array('x') AS families", "1.0D AS plays", "1.0D AS __max", "true AS mostly", "'genre' AS kind", "'x' AS key", "1 AS rank", "1.0D AS lead", "true AS core", "true AS shuffled")
+    found = mixes.candidates(pool, "2024-01-01")
+    assert found.count() == 60
+    assert "first(" not in found._jdf.queryExecution().optimizedPlan().toString()
