@@ -4,7 +4,8 @@ Tokens are dealt into blocks by hash; a cell is the pairs whose centre is in one
 one exchange each cell of a diagonal (every block once on either side) trains on its own with the vectors of its two blocks,
 and as many exchanges as there are blocks go through all cells. A cell of many pairs is trained in parts, each from the
 same vectors; what a token's vector has moved by is averaged over the parts that moved it. The vectors stay a table: no
-task has more than two blocks of them, the driver none.
+task has more than two blocks of them, the driver none. The pairs' rows are dealt and put in order once, as packed rows of
+numbers; a pass moves only these.
 """
 
 from __future__ import annotations
@@ -70,46 +71,92 @@ def token_pairs(placed: DataFrame, session: list[str], item: str, also: str | No
     return met.select(F.explode(pairs).alias("p")).select("p.*").filter("center <> context AND rate > 0")
 
 
+def _chooser(negatives_of):
+    """Random numbers from 0 to 1 to rows, as searchsorted finds them in the running sums: mostly by a table of where it would begin and end."""
+    last, total = len(negatives_of) - 1, negatives_of[-1]
+    places = 1 << min(18, (16 * len(negatives_of)).bit_length())
+    found = lambda at: np.searchsorted(negatives_of, at, side="right").clip(max=last)
+    begins = found(np.arange(places + 1) / places * total)
+    sure = begins[1:] == begins[:-1]
+
+    def choose(numbers: np.ndarray) -> np.ndarray:
+        place = (numbers * places).astype(np.int64)
+        out, open_ = begins.take(place), ~sure.take(place)
+        out[open_] = found(numbers[open_] * total)
+        return out
+
+    return choose
+
+
 def train(center, context, label, rate, inputs, outputs, negatives_of, rng, negatives: int = NEGATIVES, step: int = STEP) -> None:
     """Moves inputs and outputs (rows of vectors) for pairs given by rows, a step of pairs at a time.
 
     Within a step all gradients are taken where it began and then added up. negatives_of: the running sums of the rows' weights as negatives.
     """
-    size = inputs.shape[1]
-    dims = np.arange(size)
-    for begin in range(0, len(center), step):
-        part = slice(begin, begin + step)
-        c, t, y, a = center[part], context[part], label[part], rate[part]
-        drawn = np.searchsorted(negatives_of, rng.random((len(c), negatives)) * negatives_of[-1], side="right").clip(max=len(negatives_of) - 1)
-        targets = np.concatenate([t[:, None], drawn], axis=1)
-        wanted = np.concatenate([y[:, None], np.zeros(drawn.shape)], axis=1)
-        used = np.concatenate([np.ones((len(c), 1), bool), (drawn != t[:, None]) & (y[:, None] > 0)], axis=1)
-        x, o = inputs[c], outputs[targets]
-        pull = (wanted - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", x, o)))) * a[:, None] * used
-        # in one dimension, which numpy adds up several times as fast, in the same order
-        np.add.at(outputs.reshape(-1), (targets[:, :, None] * size + dims).reshape(-1), (pull[:, :, None] * x[:, None, :]).reshape(-1))
-        np.add.at(inputs.reshape(-1), (c[:, None] * size + dims).reshape(-1), np.einsum("nk,nkd->nd", pull, o).reshape(-1))
+    size, choose = inputs.shape[1], _chooser(negatives_of)
+    flat = np.arange(max(len(inputs), len(outputs)) * size).reshape(-1, size)  # where a row lies in one dimension
+    flat_in, flat_out = inputs.reshape(-1), outputs.reshape(-1)
+    for first in range(0, len(center), 64 * step):
+        some = slice(first, first + 64 * step)
+        t, y, a = context[some, None], label[some, None], rate[some, None]
+        drawn = choose(rng.random((len(t), negatives)))
+        all_targets = np.concatenate([t, drawn], axis=1)
+        all_wanted = np.concatenate([y, np.zeros(drawn.shape)], axis=1)
+        all_used = np.concatenate([np.ones(t.shape, bool), (drawn != t) & (y > 0)], axis=1)
+        for begin in range(0, len(t), step):
+            part = slice(begin, begin + step)
+            c, targets = center[some][part], all_targets[part].reshape(-1)
+            x, o = inputs.take(c, axis=0), outputs.take(targets, axis=0).reshape(len(c), -1, size)
+            pull = (all_wanted[part] - 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", x, o)))) * a[part] * all_used[part]
+            # in one dimension, which numpy adds up several times as fast, in the same order
+            np.add.at(flat_out, flat.take(targets, axis=0).reshape(-1), (pull[:, :, None] * x[:, None, :]).reshape(-1))
+            np.add.at(flat_in, flat.take(c, axis=0).reshape(-1), np.einsum("nk,nkd->nd", pull, o).reshape(-1))
 
 
 _MOVED = "side int, block int, token string, n long, vector array<double>, times long"
+_PACKED = "a int, b int, part int, nth int, center binary, context binary, label binary, rate binary"
+_KINDS = {"center": np.int32, "context": np.int32, "label": np.float64, "rate": np.float64}
+#: Pairs of one packed row.
+_CHUNK = 100_000
 
 
-def _cell(seed: int, epoch: int, epochs: int, passes: int, size: int, rate: float):
-    """Trains one part of a cell: pairs (center, context, label, rate) and the vectors of its two blocks to those that moved."""
+def _sides(rows: pa.Table) -> list[pa.Table]:
+    return [rows.filter(pc.equal(rows["side"], k)).sort_by("token") for k in (0, 1)]
 
-    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
-        sides = [vectors.filter(pc.equal(vectors["side"], k)).sort_by("token") for k in (0, 1)]
-        if not len(pairs) or not all(map(len, sides)):
-            return vectors.slice(0, 0).select(["side", "block", "token", "n", "vector"]).append_column("times", pa.array([], pa.int64()))
-        held = [np.array(s["vector"].combine_chunks().flatten()).reshape(len(s), size).copy() for s in sides]
+
+def _pack(pairs: pa.Table, tokens: pa.Table) -> pa.Table:
+    """One part of a cell, once for all passes: its pairs of known tokens in order, as numbers of the tokens in their blocks."""
+    sides = _sides(tokens)
+    nth: list[int] = []
+    columns: dict[str, list[bytes]] = {c: [] for c in _KINDS}
+    if len(pairs) and all(map(len, sides)):
         rows = [pc.index_in(pairs[c], value_set=s["token"].combine_chunks()) for c, s in zip(("center", "context"), sides, strict=True)]
         known = np.logical_and(*[np.array(r.is_valid()) for r in rows])
-        at = [np.array(r.fill_null(0))[known].astype(np.int64) for r in rows]
+        at = [np.array(r.fill_null(0))[known] for r in rows]
         label, own = np.array(pairs["label"])[known], np.array(pairs["rate"])[known]
         order = np.lexsort((own, label, at[1], at[0]))  # rows of tokens are in the tokens' order
-        at, label, own = [a[order] for a in at], label[order], own[order]
+        for begin in range(0, max(1, len(order)), _CHUNK):
+            chunk = order[begin : begin + _CHUNK]
+            nth.append(len(nth))
+            for (c, kind), values in zip(_KINDS.items(), (*at, label, own), strict=True):
+                columns[c].append(values[chunk].astype(kind).tobytes())
+    key = {c: pa.array([pairs[c][0].as_py()] * len(nth), pa.int32()) for c in ("a", "b", "part")} if nth else dict.fromkeys(("a", "b", "part"), pa.array([], pa.int32()))
+    return pa.table(key | {"nth": pa.array(nth, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in columns.items()})
+
+
+def _cell(seed: int, epoch: int, epochs: int, passes: int, size: int, rate: float):
+    """Trains one part of a cell: its packed pairs and the vectors of its two blocks to those that moved."""
+
+    def run(packed: pa.Table, vectors: pa.Table) -> pa.Table:
+        sides = _sides(vectors)
+        if not len(packed) or not all(map(len, sides)):
+            return vectors.slice(0, 0).select(["side", "block", "token", "n", "vector"]).append_column("times", pa.array([], pa.int64()))
+        held = [np.array(s["vector"].combine_chunks().flatten()).reshape(len(s), size).copy() for s in sides]
+        packed = packed.sort_by("nth")
+        *at, label, own = [np.concatenate([np.frombuffer(x, kind) for x in packed[c].to_pylist()]) for c, kind in _KINDS.items()]
+        at = [a.astype(np.int64) for a in at]
         chances = np.cumsum(np.array(sides[1]["n"]).astype(float) ** 0.75)
-        part, block = pairs["part"][0].as_py(), [s["block"][0].as_py() for s in sides]
+        part, block = packed["part"][0].as_py(), [s["block"][0].as_py() for s in sides]
         for i in range(passes):
             rng = np.random.default_rng([seed, epoch + i, part, *block])
             order = rng.permutation(len(label))
@@ -118,12 +165,19 @@ def _cell(seed: int, epoch: int, epochs: int, passes: int, size: int, rate: floa
         out = []
         for side, (rows_, vector, used) in enumerate(zip(sides, held, at, strict=True)):
             times = np.bincount(used, minlength=len(rows_)) if side == 0 else np.full(len(rows_), max(1, len(label)))
-            out.append(rows_.select(["side", "block", "token", "n"]).append_column("vector", pa.array(list(vector), pa.list_(pa.float64()))).append_column("times", pa.array(times, pa.int64())))
+            moved = pa.ListArray.from_arrays(pa.array(np.arange(len(rows_) + 1) * size, pa.int32()), pa.array(vector.reshape(-1)))
+            out.append(rows_.select(["side", "block", "token", "n"]).append_column("vector", moved).append_column("times", pa.array(times, pa.int64())))
         return pa.concat_tables(out)
 
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, key: list[str], groups: int, run, schema: str) -> DataFrame:
+    """run over the cogroups, dealt so that Spark doesn't put many of them into one task for their few bytes."""
+    n = min(10_000, 2 * groups) if groups > 1 else 1
+    return left.repartition(n, *key).groupBy(*key).cogroup(right.repartition(n, *key).groupBy(*key)).applyInArrow(run, schema)
+
+
 def item_vectors(pairs: DataFrame, counts: DataFrame, size: int = DIMENSIONS, seed: int = 42, epochs: int | None = None, rate: float = RATE, block: int = BLOCK, part: int = PART) -> DataFrame:
     """token and its vector of unit length, less what all have in common.
 
@@ -141,15 +195,18 @@ def item_vectors(pairs: DataFrame, counts: DataFrame, size: int = DIMENSIONS, se
     vectors = checkpointed(rows.select("side", "block", "token", "n", F.when(F.col("side") == 0, start).otherwise(F.array_repeat(F.lit(0.0), size)).alias("vector")))
     dealt = pairs.select("center", "context", F.col("label").cast("double").alias("label"), F.col("rate").cast("double").alias("rate"))
     dealt = dealt.withColumn("a", of("center")).withColumn("b", of("context")).withColumn("part", F.pmod(F.xxhash64("center", "context", "rate"), F.lit(parts)).cast("int"))
-    dealt = checkpointed(dealt)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = rows.select("side", "block", "token", every(blocks).alias("__other")).withColumn("part", every(parts))
+    names = names.select("side", "token", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("__other")).alias("a"), F.when(F.col("side") == 1, F.col("block")).otherwise(F.col("__other")).alias("b"), "part")
+    packed = checkpointed(_met(dealt, names, ["a", "b", "part"], blocks * blocks * parts, _pack, _PACKED))
     alone = blocks == parts == 1
     for epoch in range(0, epochs, epochs if alone else 1):
         for shift in range(blocks):
-            here = dealt.filter(F.pmod(F.col("b") - F.col("a"), F.lit(blocks)) == shift)
+            here = packed.filter(F.pmod(F.col("b") - F.col("a"), F.lit(blocks)) == shift)
             cell = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - shift, F.lit(blocks)))
-            beside = vectors.withColumn("a", cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            beside = vectors.withColumn("a", cell).withColumn("part", every(parts))
             run = _cell(seed, epoch, epochs, epochs if alone else 1, size, rate)
-            moved = here.groupBy("a", "part").cogroup(beside.groupBy("a", "part")).applyInArrow(run, _MOVED).filter("times > 0")
+            moved = _met(here, beside, ["a", "part"], blocks * parts, run, _MOVED).filter("times > 0")
             if alone:
                 new = moved.select("side", "block", "token", F.col("vector").alias("__new"))
             else:

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,46 @@ def test_nothing_to_learn(spark):
     assert iv.item_vectors(none, spark.createDataFrame([], "token string, n long")).count() == 0
     alone = iv.item_vectors(none, spark.createDataFrame([("i:1", 2), ("i:2", 2)], "token string, n long")).collect()
     assert len(alone) == 2
+
+
+def test_negatives_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for weights in (rng.random(110), rng.random(50_000) ** 9, np.array([1.0]), np.array([0.0, 1.0, 0.0, 3.0]), np.full(7, 1e-300)):
+        sums = np.cumsum(weights)
+        numbers = np.concatenate([rng.random(20_000), np.arange(4096) / 4096, [np.nextafter(1.0, 0)]])
+        want = np.searchsorted(sums, numbers * sums[-1], side="right").clip(max=len(sums) - 1)
+        assert (iv._chooser(sums)(numbers) == want).all()
+
+
+def test_pairs_are_packed_once_in_order(monkeypatch):
+    monkeypatch.setattr(iv, "_CHUNK", 4)
+    rng = random.Random(4)
+    rows = [(rng.choice("abcx"), rng.choice("defx"), float(rng.random() < 0.7), rng.random()) for _ in range(60)]
+    key = {c: pa.array([k] * 60, pa.int32()) for c, k in (("a", 1), ("b", 2), ("part", 3))}
+    pairs = pa.table(key | {c: [r[i] for r in rows] for i, c in enumerate(("center", "context", "label", "rate"))})
+    tokens = pa.table({"side": [1, 0, 1, 0, 0, 1], "token": ["f", "c", "d", "a", "b", "e"]})
+    packed = iv._pack(pairs, tokens)
+    known = sorted(("abc".index(c), "def".index(t), y, r) for c, t, y, r in rows if c != "x" and t != "x")
+    assert packed["nth"].to_pylist() == list(range(-(-len(known) // 4))) and set(packed["a"].to_pylist()) == {1}
+    got = zip(*[np.frombuffer(b"".join(packed[c].to_pylist()), kind).tolist() for c, kind in iv._KINDS.items()], strict=True)
+    assert list(got) == known
+    nothing_known = iv._pack(pairs, tokens.set_column(1, "token", pa.array(list("uvwxyz"))).filter(pa.compute.not_equal(pa.array(list("uvwxyz")), "x")))
+    assert len(nothing_known) == 1 and nothing_known["center"][0].as_py() == b""  # it counts among the parts, with one vote
+    assert len(iv._pack(pairs, tokens.slice(0, 0))) == len(iv._pack(pairs.slice(0, 0), tokens)) == 0
+
+
+def test_passes_move_packed_pairs(spark, monkeypatch):
+    """The pairs' rows are dealt once; a pass has a task for each part, however few bytes it is."""
+    met, plans = iv._met, []
+
+    def seen(left, right, key, groups, *rest):
+        out = met(left, right, key, groups, *rest)
+        plans.append((left.columns, out.rdd.getNumPartitions(), groups))
+        return out
+
+    monkeypatch.setattr(iv, "_met", seen)
+    pairs = iv.checkpointed(iv.token_pairs(iv.positions(planted(spark), ["s"], [F.col("at")], "song", F.col("w")), ["s"], "song"))
+    counts = pairs.groupBy(F.col("center").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    iv.item_vectors(pairs, counts, part=1000, epochs=2).count()
+    assert len(plans) == 3 and plans[0][2] > 1 and all(n >= groups for _, n, groups in plans)
+    assert [("nth" in columns) for columns, _, _ in plans] == [False, True, True]
