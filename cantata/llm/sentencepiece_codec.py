@@ -14,16 +14,18 @@ distinct one is searched once (while the cache holds it), many side by side, a s
 from __future__ import annotations
 
 import codecs
+import functools
 import re
 from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cantata.llm.common import id_and_text
-from cantata.llm.pretokens import PieceCache, small_slices
+from cantata.llm.pretokens import small_slices
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -50,6 +52,20 @@ class PieceModel:
     pairs: set[tuple[str, str]]  # characters that stand next to each other in some piece
     inner: bool = False  # does a piece have a marker after another character?
 
+    @functools.cached_property
+    def beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character (0 for those in no pair), and the matrix of which go on with which; made once a worker."""
+        chars = sorted({ord(c) for pair in self.pairs for c in pair})
+        number, together = np.zeros(0x110000, np.int32), np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        number[chars] = np.arange(1, len(chars) + 1)
+        for a, b in self.pairs:
+            together[number[ord(a)], number[ord(b)]] = True
+        return number, together
+
+    @functools.cached_property
+    def as_arrow(self) -> pa.Array:
+        return pa.array(self.surfaces, pa.binary())
+
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (distinct, not empty) to base, check, value; value is a key's number."""
@@ -118,92 +134,90 @@ def build(pieces: list[str], scores: np.ndarray, kinds: np.ndarray) -> PieceMode
     return PieceModel(surfaces, scores, kinds, base, check, value, int(unknown[0]) if len(unknown) else -1, byte_ids, max(map(len, keys), default=1), pairs, inner)
 
 
-def _as_ids(model: PieceModel, steps: list[tuple[int, bytes]]) -> list[int]:
-    """Pieces, or -1 with the bytes that no piece covers, to ids."""
-    out: list[int] = []
-    for piece, raw in steps:
-        if piece >= 0:
-            out.append(piece)
-        elif (ids := model.byte_ids[np.frombuffer(raw, np.uint8)]).min() >= 0:
-            out.extend(ids.tolist())
-        else:
-            out.append(model.unknown_id)
-    return out
-
-
 def viterbi(model: PieceModel, segments: list[str]) -> list[list[int]]:
     """The best pieces of each segment; of equal sums the path whose last piece is longest, and so on backwards."""
-    out: list[list[int] | None] = [None] * len(segments)
+    return [np.frombuffer(ids, "<i4").tolist() for ids in best_ids(model, segments)]
+
+
+def best_ids(model: PieceModel, segments: list[str]) -> list[bytes]:
+    """What viterbi gives, each as little-endian 32-bit bytes."""
+    out: list[bytes] = [b""] * len(segments)
     raw = [s.encode("utf-8") for s in segments]
-    order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+    sizes = list(map(len, raw))
+    order = sorted(range(len(raw)), key=sizes.__getitem__)
     begin = 0
     while begin < len(order):
-        limit = max(1, len(raw[order[begin]]))
+        limit = min(max(1, sizes[order[begin]]) + 3, _SIDE_BY_SIDE)
         end = begin
-        while end < len(order) and end - begin < 20_000 and len(raw[order[end]]) <= limit + 3 and len(raw[order[end]]) <= _SIDE_BY_SIDE:
+        while end < len(order) and end - begin < 20_000 and sizes[order[end]] <= limit:
             end += 1
         end = max(end, begin + 1)
         part = order[begin:end]
-        for i, steps in zip(part, _best_paths(model, [raw[i] for i in part]), strict=True):
-            out[i] = _as_ids(model, steps)
+        for i, ids in zip(part, _best_paths(model, [raw[i] for i in part]), strict=True):
+            out[i] = ids
         begin = end
     return out
 
 
-def _best_paths(model: PieceModel, raw: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    n, width = len(raw), max(map(len, raw))
-    text = np.zeros((n, width + 1), np.int64)
-    for i, b in enumerate(raw):
-        text[i, : len(b)] = np.frombuffer(b, np.uint8)
-    length = np.fromiter(map(len, raw), np.int64, n)
-    best = np.full((n, width + 1), _NEVER)
-    best[:, 0] = 0
-    piece, came = np.full((n, width + 1), -1), np.zeros((n, width + 1), np.int64)
+def _best_paths(model: PieceModel, raw: list[bytes]) -> list[bytes]:
+    """Byte positions are rows and texts columns, so that a step of all texts is one stretch of memory."""
+    n, length = len(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+    width = int(length.max())
+    text = np.frombuffer(b"".join([b.ljust(width, b"\0") for b in raw]), np.uint8).reshape(n, width).T.astype(np.int32)
+    best = np.full((width + 1, n), _NEVER)
+    best[0] = 0
+    piece, came = np.full((width + 1, n), -1, np.int32), np.zeros((width + 1, n), np.int32)
     used = model.scores[model.kinds == 0]
     unknown = (used.min() if len(used) else 0.0) - UNKNOWN_PENALTY
     for at in range(width):
-        rows = np.flatnonzero((best[:, at] > _NEVER) & (length > at))
+        rows = ((best[at] > _NEVER) & (length > at)).nonzero()[0]
         if not len(rows):
             continue
-        lead = text[rows, at]
-        step = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        here, lead = best[at].take(rows), text[at].take(rows)
+        step = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
         covered = np.zeros(len(rows), bool)
-        live, state = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        live, r, state = np.arange(len(rows)), rows, np.zeros(len(rows), np.int32)
         for depth in range(1, min(model.longest, width - at) + 1):
-            r = rows[live]
-            inside = at + depth <= length[r]
-            live, r, state = live[inside], r[inside], state[inside]
-            nxt = model.base[state] + text[r, at + depth - 1]
-            fits = model.check[nxt] == state
-            live, r, state = live[fits], r[fits], nxt[fits]
-            if not len(live):
+            nxt = model.base.take(state) + text[at + depth - 1].take(r)
+            # what is beyond a text's end is no byte of it
+            fits = ((model.check.take(nxt, mode="wrap") == state) & (length.take(r) >= at + depth)).nonzero()[0]
+            if not len(fits):
                 break
-            found = model.value[state]
-            hit = found >= 0
-            if hit.any():
-                h, p = r[hit], found[hit]
-                covered[live[hit]] |= depth == step[live[hit]]
-                total = best[h, at] + model.scores[p]
-                better = total > best[h, at + depth]
-                h, p = h[better], p[better]
-                best[h, at + depth], piece[h, at + depth], came[h, at + depth] = total[better], p, at
-        bare = np.flatnonzero(~covered)
+            live, r, state = live.take(fits), r.take(fits), nxt.take(fits)
+            found = model.value.take(state)
+            hit = (found >= 0).nonzero()[0]
+            if len(hit):
+                k, h, p = live.take(hit), r.take(hit), found.take(hit)
+                covered[k] |= depth == step.take(k)
+                total = here.take(k) + model.scores.take(p)
+                better = (total > best[at + depth].take(h)).nonzero()[0]
+                h = h.take(better)
+                best[at + depth, h], piece[at + depth, h], came[at + depth, h] = total.take(better), p.take(better), at
+        bare = (~covered).nonzero()[0]
         if len(bare):
             r, to = rows[bare], at + step[bare]
-            total = best[r, at] + unknown
-            better = total > best[r, to]
+            total = here[bare] + unknown
+            better = total > best[to, r]
             r, to = r[better], to[better]
-            best[r, to], piece[r, to], came[r, to] = total[better], -1, at
-    out = []
-    piece_rows, came_rows = piece.tolist(), came.tolist()
-    for i, b in enumerate(raw):
-        steps, end = [], len(b)
-        while end:
-            start = came_rows[i][end]
-            steps.append((piece_rows[i][end], b[start:end]))
-            end = start
-        out.append(steps[::-1])
-    return out
+            best[to, r], piece[to, r], came[to, r] = total[better], -1, at
+    # back from the ends: ids lie where their bytes begin
+    ids, given = np.zeros((n, width), "<i4"), np.zeros((n, width), bool)
+    r = np.flatnonzero(length > 0)
+    end = length[r]
+    while len(r):
+        start, p = came[end, r].astype(np.int64), piece[end, r]
+        ids[r, start], given[r, start] = p, True
+        for i in np.flatnonzero(p < 0):
+            a, b = int(start[i]), int(end[i])
+            own = model.byte_ids[text[a:b, r[i]]]
+            if own.min() >= 0:
+                ids[r[i], a:b], given[r[i], a:b] = own, True
+            else:
+                ids[r[i], a] = model.unknown_id
+        more = start > 0
+        r, end = r[more], start[more]
+    joined, ends = ids[given].tobytes(), (np.cumsum(given.sum(axis=1)) * 4).tolist()
+    return [joined[a:b] for a, b in pairwise([0, *ends])]
 
 
 def segments(model: PieceModel, text: str) -> list[str]:
@@ -214,20 +228,49 @@ def segments(model: PieceModel, text: str) -> list[str]:
     return [marked] if model.inner else _WORDS.findall(marked)
 
 
-def fragments(model: PieceModel, segment: str) -> list[str]:
-    """A segment's parts between characters that no piece has next to each other."""
-    cuts = [i for i, pair in enumerate(zip(segment, segment[1:], strict=False), 1) if pair not in model.pairs]
-    return [segment[a:b] for a, b in pairwise([0, *cuts, len(segment)])] if cuts else [segment]
+def fragments(model: PieceModel, words: list[str]) -> tuple[list[str], list[int]]:
+    """The words' parts between characters that no piece has next to each other, one word after another, and where each word's begin (and all end)."""
+    joined = "".join(words)
+    if not joined:
+        return [], [0] * (len(words) + 1)
+    number, together = model.beside
+    cut = np.ones(len(joined) + 1, bool)
+    for begin in range(0, len(joined), 1 << 20):  # so that a very long text takes little beside itself
+        chars = number.take(np.frombuffer(joined[begin : begin + (1 << 20) + 1].encode("utf-32-le"), "<u4"))
+        cut[begin + 1 : begin + len(chars)] = ~together[chars[:-1], chars[1:]]
+    ends = np.cumsum([0, *map(len, words)])
+    cut[ends] = True
+    cuts = np.flatnonzero(cut)
+    return [joined[a:b] for a, b in pairwise(cuts.tolist())], np.searchsorted(cuts, ends).tolist()
 
 
-def encode_segments(model: PieceModel, cache: PieceCache, words: list[str]) -> list[list[int]]:
-    parts = [fragments(model, w) for w in words]
-    cache.fill(parts)
-    return [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype="<u4").tolist() for p in parts]
+class WordIds(dict):
+    """Word to its ids as little-endian 32-bit bytes; emptied when full, as is what it keeps of fragments."""
+
+    def __init__(self, model: PieceModel, limit: int = 600_000, of_fragments: int = 300_000):
+        super().__init__()
+        self.model, self.limit, self.of_fragments = model, limit, of_fragments
+        self.known: dict[str, bytes] = {}
+
+    def fill(self, texts: list[list[str]]) -> None:
+        """Make sure that all words of texts are in."""
+        distinct = set().union(*texts)
+        missing = list(distinct.difference(self))
+        if len(self) + len(missing) > self.limit:
+            self.clear()
+            missing = list(distinct)
+        parts, begins = fragments(self.model, missing)
+        new = list(set(parts).difference(self.known))
+        if len(self.known) + len(new) > self.of_fragments:
+            self.known.clear()
+            new = list(set(parts))
+        self.known.update(zip(new, best_ids(self.model, new), strict=True))
+        ids = list(map(self.known.__getitem__, parts))
+        self.update(zip(missing, [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in pairwise(begins)], strict=True))
 
 
 def encode(model: PieceModel, text: str) -> list[int]:
-    return [i for word in segments(model, text) for ids in viterbi(model, fragments(model, word)) for i in ids]
+    return [i for ids in viterbi(model, fragments(model, segments(model, text))[0]) for i in ids]
 
 
 def _as_text(surfaces: bytes) -> str:
@@ -239,18 +282,10 @@ def decode(model: PieceModel, ids) -> str:
     return _as_text(b"".join(map(model.surfaces.__getitem__, ids)))
 
 
-class _Surfaces(dict):
-    """A word's ids, as bytes, to the bytes they decode to; emptied when full."""
-
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.of = model.surfaces
-
-    def __missing__(self, ids: bytes) -> bytes:
-        if len(self) >= 600_000:
-            self.clear()
-        self[ids] = out = b"".join([self.of[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        return out
+def decode_lists(model: PieceModel, ends: np.ndarray, ids: np.ndarray) -> list[str]:
+    """What decode gives for many texts' ids, those of a text from where the one before it ends."""
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), model.as_arrow.take(pa.array(ids, pa.int32())))
+    return [_as_text(joined) for joined in pc.binary_join(lists, b"").to_pylist()]
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
@@ -264,19 +299,17 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
 
     def run(batches):
         m = shipped.value
-        inner = PieceCache(lambda parts: viterbi(m, parts), 300_000)
-        cache, surfaces = PieceCache(lambda words: encode_segments(m, inner, words), 600_000), _Surfaces(m)
+        cache = WordIds(m)
         for batch in batches:
             for doc_ids, texts in small_slices(batch):
                 parts = [segments(m, t) for t in texts]
                 cache.fill(parts)
-                words = [list(map(cache.__getitem__, p)) for p in parts]
-                rows = list(map(b"".join, words))
+                rows = [b"".join(map(cache.__getitem__, p)) for p in parts]
                 ends = np.cumsum([0, *map(len, rows)]) // 4
                 values = np.frombuffer(b"".join(rows), dtype="<i4")
                 columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
                 if with_decoded:
-                    columns.append(pa.array([_as_text(b"".join(map(surfaces.__getitem__, w))) for w in words], pa.string()))
+                    columns.append(pa.array(decode_lists(m, ends, values), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * with_decoded)

@@ -337,3 +337,40 @@ def test_scores_by_hand():
     score = model.scorer()
     for text, z in (("", -1.0), (None, -1.0), ("BAD bad, bad!", -1.0 + 2.5), ("badly", -1.0 + 0.75), ("fine", -1.0)):
         assert score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_fragments_of_many_words_at_once():
+    model = sentencepiece_codec.load(tokenizer_file("piece_bpe_32k.model"))
+    words = ["▁the", "", "▁x漢z", "▁\n", "éé", "😀😀", "▁▁", "q"]
+    parts, begins = sentencepiece_codec.fragments(model, words)
+    assert ["".join(parts[a:b]) for a, b in zip(begins, begins[1:], strict=False)] == words
+    for a, b, word in zip(begins, begins[1:], words, strict=False):
+        cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in model.pairs]
+        assert parts[a:b] == [word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)], strict=True) if word]
+    assert sentencepiece_codec.fragments(model, []) == ([], [0]) and sentencepiece_codec.fragments(model, ["", ""]) == ([], [0, 0, 0])
+
+
+def test_ids_of_words_when_what_is_kept_is_full(texts):
+    model = sentencepiece_codec.load(tokenizer_file("piece_bpe_32k.model"))
+    some = [sentencepiece_codec.segments(model, t) for t in list(texts.values())[:40]]
+    small, large = sentencepiece_codec.WordIds(model, 50, 20), sentencepiece_codec.WordIds(model)
+    for words in some:
+        small.fill([words])
+        large.fill([words])
+        assert b"".join(map(small.__getitem__, words)) == b"".join(map(large.__getitem__, words))
+        assert len(small) <= max(50, len(set(words)))
+
+
+def test_many_texts_are_decoded_at_once():
+    pieces = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "a", "▁b"]
+    model = sentencepiece_codec.build(pieces, -np.arange(len(pieces), dtype=float), np.array([2] + [1] * 256 + [0] * 3))
+    lists = [[259, 258], [], [257, 1 + 0xC3], [257, 1 + 0xC3, 1 + 0xA9, 0], [258]]
+    ends = np.cumsum([0, *map(len, lists)])
+    got = sentencepiece_codec.decode_lists(model, ends, np.array(sum(lists, []), np.int32))
+    assert got == [sentencepiece_codec.decode(model, x) for x in lists] == ["ba", "", "\N{REPLACEMENT CHARACTER}", "é \N{DOUBLE QUESTION MARK} ", "a"]
+
+
+def test_equal_sums_take_the_longest_last_piece():
+    pieces = ["<unk>", "a", "b", "ab", "ba", "aba"]
+    model = sentencepiece_codec.build(pieces, np.array([0.0, -1, -1, -2, -2, -3]), np.array([2] + [0] * 5))
+    assert sentencepiece_codec.viterbi(model, ["ab", "aba", "abab", "", "xa"]) == [[3], [5], [3, 3], [], [0, 1]]
