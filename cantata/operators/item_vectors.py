@@ -39,36 +39,51 @@ def positions(plays: DataFrame, session: list[str], order: list[Column], item: s
 
 
 def token_pairs(placed: DataFrame, session: list[str], item: str, also: str | None = None, reach: int = REACH) -> DataFrame:
-    """center, context, label and rate of all pairs of tokens within reach in a session.
+    """center, context, label and rate of all pairs of tokens within reach in a session."""
+    return pairs_of(meetings(placed, session, item, also, reach))
+
+
+def meetings(placed: DataFrame, session: list[str], item: str, also: str | None = None, reach: int = REACH) -> DataFrame:
+    """What pairs_of makes pairs of, an eighth of their rows or so: a row's tokens (i, a), its neighbour's (xi, xa), own if it is itself, label and rate.
 
     An item (and what else it has, as its artist) is pulled towards those around it and pushed from what was skipped among them:
-    weights below zero are skips, at half their strength; they take no place. All is told by windows of a session, and a row's pairs
-    are made at once, so that placed is gone through once.
+    weights below zero are skips, at half their strength; they take no place. All is told by windows of a session, and a row meets its
+    neighbours one row each, so that placed is gone through once and Spark compiles all of it (functions of arrays it would interpret).
     """
     played = F.col("weight") > 0
-    tokens = F.array_compact(F.array(F.concat(F.lit("i:"), F.col(item).cast("string")), *([F.concat(F.lit("a:"), F.nullif(F.col(also).cast("string"), F.lit("")))] if also else [])))
+    item_token = F.concat(F.lit("i:"), F.col(item).cast("string"))
+    also_token = F.concat(F.lit("a:"), F.nullif(F.col(also).cast("string"), F.lit(""))) if also else F.lit(None).cast("string")
     w = Window.partitionBy(*session).orderBy("__at")
-    counted = placed.select(*session, "__at", "weight", tokens.alias("tokens"), played.alias("__played"), F.sum(played.cast("long")).over(w).alias("__n"))
+    counted = placed.select(*session, "__at", "weight", item_token.alias("i"), also_token.alias("a"), played.alias("__played"), F.sum(played.cast("long")).over(w).alias("__n"))
     # a play knows those around it; a skip stands between the plays counted before it and the next ones, which the last play knows, or the first one
-    each = F.struct("__n", "tokens", "weight")
+    each = F.struct("__n", "i", "a", "weight")
     alike = Window.partitionBy(*session, "__played").orderBy("__at")
     beside = [F.lag(each, -k).over(alike) for k in range(1 - reach, 0)] + [each] + [F.lag(each, -k).over(alike) for k in range(1, reach + 1)]
-    around = counted.withColumn("__around", F.when(F.col("__played"), F.array_compact(F.array(*beside))))
+    around = counted.withColumn("__around", F.when(F.col("__played"), F.array(*beside)))
     last = F.last("__around", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.first(F.when(F.col("__n") == 1, F.col("__around")), ignorenulls=True).over(Window.partitionBy(*session))
-    met = around.withColumn("__first", first).withColumn("__around", F.coalesce(last, "__first")).filter("weight <> 0")
+    known = around.withColumn("__first", first).withColumn("__around", F.coalesce(last, "__first")).filter("weight <> 0")
+    met = known.select("__n", "i", "a", "weight", F.explode("__around").alias("x")).filter("x IS NOT NULL")
 
+    n, weight, to, strength = F.col("__n"), F.col("weight"), F.col("x.__n"), F.col("x.weight")
     fade = lambda apart: (reach + 1 - apart) / reach
-    both = lambda a, b, rate, label: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("center"), y.alias("context"), rate.alias("rate"), F.lit(label).alias("label")))))
-    each_way = lambda a, b, rate, label: F.concat(both(a, b, rate, label), both(b, a, rate, label))
-    own, n, weight = F.col("tokens"), F.col("__n"), F.col("weight")
-    ahead = F.filter("__around", lambda x: (x["__n"] > n) & (x["__n"] <= n + reach))
-    near = F.transform(ahead, lambda x: each_way(own, x["tokens"], F.sqrt(weight * x["weight"]) * fade(x["__n"] - n), 1.0))
-    within = F.filter("__around", lambda x: x["__n"].between(n - reach + 1, n + reach))
-    apart = lambda x: F.when(x["__n"] <= n, n - x["__n"] + 1).otherwise(x["__n"] - n)
-    away = F.transform(within, lambda x: each_way(F.slice(own, 1, 1), x["tokens"], 0.5 * -weight * F.sqrt(x["weight"]) * fade(apart(x)), 0.0))
-    pairs = F.when(weight > 0, F.concat(F.flatten(near), both(own, own, weight, 1.0))).otherwise(F.flatten(away))
-    return met.select(F.explode(pairs).alias("p")).select("p.*").filter("center <> context AND rate > 0")
+    play, own = weight > 0, (weight > 0) & (to == n)
+    near, within = (to > n) & (to <= n + reach), to.between(n - reach + 1, n + reach)
+    pulled = F.when(own, weight).when(near, F.sqrt(weight * strength) * fade(to - n))
+    apart = F.when(to <= n, n - to + 1).otherwise(to - n)
+    pushed = F.when(within, 0.5 * -weight * F.sqrt(strength) * fade(apart))
+    # of a skip only what comes first is pushed away; a row and itself make each pair once, others make it both ways
+    return met.select(
+        F.when(play, F.col("i")).otherwise(F.coalesce("i", "a")).alias("i"), F.when(play, F.col("a")).alias("a"), F.col("x.i").alias("xi"), F.col("x.a").alias("xa"), own.alias("own"),
+        F.when(play, pulled).otherwise(pushed).alias("rate"), F.when(play, 1.0).otherwise(0.0).alias("label"),
+    ).filter("rate > 0")
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """center, context, label and rate of meetings."""
+    both = [(x, y) for x in ("i", "a") for y in ("xi", "xa")]
+    ways = [F.struct(F.col(x).alias("center"), F.col(y).alias("context")) for x, y in both] + [F.struct(F.when(~F.col("own"), F.col(y)).alias("center"), F.col(x).alias("context")) for x, y in both]
+    return met.select("rate", "label", F.explode(F.array(*ways)).alias("p")).select("p.center", "p.context", "rate", "label").filter("center <> context")
 
 
 def _chooser(negatives_of):

@@ -103,3 +103,16 @@ def test_passes_move_packed_pairs(spark, monkeypatch):
     iv.item_vectors(pairs, counts, part=1000, epochs=2).count()
     assert len(plans) == 3 and plans[0][2] > 1 and all(n >= groups for _, n, groups in plans)
     assert [("nth" in columns) for columns, _, _ in plans] == [False, True, True]
+
+
+def test_pairs_by_hand_without_interpreted_functions(spark):
+    plays = spark.createDataFrame([(1, 0, 1, "x", 1.0), (1, 1, None, "y", -1.0), (1, 2, 2, None, 1.0), (2, 0, 3, "z", -1.0)], "s int, at int, song int, artist string, w double")
+    placed = iv.positions(plays, ["s"], [F.col("at")], "song", F.col("w"))
+    pairs = iv.token_pairs(placed, ["s"], "song", "artist")
+    together = [("i:1", "a:x"), ("a:x", "i:1"), ("i:1", "i:2"), ("i:2", "i:1"), ("a:x", "i:2"), ("i:2", "a:x")]
+    apart = [("a:y", t) for t in ("i:1", "a:x", "i:2")]  # the skip has no song: its artist stands for it
+    want = [(*p, 1.0, 1.0) for p in together] + [(*q, 0.0, 0.5) for p in apart for q in (p, p[::-1])]
+    assert sorted(tuple(r) for r in pairs.select("center", "context", "label", "rate").collect()) == sorted(want)
+    assert "lambda" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    songs = iv.token_pairs(placed, ["s"], "song").select("center", "context", "label").collect()
+    assert sorted(map(tuple, songs)) == [("i:1", "i:2", 1.0), ("i:2", "i:1", 1.0)]
