@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from cantata.operators.checkpoints import checkpointed
 
-# The reach of a context, negatives of a pair, how fast it learns, and what is in the vocabulary.
+# The reach of a context, negatives of a pair, how fast it learns, and how often a token of the vocabulary occurs.
 DIMENSIONS, REACH, NEGATIVES, RATE = 16, 3, 5, 0.025
-LEAST_COUNT, VOCABULARY = 2, 3000
+LEAST_COUNT = 2
 #: Tokens of a block, pairs of a part, pairs of one numpy step, and how often small inputs are gone through.
 BLOCK, PART, STEP = 50_000, 500_000, 256
 PASSES, SLOTS = (5, 40), 40_000
@@ -225,9 +225,9 @@ def item_vectors(pairs: DataFrame, counts: DataFrame, size: int = DIMENSIONS, se
             if alone:
                 new = moved.select("side", "block", "token", F.col("vector").alias("__new"))
             else:
-                each = moved.select("side", "block", "token", "times", F.posexplode("vector").alias("d", "x")).groupBy("side", "block", "token", "d").agg((F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("x"))
-                gathered = each.groupBy("side", "block", "token").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("all"))
-                new = gathered.select("side", "block", "token", F.transform("all", lambda s: s["x"]).alias("__new"))
+                # a sum for each dimension: a row for each would be sixteen times as many, for every token in every part
+                sums = [(F.sum(F.col("vector")[d] * F.col("times")) / F.sum("times")).alias(f"__{d}") for d in range(size)]
+                new = moved.groupBy("side", "block", "token").agg(*sums).select("side", "block", "token", F.array(*[f"__{d}" for d in range(size)]).alias("__new"))
             vectors = checkpointed(vectors.join(new, ["side", "block", "token"], "left").select("side", "block", "token", "n", F.coalesce("__new", "vector").alias("vector")))
     inputs = vectors.filter("side = 0")
     each = inputs.select("token", F.posexplode("vector").alias("d", "x"))

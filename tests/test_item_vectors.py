@@ -7,6 +7,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
+from cantata import registry
 from cantata.operators import item_vectors as iv
 
 
@@ -116,3 +117,13 @@ def test_pairs_by_hand_without_interpreted_functions(spark):
     assert "lambda" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     songs = iv.token_pairs(placed, ["s"], "song").select("center", "context", "label").collect()
     assert sorted(map(tuple, songs)) == [("i:1", "i:2", 1.0), ("i:2", "i:1", 1.0)]
+
+
+def test_every_song_that_is_played_twice_has_a_vector(spark, tmp_path):
+    """3,100 songs and 310 artists, more than the 3,000 tokens that were kept before."""
+    song = F.concat(F.lit('{"k": '), (F.col("id") % 3100).cast("string"), F.lit("}"))
+    plays = spark.range(6200).select(F.col("id").alias("event_id"), F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)").alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(50.0).alias("value"), song.alias("props"))
+    once = plays.limit(1).withColumn("props", F.lit('{"k": 90000}'))
+    plays.union(once).write.parquet(str(tmp_path / "events.parquet"))
+    got = [r["token"] for r in registry.QUERIES["item2vec"](spark, str(tmp_path)).select("token").collect()]
+    assert sorted(got) == sorted([f"i:{k}" for k in range(3100)] + [f"a:{k}" for k in range(310)])
