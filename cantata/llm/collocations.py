@@ -1,23 +1,22 @@
-"""Collocations: phrases of two or three words, scored by their weakest cut, counted by a minimal perfect hash.
-
-The texts are read four times. Words are counted, by language; those of ``least`` occurrences are frequent. Then phrases whose
-words are all frequent are counted by hash, in as many slots as keep collisions rare, as sorted sparse arrays; a phrase in a slot
-of fewer than ``least`` can't be a candidate. What is left is candidates safe by Apriori: a third word only where both pairs are safe
-too. Their distinct texts, with the frequent words, are the keys of a minimal perfect hash: blocks of keys by hash, in each
-levels of bits (a key is at the first level where no other key shares its bit; its slot is that bit's rank), and beside every
-slot the key it belongs to, so that phrases which aren't keys are told from those that are. In the last reading every task counts slots with
-numpy's bincount; the arrays are summed as a tree. A phrase's count and those of its cuts are read by their slots.
-
-What is broadcast: bitmaps of fixed size (they may let more through than need be, never less) and the hash of at most
-``ROUND_KEYS`` keys. More keys are counted in rounds, each another reading of the texts.
+"""Collocations: phrases of two or three words, scored by their weakest cut, counted by minimal perfect hashes.
+
+The texts are read three times. Words are counted, by language; those of ``least`` occurrences are frequent, and their slots in a
+minimal perfect hash (in blocks of keys by hash, levels of bits: a key is at the first level where no other key shares its bit, its
+slot is that bit's rank; beside every slot the second key it belongs to, so that other words are told apart) are their numbers. Then
+phrases whose words are all frequent are counted by hash, in as many slots as keep collisions rare, as sorted sparse arrays; a phrase
+in a slot of fewer than ``least`` can't be a candidate. What is left is candidates safe by Apriori: a third word only where both pairs
+are safe too. In the last reading every task sums up its candidates, as numbers of words, and hands them on by block; a
+task that has a block lays a minimal perfect hash over its phrases and counts slots with numpy's bincount. Cuts are read by the words'
+numbers; texts are put back only for what may be among the first.
+
+What is broadcast: bitmaps (of words of fixed size; of safe phrases by their number, 128 MB at most: a bitmap may let more through than need
+be, never less) and the hash of the frequent words. However many phrases there are, the texts aren't read again for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 from dataclasses import dataclass
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +27,26 @@ from pyspark.sql import functions as F
 from cantata.llm.common import checkpointed
 
 LEAST, CONTAINED, TOP = 10, 50, 2000
-ROUND_KEYS = 4 << 20
-#: Keys of a block of the hash, bits a key at each level, and slots of a piece of counts.
-BLOCK_KEYS, GAMMA, PIECE = 8192, 2, 1 << 16
-#: Log2 of bits of a bitmap; entries of a part of the sparse counts; words and keys of phrases that a task holds.
-BITMAP, PART_ENTRIES, HELD, DONE = 26, 2_000_000, 250_000, 4_000_000
-#: Words of a step of numpy work, parts of the tree's first sum, and phrases that move in one row.
-STEP, BRANCHES, ROW_PHRASES = 1 << 19, 16, 512
+#: Phrases of a block, which are counted together.
+ROUND_KEYS = 1 << 14
+#: Keys of a block of the words' hash, and bits a key at each level.
+BLOCK_KEYS, GAMMA = 8192, 2
+#: Log2 of bits of a bitmap at least and at most, and its bits a key between; of bits of its pieces.
+BITMAP, MOST_BITS, BITS_A_KEY, BITMAP_PIECE = 26, 30, 16, 20
+#: Blocks of a language's words; entries of a part of the sparse counts; words and phrases that a task holds.
+WORD_BLOCKS, PART_ENTRIES, HELD, HELD_PHRASES = 512, 2_000_000, 250_000, 1 << 20
+#: Words of a step of numpy work, and bytes that a word is taken to have.
+STEP, WORD_BYTES = 1 << 19, 6
 UNKNOWN = "und"
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """The words of a text in order, a newline at the end of each piece."""
-    return [*filter(None, text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")), b"\n"]
-
-
 class _Words(dict):
-    """A language's words to their numbers; 0 ends a piece. The lists are shared by all languages of a task."""
+    """A language's words to their numbers; 0 ends a piece, -1 is none. The lists are shared by all languages of a task."""
 
     def __init__(self, lang: str, held: list[tuple[str, bytes]]):
-        super().__init__({b"\n": 0})
+        super().__init__({b"\n": 0, b"": -1})
         self.lang, self.held = lang, held
 
     def __missing__(self, word: bytes) -> int:
@@ -74,56 +71,113 @@ def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
+def _codes(texts: list[bytes], numbers: _Words) -> np.ndarray:
+    """The words of texts of a language, in order, as numbers; a piece's end is one, too."""
+    joined = (b"\n".join(texts) + b"\n").translate(_TABLE).replace(b"\n", b" \n ")
+    each = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").flatten().dictionary_encode()
+    words = _spaced(each.dictionary, [0, len(each.dictionary)])[0].as_buffer().to_pybytes().split(b" ")
+    found = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))[each.indices.to_numpy()]
+    return found[found >= 0]
+
+
+def _spaced(words: pa.Array, ends) -> pa.Array:
+    """Words joined by spaces, those from each end to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.cast(pa.binary())), b" ")
+
+
 def _coded(batches, held_limit: int = HELD):
     """(text, lang) batches to (held, codes), a step at a time: codes are numbers of words, in order, 0 between pieces.
 
     held grows from step to step; None after a step says that it begins anew.
     """
-    held, by_lang, codes, size = [("", b"")], {}, [], 0
+    held, by_lang, waiting, size = [("", b"")], {}, {}, 0
+
+    def coded():
+        return held, np.concatenate([_codes(texts, by_lang.setdefault(lang, _Words(lang, held))) for lang, texts in waiting.items()])
+
     for batch in batches:
         for text, lang in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text.as_buffer().to_pybytes())
-            of = by_lang.get(lang)
-            if of is None:
-                of = by_lang[lang] = _Words(lang, held)
-            codes.append(np.fromiter(map(of.__getitem__, words), np.int64, len(words)))
-            size += len(words)
-            if size >= STEP:
-                yield held, np.concatenate(codes)
-                codes, size = [], 0
+            text = text.as_buffer().to_pybytes()
+            waiting.setdefault(lang, []).append(text)
+            size += len(text) + 1
+            if size >= WORD_BYTES * STEP:
+                yield coded()
+                waiting, size = {}, 0
                 if len(held) > held_limit:
                     yield None
                     held, by_lang = [("", b"")], {}
-    if codes:
-        yield held, np.concatenate(codes)
+    if waiting:
+        yield coded()
     yield None
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(text, lang) to lang, word, n."""
+def _packed(longs: np.ndarray) -> bytes:
+    """Byte by byte: high ones are mostly zero, which compresses."""
+    return np.ascontiguousarray(longs.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[begins], np.add.reduceat(n[order], begins) if len(begins) else n[:0]
+
+
+def count_words(texts: DataFrame, least: int) -> DataFrame:
+    """(text, lang) to lang, word, n of the words of least occurrences, and beside them rows without a word, whose n come to the language's words."""
 
     def run(batches):
         n = np.zeros(0, np.int64)
         for step in _coded(batches):
-            if step is None:
-                if len(n) > 1:
-                    at = np.flatnonzero(n[1:]) + 1
-                    yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in at], pa.string()), pa.array([held[i][1] for i in at], pa.binary()).cast(pa.string()), pa.array(n[at])], names=["lang", "word", "n"])
-                n = np.zeros(0, np.int64)
+            if step is not None:
+                held, codes = step
+                n = np.pad(n, (0, len(held) - len(n))) + np.bincount(codes, minlength=len(held))
                 continue
-            held, codes = step
-            n = np.pad(n, (0, len(held) - len(n))) + np.bincount(codes, minlength=len(held))
+            if len(n) > 1:
+                lang = pa.array([x for x, _ in held[1:]], pa.string()).dictionary_encode()
+                block = np.fromiter((zlib.crc32(w) for _, w in held[1:]), np.int64, len(held) - 1) % WORD_BLOCKS
+                group = lang.indices.to_numpy().astype(np.int64) * WORD_BLOCKS + block
+                order = np.argsort(group)
+                begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+                ends = np.append(begins, len(order))
+                words, own, at = pa.array([held[i + 1][1] for i in order], pa.binary()), n[1:][order], group[order][begins]
+                counts = pa.array([_packed(own[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at // WORD_BLOCKS)), pa.array(at % WORD_BLOCKS), _spaced(words, ends), counts], names=["lang", "block", "words", "counts"])
+            n = np.zeros(0, np.int64)
+
+    def total(table: pa.Table) -> pa.Table:
+        each = pc.split_pattern(table["words"].combine_chunks().cast(pa.large_binary()), " ").flatten().dictionary_encode()
+        n = np.bincount(each.indices.to_numpy(), weights=np.concatenate([_unpacked(x.as_buffer()) for x in table["counts"]])).astype(np.int64)  # exact below 2 ** 53
+        at = np.flatnonzero(n >= least)
+        words = pa.concat_arrays([each.dictionary.take(pa.array(at)).cast(pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
+        lang = pa.array([table["lang"][0].as_py()] * len(words), pa.string())
+        return pa.table({"lang": lang, "word": words, "n": np.append(n[at], n.sum() - n[at].sum())})
 
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    each = texts.mapInArrow(run, "lang string, block long, words binary, counts binary")
+    return each.groupBy("lang", "block").applyInArrow(total, "lang string, word string, n long")
 
 
 def _bitmap(rows: DataFrame, bits: int = BITMAP) -> np.ndarray:
-    """A bitmap of keys (longs, taken as unsigned) by their top bits; of fixed size, made from 2**(bits - 6) words at most."""
-    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) % 64 AS INT))")
-    got = rows.groupBy(F.expr(f"shiftrightunsigned(key, {70 - bits})").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+    """A bitmap of keys (longs, taken as unsigned) by their top bits, made in pieces by tasks."""
+    piece = min(bits, BITMAP_PIECE)
+
+    def one(table: pa.Table) -> pa.Table:
+        at = (table["key"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64((1 << piece) - 1)
+        found = np.zeros(1 << piece, bool)
+        found[at.astype(np.int64)] = True
+        return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
+
+    of = F.expr(f"shiftrightunsigned(key, {64 - bits}) div {1 << piece}")
+    got = rows.select("key", of.alias("piece")).groupBy("piece").applyInArrow(one, "piece long, bits binary").toArrow()
+    out = np.zeros((1 << (bits - piece), 1 << (piece - 6)), np.uint64)
+    for at, data in zip(got["piece"].to_pylist(), got["bits"], strict=True):
+        out[at] = np.frombuffer(data.as_buffer(), "<u8")
+    return out.ravel()
 
 
 def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -164,14 +218,16 @@ def _sparse(texts: DataFrame, frequent, parts_log2: int, least: int) -> DataFram
             slots, n = np.unique(np.concatenate([pair, triple]) >> np.uint64(32 - parts_log2), return_counts=True)
             ends = np.searchsorted(slots, np.arange((1 << parts_log2) + 1, dtype=np.uint64) << np.uint64(32))
             n = np.minimum(n, least).astype(np.uint8)
-            for part in np.flatnonzero(np.diff(ends)):
+            parts = np.flatnonzero(np.diff(ends))
+            cells = ([], [])
+            for part in parts:
                 own = slots[ends[part] : ends[part + 1]]
                 step_ = np.diff(own, prepend=np.uint64(part) << np.uint64(32)).astype("<u4")
                 # byte by byte: the high ones are mostly zero
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([step_.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()), pa.array([n[ends[part] : ends[part + 1]].tobytes()], pa.binary())],
-                    names=["part", "steps", "counts"],
-                )
+                cells[0].append(step_.view(np.uint8).reshape(-1, 4).T.tobytes())
+                cells[1].append(n[ends[part] : ends[part + 1]].tobytes())
+            # one batch a step, as each batch has its price
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(x, pa.binary()) for x in cells]], names=["part", "steps", "counts"])
 
     return texts.mapInArrow(run, "part int, steps binary, counts binary")
 
@@ -183,75 +239,14 @@ def _safe(sparse: DataFrame, parts_log2: int, least: int) -> DataFrame:
         part = table["part"][0].as_py()
         slots = [np.cumsum(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint64) for x in table["steps"]]
         slots, n = np.concatenate(slots), np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["counts"]])
-        order = np.argsort(slots, kind="stable")
-        slots, begins = np.unique(slots[order], return_index=True)
-        enough = slots[np.add.reduceat(n[order].astype(np.int64), begins) >= least]
+        slots, n = _summed(slots, n.astype(np.int64))
+        enough = slots[n >= least]
         key = (enough | (np.uint64(part) << np.uint64(32))) << np.uint64(32 - parts_log2)
         return pa.table({"key": pa.array(key.view(np.int64))})
 
     return sparse.groupBy("part").applyInArrow(total, "key long")
 
 
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are in known, which is sorted?"""
-    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-    return known[at] == keys if len(known) else np.zeros(len(keys), bool)
-
-
-def _rows_of(block: np.ndarray, phrases: pa.Array) -> pa.RecordBatch:
-    """Rows of up to ROW_PHRASES phrases of one block each, joined by newlines; block is sorted."""
-    begins = np.flatnonzero(np.diff(block, prepend=-1))
-    inside = np.arange(len(block)) - np.repeat(begins, np.diff(begins, append=len(block)))
-    starts = np.flatnonzero(inside % ROW_PHRASES == 0)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(block)), pa.int32()), phrases)
-    return pa.RecordBatch.from_arrays([pa.array(block[starts]), pc.binary_join(lists, b"\n")], names=["block", "phrases"])
-
-
-def _distinct(texts: DataFrame, frequent, safe, blocks_log2: int) -> DataFrame:
-    """lang, phrase of the pairs and triples that may have enough occurrences; a triple only if its pairs may.
-
-    A task hands its phrases on in rows of some hundreds, by block of keys and by word; a block's rows are
-    read one after another by a task that holds the block's phrases.
-    """
-
-    def run(batches):
-        known, done = {}, np.zeros(0, np.uint64)
-        for step in _coded(batches):
-            if step is None:
-                known, done = {}, np.zeros(0, np.uint64)
-                continue
-            held, codes = step
-            two, pair, three, triple = _phrases(held, codes, known, frequent.value)
-            fine = _in(safe.value, pair)
-            good = fine[three] & fine[three + 1] & _in(safe.value, triple)
-            words = pa.array([w for _, w in held], pa.binary())
-            leading = pa.array([lang.encode() + b"\0" + w for lang, w in held], pa.binary())
-            blocks, places, phrases = [], [], []
-            for first, keys, size in ((two[fine], pair[fine], 2), (two[three[good]], triple[good], 3)):
-                keys, at = np.unique(keys, return_index=True)
-                new = ~_among(keys, done)
-                own = first[at[new]]
-                blocks.append(keys[new] >> np.uint64(64 - blocks_log2) if blocks_log2 else np.zeros(len(own), np.uint64))
-                places.append(own)
-                phrases.append(pc.binary_join_element_wise(leading.take(pa.array(codes[own])), *[words.take(pa.array(codes[own + k])) for k in range(1, size)], b" "))
-                done = np.union1d(done if len(done) < DONE else done[:0], keys)
-            block, place = np.concatenate(blocks).astype(np.int64), np.concatenate(places)
-            order = np.lexsort((codes[place + 1], codes[place], block))  # like words side by side, which compresses
-            yield _rows_of(block[order], pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in phrases]).take(pa.array(order)))
-            pa.default_memory_pool().release_unused()
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            before = len(seen)
-            new = [p for cell in batch.column("phrases") for p in cell.as_py().split(b"\n") if not (p in seen or seen.add(p))]
-            if len(seen) > before:
-                parts = [p.split(b"\0", 1) for p in new]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in parts], pa.binary()).cast(pa.string()) for i in (0, 1)], names=["lang", "phrase"])
-
-    return texts.mapInArrow(run, "block long, phrases binary").groupBy("block").applyInArrow(once, "lang string, phrase string")
-
-
 @dataclass
 class PerfectHash:
     """Slots for a set of keys: levels of bits in blocks, and the stored second key of every slot."""
@@ -312,19 +307,24 @@ def _levels(keys: np.ndarray, checks: np.ndarray) -> tuple[list[int], np.ndarray
     return sizes, np.concatenate(bits) if bits else np.zeros(0, bool)
 
 
+def _own_hash(keys: np.ndarray, checks: np.ndarray) -> PerfectHash:
+    """A hash of one block, without second keys."""
+    sizes, bits = _levels(keys, checks)
+    words = np.packbits(bits, bitorder="little").view("<u8")
+    ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]])
+    return PerfectHash(1, np.zeros(1), np.array([np.cumsum([0, *sizes[:-1]])]), np.array([sizes]), words, ranks, np.arange(len(keys), dtype=np.uint64))
+
+
 def _built(keys: DataFrame, blocks: int) -> DataFrame:
     """block, key, check to a row for each block: block, sizes, bits, stored; keys of a block are a few thousand."""
 
     def one(table: pa.Table) -> pa.Table:
         key, check = (table[c].to_numpy().view(np.uint64) for c in ("key", "check"))
-        sizes, bits = _levels(key, check)
-        words = np.packbits(bits, bitorder="little").view("<u8")
-        ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]])
-        own = PerfectHash(1, np.zeros(1), np.array([np.cumsum([0, *sizes[:-1]])]), np.array([sizes]), words, ranks, np.arange(len(key), dtype=np.uint64))
+        own = _own_hash(key, check)
         stored = np.zeros(len(key), np.uint64)
         stored[_first_slots(own, key, check)] = check
         cell = lambda x: pa.array([x.tobytes()], pa.binary())
-        return pa.table({"block": table["block"].slice(0, 1), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": cell(words), "stored": cell(stored)})
+        return pa.table({"block": table["block"].slice(0, 1), "sizes": pa.array([own.level_size[0]], pa.list_(pa.int64())), "bits": cell(own.bits), "stored": cell(stored)})
 
     return keys.groupBy("block").applyInArrow(one, "block long, sizes array<long>, bits binary, stored binary")
 
@@ -342,7 +342,7 @@ def _first_slots(own: PerfectHash, keys: np.ndarray, checks: np.ndarray) -> np.n
 
 
 def perfect_hash(keys: DataFrame, n: int) -> PerfectHash:
-    """(key, check) of n keys, ROUND_KEYS at most: blocks are built in tasks, the driver lays them end to end."""
+    """(key, check) of n keys: blocks are built in tasks, the driver lays them end to end."""
     blocks = max(1, n // BLOCK_KEYS)
     block = F.expr(f"shiftrightunsigned(shiftrightunsigned(key, 40) * {blocks}L, 24)")
     rows = _built(keys.withColumn("block", block), blocks).toArrow().sort_by("block").to_pylist()
@@ -359,96 +359,121 @@ def perfect_hash(keys: DataFrame, n: int) -> PerfectHash:
     return PerfectHash(blocks, begins, at, size, words, ranks, np.frombuffer(b"".join(r["stored"] for r in rows), "<u8"))
 
 
-def _count_slots(texts: DataFrame, frequent, safe, hashed, n: int, begin: int) -> DataFrame:
-    """piece, counts (longs as bytes, PIECE slots) of the slots of this round, whose first is begin (a multiple of PIECE)."""
+class _Phrases:
+    """Counts of a task: of pairs, as numbers of two words in one, and of triples, a pair and its next word."""
+
+    def __init__(self):
+        self.pairs, self.triples = [], []
+
+    def __len__(self) -> int:
+        return sum(len(x[0]) for x in (*self.pairs, *self.triples))
+
+    def add(self, pairs: np.ndarray, heads: np.ndarray, lasts: np.ndarray) -> None:
+        """A step's occurrences; a triple's first pair is among the pairs."""
+        code, n = np.unique(pairs, return_counts=True)
+        self.pairs.append((code, n))
+        both, n = np.unique(np.searchsorted(code, heads) << 32 | lasts, return_counts=True)
+        self.triples.append((code[both >> 32], both & 0xFFFFFFFF, n))
+
+    def merge(self) -> None:
+        if len(self.pairs) > 1:
+            code, n = _summed(*map(np.concatenate, zip(*self.pairs, strict=True)))
+            heads, lasts, n3 = map(np.concatenate, zip(*self.triples, strict=True))
+            both, n3 = _summed(np.searchsorted(code, heads) << 32 | lasts, n3)
+            self.pairs, self.triples = [(code, n)], [(code[both >> 32], both & 0xFFFFFFFF, n3)]
+
+    def rows(self, blocks: int):
+        """A row for each block, a triple beside its first pair, in order and as differences; then it is empty."""
+        self.merge()
+        if self.pairs:
+            (code, n), (heads, lasts, n3) = self.pairs[0], self.triples[0]
+            code, last, n = np.concatenate([code, heads]), np.concatenate([np.full(len(code), -1), lasts]), np.concatenate([n, n3])
+            block = _block(_mix(code.view(np.uint64), np.zeros(len(code), np.uint64)), blocks)
+            order = np.argsort(block, kind="stable")
+            ends = np.searchsorted(block[order], np.arange(blocks + 1))
+            filled = np.flatnonzero(np.diff(ends))
+            own = [order[ends[at] : ends[at + 1]] for at in filled]
+            cells = [pa.array([_packed(x) for x in column], pa.binary()) for column in ([np.diff(code[i], prepend=0) for i in own], [last[i] for i in own], [n[i] for i in own])]
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), *cells], names=["block", "codes", "lasts", "counts"])
+        self.pairs, self.triples = [], []
+
+
+def _phrase_counts(texts: DataFrame, frequent, safe, numbers, blocks: int, least: int) -> DataFrame:
+    """code, last, f and head of the phrases of least occurrences: numbers of two words, of a third or -1, and of a triple its first pair's count."""
 
     def run(batches):
-        ph, total, known, checks = hashed.value, np.zeros(n, np.int64), {}, np.zeros(0, np.uint64)
-        per_word = np.zeros(0, np.int64)
+        known, ids, counts = {}, np.zeros(0, np.int64), _Phrases()
         for step in _coded(batches):
             if step is None:
-                if len(per_word) > 1:
-                    at = ph.slots(known["key"][1:], checks[1:])
-                    total += np.bincount(at[at >= 0], weights=per_word[1:][at >= 0], minlength=n).astype(np.int64)
-                known, checks, per_word = {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                known, ids = {}, np.zeros(0, np.int64)
                 continue
             held, codes = step
             two, pair, three, triple = _phrases(held, codes, known, frequent.value)
-            if len(checks) < len(held):
-                checks = np.concatenate([checks, _hash([("", b""), *held[len(checks) :]], 1)[1:]]) if len(checks) else _hash(held, 1)
-            per_word = np.pad(per_word, (0, len(held) - len(per_word))) + np.bincount(codes, minlength=len(held))
-            c = checks[codes]
-            fine, good = _in(safe.value, pair), _in(safe.value, triple)
-            check2 = _mix(c[two], c[two + 1])
-            check3 = _mix(check2[three[good]], c[two[three[good]] + 2])
-            at = ph.slots(np.concatenate([pair[fine], triple[good]]), np.concatenate([check2[fine], check3]))
-            total += np.bincount(at[at >= 0], minlength=n)
-        for first in range(0, n, PIECE):
-            own = total[first : first + PIECE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([(begin + first) // PIECE], pa.int64()), pa.array([_packed(own)], pa.binary())], names=["piece", "counts"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        total = sum(_unpacked(x.as_buffer()) for x in table["counts"])
-        return pa.table({"piece": table["piece"].slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
-
-    each = texts.mapInArrow(run, "piece long, counts binary").withColumn("branch", F.spark_partition_id() % BRANCHES)
-    branches = each.groupBy("piece", "branch").applyInArrow(summed, "piece long, counts binary")
-    return branches.groupBy("piece").applyInArrow(summed, "piece long, counts binary")
+            if len(ids) < len(held):
+                checks = _hash([("", b""), *held[max(1, len(ids)) :]], 1)[1:]
+                new = numbers.value.slots(known["key"][max(1, len(ids)) :], checks)
+                ids = np.concatenate([ids if len(ids) else np.full(1, -1), new])
+            of = ids[codes]
+            fine = _in(safe.value, pair) & (of[two] >= 0) & (of[two + 1] >= 0)
+            good = fine[three] & fine[three + 1]
+            third = two[three[good]]
+            third = third[_in(safe.value, triple[good])]
+            first = two[fine]
+            counts.add(of[first] << 32 | of[first + 1], of[third] << 32 | of[third + 1], of[third + 2])
+            if len(counts) > HELD_PHRASES:
+                counts.merge()
+                if len(counts) > HELD_PHRASES // 2:
+                    yield from counts.rows(blocks)
+        yield from counts.rows(blocks)
 
+    def total(table: pa.Table) -> pa.Table:
+        code = np.concatenate([np.cumsum(_unpacked(x.as_buffer())) for x in table["codes"]])
+        last, n = (np.concatenate([_unpacked(x.as_buffer()) for x in table[c]]) for c in ("lasts", "counts"))
+        seed = 0
+        while True:  # until no two phrases of the block have one key; that there are any is next to impossible
+            key = _mix(code.view(np.uint64), (last + 2 + (seed << 32)).view(np.uint64))
+            keys = np.sort(key)
+            keys = keys[np.append(True, keys[1:] != keys[:-1])]
+            own = _own_hash(keys, keys)
+            slot = _first_slots(own, key, key)
+            codes, lasts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            codes[slot], lasts[slot] = code, last
+            if (codes[slot] == code).all() and (lasts[slot] == last).all():
+                break
+            seed += 1
+        f = np.bincount(slot, weights=n, minlength=len(keys)).astype(np.int64)  # exact below 2 ** 53
+        enough = np.flatnonzero(f >= least)
+        codes, lasts, f = codes[enough], lasts[enough], f[enough]
+        pairs = np.flatnonzero(lasts < 0)
+        pairs = pairs[np.argsort(codes[pairs])]
+        triples = lasts >= 0
+        head = np.where(triples, f[pairs[np.minimum(np.searchsorted(codes[pairs], codes), len(pairs) - 1)]], 0) if len(pairs) else f
+        return pa.table({"code": codes, "last": lasts, "f": f, "head": head})
 
-def _packed(longs: np.ndarray) -> bytes:
-    """Byte by byte: high ones are mostly zero, which compresses."""
-    return np.ascontiguousarray(longs.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    each = texts.mapInArrow(run, "block long, codes binary, lasts binary, counts binary")
+    return each.groupBy("block").applyInArrow(total, "code long, last long, f long, head long")
 
 
-def _unpacked(data) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+def _with_keys(words: DataFrame) -> DataFrame:
+    """lang, word, n with key and check, two hashes."""
 
+    def run(batches):
+        for batch in batches:
+            held = [("", b""), *((lang, w.encode()) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(_hash(held, seed)[1:].view(np.int64)) for seed in (0, 1)]], names=["lang", "word", "n", "key", "check"])
+
+    return words.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n long, key long, check long")
 
-def _with_keys(phrases: DataFrame) -> DataFrame:
-    """lang, phrase with keys and checks, arrays for the phrase and then its parts: of two words the first and the second,
-    of three the first, the rest, the first two, the last."""
+
+def _with_numbers(words: DataFrame, numbers) -> DataFrame:
+    """lang, word and n of frequent words with id, their numbers."""
 
     def run(batches):
         for batch in batches:
-            langs, phrases_ = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
-            parts = [[w] if len(w) == 1 else [w, w[:1], w[1:]] if len(w) == 2 else [w, w[:1], w[1:], w[:2], w[2:]] for w in phrases_]
-            lengths = [len(p) for p in parts]
-            flat = [(lang, p) for lang, ps in zip(langs, parts, strict=True) for p in ps]
-            columns = []
-            for seed in (0, 1):
-                words = [_hash([("", b""), *((lang, p[i].encode()) if i < len(p) else ("", b"") for lang, p in flat)], seed)[1:] for i in range(3)]
-                size = np.array([len(p) for _, p in flat])
-                key = words[0].copy()
-                key[size > 1] = _mix(key[size > 1], words[1][size > 1])
-                key[size > 2] = _mix(key[size > 2], words[2][size > 2])
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(key.view(np.int64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["lang", "phrase", "keys", "checks"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string, keys array<long>, checks array<long>")
-
-
-def _with_slots(keyed: DataFrame, rounds: list) -> DataFrame:
-    """keyed with slots, an array beside keys: the number of each one's slot over all rounds, -1 if it has none."""
-
-    def found(hashed, begin):
-        def run(batches):
-            ph = hashed.value
-            for batch in batches:
-                keys, checks = (batch.column(i).flatten().to_numpy().view(np.uint64) for i in (2, 3))
-                at = ph.slots(keys, checks)
-                before = batch.column(4).flatten().to_numpy()
-                slots = pa.array(np.where(at >= 0, at + begin, before))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())]), pa.int32()), slots)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["lang", "phrase", "keys", "checks", "slots"])
-
-        return run
-
-    out = keyed.withColumn("slots", F.transform("keys", lambda _: F.lit(-1).cast("long")))
-    for hashed, begin in rounds:
-        out = out.mapInArrow(found(hashed, begin), "lang string, phrase string, keys array<long>, checks array<long>, slots array<long>")
-    return out
+            key, check = (batch.column(i).to_numpy().view(np.uint64) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers.value.slots(key, check))], names=["lang", "word", "n", "id"])
+
+    return words.select("lang", "word", "n", "key", "check").mapInArrow(run, "lang string, word string, n long, id long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, contained: int = CONTAINED, top: int = TOP, round_keys: int = ROUND_KEYS) -> DataFrame:
@@ -457,59 +482,50 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     A phrase is two or three words within a piece of a text, in ASCII lower case; a is how often it occurs, l and r its parts at
     the cut of the lowest score, n the language's words. A phrase within a longer one that has contained per cent of its
     occurrences or more is left out. A null text is empty, a null language is 'und'; every row counts, repeated ones too.
-    An empty table gives an empty result. A task holds one text and the words of a few million others.
+    An empty table gives an empty result. A task holds one text and the words and phrases of a few million others.
+    round_keys: phrases of a block; more phrases are more blocks.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     ship = spark.sparkContext.broadcast
-    words = checkpointed(count_words(texts))
+    words = checkpointed(count_words(texts, least))
     per_lang = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    enough = words.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"))
-    singles = checkpointed(_with_keys(enough))
-    frequent = ship(_bitmap(singles.select(F.element_at("keys", 1).alias("key"))))
+    frequent_words = checkpointed(_with_keys(words.filter("word IS NOT NULL")))
+    frequent = ship(_bitmap(frequent_words.select("key")))
+    numbers = ship(perfect_hash(frequent_words.select("key", "check"), frequent_words.count()))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts_log2 = min(20, max(4, (2 * total // PART_ENTRIES).bit_length()))
     slots = checkpointed(_safe(_sparse(texts, frequent, parts_log2, least), parts_log2, least))
-    safe = ship(_bitmap(slots))
-    phrases = checkpointed(_with_keys(_distinct(texts, frequent, safe, (slots.count() // BLOCK_KEYS).bit_length())))
-    keyed = phrases.unionByName(singles)
-
-    own = keyed.select(F.element_at("keys", 1).alias("key"), F.element_at("checks", 1).alias("check"))
-    n_keys = own.count()
-    n_rounds = max(1, -(-n_keys // round_keys))
-    rounds, counts, begin = [], None, 0
-    for i in range(n_rounds):
-        part = own.filter(F.pmod(F.xxhash64("key", "check"), F.lit(n_rounds)) == i) if n_rounds > 1 else own
-        n = part.count() if n_rounds > 1 else n_keys
-        hashed = ship(perfect_hash(part, n))
-        rounds.append((hashed, begin))
-        found = checkpointed(_count_slots(texts, frequent, safe, hashed, n, begin))
-        counts = found if counts is None else counts.unionByName(found)
-        begin += -(-n // PIECE) * PIECE
-
-    def unpack(batches):
-        for batch in batches:
-            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = _unpacked(data.as_buffer())
-                at = np.flatnonzero(n >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(piece * PIECE + at), pa.array(n[at])], names=["slot", "f"])
-
-    by_slot = checkpointed(counts.mapInArrow(unpack, "slot long, f long"))
-    slotted = checkpointed(_with_slots(phrases, rounds))
-    mine = slotted.select("lang", "phrase", "slots", F.element_at("slots", 1).alias("slot")).join(by_slot, "slot")
-    cuts = mine.select("slot", F.col("f").alias("a"), "lang", "phrase", "slots", F.posexplode(F.slice("slots", 2, 4)).alias("part", "of"))
-    counted = cuts.join(by_slot.select(F.col("slot").alias("of"), F.col("f").alias("pf")), "of")
-    at = lambda i: F.max(F.when(F.col("part") == i, F.col("pf")))
-    scored = counted.groupBy("slot", "a", "lang", "phrase", "slots").agg(at(0).alias("l1"), at(1).alias("r1"), at(2).alias("l2"), at(3).alias("r2"))
+    n_safe = slots.count()
+    safe = ship(_bitmap(slots, min(MOST_BITS, 32 + parts_log2, max(BITMAP, (BITS_A_KEY * n_safe).bit_length()))))
+    found = checkpointed(_phrase_counts(texts, frequent, safe, numbers, max(1, -(-n_safe // round_keys)), least))
+
+    # of a pair the counts of both words; of a triple those of its first and last word, its first pair and its last pair
+    named = checkpointed(_with_numbers(frequent_words, numbers))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    ids = found.select("code", "last", F.col("f").alias("a"), "head", F.shiftrightunsigned("code", 32).alias("i1"), F.col("code").bitwiseAND(low).alias("i2"))
+    ids = ids.withColumn("end", F.when(F.col("last") < 0, F.col("i2")).otherwise(F.col("last")))
+    ids = ids.withColumn("tail", F.when(F.col("last") >= 0, F.shiftleft("i2", 32).bitwiseOR(F.col("last"))))
+    ids = ids.join(named.select(F.col("id").alias("i1"), "lang", F.col("n").alias("l1")), "i1").join(named.select(F.col("id").alias("end"), F.col("n").alias("n_end")), "end")
+    pairs = found.filter("last < 0").select(F.col("code").alias("tail"), F.col("f").alias("n_tail"))
+    three = F.col("last") >= 0
+    triples = ids.filter(three).join(pairs, "tail").withColumns({"r1": F.col("n_tail"), "l2": F.col("head"), "r2": F.col("n_end")})
+    two = ids.filter(~three).withColumns({"r1": F.col("n_end"), "l2": F.lit(None).cast("long"), "r2": F.lit(None).cast("long")})
+    columns = ["lang", "code", "last", "tail", "i1", "i2", "a", "l1", "r1", "l2", "r2"]
     score = lambda l, r: F.expr(f"CAST((CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0))) div (CAST({l} AS DECIMAL(15,0)) * CAST({r} AS DECIMAL(15,0))) AS LONG)")  # noqa: E731, E741
-    both = scored.withColumn("s1", score("l1", "r1")).withColumn("s2", score("l2", "r2"))
+    both = triples.select(*columns).unionByName(two.select(*columns)).withColumn("s1", score("l1", "r1")).withColumn("s2", score("l2", "r2"))
     second = F.col("s2") < F.col("s1")  # a pair has no second cut: null
     pick = lambda x, y: F.when(second, F.col(y)).otherwise(F.col(x))
-    cut = checkpointed(both.select("lang", "phrase", "slot", "slots", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score")))
-
-    longer = cut.filter(F.size("slots") == 5).select(F.explode(F.array(F.element_at("slots", 3), F.element_at("slots", 4))).alias("slot"), F.col("a").alias("longer"))
-    most = longer.groupBy("slot").agg(F.max("longer").alias("longer"))
-    kept = cut.join(most, "slot", "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < contained * F.col("a")))
+    cut = checkpointed(both.select("lang", "code", "last", "tail", "i1", "i2", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score")))
+
+    longer = cut.filter(three).select(F.explode(F.array("code", "tail")).alias("code"), F.col("a").alias("longer"))
+    most = longer.groupBy("code").agg(F.max("longer").alias("longer"), F.lit(-1).cast("long").alias("last"))
+    kept = cut.join(most, ["code", "last"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < contained * F.col("a")))
+    # all that are as good as the last of the first ones get their texts, by which they are told apart
+    foremost = kept.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).filter(F.col("rank") <= top).drop("rank")
+    text = lambda i, name: named.select(F.col("id").alias(i), F.col("word").alias(name))
+    spelt = foremost.join(text("i1", "w1"), "i1").join(text("i2", "w2"), "i2").join(text("last", "w3"), "last", "left")
+    spelt = spelt.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = spelt.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.join(per_lang, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

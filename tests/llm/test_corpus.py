@@ -146,6 +146,51 @@ def test_collocations_are_exact(spark, monkeypatch, options):
     assert sorted(map(tuple, got.collect())) == sorted(plain_collocations(rows, options.get("least", 10), options.get("top", 2000)))
 
 
+def test_more_phrases_are_no_more_readings(spark):
+    """Each round of phrases was another reading of the texts."""
+    rows = corpus()
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = docs(spark, rows).repartition(3).mapInArrow(seen, SCHEMA)
+    got = co.collocations(texts, round_keys=10)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_collocations(rows, 10, 2000))
+    assert read.value == 3 * len(rows)
+
+
+def test_a_bitmap_grows_with_its_keys_and_keeps_every_one(spark):
+    keys = np.random.default_rng(7).integers(-(1 << 63), (1 << 63) - 1, size=20_000)
+    for bits in (8, co.BITMAP_PIECE, co.BITMAP_PIECE + 3):
+        found = co._bitmap(spark.createDataFrame([(k,) for k in keys.tolist()], "key long"), bits)
+        want = np.unique(keys.view(np.uint64) >> np.uint64(64 - bits))
+        assert len(found) == 1 << (bits - 6) and np.bitwise_count(found).sum() == len(want)
+        assert co._in(found, keys.view(np.uint64)).all()
+
+
+def test_phrases_of_a_task_add_up_and_go_by_block():
+    rng = np.random.default_rng(8)
+    held, want, first_pairs = co._Phrases(), Counter(), set()
+    for _ in range(3):
+        ids = rng.integers(0, 12, size=400)
+        pairs = ids[:-1] << 32 | ids[1:]
+        held.add(pairs, pairs[:-1], ids[2:])
+        want.update((p, -1) for p in pairs.tolist())
+        want.update(zip(pairs[:-1].tolist(), ids[2:].tolist(), strict=True))
+        if len(held) > 1000:
+            held.merge()
+    got = Counter()
+    for batch in held.rows(5):
+        for block, codes, lasts, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            code = np.cumsum(co._unpacked(codes))
+            assert 0 <= block < 5 and (co._block(co._mix(code.view(np.uint64), np.zeros(len(code), np.uint64)), 5) == block).all()
+            got.update(dict(zip(zip(code.tolist(), co._unpacked(lasts).tolist(), strict=True), co._unpacked(counts).tolist(), strict=True)))
+    assert got == want and not len(held) and not list(held.rows(5))
+
+
 def test_no_texts_no_collocations(spark):
     assert co.collocations(docs(spark, [])).count() == 0
     assert co.collocations(docs(spark, [(1, "one two", "en", "s")])).count() == 0
